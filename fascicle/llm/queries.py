@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fascicle.llm.common import documents
+from fascicle.llm.common import documents, table
 
 
 def vocabulary() -> str:
@@ -31,10 +32,59 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fascicle.llm import chat
+
+    hard = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fascicle.llm import quality
+
+    # The source stands for the host; a path is a source's part in one language.
+    return quality.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fascicle.llm import toxicity
+
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fascicle.llm import decontam
+
+    return decontam.hits(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_chat": op3_chat,
+    "op4_quality": op4_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_language": op7_language,
     "op8_shards": op8_shards,
+    "op10_decontam": op10_decontam,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat": r"""
+        with rows as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce("text", '') as txt from conversations
+            union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+            union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        )
+        select conv_id,
+               count(*) as n_turns,
+               sha256(string_agg(role || chr(10) || txt || chr(10), '' order by turn, role, txt)) as turns_sha256,
+               cast(coalesce(sum(length(txt)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+               sha256(coalesce(string_agg(txt, '' order by turn, role, txt) filter (role = 'assistant'), '')) as loss_sha256,
+               cast(sum(length('### : ') + length(role) + length(' </turn>') + 1
+                        + length(replace(replace(replace(txt, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>'))) as bigint) as formatted_chars,
+               false as rewrites_history
+        from rows group by conv_id
+    """,
+}
