@@ -12,8 +12,7 @@ The index goes to the executors. Benchmarks beyond ``SLICE_BYTES`` of text are c
 into slices of items, each with an index and a pass of its own.
 
 Null and empty texts and items match nothing. Repeated items give a row each.
-Items are scored word by word with letters lower-cased from A to Z; punctuation
-parts words. Long documents are searched whole.
+Items are scored word by word, in lower case; punctuation parts words. Long documents are searched whole.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ BLOCK = 16
 
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
-    data, offsets = raw(pa.array(texts, pa.string()))
+    data, offsets = raw(pc.utf8_lower(pa.array(texts, pa.string())))
     w = Words(data, offsets, SIGNS)
     return np.split(w.hashes(), w.first[1:-1])
 
@@ -132,7 +132,7 @@ class ItemIndex:
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         if not len(self.terms):
             return best
-        words = Words(*raw(texts), SIGNS)
+        words = Words(*raw(pc.utf8_lower(texts)), SIGNS)
         hashes = words.hashes()
         if not len(hashes):
             return best

@@ -47,6 +47,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fascicle.llm import fingerprint
+
+    return fingerprint.compare_edited(documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fascicle.llm import toxicity
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_chat": op3_chat,
     "op4_quality": op4_quality,
+    "op5_fingerprints": op5_fingerprints,
     "op6_toxicity": op6_toxicity,
     "op7_language": op7_language,
     "op8_shards": op8_shards,

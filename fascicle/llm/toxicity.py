@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +106,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_
         for b in batches:
             texts = b.column(0)
             for s, e in slices(texts):
-                owner, bucket = buckets(*raw(texts.slice(s, e - s)))
+                owner, bucket = buckets(*raw(pc.utf8_lower(texts.slice(s, e - s))))
                 sets, sizes = [], np.bincount(owner, minlength=e - s)
                 order = np.argsort(owner, kind="stable")
                 for part in np.split(bucket[order], np.cumsum(sizes)[:-1]):
@@ -150,7 +151,7 @@ def score(df: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text",
             texts = b.column(1)
             for s, e in slices(texts, 1 << 19):
                 x = np.zeros((e - s, width), np.float32)
-                owner, bucket = buckets(*raw(texts.slice(s, e - s)))
+                owner, bucket = buckets(*raw(pc.utf8_lower(texts.slice(s, e - s))))
                 at = slot[bucket]
                 x[owner[at >= 0], at[at >= 0]] = 1
                 p = chain.score(x, slot)
