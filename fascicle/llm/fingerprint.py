@@ -16,6 +16,8 @@ after the last comes the first. One document alone is its own next.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +68,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(least, F.array_intersect(a, b))) / F.size(least)
 
 
-def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``df`` with ``next``: a struct of ``columns`` of the next row by descending key.
+def with_next(df: DataFrame, key: str, columns: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """``df``, as ``prepare`` extends it, with ``next_`` and the name of each of ``columns``: their values in the next row by descending key.
 
     Rows go to buckets between quantiles of the key, each sorted alone. The first row
     of each bucket is also put at the end of the bucket before it, so one shuffle and
@@ -83,8 +85,7 @@ def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     tops = sorted((r[0], r[1]) for r in ids.groupBy(bucket(F.col("__id")).alias("b")).agg(F.max("__id").alias("top")).collect())
     # The top row of each bucket serves the bucket above it; the highest serves the lowest, as the last of all.
     follows = [(top, tops[(i + 1) % len(tops)][0], i + 1 == len(tops)) for i, (_, top) in enumerate(tops)]
-    light = ["__id", "__tie", *dict.fromkeys([*df.columns])]
-    light = list(dict.fromkeys(light))
+    light = df.columns
     own = df.select(*light, bucket(F.col("__id")).alias("__bucket"), F.lit(False).alias("__lent"), F.lit(0).alias("__last"))
     if follows:
         served = F.broadcast(spark.createDataFrame(follows, "__id long, __bucket int, __wraps boolean"))
@@ -92,18 +93,18 @@ def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
         lent = df.join(served, "__id").withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
         own = own.unionByName(lent.select(*light, "__bucket", F.lit(True).alias("__lent"), F.col("__wraps").cast("int").alias("__last")))
     order = Window.partitionBy("__bucket").orderBy("__last", F.desc("__id"), "__lent", "__tie")
-    # Lent rows sort behind every row of the bucket that borrows them: their ids are lower, or they wrap around.
-    out = own.withColumn("next", F.lead(F.struct(*columns)).over(order)).where(~F.col("__lent"))
+    # Prepared before the shuffle, each row once. Lent rows sort behind every row of the bucket that borrows them: their ids are lower, or they wrap around.
+    out = prepare(own).select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where(~F.col("__lent"))
     return out.drop("__id", "__tie", "__bucket", "__lent", "__last")
 
 
 def compare_edited(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each text's fingerprint beside that of the text whose later half is replaced from the next document."""
-    docs = with_fingerprint(df.select(F.col(key), text_of().alias("text")), F.col("text"), "own")
-    pairs = with_next(docs, key, ["text", "own"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    docs = df.select(F.col(key), text_of().alias("text"))
+    pairs = with_next(docs, key, ["text", "own"], lambda x: with_fingerprint(x, F.col("text"), "own")).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next.text"), F.lit(1), half))
-    pairs = pairs.select(key, "n_chars", "own", F.col("next.own").alias("next_own"), edited.alias("edited"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
+    pairs = pairs.select(key, "n_chars", "own", "next_own", edited.alias("edited"))
     pairs = with_fingerprint(pairs, F.col("edited"), "edited_own")
     return pairs.select(
         key, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), printed(F.col("own")).alias("fingerprint"), printed(F.col("edited_own")).alias("edited_fingerprint"),
