@@ -60,6 +60,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fascicle.llm import repeats
+
+    return repeats.digests(documents(spark, sf_dir))
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fascicle.llm import decontam
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_language": op7_language,
     "op8_shards": op8_shards,
+    "op9_repeats": op9_repeats,
     "op10_decontam": op10_decontam,
 }
 
