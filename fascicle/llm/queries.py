@@ -32,6 +32,12 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fascicle.llm import jaccard
+
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fascicle.llm import chat
 
@@ -74,6 +80,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_jaccard": op2_jaccard,
     "op3_chat": op3_chat,
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
