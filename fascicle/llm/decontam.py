@@ -32,7 +32,8 @@ from fascicle.llm.common import raw, slices, text_of
 
 K1, B = 1.2, 0.75
 SLICE_BYTES = 8 << 20
-BLOCK = 16
+#: Items to a block, and blocks to a wider one that is tested first.
+BLOCK, WIDE = 2, 8
 
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
@@ -79,6 +80,9 @@ class ItemIndex:
             for t, x in zip(at.tolist(), impact.tolist()):
                 self.postings[t].append((i, x))
             np.maximum.at(self.block_max, (at, i // BLOCK), impact.astype(np.float32))
+        wide = -(-self.block_max.shape[1] // WIDE)
+        padded = np.pad(self.block_max, ((0, 0), (0, wide * WIDE - self.block_max.shape[1])))
+        self.wide_max = padded.reshape(len(self.terms), wide, WIDE).max(2)
         self.highest = self.block_max.max(1) if len(self.terms) else np.zeros(0, np.float32)
 
     def wand(self, terms: list[int]) -> list[tuple[int, float]]:
@@ -155,14 +159,23 @@ class ItemIndex:
         passage, of = keys // v, keys % v
         edge = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
         edges = np.append(edge, len(keys))
-        # The first test of WAND for all passages at once, then the same by block.
+        # WAND's test on the sum of bounds for all passages at once: of terms, then of wide blocks, then of the blocks in those that pass.
         hopeful = np.flatnonzero(np.add.reduceat(self.highest[of], edge) >= self.least - 1e-4)
-        ahead = np.concatenate([[0], np.cumsum(edges[hopeful + 1] - edges[hopeful])])
         if not len(hopeful):
             return best
-        rows = np.concatenate([of[edges[k] : edges[k + 1]] for k in hopeful])
-        reach = np.add.reduceat(self.block_max[rows], ahead[:-1], axis=0).max(1)
-        for k in hopeful[reach >= self.least - 1e-4]:
+        size = edges[hopeful + 1] - edges[hopeful]
+        ends = np.cumsum(size)
+        rows = of[np.repeat(edges[hopeful] - (ends - size), size) + np.arange(ends[-1])]
+        reach = np.add.reduceat(self.wide_max[rows], ends - size, axis=0) >= self.least - 1e-4
+        good = np.zeros(len(hopeful), bool)
+        for wide in range(reach.shape[1]):
+            some = np.flatnonzero(reach[:, wide] & ~good)
+            if len(some):
+                upto = np.cumsum(size[some])
+                own = rows[np.repeat((ends - size)[some] - (upto - size[some]), size[some]) + np.arange(upto[-1])]
+                sums = np.add.reduceat(self.block_max[own, wide * WIDE : (wide + 1) * WIDE], upto - size[some], axis=0)
+                good[some] = (sums >= self.least - 1e-4).any(1)
+        for k in hopeful[good]:
             found = self.wand(of[edges[k] : edges[k + 1]].tolist())
             if not found:
                 continue
