@@ -22,12 +22,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fascicle.llm import linear
 from fascicle.llm.bytescan import SIGNS, Words
 from fascicle.llm.common import raw, slices, text_of
-from fascicle.llm.quality import few, labelled
+from fascicle.llm.quality import sampled
 
 BITS = 20
 STEMS = (4, 5)
@@ -100,7 +99,7 @@ class Chain:
 
 def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", per_class: int = 2000, folds: int = 5) -> Chain:
     """Categories: ``toxic`` as labelled; ``severe``, toxic with a share of telling words of the upper half; ``repeated``, toxic with a count of them in the upper half."""
-    rows = few(labelled(df.select(key, "text"), labels, label, key).where("text is not null"), F.col("__label") >= 0.5, per_class, key).select("text", "__label")
+    rows = sampled(df, labels, label, key, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
