@@ -27,23 +27,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that :func:`cut` has written and nothing has deleted yet.
+_CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete tables made by :func:`cut` once a later cut holds what came from them."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
         for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            if path.getName().startswith("cut-"):
-                path.getFileSystem(conf).delete(path, True)
+            own = [p for p in _CUTS if p.rpartition("/")[2] == parent.rpartition("/")[2]]
+            for path in own:
+                _delete(df.sparkSession, path)
+                _CUTS.remove(path)
+
+
+def cuts() -> list[str]:
+    """The tables that stand now, to be released when what came from them is written."""
+    return list(_CUTS)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        if path in _CUTS:
+            _delete(spark, path)
+            _CUTS.remove(path)
 
 
 def crc32_of_id(column: str) -> F.Column:

@@ -8,10 +8,10 @@ the overlaps of its pairs, and the sums of all blocks meet by pair. Bounds from
 sizes discard pairs whose overlap can't suffice; the rest are settled on the whole
 sets.
 
-Columns that many rows share make no square of pairs. There each row is paired with
-the least row of like size; once components are known, only rows of different
-components are paired in full. So every link between different sets is either found
-or lies inside a component that has been found.
+Columns that many rows share make no square of pairs. There each row is first paired
+with the row that shares most columns with others; once components are known, only
+rows of different components are paired, in the end in full. So every link between
+different sets is either found or lies inside a component that has been found.
 
 "Rarer" follows counts of hashed shingles over all documents in a table of fixed
 size. Any fixed order gives the same result; this one keeps shared passages out of
@@ -112,6 +112,11 @@ def needed(a, b):
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
+def reachable(a, b, shared):
+    """Whether so many shingles shared in the prefixes can make enough overlap: behind its prefix a set has one less than its share."""
+    return shared + -(-PERCENT * np.maximum(a, b) // 100) - 1 >= needed(a, b)
+
+
 def within(a, b, at_a, at_b):
     """Whether a shared shingle at these places of the orders leaves room for enough overlap, if it is the first one shared."""
     return (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)) & (1 + np.minimum(a - at_a, b - at_b) - 1 >= needed(a, b))
@@ -199,24 +204,9 @@ def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = np.flatnonzero(small[:-gap] & (c["x"][:-gap] == c["x"][gap:])) if len(small) > gap else np.zeros(0, np.int64)
         lefts.append(i)
         rights.append(i + gap)
-    # Common columns: each row with the least row whose size is near enough to its own.
     big = np.flatnonzero(~small)
-    if len(big):
-        bx, bn = c["x"][big], n[big]
-        head = np.concatenate([[True], bx[1:] != bx[:-1]])
-        lead = np.zeros(len(big), np.int64)
-        for s, e in zip(np.flatnonzero(head), np.append(np.flatnonzero(head)[1:], len(big))):
-            k = s
-            while k < e:
-                stop = s + int(np.searchsorted(bn[s:e], bn[k] * 100 // PERCENT, "right"))
-                lead[k:stop] = k
-                k = stop
-        follow = np.flatnonzero(lead != np.arange(len(big)))
-        lefts.append(big[lead[follow]])
-        rights.append(big[follow])
-        yield from _rows({"kind": np.ones(len(big), np.int32), "x": c["x"][big].view(np.int64), "a": c["digest"][big].view(np.int64), "b": np.zeros(len(big), np.int64), "n_a": n[big], "n_b": at[big], "shared": np.zeros(len(big))})
+    yield from _rows({"kind": np.ones(len(big), np.int32), "x": c["x"][big].view(np.int64), "a": c["digest"][big].view(np.int64), "b": np.zeros(len(big), np.int64), "n_a": n[big], "n_b": at[big], "shared": np.zeros(len(big))})
     i, j = np.concatenate(lefts), np.concatenate(rights)
-    # The full columns count every shared shingle; sizes discard pairs here, places only later where no count is complete.
     ok = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
     i, j = i[ok], j[ok]
     a, b = c["digest"][i], c["digest"][j]
@@ -237,46 +227,75 @@ def _rows(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[k][s : s + (1 << 18)].astype(kind)) for k, kind in kinds.items()], list(kinds))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of common columns, sorted by column, with their components: all pairs of different components that sizes and places allow."""
+def _by_column(solve):
+    """Rows of common columns, sorted by column, to what ``solve`` makes of each column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for b in batches:
+            x = b.column(0).to_numpy()
+            if not len(x):
+                continue
+            cols = [b.column(k).to_numpy().astype(np.int64) for k in range(1, 6)]
+            edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            for s, e in zip(edge, np.append(edge[1:], len(x))):
+                if key is not None and x[s] != key:
+                    yield from solve(*[np.concatenate(p) for p in zip(*held)])
+                    held = []
+                key = x[s]
+                held.append([c[s:e] for c in cols])
+        if held:
+            yield from solve(*[np.concatenate(p) for p in zip(*held)])
+
+    return run
+
+
+def _possible(n, at, open_, comp, i, j):
+    """Whether rows of one common column, that meet in common columns alone, can still link two components."""
+    return (comp[i] != comp[j]) & within(n[i], n[j], at[i], at[j]) & reachable(n[i], n[j], np.minimum(open_[i], open_[j]))
+
 
-    def solve(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        digest, n, at, comp = cols
-        kinds, which, many = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(kinds) < 2:
+def _star(turn: int):
+    """In each column and range of sizes, the row with most common columns (at a later turn, the next one) with every row of another component."""
+
+    def solve(digest, n, at, comp, open_) -> Iterator[pa.RecordBatch]:
+        if (comp == comp[0]).all():
             return
-        order = np.argsort(n, kind="stable")
-        digest, n, at, which = digest[order], n[order], at[order], which[order]
-        # Pairs of the largest component with itself need no look: rows outside it meet all rows.
-        outside = np.flatnonzero(which != many.argmax())
-        found = []
-        for i in outside:
-            s = np.searchsorted(n, -(-PERCENT * n[i] // 100))
-            e = np.searchsorted(n, n[i] * 100 // PERCENT, "right")
-            j = np.arange(s, e)
-            j = j[(which[j] != which[i]) & within(n[i], n[j], at[i], at[j])]
-            found.append(np.stack([np.minimum(digest[i], digest[j]), np.maximum(digest[i], digest[j])], 1))
-            if sum(map(len, found)) > 1 << 18:
-                yield _pairs(found)
-                found = []
-        if found:
+        order = np.lexsort((digest, n))
+        digest, n, at, comp, open_ = digest[order], n[order], at[order], comp[order], open_[order]
+        found, s = [], 0
+        while s < len(n):
+            e = int(np.searchsorted(n, n[s] * 100 // PERCENT, "right"))
+            ranked = s + np.lexsort((digest[s:e], -open_[s:e]))
+            lead = ranked[min(turn, len(ranked) - 1)]
+            low, high = np.searchsorted(n, -(-PERCENT * n[lead] // 100)), np.searchsorted(n, n[lead] * 100 // PERCENT, "right")
+            j = np.arange(low, high)
+            j = j[_possible(n, at, open_, comp, lead, j)]
+            found.append(np.stack([np.minimum(digest[lead], digest[j]), np.maximum(digest[lead], digest[j])], 1))
+            s = e
+        yield _pairs(found)
+
+    return _by_column(solve)
+
+
+def _across(digest, n, at, comp, open_) -> Iterator[pa.RecordBatch]:
+    """All pairs of a column's rows, of different components, that sizes and places allow."""
+    kinds, which, many = np.unique(comp, return_inverse=True, return_counts=True)
+    if len(kinds) < 2:
+        return
+    order = np.argsort(n, kind="stable")
+    digest, n, at, which, open_ = digest[order], n[order], at[order], which[order], open_[order]
+    # Pairs of the largest component with itself need no look: rows outside it meet all rows.
+    found = []
+    for i in np.flatnonzero(which != many.argmax()):
+        j = np.arange(np.searchsorted(n, -(-PERCENT * n[i] // 100)), np.searchsorted(n, n[i] * 100 // PERCENT, "right"))
+        j = j[_possible(n, at, open_, which, i, j)]
+        found.append(np.stack([np.minimum(digest[i], digest[j]), np.maximum(digest[i], digest[j])], 1))
+        if sum(map(len, found)) > 1 << 18:
             yield _pairs(found)
-
-    key, held = None, []
-    for b in batches:
-        x = b.column(0).to_numpy()
-        if not len(x):
-            continue
-        cols = [b.column(k).to_numpy().astype(np.int64) for k in range(1, 5)]
-        edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        for s, e in zip(edge, np.append(edge[1:], len(x))):
-            if key is not None and x[s] != key:
-                yield from solve([np.concatenate(p) for p in zip(*held)])
-                held = []
-            key = x[s]
-            held.append([c[s:e] for c in cols])
-    if held:
-        yield from solve([np.concatenate(p) for p in zip(*held)])
+            found = []
+    if found:
+        yield _pairs(found)
 
 
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -337,21 +356,33 @@ def clusters(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     missing = F.least(F.coalesce("open_a", F.lit(0)), F.coalesce("open_b", F.lit(0)))
     least = F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(PERCENT) / F.lit(100.0 + PERCENT) - 1e-9)
     rest = F.ceil(F.greatest("n_a", "n_b") * F.lit(PERCENT / 100.0) - 1e-9) - 1
-    pairs = cut(pairs.where(F.col("shared") + missing + rest >= least).select("a", "b"))
+    pairs = pairs.where(F.col("shared") + missing + rest >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rows = cut(product.where("kind = 1").select("x", F.col("a").alias("node"), F.col("n_a").alias("n"), F.col("n_b").alias("at")).join(common.withColumnRenamed("a", "node"), "node"))
+    pairs = cut(pairs)
+    drop(product)
+
+    def columns(solve) -> DataFrame:
+        own = rows.join(found, "node", "left").select("x", "node", "n", "at", F.coalesce("least", "node").alias("least"), "open")
+        return own.repartition(parts, "x").sortWithinPartitions("x").mapInArrow(solve, "a long, b long").distinct()
 
     names = docs.where("n > 0").groupBy("digest").agg(F.min("doc").alias("doc"))
-    links = cut(_settled(base, names, pairs))
-    found = components(links)
-    rows = product.where("kind = 1").select("x", F.col("a").alias("node"), F.col("n_a").alias("n"), F.col("n_b").alias("at"))
-    rows = rows.join(found, "node", "left").select("x", "node", "n", "at", F.coalesce("least", "node").alias("least"))
-    more = rows.repartition(parts, "x").sortWithinPartitions("x").mapInArrow(_across, "a long, b long").distinct()
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(more.join(ordered, ["a", "b"], "left_anti"))
-    drop(product)
-    if not more.isEmpty():
-        late = cut(_settled(base, names, more))
-        if not late.isEmpty():
-            found = components(links.unionByName(late))
+    found = spark.createDataFrame([], "node long, least long")
+    judged: list[DataFrame] = []
+    steps = [lambda: columns(_star(0)), lambda: pairs, lambda: columns(_star(1)), lambda: columns(_by_column(_across))]
+    for step in steps:
+        new = step()
+        for c in "ab":
+            new = new.join(found.select(F.col("node").alias(c), F.col("least").alias(f"at_{c}")), c, "left")
+        new = new.where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b")
+        for earlier in judged:
+            new = new.join(earlier, ["a", "b"], "left_anti")
+        new = cut(new)
+        if new.isEmpty():
+            continue
+        judged.append(new)
+        links = cut(_settled(base, names, new))
+        if not links.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(links))
     named = names.join(found.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("least", "digest").alias("least"), "doc")
     least_doc = named.groupBy("least").agg(F.min("doc").alias("component"))
     named = named.join(least_doc, "least").select("digest", "component")
@@ -374,6 +405,10 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id names their component; rows with equal ids are kept once."""
-    kept = clusters(df, key, text).where("doc = component or doc is null").select(F.col("doc").alias(key)).distinct()
-    return df.join(kept, df[key].eqNullSafe(kept[key]), "left_semi").dropDuplicates([key])
+    """The rows of ``df`` whose id names their component. Rows that repeat an id and its set stay once; rows without an id stay."""
+    found = cut(clusters(df, key, text))
+    kept = found.where("doc = component").select(F.col("doc").alias("__doc")).distinct()
+    out = df.join(kept, F.col(key).cast("long") == F.col("__doc"), "left_semi")
+    if not found.where("doc is not null").groupBy("doc").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates([key])
+    return out if found.where("doc is null").isEmpty() else out.unionByName(df.where(F.col(key).isNull()))
