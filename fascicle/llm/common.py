@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -15,9 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return table(spark, sf_dir, "documents")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts are bounded in rows only: fewer rows than usual keep what a task holds small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
+def trim() -> None:
+    """Hand memory that a task has freed back to the system: workers live on, and their peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a local one only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -67,6 +85,13 @@ def release(spark: SparkSession, paths: list[str]) -> None:
             _CUTS.remove(path)
 
 
+def partitions(df: DataFrame, each: int = 32 << 20) -> int:
+    """Into how many tasks to deal what comes of ``df``, so that each can hold its part: the session's count, or more where the plan's own estimate of the input asks for it."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return usual if size >= 1 << 60 else max(usual, min(size // each, 1000 * usual))
+
+
 def crc32_of_id(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 

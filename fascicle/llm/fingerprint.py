@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import text_of
+from fascicle.llm.common import partitions, text_of
 
 K, S, SIZE = 5, 2, 128
 
@@ -76,7 +76,7 @@ def with_next(df: DataFrame, key: str, columns: list[str], prepare: Callable[[Da
     no global sort are enough.
     """
     spark = df.sparkSession
-    n = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(64, 4 * partitions(df))
     df = df.withColumn("__id", F.coalesce(F.col(key), F.lit(-(1 << 63)))).withColumn("__tie", F.xxhash64("text"))
     ids = df.select("__id")
     bounds = sorted({int(x) for x in ids.select(F.col("__id").cast("double")).approxQuantile("__id", [i / n for i in range(1, n)], 0.2 / n)})

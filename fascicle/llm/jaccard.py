@@ -26,7 +26,6 @@ Shingles and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fascicle.llm.bytescan import Words, mix, shingles
-from fascicle.llm.common import cut, drop, raw, slices, text_of
+from fascicle.llm.common import cut, drop, partitions, raw, slices, text_of, trim
+from fascicle.llm.frequency import PARTS, TABLE, counter, levels, packed
 
 WORDS, PERCENT = 5, 75
-#: Counters of the frequency table, and slices that it is summed in.
-TABLE, PARTS = 1 << 19, 16
 #: Columns with at most so many rows are multiplied in full at once.
 FULL = 8
 
@@ -77,30 +75,12 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s, e in slices(b.column(1)):
             values, first = sets(b.column(1).slice(s, e - s))
-            total += np.bincount((values >> np.uint64(45)).astype(np.int64), minlength=TABLE)
+            total += np.bincount(counter(values), minlength=TABLE)
             m = e - s
             yield pa.RecordBatch.from_arrays([b.column(0).slice(s, m), pa.array(set_digests(values, first).view(np.int64)), pa.array(np.diff(first).astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
     if total.any():
-        blobs = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in np.split(total, PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], names)
-
-
-def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(blob), "<i8")
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
-
-
-def levels(profile: DataFrame) -> np.ndarray:
-    """For each counter how often its shingles are, as a power of two over the usual count. A table of fixed size, summed on the executors."""
-    counts = profile.where("part is not null").select("part", "counts").repartition(PARTS, "part").mapInArrow(_sum_counts, "part int, counts binary").collect()
-    table = np.zeros(TABLE, np.int64)
-    for part, blob in counts:
-        table[part * (TABLE // PARTS) : (part + 1) * (TABLE // PARTS)] = np.frombuffer(blob, "<i8")
-    usual = max(4.0, 2 * float(np.median(table)))
-    return np.clip(np.log2(np.maximum(table, 1) / usual), 0, 31).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(PARTS, pa.int64()) for _ in range(3)), *packed(total)], names)
+    trim()
 
 
 def prefix_size(n):
@@ -150,18 +130,19 @@ def _postings(level: np.ndarray, routes: int):
                     continue
                 n = np.diff(first)
                 owner = np.repeat(np.arange(e - s), n)
-                key = (level[(values >> np.uint64(45)).astype(np.int64)].astype(np.uint64) << np.uint64(59)) | (mix(values) >> np.uint64(5))
+                key = (level[counter(values)].astype(np.uint64) << np.uint64(59)) | (mix(values) >> np.uint64(5))
                 order = np.lexsort((key, owner))
                 at = np.arange(len(values)) - np.repeat(first[:-1], n)
                 kept = at < prefix_size(n)[owner]
                 digest = set_digests(values, first)
                 held.append({"x": values[order][kept], "digest": digest[owner[kept]], "n": n[owner[kept]], "at": at[kept]})
                 size += int(kept.sum())
-                if size >= 1 << 20:
+                if size >= 1 << 19:
                     yield from flush(held)
                     held, size = [], 0
         if size:
             yield from flush(held)
+        trim()
 
     return run
 
@@ -219,6 +200,8 @@ def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         shared = np.diff(np.append(first, len(a)))
         yield from _rows({"kind": np.zeros(len(first), np.int32), "x": np.zeros(len(first), np.int64), "a": a[first].view(np.int64), "b": b[first].view(np.int64), "n_a": n_a[first], "n_b": n_b[first], "shared": shared})
+    del c, order, a, b, n_a, n_b, i, j, lefts, rights
+    trim()
 
 
 def _rows(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -317,6 +300,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ok[s + i] = 100 * both >= PERCENT * (len(x) + len(y) - both) and both > 0
         keep = pa.array(np.flatnonzero(ok))
         yield pa.RecordBatch.from_arrays([a.take(keep), c.take(keep)], ["a", "b"])
+    trim()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -341,11 +325,11 @@ def components(links: DataFrame) -> DataFrame:
 def clusters(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, digest, n, component): for each row its set and the least id of its component."""
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(df)
     base = df.select(F.col(key).cast("long").alias("doc"), text_of(text).alias("text"))
     profile = cut(base.mapInArrow(_profile, "doc long, digest long, n long, part int, counts binary"))
     docs = profile.where("part is null").select("doc", "digest", "n")
-    level = levels(profile)
+    level = levels(profile.where("part is not null"))
     blocks = base.select("text").mapInArrow(_postings(level, parts), "route int, blob binary")
     product = cut(blocks.repartition(parts, "route").mapInArrow(_multiply, _PAIR))
 

@@ -4,8 +4,12 @@ Each string of ``length`` bytes that also starts earlier (smaller id, or the sam
 document further left) is repeated, and every byte that a repeated string covers
 goes. All is judged on the input.
 
-Windows of ``length`` bytes are dealt out by their minimizer, the least hash among
-their ``SEED``-byte seeds: equal windows have equal minimizers at equal places.
+Windows of ``length`` bytes are dealt out by their minimizer, the first of their
+``SEED``-byte seeds by an order of all seeds: equal windows have equal minimizers at
+equal places. The order puts seeds that are common in the corpus last (counted by hash
+in a table of fixed size; any order gives the same result). So a common line is the
+minimizer only of windows that lie within common text, which are equal and collapse,
+and not of every window that touches it.
 Neighbouring windows with one minimizer travel as one stretch. Stretches that are
 equal throughout are settled by comparing their places, first within a task, then
 by hash; one stretch of each kind goes on, and only where other kinds share its
@@ -31,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fascicle.llm.bytescan import BYTE, STEP, STEP_BACK, mix, powers
-from fascicle.llm.common import cut, raw, slices, text_of
+from fascicle.llm.common import cut, partitions, raw, slices, text_of, trim
+from fascicle.llm.frequency import TABLE, counter, levels, packed
 from fascicle.llm.suffixes import suffix_array
 
 LENGTH, SEED, BLOCK = 100, 16, 32
@@ -40,17 +45,37 @@ _PLACE = 24
 _FIELDS = (("h", np.uint64), ("c", np.uint64), ("doc", np.int64), ("row", np.int64), ("start", np.uint32), ("n", np.uint8), ("a", np.uint8))
 
 
-def stretches(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int = LENGTH, seed: int = SEED):
+def _seeds(data: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of the ``seed`` bytes from each place on, with the running sums and powers that it comes from."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(BYTE[data] * powers(n, STEP), out=sums[1:])
+    back = powers(n, STEP_BACK)
+    m = max(0, n - seed + 1)
+    return mix((sums[n - m + 1 :] - sums[:m]) * back[:m]), sums, back
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's counts of hashed seeds."""
+    total = np.zeros(TABLE, np.int64)
+    for b in batches:
+        for s, e in slices(b.column(0)):
+            data, _ = raw(b.column(0).slice(s, e - s))
+            for at in range(0, len(data), PIECE):
+                total += np.bincount(counter(_seeds(data[at : at + PIECE + SEED - 1])[0]), minlength=TABLE)
+    if total.any():
+        yield pa.RecordBatch.from_arrays(list(packed(total)), ["part", "counts"])
+
+
+def stretches(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: np.ndarray, length: int = LENGTH, seed: int = SEED):
     """Of pieces ``data[lo:hi]``, which may overlap but lie in ascending order: (h, c, start, count, anchor) of each run of windows with one minimizer."""
     n = len(data)
     none = tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     if n < length:
         return none
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[data] * powers(n, STEP), out=sums[1:])
-    back = powers(n, STEP_BACK)
-    seeds = mix((sums[seed:] - sums[: n - seed + 1]) * back[: n - seed + 1])
-    keys = (seeds & ~np.uint64((1 << _PLACE) - 1)) | np.arange(len(seeds), dtype=np.uint64)
+    seeds, sums, back = _seeds(data, seed)
+    # Five bits of how common a seed is, 35 of its hash, the rest its place.
+    keys = (level[counter(seeds)].astype(np.uint64) << np.uint64(59)) | (seeds >> np.uint64(29) << np.uint64(_PLACE)) | np.arange(len(seeds), dtype=np.uint64)
     width, least, have = length - seed + 1, keys, 1
     while have * 2 <= width:
         least = np.minimum(least[: len(least) - have], least[have:])
@@ -118,7 +143,7 @@ def _found(c: dict[str, np.ndarray], known: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _scan(routes: int, length: int):
+def _scan(routes: int, length: int, level: np.ndarray):
     """Texts to packed stretches, one of each kind from each flush; the others are known as repeats at once and travel to no key in particular."""
 
     def flush(held: list[dict[str, np.ndarray]], turn: int) -> Iterator[pa.RecordBatch]:
@@ -142,16 +167,17 @@ def _scan(routes: int, length: int):
                 # Pieces are scanned together up to the bits that a place has.
                 for x, y in _groups(lo, hi):
                     base = int(lo[x])
-                    h, c, start, n, anchor = stretches(data[base : int(hi[y - 1])], lo[x:y] - base, hi[x:y] - base, length)
+                    h, c, start, n, anchor = stretches(data[base : int(hi[y - 1])], lo[x:y] - base, hi[x:y] - base, level, length)
                     owner = np.searchsorted(offsets, start + base, "right") - 1
                     held.append({"h": h, "c": c, "doc": docs[s + owner], "row": rows[s + owner], "start": start + base - offsets[owner], "n": n, "a": anchor - start})
                     size += len(h)
-                if size >= 1 << 19:
+                if size >= 1 << 18:
                     turn = int(rows[s]) & 0xFFFF
                     yield from flush(held, turn)
                     held, size = [], 0
         if size:
             yield from flush(held, turn)
+        trim()
 
     return run
 
@@ -186,6 +212,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for s in range(0, int(go.sum()), 1 << 18):
         part = np.flatnonzero(go)[s : s + (1 << 18)]
         yield _found({k: v[part] for k, v in c.items()}, ~first[part])
+    del c, first, key, go
+    trim()
 
 
 def _cut_out(length: int):
@@ -267,7 +295,7 @@ def repeated_windows(h, place, n, a, body, offsets, length: int = LENGTH) -> np.
     return out
 
 
-def _compare(length: int, most: int = 1 << 17):
+def _compare(length: int, most: int = 1 << 16):
     """One task's open stretches, minimizer by minimizer in bounded lots, to runs of repeated windows."""
 
     def solve(lot: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -307,19 +335,20 @@ def _compare(length: int, most: int = 1 << 17):
                     size, at = size + step, at + step
         if held:
             yield solve(held)
+        trim()
 
     return run
 
 
 def with_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, extra: list[str] | None = None) -> DataFrame:
     """``key``, ``text`` (null as empty), ``extra`` columns, and ``repeats``: structs of (start, n), runs of n windows that are repeated; null for none."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(df)
     rows = df.select(
         F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.col(key).cast("long"), F.col(text)).alias("row"), text_of(text).alias("__text"),
         *(F.col(c).alias(f"__own_{c}") for c in dict.fromkeys([key, *(extra or [])])),
     )
-    scanned = rows.select("doc", "row", "__text").mapInArrow(_scan(parts, length), "route int, known boolean, blob binary")
+    level = levels(rows.select("__text").mapInArrow(_count, "part int, counts binary"))
+    scanned = rows.select("doc", "row", "__text").mapInArrow(_scan(parts, length, level), "route int, known boolean, blob binary")
     found = cut(scanned.repartition(parts, "route").mapInArrow(_settle, _FOUND))
     # The texts are dealt out once by row; both joins below read that one exchange.
     texts = rows.repartition(parts, "row")
