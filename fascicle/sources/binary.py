@@ -9,7 +9,6 @@ files are opened through Arrow's file systems.
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
