@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fascicle.llm import linear
-from fascicle.llm.common import crc32_of_id, raw, slices, text_of
+from fascicle.llm.common import crc32_of_id, raw, slices, text_of, trim
 
 BUCKETS = 1 << 13
 
@@ -125,15 +125,12 @@ def _coupled(names, pairs, chance: np.ndarray) -> np.ndarray:
 
 def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400) -> LangModel:
     """Fit on the rows where ``train`` holds and text and language are there; at most ``per_language`` rows of each language."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
-    sample = (
-        df.where(train)
-        .select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-        .where("text is not null and lang is not null")
-        .withColumn("nth", F.row_number().over(first))
-        .where(F.col("nth") <= per_language)
-        .select("text", "lang")
-    )
+    known = df.where(train).select(F.col(key).alias("id"), F.col(lang).alias("lang")).where("lang is not null and id is not null").withColumn("draw", F.xxhash64("id"))
+    # Chosen by id alone, in parts of a language first: no text is shuffled, and a language of most rows lands in no one task.
+    for group in (["lang", F.pmod("draw", F.lit(16))], ["lang"]):
+        known = known.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("draw", "id"))).where(F.col("nth") <= per_language)
+    # ``per_language`` ids for each language that is named.
+    sample = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(known.select("id", "lang")), "id").select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,7 +157,7 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
         for a, b in pairs:
             rows_ab = (of == a) | (of == b)
             y = np.where(of[rows_ab] == a, 1.0, -1.0)
-            w = linear.squared_hinge(x[rows_ab], y, linear.balanced(y), l2=1e-4, steps=300)
+            w = linear.squared_hinge(x[rows_ab], y, linear.balanced(y), l2=1e-4, steps=120)
             columns.append(w[:-1] / scale)
             bias.append(w[-1])
     weights = np.zeros((BUCKETS + 1, len(columns)), np.float32)
@@ -190,6 +187,7 @@ def predict(df: DataFrame, model: LangModel, text: str = "text", keep: tuple[str
                 pred, score = model.predict(margins) if model.languages else ([None] * (e - s), np.zeros(e - s))
                 pred = [p if ok else "und" for p, ok in zip(pred, letters)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(s, e - s) for c in b.columns[: len(keep)]), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], [*keep, "lang_pred", "score"])
+        trim()
 
     return df.select(*keep, text_of(text).alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
