@@ -92,6 +92,27 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard": r"""
+        with recursive toks as (
+            select doc_id,
+                   regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+            from documents
+        ), sets as (
+            select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from toks where len(w) > 0)
+        ), sizes as (
+            select doc_id, count(*) as n from sets group by doc_id
+        ), links as (
+            select a.doc_id as a, b.doc_id as b from sets a join sets b on a.g = b.g and a.doc_id <> b.doc_id
+            group by a.doc_id, b.doc_id
+            having 100 * count(*) >= 75 * ((select n from sizes where doc_id = a.doc_id) + (select n from sizes where doc_id = b.doc_id) - count(*))
+        ), reach as (
+            select doc_id, doc_id as c from toks
+            union
+            select l.b, r.c from reach r join links l on l.a = r.doc_id
+        )
+        select r.doc_id, cast(coalesce(max(n), 0) as bigint) as n_shingles, min(r.c) as component_id
+        from reach r left join sizes using (doc_id) group by r.doc_id
+    """,
     "op3_chat": r"""
         with rows as (
             select conv_id, turn, coalesce(role, '') as role, coalesce("text", '') as txt from conversations
