@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that are over: it does so when the driver collects its garbage, which may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Tables that :func:`cut` has written and nothing has deleted yet.
 _CUTS: list[str] = []
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fascicle.llm.bytescan import SIGNS, Words, shingles
-from fascicle.llm.common import raw, slices, text_of
+from fascicle.llm.common import raw, slices, text_of, trim
 
 K1, B = 1.2, 0.75
 SLICE_BYTES = 8 << 20
@@ -233,6 +233,7 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", least: float
                 texts = b.column(b.schema.get_field_index(text)).fill_null("")
                 bad = {s + r for s, e in slices(texts) for r, _ in index.search(texts.slice(s, e - s))}
                 yield b.take(pa.array([i for i in range(len(texts)) if i not in bad], pa.int64())) if bad else b
+            trim()
 
         df = df.mapInArrow(run, df.schema)
     return df

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fascicle.llm.bytescan import Words, mix, shingles
-from fascicle.llm.common import cut, drop, partitions, raw, slices, text_of, trim
+from fascicle.llm.common import cut, drop, free_shuffles, partitions, raw, slices, text_of, trim
 from fascicle.llm.frequency import PARTS, TABLE, counter, levels, packed
 
 WORDS, PERCENT = 5, 75
@@ -332,6 +332,8 @@ def clusters(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     level = levels(profile.where("part is not null"))
     blocks = base.select("text").mapInArrow(_postings(level, parts), "route int, blob binary")
     product = cut(blocks.repartition(parts, "route").mapInArrow(_multiply, _PAIR))
+    del blocks
+    free_shuffles(spark)
 
     # Overlap in the prefixes, and what may be missing from it: a row's shingles in common columns.
     common = product.where("kind = 1").groupBy("a").agg(F.count("*").alias("open"))

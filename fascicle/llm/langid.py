@@ -142,8 +142,12 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
     rows = sample.mapInArrow(run, "lang string, at array<int>, share array<float>").toArrow()
     langs = np.array(rows.column("lang").to_pylist(), object)
     x = np.zeros((len(langs), BUCKETS), np.float32)
-    for i, (at, share) in enumerate(zip(rows.column("at").to_pylist(), rows.column("share").to_pylist())):
-        x[i, at] = share
+    done = 0
+    for part in rows.to_batches():
+        at, share = part.column("at"), part.column("share")
+        x[done + np.repeat(np.arange(part.num_rows), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = share.flatten().to_numpy()
+        done += part.num_rows
+    del rows
     # Rare trigrams count for more: each bucket is scaled by the root of its usual share.
     scale = np.sqrt(np.maximum(x.mean(0), 1e-5)) if len(x) else np.ones(BUCKETS)
     languages = tuple(sorted(set(langs.tolist())))
@@ -163,6 +167,8 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
     weights = np.zeros((BUCKETS + 1, len(columns)), np.float32)
     if columns:
         weights[:-1] = np.stack(columns, 1)
+    del x
+    trim()
     return LangModel(languages, family_pairs, language_pairs, weights, np.array(bias))
 
 

@@ -16,20 +16,21 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2:
 
 
 def _descend(x, y, weight, l2, steps, slope, curvature) -> np.ndarray:
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.full(len(x), 1 / max(len(x), 1)) if weight is None else weight / weight.sum()
     # The largest eigenvalue of the weighted Gram matrix bounds the curvature.
-    v = np.random.default_rng(0).standard_normal(x.shape[1]).astype(x.dtype)
+    times = lambda v: x @ v[:-1] + v[-1]  # noqa: E731  the bias column is not stored
+    back = lambda u: np.append(u @ x, u.sum()).astype(x.dtype)
+    v = np.random.default_rng(0).standard_normal(x.shape[1] + 1).astype(x.dtype)
     top = 1.0
     for _ in range(20):
-        u = x.T @ (weight.astype(x.dtype) * (x @ v))
+        u = back(weight.astype(x.dtype) * times(v))
         top = float(np.linalg.norm(u)) or 1.0
         v = u / top
     rate = 1 / (1.1 * curvature * top + l2)
-    w = z = np.zeros(x.shape[1], x.dtype)
+    w = z = np.zeros(x.shape[1] + 1, x.dtype)
     t = 1.0
     for _ in range(steps):
-        g = x.T @ (weight * slope(y * (x @ z)) * y).astype(x.dtype) + l2 * np.append(z[:-1], 0).astype(x.dtype)
+        g = back((weight * slope(y * times(z)) * y).astype(x.dtype)) + l2 * np.append(z[:-1], 0).astype(x.dtype)
         new = z - rate * g
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z = new + (t - 1) / t_new * (new - w)

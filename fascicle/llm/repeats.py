@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fascicle.llm.bytescan import BYTE, STEP, STEP_BACK, mix, powers
-from fascicle.llm.common import cut, partitions, raw, slices, text_of, trim
+from fascicle.llm.common import cut, free_shuffles, partitions, raw, slices, text_of, trim
 from fascicle.llm.frequency import TABLE, counter, levels, packed
 from fascicle.llm.suffixes import suffix_array
 
@@ -128,9 +128,12 @@ def _keep_first(c: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.nda
     """The columns in order of (h, c, place), and where each (h, c) is first."""
     order = np.lexsort((c["start"], c["row"], c["doc"], c["c"], c["h"]))
     c = {k: v[order] for k, v in c.items()}
-    first = np.ones(len(order), bool)
-    first[1:] = (c["h"][1:] != c["h"][:-1]) | (c["c"][1:] != c["c"][:-1])
-    return c, first
+    new = np.ones(len(order), bool)
+    new[1:] = (c["h"][1:] != c["h"][:-1]) | (c["c"][1:] != c["c"][:-1])
+    # A row that is there twice is one document: the same place counts once.
+    other = new.copy()
+    other[1:] |= (c["row"][1:] != c["row"][:-1]) | (c["start"][1:] != c["start"][:-1])
+    return {k: v[other] for k, v in c.items()}, new[other]
 
 
 _FOUND = "row long, doc long, h long, start int, n int, a int, known boolean"
@@ -148,7 +151,7 @@ def _scan(routes: int, length: int, level: np.ndarray):
 
     def flush(held: list[dict[str, np.ndarray]], turn: int) -> Iterator[pa.RecordBatch]:
         c, first = _keep_first({name: np.concatenate([x[name] for x in held]) for name, _ in _FIELDS})
-        route = np.where(first, (c["h"] >> np.uint64(8)) % np.uint64(routes), np.uint64(turn % routes)).astype(np.int64) * 2 + ~first
+        route = np.where(first, (c["h"] >> np.uint64(8)) % np.uint64(routes), (np.arange(len(first), dtype=np.uint64) + np.uint64(turn)) % np.uint64(routes)).astype(np.int64) * 2 + ~first
         order = np.argsort(route, kind="stable")
         cuts = np.flatnonzero(np.diff(route[order])) + 1
         parts = np.split(order, cuts) if len(order) else []
@@ -300,6 +303,12 @@ def _compare(length: int, most: int = 1 << 16):
 
     def solve(lot: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(lot).combine_chunks()
+        place = np.lexsort([t.column(k).to_numpy() for k in ("h", "start", "row")])
+        at = [t.column(k).to_numpy()[place] for k in ("h", "start", "row")]
+        twice = np.zeros(len(place), bool)
+        twice[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in at])
+        if twice.any():  # of a row that is there twice
+            t = t.take(pa.array(np.sort(place[~twice]))).combine_chunks()
         col = {k: t.column(k).to_numpy() for k in ("h", "doc", "row", "start", "n", "a")}
         bodies = t.column("body").chunk(0) if t.num_rows else pa.array([], pa.binary())
         body, offsets = raw(bodies)
@@ -350,6 +359,8 @@ def with_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     level = levels(rows.select("__text").mapInArrow(_count, "part int, counts binary"))
     scanned = rows.select("doc", "row", "__text").mapInArrow(_scan(parts, length, level), "route int, known boolean, blob binary")
     found = cut(scanned.repartition(parts, "route").mapInArrow(_settle, _FOUND))
+    del scanned
+    free_shuffles(df.sparkSession)
     # The texts are dealt out once by row; both joins below read that one exchange.
     texts = rows.repartition(parts, "row")
     open_ = found.where("not known").groupBy("row").agg(F.collect_list(F.struct("h", "doc", "row", "start", "n", "a")).alias("open"))
