@@ -135,6 +135,37 @@ def test_chat_sees_rewriting():
     assert spans.rewrites
 
 
+def folded(turns):
+    """All but the last ten turns are folded into their number."""
+    return f"[{max(0, len(turns) - 10)}]" * (len(turns) > 10) + "".join(f"<{r}>{t}" for r, t in turns[-10:])
+
+
+def late(turns):
+    """The first turn changes at the twelfth."""
+    return "".join(f"<{r}>{'gone' if i == 0 and len(turns) >= 12 else t}" for i, (r, t) in enumerate(turns))
+
+
+def numbered(turns):
+    """Each turn with its number and the role of the first."""
+    return "".join(f"<{i} {turns[0][0]}>{t}\n" for i, (_, t) in enumerate(turns))
+
+
+def read_any(part):
+    return "assistant", part
+
+
+def test_chat_renders_true_prefixes_beyond_the_window(spark):
+    turns = [("system" if i == 0 else "user", f"text {i}") for i in range(15)]
+    df = spark.createDataFrame([(n, i, r, t) for n in (10, 15) for i, (r, t) in enumerate(turns[:n])], "conv_id long, turn long, role string, text string")
+    for template, seen in ((folded, {10: False, 15: True}), (late, {10: False, 15: True}), (numbered, {10: False, 15: False})):
+        got = {r["conv_id"]: r for r in chat.digests(df, template, read_any).collect()}
+        assert {n: r["rewrites_history"] for n, r in got.items()} == seen
+        assert {n: r["formatted_chars"] for n, r in got.items()} == {n: len(template(turns[:n])) for n in seen}
+    parts = chat.formatted(df.where("conv_id = 15"), numbered).orderBy("turn").collect()
+    assert "".join(r["part"] for r in parts) == numbered(turns)
+    assert [r["part"][r["text_start"] : r["text_end"]] for r in parts] == [t for _, t in turns]
+
+
 # 4
 
 
