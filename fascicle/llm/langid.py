@@ -10,6 +10,14 @@ Training takes at most ``per_language`` rows of each language, those with the
 smallest hash of their id: a bounded sample, the same on every run. Prediction
 covers every row and every byte.
 
+The machines only say which learned language is nearest. Whether a text is in any
+of them is told by its evidence: how many bits its trigrams gain, on average, from a
+language's trigram shares over equal shares of all buckets, in units of what rows of
+that language usually gain from shares that they took no part in; the most over the
+languages. 1 is usual; texts in a language or script that was not learned, and letter
+junk, are near 0 or below.
+Trigrams with fewer than two letters tell nothing.
+
 A null text, an empty one and one without any letter give ``und`` with score 0.
 Without any training row every prediction is ``und``. With one language learned it
 is always predicted. Repeated rows give repeated results; null keys are kept and
@@ -31,6 +39,8 @@ from fascicle.llm import linear
 from fascicle.llm.common import crc32_of_id, raw, slices, text_of, trim
 
 BUCKETS = 1 << 13
+#: Share of each bucket's usual probability that stands for trigrams not seen in training.
+UNSEEN = 0.05
 
 # The families of the languages that a corpus is likely to name.
 FAMILIES = {
@@ -68,6 +78,17 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _telling() -> np.ndarray:
+    """Whether a bucket's trigrams have two letters at least; false for the last entry."""
+    letters = np.flatnonzero(_FOLD != 0x20).astype(np.uint8)
+    blank = np.uint8(0x20)
+    few = [np.array([blank] * 3, np.uint8), *(np.array(g, np.uint8) for x in letters for g in ((x, blank, blank), (blank, x, blank), (blank, blank, x)))]
+    grams = trigrams(np.concatenate(few), np.arange(0, 3 * len(few) + 1, 3))[::3]
+    out = np.ones(BUCKETS + 1, bool)
+    out[grams] = out[BUCKETS] = False
+    return out
+
+
 def counted(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Buckets and shares of each text."""
     grams = trigrams(data, offsets)
@@ -90,13 +111,18 @@ def has_letter(data: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> np.nda
 
 @dataclass(frozen=True)
 class LangModel:
-    """``pairs``: (a, b) of each machine, families first; positive margins say a. ``weights``: a column for each, the last row of zeros."""
+    """``pairs``: (a, b) of each machine, families first; positive margins say a. ``weights``: a column for each, the last row of zeros.
+
+    ``familiar``: the evidence of a bucket for each language, 0 where it tells nothing.
+    """
 
     languages: tuple[str, ...]
     family_pairs: tuple[tuple[str, str], ...]
     language_pairs: tuple[tuple[str, str], ...]
     weights: np.ndarray
     bias: np.ndarray
+    familiar: np.ndarray
+    telling: np.ndarray
 
     def predict(self, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
         families = sorted({family(x) for x in self.languages})
@@ -123,6 +149,23 @@ def _coupled(names, pairs, chance: np.ndarray) -> np.ndarray:
     return out / np.maximum(out.sum(1, keepdims=True), 1e-12)
 
 
+def _bits(x: np.ndarray, telling: np.ndarray) -> np.ndarray:
+    """Bits that each telling bucket gains from the mean shares of the rows ``x`` over equal shares."""
+    share = x.mean(0, dtype=np.float64) * telling if len(x) else np.zeros(len(telling))
+    return np.log2((share / max(share.sum(), 1e-12) * telling.sum() + UNSEEN) / (1 + UNSEEN)) * telling
+
+
+def _familiar(x: np.ndarray, langs: np.ndarray, languages: tuple[str, ...], telling: np.ndarray) -> np.ndarray:
+    """Each language's bits a bucket, in units of the median that its rows gain from the half of its rows that they are not in."""
+    inside, out = telling[:BUCKETS], np.zeros((BUCKETS + 1, len(languages)), np.float32)
+    for j, name in enumerate(languages):
+        own = x[langs == name]
+        held = [h @ _bits(rest, inside) / np.maximum(h @ inside, 1e-12) for h, rest in ((own[::2], own[1::2]), (own[1::2], own[::2]))]
+        # One bit at least: where rows are too few to tell what is usual, all of them are in training.
+        out[:BUCKETS, j] = _bits(own, inside) / max(1.0, float(np.median(np.concatenate(held))))
+    return out
+
+
 def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400) -> LangModel:
     """Fit on the rows where ``train`` holds and text and language are there; at most ``per_language`` rows of each language."""
     known = df.where(train).select(F.col(key).alias("id"), F.col(lang).alias("lang")).where("lang is not null and id is not null").withColumn("draw", F.xxhash64("id"))
@@ -148,9 +191,10 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
         x[done + np.repeat(np.arange(part.num_rows), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = share.flatten().to_numpy()
         done += part.num_rows
     del rows
+    languages, telling = tuple(sorted(set(langs.tolist()))), _telling()
+    familiar = _familiar(x, langs, languages, telling)
     # Rare trigrams count for more: each bucket is scaled by the root of its usual share.
     scale = np.sqrt(np.maximum(x.mean(0), 1e-5)) if len(x) else np.ones(BUCKETS)
-    languages = tuple(sorted(set(langs.tolist())))
     families = sorted({family(x) for x in languages})
     kin = np.array([family(x) for x in langs], object)
     family_pairs = tuple(combinations(families, 2))
@@ -169,11 +213,11 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
         weights[:-1] = np.stack(columns, 1)
     del x
     trim()
-    return LangModel(languages, family_pairs, language_pairs, weights, np.array(bias))
+    return LangModel(languages, family_pairs, language_pairs, weights, np.array(bias), familiar, telling)
 
 
 def predict(df: DataFrame, model: LangModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of every row with ``lang_pred`` and ``score``."""
+    """``keep`` columns of every row with ``lang_pred``, ``score`` and ``evidence``."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +227,7 @@ def predict(df: DataFrame, model: LangModel, text: str = "text", keep: tuple[str
                 part = texts.slice(s, e - s)
                 data, offsets = raw(part)
                 size = np.maximum(1, np.diff(offsets) - 2)
-                margins = np.zeros((e - s, len(model.bias)))
+                margins, evidence = np.zeros((e - s, len(model.bias))), np.zeros(e - s)
                 if len(data):
                     grams, full = trigrams(data, offsets), np.flatnonzero(np.diff(offsets))
                     for j in range(len(model.bias)):
@@ -191,11 +235,14 @@ def predict(df: DataFrame, model: LangModel, text: str = "text", keep: tuple[str
                 margins = margins / size[:, None] + model.bias
                 letters = has_letter(data, offsets, part) & (len(model.languages) > 0)
                 pred, score = model.predict(margins) if model.languages else ([None] * (e - s), np.zeros(e - s))
+                if len(data) and model.languages:
+                    gained = np.max([np.add.reduceat(f[grams], offsets[full], dtype=np.float64) for f in model.familiar.T], 0)
+                    evidence[full] = gained / np.maximum(np.add.reduceat(model.telling[grams], offsets[full], dtype=np.float64), 1)
                 pred = [p if ok else "und" for p, ok in zip(pred, letters)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(s, e - s) for c in b.columns[: len(keep)]), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(s, e - s) for c in b.columns[: len(keep)]), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64()), pa.array(np.where(letters, evidence, 0.0), pa.float64())], [*keep, "lang_pred", "score", "evidence"])
         trim()
 
-    return df.select(*keep, text_of(text).alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return df.select(*keep, text_of(text).alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, evidence double")
 
 
 def identify(df: DataFrame, key: str = "doc_id", folds: int = 5) -> DataFrame:
@@ -205,8 +252,12 @@ def identify(df: DataFrame, key: str = "doc_id", folds: int = 5) -> DataFrame:
     return predict(df, model, keep=(key,)).select(key, (F.coalesce(fold, F.lit(0)) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def accept(df: DataFrame, key: str = "doc_id", least: float = 0.2) -> DataFrame:
-    """Rows of ``df`` whose language is told with a score of at least ``least``; the language column is left as it was."""
+def accept(df: DataFrame, key: str = "doc_id", least: float = 0.2, evidence: float = 0.25) -> DataFrame:
+    """Rows of ``df`` in a learned language: with that much evidence for one, and a score of at least ``least``; the language column is left as it was.
+
+    The score alone can't fail while few languages are learned: the best of k is at least 1/k.
+    """
     columns = df.columns
     model = fit(df, F.lit(True), key)
-    return predict(df, model, keep=tuple(columns)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(columns)
+    told = (F.col("lang_pred") != "und") & (F.col("score") >= least) & (F.col("evidence") >= evidence)
+    return predict(df, model, keep=tuple(columns)).where(told).select(columns)

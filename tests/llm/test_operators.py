@@ -271,6 +271,27 @@ def test_language_edges(spark):
     assert langid.accept(frame(spark, ["12 34", "letters"])).count() == 1
 
 
+def test_languages_not_learned_are_rejected(spark):
+    rng = random.Random(6)
+    strange = [
+        "Litwo, ojczyzno moja, ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił.",
+        "Mieleni minun tekevi, aivoni ajattelevi lähteäni laulamahan, saa'ani sanelemahan, sukuvirttä suoltamahan.",
+        "Мой дядя самых честных правил, когда не в шутку занемог, он уважать себя заставил и лучше выдумать не мог.",
+        "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳",
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)),
+        "".join(rng.choice("0123456789abcdef") for _ in range(400)),
+        "AB-12 X9 K7-Q 44 ZZ9 81",
+        "x 1 2 3 4 5",
+        "x" * 300,
+    ]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    clean = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    more = spark.createDataFrame([(10_000_000 + i, t, None, "s", len(t)) for i, t in enumerate(strange)], SCHEMA)
+    kept = {r["doc_id"] for r in langid.accept(docs.select(*more.columns).unionByName(more)).collect()}
+    assert not kept - clean
+    assert len(kept) >= 0.99 * len(clean)
+
+
 # 8
 
 
