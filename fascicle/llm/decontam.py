@@ -9,7 +9,9 @@ passage also holds the question and the answer: at least ``overlap`` of the word
 trigrams of each. An item's last line, or else last sentence, is its answer.
 
 The index goes to the executors. Benchmarks beyond ``SLICE_BYTES`` of text are cut
-into slices of items, each with an index and a pass of its own.
+into slices of items, each with an index and a pass of its own; the number of items,
+document frequencies, mean length and longest item are those of the whole benchmark,
+so scores and passages do not depend on the slices.
 
 Null and empty texts and items match nothing. Repeated items give a row each.
 Items are scored word by word, in lower case; punctuation parts words. Long documents are searched whole.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -54,23 +57,44 @@ def trigrams(hashes: np.ndarray) -> np.ndarray:
     return np.unique(shingles(hashes, min(3, max(1, len(hashes)))))
 
 
+@dataclass
+class Statistics:
+    """Of all items with words: their number, words in all, the longest one's, and the document frequency of each term (ascending)."""
+
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+    @staticmethod
+    def of(words: list[np.ndarray]) -> Statistics:
+        terms, df = np.unique(np.concatenate([np.unique(w) for w in words]) if words else np.zeros(0, np.uint64), return_counts=True)
+        return Statistics(sum(len(w) > 0 for w in words), sum(map(len, words)), max(map(len, words), default=0), terms, df.astype(np.int64))
+
+    def __add__(self, other: Statistics) -> Statistics:
+        terms, at = np.unique(np.concatenate([self.terms, other.terms]), return_inverse=True)
+        df = np.zeros(len(terms), np.int64)
+        np.add.at(df, at, np.concatenate([self.df, other.df]))
+        return Statistics(self.items + other.items, self.words + other.words, max(self.longest, other.longest), terms, df)
+
+
 class ItemIndex:
-    """Postings by term, with the highest impact of each term and of each block of its postings' items."""
+    """Postings by term, with the highest impact of each term and of each block of its postings' items. ``whole``: statistics of the benchmark that ``items`` are a slice of."""
 
-    def __init__(self, items: list[tuple[int, str]], least: float, overlap: float):
+    def __init__(self, items: list[tuple[int, str]], least: float, overlap: float, whole: Statistics | None = None):
         words = _hashes([t for _, t in items])
+        whole = whole or Statistics.of(words)
         items, words = zip(*[(i, w) for i, w in zip(items, words) if len(w)]) if any(map(len, words)) else ((), ())
         self.ids, self.least, self.overlap = [i for i, _ in items], least, overlap
-        self.stride = max(map(len, words), default=1)
+        self.stride = max(whole.longest, 1)
         self.questions = [trigrams(h) for h in _hashes([parts(t)[0] for _, t in items])] if items else []
         self.answers = [trigrams(h) for h in _hashes([parts(t)[1] for _, t in items])] if items else []
         self.terms = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-        n, mean = len(items), float(np.mean([len(w) for w in words])) if words else 1.0
+        n, mean = len(items), whole.words / max(whole.items, 1)
         counts = [np.unique(np.searchsorted(self.terms, w), return_counts=True) for w in words]
-        df = np.zeros(len(self.terms))
-        for at, _ in counts:
-            df[at] += 1
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        df = whole.df[np.searchsorted(whole.terms, self.terms)]
+        idf = np.log1p((whole.items - df + 0.5) / (df + 0.5))
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         self.blocks = -(-n // BLOCK) if n else 0
         self.block_max = np.zeros((len(self.terms), max(1, self.blocks)), np.float32)
@@ -193,16 +217,29 @@ class ItemIndex:
         return best
 
 
-def indexes(benchmark: DataFrame, least: float, overlap: float, item: str = "item_id", text: str = "text") -> list[ItemIndex]:
-    """An index for each slice of items of at most ``SLICE_BYTES`` of text; the benchmark is read in order of its ids, slice by slice."""
-    out, held, size = [], [], 0
+def _slices(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
+    """The items in order of their ids, at most ``SLICE_BYTES`` of text at a time."""
+    held, size = [], 0
     for r in benchmark.select(item, text).where(F.col(text).isNotNull()).orderBy(item, text).toLocalIterator():
         if held and size + len(r[1]) > SLICE_BYTES:
-            out.append(ItemIndex(held, least, overlap))
+            yield held
             held, size = [], 0
         held.append((r[0], r[1]))
         size += len(r[1])
-    return [*out, ItemIndex(held, least, overlap)]
+    yield held
+
+
+def indexes(benchmark: DataFrame, least: float, overlap: float, item: str = "item_id", text: str = "text") -> list[ItemIndex]:
+    """An index for each slice of items. A benchmark of several slices is read twice: for its statistics, then slice by slice."""
+    parts = _slices(benchmark, item, text)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return [ItemIndex(first, least, overlap)]
+    whole = Statistics.of(_hashes([t for _, t in first])) + Statistics.of(_hashes([t for _, t in second]))
+    del first, second
+    for part in parts:
+        whole += Statistics.of(_hashes([t for _, t in part]))
+    return [ItemIndex(part, least, overlap, whole) for part in _slices(benchmark, item, text)]
 
 
 def hits(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.5, overlap: float = 0.6) -> DataFrame:

@@ -400,6 +400,22 @@ def test_decontamination_in_slices(spark, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"]) for r in decontam.hits(frame(spark, [ITEMS[0][1], ITEMS[1][1]]), bench).collect()) == [(0, 0), (1, 1)]
 
 
+def test_slices_do_not_change_scores(spark, monkeypatch):
+    rng = random.Random(9)
+    # Items ordered by subject, of different lengths; documents hold parts of them, so many scores are near the threshold.
+    items = [(i, " ".join(rng.choice([f"s{i // 10}w{rng.randrange(15)}", f"common{rng.randrange(8)}"]) for _ in range(4 + i // 10 * 3))) for i in range(60)]
+    texts = [" ".join(x for x in t.split() if rng.random() < rng.choice([0.4, 0.5, 0.6, 0.8])) + " " + " ".join(f"filler{rng.randrange(30)}" for _ in range(40)) for _, t in items for _ in range(4)]
+    df, bench = frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for size in (1 << 20, 1000):
+        monkeypatch.setattr(decontam, "SLICE_BYTES", size)
+        assert (len(decontam.indexes(bench, 0.5, 0.0)) > 3) == (size == 1000)
+        found.append({(r["doc_id"], r["item_id"]): (r["score"], r["question_overlap"], r["answer_overlap"]) for r in decontam.hits(df, bench, overlap=0.0).collect()})
+        found[-1]["kept"] = sorted(by_id(decontam.clean(df, bench, overlap=0.0)))
+    assert len(found[0]) > 50 and min(s[0] for k, s in found[0].items() if k != "kept") < 0.55
+    assert found[0] == found[1]
+
+
 def test_wand_finds_all_above_the_threshold():
     rng = random.Random(4)
     words = [f"t{i}" for i in range(60)]
