@@ -3,10 +3,12 @@
 A text is a sequence of units: runs of up to eight characters without white space.
 A k-mer of ``K`` units is an anchor when the least of its inner s-mers (``S`` units,
 by hash) is its first or its last. Whether a k-mer is an anchor depends on nothing
-outside it, so equal passages give equal anchors wherever they stand. The
-fingerprint is the ``SIZE`` least distinct anchor hashes; the likeness of two is the
-bottom-k estimate of the Jaccard similarity of their anchor sets, exact where both
-texts have at most ``SIZE`` anchors.
+outside it, so equal passages give equal anchors wherever they stand. All anchors are
+kept, each with its place. The likeness of two texts is the Jaccard similarity of their
+whole anchor sets, however long they are. Where they match is told by places: each
+shared hash, at its first place in either text, votes for the shift between the two,
+and the shift with most votes is that of the aligned passage. The printed fingerprint
+is a digest of the ``SIZE`` least distinct anchor hashes; nothing is computed from it.
 
 Null texts count as empty. In a text without any anchor, such as one of fewer than
 ``K`` units, each unit is one; a blank text has a fixed one. Equal texts have equal fingerprints.
@@ -51,21 +53,33 @@ def with_anchors(df: DataFrame, text: Column, out: str = "anchors") -> DataFrame
     return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).when(F.size(units) > 0, each).otherwise(blank)).drop("__units", "__inner")
 
 
-def with_fingerprint(df: DataFrame, text: Column, out: str = "fingerprint_hashes") -> DataFrame:
-    """``df`` with the least anchor hashes of ``text``, sorted, 32 bits each."""
-    df = with_anchors(df, text, "__anchors")
-    hashes = F.transform("__anchors", lambda a: F.shiftright(a["hash"], 32).cast("int"))
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(hashes)), 1, SIZE)).drop("__anchors")
-
-
-def printed(hashes: Column) -> Column:
+def printed(anchors: Column) -> Column:
+    """The least anchor hashes, sorted, 32 bits each."""
+    hashes = F.slice(F.sort_array(F.array_distinct(F.transform(anchors, lambda a: F.shiftright(a["hash"], 32).cast("int")))), 1, SIZE)
     return F.concat_ws("", F.transform(hashes, lambda x: F.substring(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(1 << 32)), 2, 8)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of the least hashes of both that are in both."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-    return F.size(F.array_intersect(least, F.array_intersect(a, b))) / F.size(least)
+    """The share of the anchor hashes of either that are in both."""
+    a, b = (F.transform(x, lambda y: y["hash"]) for x in (a, b))
+    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+
+
+def with_aligned(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """``df`` with the shift of places from anchors ``a`` to ``b`` at which most shared hashes stand, and how many; of equal ones the least shift. Null without a shared hash."""
+    # Sorted by hash; of each text's places the first stands next to the other text's: descending in ``a``, ascending in ``b``.
+    side = lambda c, k: F.transform(c, lambda x: F.struct(x["hash"].alias("hash"), F.lit(k).alias("side"), (x["at"] if k else -x["at"]).alias("at")))
+    df = df.withColumn("__both", F.sort_array(F.concat(side(a, 0), side(b, 1))))
+    both = F.col("__both")
+    meets = lambda x, i: (x["side"] == 0) & (F.get(both, i + 1)["side"] == 1) & (F.get(both, i + 1)["hash"] == x["hash"])
+    shifts = F.transform(both, lambda x, i: F.when(meets(x, i), F.get(both, i + 1)["at"] + x["at"]))
+    df = df.withColumn("__shifts", F.sort_array(F.array_compact(shifts)))
+    shifts = F.col("__shifts")
+    df = df.withColumn("__starts", F.when(F.size(shifts) > 0, F.filter(F.sequence(F.lit(0), F.size(shifts) - 1), lambda i: (i == 0) | (F.get(shifts, i) != F.get(shifts, i - 1)))))
+    starts = F.col("__starts")
+    runs = F.transform(starts, lambda i, k: F.struct((F.coalesce(F.get(starts, k + 1), F.size(shifts)) - i).alias("anchors"), (-F.get(shifts, i)).alias("back")))
+    df = df.withColumn("__most", F.array_max(runs))
+    return df.withColumn(out, F.when(F.col("__most").isNotNull(), F.struct((-F.col("__most")["back"]).alias("shift"), F.col("__most")["anchors"].alias("anchors")))).drop("__both", "__shifts", "__starts", "__most")
 
 
 def with_next(df: DataFrame, key: str, columns: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
@@ -92,8 +106,10 @@ def with_next(df: DataFrame, key: str, columns: list[str], prepare: Callable[[Da
         first = Window.partitionBy("__id").orderBy("__tie")
         lent = df.join(served, "__id").withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
         own = own.unionByName(lent.select(*light, "__bucket", F.lit(True).alias("__lent"), F.col("__wraps").cast("int").alias("__last")))
+    # One shuffle, of the columns given; what ``prepare`` adds is made where the rows have arrived, each row once.
+    own = own.repartition("__bucket")
     order = Window.partitionBy("__bucket").orderBy("__last", F.desc("__id"), "__lent", "__tie")
-    # Prepared before the shuffle, each row once. Lent rows sort behind every row of the bucket that borrows them: their ids are lower, or they wrap around.
+    # Lent rows sort behind every row of the bucket that borrows them: their ids are lower, or they wrap around.
     out = prepare(own).select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where(~F.col("__lent"))
     return out.drop("__id", "__tie", "__bucket", "__lent", "__last")
 
@@ -101,12 +117,13 @@ def with_next(df: DataFrame, key: str, columns: list[str], prepare: Callable[[Da
 def compare_edited(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each text's fingerprint beside that of the text whose later half is replaced from the next document."""
     docs = df.select(F.col(key), text_of().alias("text"))
-    pairs = with_next(docs, key, ["text", "own"], lambda x: with_fingerprint(x, F.col("text"), "own")).withColumn("n_chars", F.char_length("text").cast("long"))
+    pairs = with_next(docs, key, ["text", "own"], lambda x: with_anchors(x, F.col("text"), "own")).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
     pairs = pairs.select(key, "n_chars", "own", "next_own", edited.alias("edited"))
-    pairs = with_fingerprint(pairs, F.col("edited"), "edited_own")
+    pairs = with_anchors(pairs, F.col("edited"), "edited_own")
+    pairs = with_aligned(with_aligned(pairs, "own", "edited_own", "aligned_edited"), "own", "next_own", "aligned_next")
     return pairs.select(
         key, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), printed(F.col("own")).alias("fingerprint"), printed(F.col("edited_own")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited_own")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        likeness(F.col("own"), F.col("edited_own")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"), F.col("own").alias("anchors"), "aligned_edited", "aligned_next",
     )

@@ -228,6 +228,24 @@ def test_anchors_do_not_depend_on_what_is_around(spark):
     assert a.keys() <= b.keys() and {b[h] - a[h] for h in a} == {4}
 
 
+def test_fingerprints_of_long_texts_are_whole(spark):
+    rng = random.Random(8)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = prose(100)
+    # The higher id comes first: 0 is the next of 1, and 1 has the passage 700 words further on.
+    texts = [" ".join(prose(2000) + passage + prose(3000)), " ".join(prose(2700) + passage + prose(2500))]
+    got = by_id(fingerprint.compare_edited(frame(spark, texts)))
+    own = {k: {a["hash"]: a["at"] for a in r["anchors"]} for k, r in got.items()}
+    assert all(len(own[k]) > 2000 and max(own[k].values()) > 5000 for k in own)
+    shared = own[0].keys() & own[1].keys()
+    assert len(shared) > 30 and {own[0][h] - own[1][h] for h in shared} == {-700}
+    assert got[1]["near_next"] == len(shared) / len(own[0].keys() | own[1].keys())
+    assert got[1]["aligned_next"].asDict() == {"shift": -700, "anchors": len(shared)} and got[0]["aligned_next"]["shift"] == 700
+    assert got[1]["aligned_edited"]["shift"] == 0 and got[1]["aligned_edited"]["anchors"] > 1000
+    apart = by_id(fingerprint.compare_edited(frame(spark, [" ".join(prose(30)), " ".join(prose(30))])))
+    assert apart[0]["near_next"] == 0 and apart[0]["aligned_next"] is None
+
+
 # 6
 
 
