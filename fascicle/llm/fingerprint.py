@@ -1,6 +1,8 @@
 """Document fingerprints from closed syncmers, with DataFrame functions alone.
 
-A text is a sequence of units: runs of up to eight characters without white space.
+A text is a sequence of units: words of up to ``LONGEST`` characters, and each single
+character of longer runs without white space and of scripts that are written without
+it, so that no unit depends on where in a run it stands.
 A k-mer of ``K`` units is an anchor when the least of its inner s-mers (``S`` units,
 by hash) is its first or its last. Whether a k-mer is an anchor depends on nothing
 outside it, so equal passages give equal anchors wherever they stand. All anchors are
@@ -26,10 +28,14 @@ from pyspark.sql import functions as F
 from fascicle.llm.common import partitions, text_of
 
 K, S, SIZE = 5, 2, 128
+LONGEST = 24
+_UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+_WORD = rf"[^\s{_UNSPACED}]"
+_UNIT = rf"(?<!{_WORD}){_WORD}{{1,{LONGEST}}}+(?!{_WORD})|\S"
 
 
 def _units(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\S{1,8}"), F.lit(0)), lambda u: F.xxhash64(u))
+    return F.transform(F.regexp_extract_all(text, F.lit(_UNIT), F.lit(0)), lambda u: F.xxhash64(u))
 
 
 def _inner(units: Column) -> Column:

@@ -228,6 +228,16 @@ def test_anchors_do_not_depend_on_what_is_around(spark):
     assert a.keys() <= b.keys() and {b[h] - a[h] for h in a} == {4}
 
 
+@pytest.mark.parametrize("signs", ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往", "กขคงจฉชซญดตถทนบปผฝพฟมยรลวสหอ"])
+def test_anchors_in_runs_without_spaces(spark, signs):
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    passage = some(200)
+    df = spark.createDataFrame([(0, some(40) + passage + some(40)), (1, some(43) + passage + some(40))], "doc_id long, text string")
+    a, b = ({(x["hash"], x["at"] - at) for x in r["anchors"] if 0 <= x["at"] - at <= 195} for at, r in zip((40, 43), fingerprint.with_anchors(df, F.col("text")).orderBy("doc_id").collect()))
+    assert a == b and len(a) > 50
+
+
 def test_fingerprints_of_long_texts_are_whole(spark):
     rng = random.Random(8)
     prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
