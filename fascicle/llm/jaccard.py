@@ -375,11 +375,29 @@ def clusters(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return docs.join(named, "digest", "left").select("doc", "digest", "n", F.coalesce("component", "doc").alias("component"))
 
 
+def _with_digest(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``__digest``: the hash of the set of each row's ``text``."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).fill_null("")
+            for s, e in slices(texts):
+                digest = set_digests(*sets(texts.slice(s, e - s)))
+                yield pa.RecordBatch.from_arrays([*b.slice(s, e - s).columns, pa.array(digest.view(np.int64))], [*b.schema.names, "__digest"])
+        trim()
+
+    return df.mapInArrow(run, df.withColumn("__digest", F.lit(0).cast("long")).schema)
+
+
 def _settled(base: DataFrame, names: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets link, settled on the texts of one document for each set."""
-    nodes = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    chosen = names.join(nodes, "digest")
-    texts = cut(base.join(chosen, "doc").dropDuplicates(["doc"]).select("digest", "text"))
+    """The pairs whose sets link, settled on one text for each set."""
+    nodes = cut(pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct())
+    chosen = names.join(nodes, "digest").where("doc is not null").select("doc").distinct()
+    # An id may have rows of other sets too, and a set may have no id at all: texts go by their own sets' digests.
+    rows = base.join(chosen, "doc", "left_semi").unionByName(base.where("doc is null"))
+    found = _with_digest(rows, "text").withColumnRenamed("__digest", "digest")
+    texts = cut(found.join(nodes, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", "text"))
     with_b = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
@@ -393,8 +411,11 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` whose id names their component. Rows that repeat an id and its set stay once; rows without an id stay."""
     found = cut(clusters(df, key, text))
-    kept = found.where("doc = component").select(F.col("doc").alias("__doc")).distinct()
-    out = df.join(kept, F.col(key).cast("long") == F.col("__doc"), "left_semi")
-    if not found.where("doc is not null").groupBy("doc").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([key])
+    kept = found.where("doc = component").select(F.col("doc").alias("__doc"), F.col("digest").alias("__set")).distinct()
+    own = F.col(key).cast("long") == F.col("__doc")
+    if found.where("doc is not null").groupBy("doc").count().where("count > 1").isEmpty():
+        out = df.join(kept, own, "left_semi")
+    else:
+        # Rows of one id may have different sets, each with a component of its own.
+        out = _with_digest(df, text).join(kept, own & (F.col("__digest") == F.col("__set")), "left_semi").dropDuplicates([key, "__digest"]).drop("__digest")
     return out if found.where("doc is null").isEmpty() else out.unionByName(df.where(F.col(key).isNull()))

@@ -102,6 +102,20 @@ def test_jaccard_empty_and_representatives(spark):
     assert sorted(k for k in kept if k is not None) == [0, 2, 3, 4] and kept.count(None) == 2
 
 
+def test_jaccard_repeated_and_null_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = lambda i: " ".join([*words[:i], "other", *words[i + 1 :]])
+    far = " ".join(f"v{i}" for i in range(40))
+    # Id 5 has two texts; a set of rows without an id links to one with an id.
+    df = spark.createDataFrame([(1, near(0)), (5, far), (5, near(59)), (7, far + " more"), (None, near(59) + " end")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or -1, r["component_id"]) for r in jaccard.join(df).collect())
+    assert got == [(-1, 1), (1, 1), (5, 1), (5, 5), (7, 5)]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.representatives(df).collect() if r["doc_id"] is not None]
+    assert sorted(kept) == [(1, near(0)), (5, far)]
+    both = spark.createDataFrame([(5, far), (5, near(3)), (5, far)], "doc_id long, text string")
+    assert sorted(r["text"] for r in jaccard.representatives(both).collect()) == sorted([far, near(3)])
+
+
 # 3
 
 
