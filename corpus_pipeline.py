@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fascicle.llm import bpe, decontam, jaccard, langid, repeats
-from fascicle.llm.common import cut, cuts, documents, free_shuffles, release, small_batches, table
+from fascicle.llm.common import cut, cuts, documents, release, small_batches, table
 from fascicle.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -50,7 +50,6 @@ def _alone(stage: Stage) -> Stage:
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         small_batches(spark)
         release(spark, _working)
-        free_shuffles(spark)
         before = set(cuts())
         out = stage(spark, docs, sf_dir)
         _working[:] = [p for p in cuts() if p not in before]
