@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 
@@ -46,21 +45,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of queries that are over: it does so when the driver collects its garbage, which may be long after."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
+#: Spark deletes a query's shuffle files when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables that :func:`cut` has written and nothing has deleted yet.
 _CUTS: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, a lost executor costs nothing before it."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, a lost executor costs nothing before it.
+
+    Shuffle files of the write go when it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    usual = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if usual is None else spark.conf.set(_CLEANUP, usual)
     _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

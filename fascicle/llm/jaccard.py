@@ -8,10 +8,18 @@ the overlaps of its pairs, and the sums of all blocks meet by pair. Bounds from
 sizes discard pairs whose overlap can't suffice; the rest are settled on the whole
 sets.
 
-Columns that many rows share make no square of pairs. There each row is first paired
-with the row that shares most columns with others; once components are known, only
-rows of different components are paired, in the end in full. So every link between
-different sets is either found or lies inside a component that has been found.
+Columns that many rows share make no square of pairs. In each, and for each range of
+sizes, one row leads: the one whose columns are the most common for its size, which in
+a group of copies is the text that they come from. Overlaps of rows with leading rows
+are summed over all columns, and each row is settled against the leading row that it
+shares most with; then, among rows that this left outside, once more with leading
+rows of their own. What is still outside the largest component of a column is
+multiplied with all rows of that column, in tiles of at most ``TILE`` by ``TILE``
+rows. A tile gives out the pairs that sizes, places, open columns and signatures let
+link: bits set for the shingles of a set, as many as its size asks for, so that bits
+of one set which the other lacks bound the overlap from above. So every link between
+different sets is either found or lies inside a component that has been found, and a
+row that links with nothing costs comparisons, but no pairs.
 
 "Rarer" follows counts of hashed shingles over all documents in a table of fixed
 size. Any fixed order gives the same result; this one keeps shared passages out of
@@ -26,20 +34,23 @@ Shingles and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fascicle.llm.bytescan import Words, mix, shingles
-from fascicle.llm.common import cut, drop, free_shuffles, partitions, raw, slices, text_of, trim
+from fascicle.llm.common import cut, drop, partitions, raw, slices, text_of, trim
 from fascicle.llm.frequency import PARTS, TABLE, counter, levels, packed
 
 WORDS, PERCENT = 5, 75
 #: Columns with at most so many rows are multiplied in full at once.
 FULL = 8
+#: Rows of one side of a tile, where a common column's rows are multiplied.
+TILE = 4096
 
 
 def sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -68,18 +79,30 @@ def set_digests(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(size > 0, mix(sums[first[1:]] - sums[first[:-1]] + size) | np.uint64(1), np.uint64(0))
 
 
+def signatures(values: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """A bit for each member of each set, in 4 to 8 times as many bits as members (a power of two, 512 to 16384). The halves of one, or-ed, are the signature in half the bits."""
+    size = np.diff(first)
+    width = np.int64(1) << np.clip(np.ceil(np.log2(np.maximum(size, 1) * 4)).astype(np.int64), 9, 14)
+    start = np.concatenate([[0], np.cumsum(width)])
+    bits = np.zeros(start[-1], bool)
+    owner = np.repeat(np.arange(len(size)), size)
+    bits[start[owner] + (mix(values ^ np.uint64(0x8CB92BA72F3D8DD7)) & (width[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+    whole = np.packbits(bits, bitorder="little").tobytes()
+    return [whole[s // 8 : e // 8] for s, e in zip(start[:-1], start[1:])]
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's set by its digest and size; at the end, this task's counts of hashed shingles."""
-    names = ["doc", "digest", "n", "part", "counts"]
+    """Each document's set by its digest, size and signature; at the end, this task's counts of hashed shingles."""
+    names = ["doc", "digest", "n", "sig", "part", "counts"]
     total = np.zeros(TABLE, np.int64)
     for b in batches:
         for s, e in slices(b.column(1)):
             values, first = sets(b.column(1).slice(s, e - s))
             total += np.bincount(counter(values), minlength=TABLE)
             m = e - s
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(s, m), pa.array(set_digests(values, first).view(np.int64)), pa.array(np.diff(first).astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(s, m), pa.array(set_digests(values, first).view(np.int64)), pa.array(np.diff(first).astype(np.int64)), pa.array(signatures(values, first), pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
     if total.any():
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(PARTS, pa.int64()) for _ in range(3)), *packed(total)], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(PARTS, pa.int64()) for _ in range(3)), pa.nulls(PARTS, pa.binary()), *packed(total)], names)
     trim()
 
 
@@ -151,7 +174,7 @@ _PAIR = "kind int, x long, a long, b long, n_a int, n_b int, shared int"
 
 
 def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One block of columns: overlaps of pairs (kind 0), and the rows of columns too common to be multiplied in full (kind 1: x, row, its size and place)."""
+    """One block of columns: overlaps of pairs (kind 0), and the rows of columns too common to be multiplied in full (kind 1: x, row, its size and place, the column's rows)."""
     step = sum(np.dtype(k).itemsize for _, k in _POSTING)
     got: dict[str, list[np.ndarray]] = {k: [] for k, _ in _POSTING}
     for b in batches:
@@ -186,7 +209,7 @@ def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lefts.append(i)
         rights.append(i + gap)
     big = np.flatnonzero(~small)
-    yield from _rows({"kind": np.ones(len(big), np.int32), "x": c["x"][big].view(np.int64), "a": c["digest"][big].view(np.int64), "b": np.zeros(len(big), np.int64), "n_a": n[big], "n_b": at[big], "shared": np.zeros(len(big))})
+    yield from _rows({"kind": np.ones(len(big), np.int32), "x": c["x"][big].view(np.int64), "a": c["digest"][big].view(np.int64), "b": np.zeros(len(big), np.int64), "n_a": n[big], "n_b": at[big], "shared": size_of[big]})
     i, j = np.concatenate(lefts), np.concatenate(rights)
     ok = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
     i, j = i[ok], j[ok]
@@ -210,70 +233,64 @@ def _rows(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[k][s : s + (1 << 18)].astype(kind)) for k, kind in kinds.items()], list(kinds))
 
 
-def _by_column(solve):
-    """Rows of common columns, sorted by column, to what ``solve`` makes of each column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for b in batches:
-            x = b.column(0).to_numpy()
-            if not len(x):
-                continue
-            cols = [b.column(k).to_numpy().astype(np.int64) for k in range(1, 6)]
-            edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            for s, e in zip(edge, np.append(edge[1:], len(x))):
-                if key is not None and x[s] != key:
-                    yield from solve(*[np.concatenate(p) for p in zip(*held)])
-                    held = []
-                key = x[s]
-                held.append([c[s:e] for c in cols])
-        if held:
-            yield from solve(*[np.concatenate(p) for p in zip(*held)])
-
-    return run
-
+def _folded(sigs: list[bytes], size: int) -> np.ndarray:
+    """Signatures as rows of 64-bit words, in ``size`` bytes at most each."""
+    out = np.zeros((len(sigs), size // 8), np.uint64)
+    for i, sig in enumerate(sigs):
+        w = np.frombuffer(sig, np.uint64)
+        while len(w) > size // 8:
+            w = w[: len(w) // 2] | w[len(w) // 2 :]
+        out[i] = w
+    return out
 
-def _possible(n, at, open_, comp, i, j):
-    """Whether rows of one common column, that meet in common columns alone, can still link two components."""
-    return (comp[i] != comp[j]) & within(n[i], n[j], at[i], at[j]) & reachable(n[i], n[j], np.minimum(open_[i], open_[j]))
-
-
-def _star(turn: int):
-    """In each column and range of sizes, the row with most common columns (at a later turn, the next one) with every row of another component."""
-
-    def solve(digest, n, at, comp, open_) -> Iterator[pa.RecordBatch]:
-        if (comp == comp[0]).all():
-            return
-        order = np.lexsort((digest, n))
-        digest, n, at, comp, open_ = digest[order], n[order], at[order], comp[order], open_[order]
-        found, s = [], 0
-        while s < len(n):
-            e = int(np.searchsorted(n, n[s] * 100 // PERCENT, "right"))
-            ranked = s + np.lexsort((digest[s:e], -open_[s:e]))
-            lead = ranked[min(turn, len(ranked) - 1)]
-            low, high = np.searchsorted(n, -(-PERCENT * n[lead] // 100)), np.searchsorted(n, n[lead] * 100 // PERCENT, "right")
-            j = np.arange(low, high)
-            j = j[_possible(n, at, open_, comp, lead, j)]
-            found.append(np.stack([np.minimum(digest[lead], digest[j]), np.maximum(digest[lead], digest[j])], 1))
-            s = e
-        yield _pairs(found)
 
-    return _by_column(solve)
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles, one after another (x, p, q sorted; outside rows first), to the pairs that can link."""
+    key, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = [b.column(k).to_numpy() for k in range(3)]
+        edge = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in at])]))
+        for s, e in zip(edge, np.append(edge[1:], b.num_rows)):
+            here = tuple(int(c[s]) for c in at)
+            if key is not None and here != key:
+                yield from _product(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            key = here
+            held.append(b.slice(s, e - s))
+    if held:
+        yield from _product(pa.Table.from_batches(held).combine_chunks())
+    trim()
 
 
-def _across(digest, n, at, comp, open_) -> Iterator[pa.RecordBatch]:
-    """All pairs of a column's rows, of different components, that sizes and places allow."""
-    kinds, which, many = np.unique(comp, return_inverse=True, return_counts=True)
-    if len(kinds) < 2:
-        return
-    order = np.argsort(n, kind="stable")
-    digest, n, at, which, open_ = digest[order], n[order], at[order], which[order], open_[order]
-    # Pairs of the largest component with itself need no look: rows outside it meet all rows.
-    found = []
-    for i in np.flatnonzero(which != many.argmax()):
-        j = np.arange(np.searchsorted(n, -(-PERCENT * n[i] // 100)), np.searchsorted(n, n[i] * 100 // PERCENT, "right"))
-        j = j[_possible(n, at, open_, which, i, j)]
-        found.append(np.stack([np.minimum(digest[i], digest[j]), np.maximum(digest[i], digest[j])], 1))
+def _product(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Outside rows of one tile against its other rows."""
+    role = t.column("outside").to_numpy()
+    c = {k: t.column(k).to_numpy().astype(np.int64) for k in ("node", "n", "at", "open", "least")}
+    sigs = t.column("sig").to_pylist()
+    rows = np.flatnonzero(~role)
+    rows = rows[np.argsort(c["n"][rows], kind="stable")]
+    r = {k: v[rows] for k, v in c.items()}
+    widths = np.array([len(sigs[i]) for i in rows])
+    # The rows' signatures in each width that an outside row or one of its partners has.
+    folded: dict[int, np.ndarray] = {}
+    found: list[np.ndarray] = []
+    for i in np.flatnonzero(role):
+        n = c["n"][i]
+        j = np.arange(np.searchsorted(r["n"], -(-PERCENT * n // 100)), np.searchsorted(r["n"], n * 100 // PERCENT, "right"))
+        j = j[(r["least"][j] != c["least"][i]) & within(n, r["n"][j], c["at"][i], r["at"][j]) & reachable(n, r["n"][j], np.minimum(c["open"][i], r["open"][j]))]
+        for width in np.unique(np.minimum(widths[j], len(sigs[i]))).tolist():
+            some = j[np.minimum(widths[j], len(sigs[i])) == width]
+            if width not in folded:
+                enough = widths >= width
+                folded[width] = np.zeros((len(rows), width // 8), np.uint64)
+                folded[width][enough] = _folded([sigs[k] for k in rows[enough]], width)
+            a, b = _folded([sigs[i]], width)[0], folded[width][some]
+            both = np.bitwise_count(a & b).sum(1).astype(np.int64)
+            most = np.minimum(n - int(np.bitwise_count(a).sum()), r["n"][some] - np.bitwise_count(b).sum(1).astype(np.int64)) + both
+            some = some[most >= needed(n, r["n"][some])]
+            found.append(np.stack([np.minimum(c["node"][i], r["node"][some]), np.maximum(c["node"][i], r["node"][some])], 1))
         if sum(map(len, found)) > 1 << 18:
             yield _pairs(found)
             found = []
@@ -286,6 +303,70 @@ def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
 
+def _least_overlap(a: Column, b: Column) -> Column:
+    """:func:`needed` as a column."""
+    return F.ceil((a + b) * F.lit(PERCENT) / F.lit(100.0 + PERCENT) - 1e-9)
+
+
+def _behind(a: Column, b: Column) -> Column:
+    """What two sets of these sizes can share behind their prefixes at most."""
+    return F.ceil(F.greatest(a, b) * F.lit(PERCENT / 100.0) - 1e-9) - 1
+
+
+def _sizes_fit(a: Column, b: Column) -> Column:
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
+def _leading(own: DataFrame) -> DataFrame:
+    """(x, band, lead and its columns) of each column and range of sizes, to be met by rows of that range and its neighbours."""
+    lead = F.struct(F.col("node").alias("lead"), F.col("n").alias("n_l"), F.col("at").alias("at_l"), F.col("least").alias("least_l"), F.col("open").alias("open_l"))
+    return own.groupBy("x", "band").agg(F.max(F.struct("weight", lead.alias("lead"))).alias("m")).select("x", "band", "m.lead.*")
+
+
+def star(own: DataFrame) -> DataFrame:
+    """Each row with the leading row that it shares most columns with, if that one is in another component and can link."""
+    leads = _leading(own).select("*", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("of")).drop("band").withColumnRenamed("of", "band")
+    n, m = F.col("n"), F.col("n_l")
+    fits = _sizes_fit(n, m) & (F.least(n - F.col("at"), m - F.col("at_l")) >= _least_overlap(n, m)) & (F.least("open", "open_l") + _behind(n, m) >= _least_overlap(n, m))
+    met = own.alias("o").join(leads.alias("l"), (F.col("o.x") == F.col("l.x")) & (F.col("o.band") == F.col("l.band")) & (F.col("least") != F.col("least_l")) & fits)
+    shared = met.groupBy("node", "lead").agg(F.count("*").alias("shared"))
+    best = shared.groupBy("node").agg(F.max(F.struct("shared", "lead")).alias("m"))
+    return best.select(F.least("node", "m.lead").alias("a"), F.greatest("node", "m.lead").alias("b")).distinct()
+
+
+def outside(own: DataFrame) -> DataFrame:
+    """Of each column and range of sizes, the rows of other components than its leading row's."""
+    return own.join(_leading(own).select("x", "band", "least_l"), ["x", "band"]).where("least <> least_l").drop("least_l")
+
+
+def across(own: DataFrame, sigs: DataFrame, parts: int) -> DataFrame:
+    """The pairs of a common column's rows, of different components, that can link: rows outside the column's largest component with all its rows."""
+    counts = own.groupBy("x", "least").agg(F.count("*").alias("rows"))
+    main = counts.groupBy("x").agg(F.max(F.struct("rows", "least")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1").select("x", F.col("m.least").alias("main"))
+    own = own.join(main, "x").withColumn("outside", F.col("least") != F.col("main")).drop("main", "band", "weight")
+
+    def hopeful(low: Column, high: Column) -> Column:
+        # What a pair must share in open columns falls with the distance of sizes: the nearest sizes on the far ends decide.
+        n = F.col("n")
+        low, high = F.greatest(low, F.ceil(n * (PERCENT / 100) - 1e-9)), F.least(high, F.floor(n * (100 / PERCENT) + 1e-9))
+        least = lambda b: _least_overlap(n, b) - _behind(n, b)
+        return (low <= high) & (F.col("open") >= F.least(least(low), least(high)))
+
+    sizes = own.groupBy("x").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    out = own.where("outside").join(sizes, "x").where(hopeful(F.col("low"), F.col("high"))).drop("low", "high")
+    reach = out.groupBy("x").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("outsiders"))
+    rows = own.join(reach, "x").where(hopeful(F.col("low"), F.col("high"))).drop("low", "high", "outsiders")
+    blocks = rows.groupBy("x").agg(F.ceil(F.count("*") / TILE).cast("int").alias("q_n")).join(reach.select("x", F.ceil(F.col("outsiders") / TILE).cast("int").alias("p_n")), "x")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = out.join(blocks, "x").withColumn("outside", F.lit(True)).withColumn("p", part("p_n")).withColumn("q", every("q_n"))
+    right = rows.join(blocks, "x").withColumn("outside", F.lit(False)).withColumn("q", part("q_n")).withColumn("p", every("p_n"))
+    names = ["x", "p", "q", "outside", "node", "n", "at", "open", "least"]
+    tiles = left.select(names).unionByName(right.select(names)).join(sigs.withColumnRenamed("digest", "node"), "node").select(*names, "sig")
+    tiles = tiles.repartition(parts, "x", "p", "q").sortWithinPartitions("x", "p", "q")
+    return tiles.mapInArrow(_tiles, "a long, b long").distinct()
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with both texts to those whose whole sets link."""
     for b in batches:
@@ -293,9 +374,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ok = np.zeros(len(a), bool)
         for s in range(0, len(a), 256):
             m = min(256, len(a) - s)
-            (va, fa), (vb, fb) = sets(left.slice(s, m)), sets(right.slice(s, m))
+            # A text that several pairs have is looked at once.
+            texts = pa.concat_arrays([left.slice(s, m), right.slice(s, m)]).dictionary_encode()
+            values, first = sets(texts.dictionary)
+            which = texts.indices.to_numpy()
             for i in range(m):
-                x, y = va[fa[i] : fa[i + 1]], vb[fb[i] : fb[i + 1]]
+                x, y = (values[first[k] : first[k + 1]] for k in (which[i], which[m + i]))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok[s + i] = 100 * both >= PERCENT * (len(x) + len(y) - both) and both > 0
         keep = pa.array(np.flatnonzero(ok))
@@ -327,45 +411,41 @@ def clusters(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     spark = df.sparkSession
     parts = partitions(df)
     base = df.select(F.col(key).cast("long").alias("doc"), text_of(text).alias("text"))
-    profile = cut(base.mapInArrow(_profile, "doc long, digest long, n long, part int, counts binary"))
+    profile = cut(base.mapInArrow(_profile, "doc long, digest long, n long, sig binary, part int, counts binary"))
     docs = profile.where("part is null").select("doc", "digest", "n")
     level = levels(profile.where("part is not null"))
     blocks = base.select("text").mapInArrow(_postings(level, parts), "route int, blob binary")
     product = cut(blocks.repartition(parts, "route").mapInArrow(_multiply, _PAIR))
-    del blocks
-    free_shuffles(spark)
 
     # Overlap in the prefixes, and what may be missing from it: a row's shingles in common columns.
-    common = product.where("kind = 1").groupBy("a").agg(F.count("*").alias("open"))
+    common = product.where("kind = 1").groupBy("a").agg(F.count("*").alias("open"), F.sum("shared").alias("rows"))
     pairs = product.where("kind = 0").groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("shared").alias("shared"))
-    pairs = pairs.join(common.withColumnRenamed("open", "open_a"), "a", "left").join(common.select(F.col("a").alias("b"), F.col("open").alias("open_b")), "b", "left")
+    open_ = lambda c: common.select(F.col("a").alias(c), F.col("open").alias(f"open_{c}"))
+    pairs = pairs.join(open_("a"), "a", "left").join(open_("b"), "b", "left")
     missing = F.least(F.coalesce("open_a", F.lit(0)), F.coalesce("open_b", F.lit(0)))
-    least = F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(PERCENT) / F.lit(100.0 + PERCENT) - 1e-9)
-    rest = F.ceil(F.greatest("n_a", "n_b") * F.lit(PERCENT / 100.0) - 1e-9) - 1
-    pairs = pairs.where(F.col("shared") + missing + rest >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rows = cut(product.where("kind = 1").select("x", F.col("a").alias("node"), F.col("n_a").alias("n"), F.col("n_b").alias("at")).join(common.withColumnRenamed("a", "node"), "node"))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    pairs = pairs.where(F.col("shared") + missing + _behind(n_a, n_b) >= _least_overlap(n_a, n_b)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rows = product.where("kind = 1").select("x", F.col("a").alias("node"), F.col("n_a").alias("n"), F.col("n_b").alias("at")).join(common.withColumnRenamed("a", "node"), "node")
+    # A row's weight: the mean number of rows in its prefix's columns. Sizes of one band link at most with those of the next.
+    prefix = F.col("n") - F.ceil(F.col("n") * (PERCENT / 100) - 1e-9) + 1
+    rows = cut(rows.select("x", "node", "n", "at", "open", (F.col("rows") / prefix).alias("weight"), F.floor(F.log(F.col("n")) / F.lit(math.log(100 / PERCENT))).cast("int").alias("band")))
     pairs = cut(pairs)
     drop(product)
 
-    def columns(solve) -> DataFrame:
-        own = rows.join(found, "node", "left").select("x", "node", "n", "at", F.coalesce("least", "node").alias("least"), "open")
-        return own.repartition(parts, "x").sortWithinPartitions("x").mapInArrow(solve, "a long, b long").distinct()
-
     names = docs.where("n > 0").groupBy("digest").agg(F.min("doc").alias("doc"))
+    sigs = profile.where("n > 0").groupBy("digest").agg(F.min("sig").alias("sig"))
     found = spark.createDataFrame([], "node long, least long")
-    judged: list[DataFrame] = []
-    steps = [lambda: columns(_star(0)), lambda: pairs, lambda: columns(_star(1)), lambda: columns(_by_column(_across))]
-    for step in steps:
+
+    def columns() -> DataFrame:
+        return rows.join(found, "node", "left").withColumn("least", F.coalesce("least", "node"))
+
+    for step in (lambda: star(columns()), lambda: pairs, lambda: star(outside(columns())), lambda: across(columns(), sigs, parts)):
         new = step()
         for c in "ab":
             new = new.join(found.select(F.col("node").alias(c), F.col("least").alias(f"at_{c}")), c, "left")
-        new = new.where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b")
-        for earlier in judged:
-            new = new.join(earlier, ["a", "b"], "left_anti")
-        new = cut(new)
+        new = cut(new.where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b"))
         if new.isEmpty():
             continue
-        judged.append(new)
         links = cut(_settled(base, names, new))
         if not links.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(links))
