@@ -173,7 +173,9 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
     for group in (["lang", F.pmod("draw", F.lit(16))], ["lang"]):
         known = known.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("draw", "id"))).where(F.col("nth") <= per_language)
     # ``per_language`` ids for each language that is named.
-    sample = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(known.select("id", "lang")), "id").select("text", "lang")
+    # An id may have several rows: each is learned from under its own language only.
+    rows = df.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null and lang is not null")
+    sample = rows.join(F.broadcast(known.select("id", "lang").distinct()), ["id", "lang"]).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,8 +218,8 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
     return LangModel(languages, family_pairs, language_pairs, weights, np.array(bias), familiar, telling)
 
 
-def predict(df: DataFrame, model: LangModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of every row with ``lang_pred``, ``score`` and ``evidence``."""
+def predict(df: DataFrame, model: LangModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """``keep`` columns of every row with ``lang_pred``, ``score`` and ``evidence``, their names after ``prefix``."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +241,10 @@ def predict(df: DataFrame, model: LangModel, text: str = "text", keep: tuple[str
                     gained = np.max([np.add.reduceat(f[grams], offsets[full], dtype=np.float64) for f in model.familiar.T], 0)
                     evidence[full] = gained / np.maximum(np.add.reduceat(model.telling[grams], offsets[full], dtype=np.float64), 1)
                 pred = [p if ok else "und" for p, ok in zip(pred, letters)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(s, e - s) for c in b.columns[: len(keep)]), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64()), pa.array(np.where(letters, evidence, 0.0), pa.float64())], [*keep, "lang_pred", "score", "evidence"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(s, e - s) for c in b.columns[: len(keep)]), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64()), pa.array(np.where(letters, evidence, 0.0), pa.float64())], [*keep, *(prefix + c for c in ("lang_pred", "score", "evidence"))])
         trim()
 
-    return df.select(*keep, text_of(text).alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, evidence double")
+    return df.select(*(F.col(f"`{c}`") for c in keep), text_of(text).alias("__text")).mapInArrow(run, f"{kinds}, {prefix}lang_pred string, {prefix}score double, {prefix}evidence double")
 
 
 def identify(df: DataFrame, key: str = "doc_id", folds: int = 5) -> DataFrame:
@@ -259,5 +261,6 @@ def accept(df: DataFrame, key: str = "doc_id", least: float = 0.2, evidence: flo
     """
     columns = df.columns
     model = fit(df, F.lit(True), key)
-    told = (F.col("lang_pred") != "und") & (F.col("score") >= least) & (F.col("evidence") >= evidence)
-    return predict(df, model, keep=tuple(columns)).where(told).select(columns)
+    # The input's own columns may have any name.
+    told = (F.col("__own_lang_pred") != "und") & (F.col("__own_score") >= least) & (F.col("__own_evidence") >= evidence)
+    return predict(df, model, keep=tuple(columns), prefix="__own_").where(told).select([F.col(f"`{c}`") for c in columns])

@@ -12,16 +12,18 @@ minimizer only of windows that lie within common text, which are equal and colla
 and not of every window that touches it.
 Neighbouring windows with one minimizer travel as one stretch. Stretches that are
 equal throughout are settled by comparing their places, first within a task, then
-by hash; one stretch of each kind goes on, and only where other kinds share its
-minimizer. Those kinds are written out from the minimizer on, in blocks of
-``BLOCK`` bytes, and sorted by the suffix array of all of them; common prefixes of
-neighbours, with the bytes left of the minimizer, give the classes of equal windows,
-whose first place stays.
+by hash; one stretch of each kind goes on, and only where another kind of the same
+minimizer can share a window with it: windows that begin near before the minimizer hold
+what follows it, the others what precedes it, and 16 bits of either must agree. The texts of the kinds that go on are written out from the minimizer on
+to the right, and backwards from it to the left, in blocks of ``BLOCK`` bytes, each with
+an end mark, and one suffix array of all sorts both sides. Common prefixes of neighbours
+on the right and on the left together give the classes of equal windows, byte by byte;
+the first place of each class stays.
 
 Null and empty texts, and texts shorter than ``length``, lose nothing and repeat
 nothing. Rows that agree in id and text are one document; null ids come first. Texts
 of any length are scanned in overlapping pieces. Hashes of 64 bits stand for seeds
-and stretches; the array itself compares bytes.
+and for whole stretches; rows of one id are told apart by 32 bits of their text's hash.
 """
 
 from __future__ import annotations
@@ -42,7 +44,12 @@ from fascicle.llm.suffixes import suffix_array
 LENGTH, SEED, BLOCK = 100, 16, 32
 PIECE = 1 << 20
 _PLACE = 24
-_FIELDS = (("h", np.uint64), ("c", np.uint64), ("doc", np.int64), ("row", np.int64), ("start", np.uint32), ("n", np.uint8), ("a", np.uint8))
+_FIELDS = (("h", np.uint64), ("c", np.uint64), ("doc", np.int64), ("row", np.int32), ("start", np.uint32), ("n", np.uint8), ("a", np.uint8), ("after", np.uint16), ("before", np.uint16))
+
+
+def near_of(length: int) -> int:
+    """Windows that begin at most so far before their minimizer hold the ``length - near`` bytes from it on; the others hold the ``near + 1`` before it."""
+    return (length - SEED) // 2
 
 
 def _seeds(data: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,9 +75,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stretches(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: np.ndarray, length: int = LENGTH, seed: int = SEED):
-    """Of pieces ``data[lo:hi]``, which may overlap but lie in ascending order: (h, c, start, count, anchor) of each run of windows with one minimizer."""
+    """Of pieces ``data[lo:hi]``, which may overlap but lie in ascending order: (h, c, start, count, anchor, after, before) of each run of windows with one minimizer; the last two are hashes of what all its windows near the minimizer hold, and all others, or 0."""
     n = len(data)
-    none = tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+    none = tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint16, np.uint16))
     if n < length:
         return none
     seeds, sums, back = _seeds(data, seed)
@@ -96,7 +103,15 @@ def stretches(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: np.ndarra
     many = np.diff(np.append(first, len(window)))
     start, anchors = window[first], at[first]
     whole = mix((sums[start + many + length - 1] - sums[start]) * back[start] + (anchors - start).astype(np.uint64))
-    return seeds[anchors], whole, start, many, anchors
+    near = near_of(length)
+
+    def context(there: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        begin, end = np.where(there, begin, 0), np.where(there, end, 0)
+        return np.where(there, mix((sums[end] - sums[begin]) * back[begin]) >> np.uint64(48), np.uint64(0)).astype(np.uint16)
+
+    after = context(anchors - start - many + 1 <= near, anchors, anchors + length - near)
+    before = context(anchors - start > near, anchors - near - 1, anchors + seed)
+    return seeds[anchors], whole, start, many, anchors, after, before
 
 
 def _pieces(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +124,8 @@ def _pieces(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _pack(columns: dict[str, np.ndarray]) -> bytes:
-    return b"".join(columns[name].astype(kind).tobytes() for name, kind in _FIELDS)
+    """Column by column, and of each column all first bytes, then all second ones: high bytes are mostly equal and compress."""
+    return b"".join(np.ascontiguousarray(columns[name].astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes() for name, kind in _FIELDS)
 
 
 def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
@@ -119,7 +135,7 @@ def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
         n, at = len(blob) // size, 0
         for name, kind in _FIELDS:
             step = n * np.dtype(kind).itemsize
-            out[name].append(np.frombuffer(blob[at : at + step], kind))
+            out[name].append(np.ascontiguousarray(np.frombuffer(blob[at : at + step], np.uint8).reshape(-1, n).T).view(kind).ravel())
             at += step
     return {name: np.concatenate(out[name]) if out[name] else np.zeros(0, kind) for name, kind in _FIELDS}
 
@@ -132,17 +148,18 @@ def _keep_first(c: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.nda
     new[1:] = (c["h"][1:] != c["h"][:-1]) | (c["c"][1:] != c["c"][:-1])
     # A row that is there twice is one document: the same place counts once.
     other = new.copy()
-    other[1:] |= (c["row"][1:] != c["row"][:-1]) | (c["start"][1:] != c["start"][:-1])
+    other[1:] |= (c["doc"][1:] != c["doc"][:-1]) | (c["row"][1:] != c["row"][:-1]) | (c["start"][1:] != c["start"][:-1])
     return {k: v[other] for k, v in c.items()}, new[other]
 
 
-_FOUND = "row long, doc long, h long, start int, n int, a int, known boolean"
+_FOUND = "doc long, row int, start int, n int, h long, a int"
 
 
 def _found(c: dict[str, np.ndarray], known: np.ndarray) -> pa.RecordBatch:
+    """Known repeats by their places alone; the others with their minimizer."""
     return pa.RecordBatch.from_arrays(
-        [pa.array(c["row"]), pa.array(c["doc"]), pa.array(c["h"].view(np.int64)), pa.array(c["start"].astype(np.int32)), pa.array(c["n"].astype(np.int32)), pa.array(c["a"].astype(np.int32)), pa.array(known)],
-        ["row", "doc", "h", "start", "n", "a", "known"],
+        [pa.array(c["doc"]), pa.array(c["row"]), pa.array(c["start"].astype(np.int32)), pa.array(c["n"].astype(np.int32)), pa.array(c["h"].view(np.int64), mask=known), pa.array(c["a"].astype(np.int32), mask=known)],
+        ["doc", "row", "start", "n", "h", "a"],
     )
 
 
@@ -152,7 +169,9 @@ def _scan(routes: int, length: int, level: np.ndarray):
     def flush(held: list[dict[str, np.ndarray]], turn: int) -> Iterator[pa.RecordBatch]:
         c, first = _keep_first({name: np.concatenate([x[name] for x in held]) for name, _ in _FIELDS})
         route = np.where(first, (c["h"] >> np.uint64(8)) % np.uint64(routes), (np.arange(len(first), dtype=np.uint64) + np.uint64(turn)) % np.uint64(routes)).astype(np.int64) * 2 + ~first
-        order = np.argsort(route, kind="stable")
+        # Of known repeats only the places matter.
+        c |= {k: np.where(first, c[k], 0) for k in ("h", "c", "a", "after", "before")}
+        order = np.lexsort((c["start"], c["doc"], route))
         cuts = np.flatnonzero(np.diff(route[order])) + 1
         parts = np.split(order, cuts) if len(order) else []
         keys = [int(route[p[0]]) for p in parts]
@@ -170,9 +189,9 @@ def _scan(routes: int, length: int, level: np.ndarray):
                 # Pieces are scanned together up to the bits that a place has.
                 for x, y in _groups(lo, hi):
                     base = int(lo[x])
-                    h, c, start, n, anchor = stretches(data[base : int(hi[y - 1])], lo[x:y] - base, hi[x:y] - base, level, length)
+                    h, c, start, n, anchor, after, before = stretches(data[base : int(hi[y - 1])], lo[x:y] - base, hi[x:y] - base, level, length)
                     owner = np.searchsorted(offsets, start + base, "right") - 1
-                    held.append({"h": h, "c": c, "doc": docs[s + owner], "row": rows[s + owner], "start": start + base - offsets[owner], "n": n, "a": anchor - start})
+                    held.append({"h": h, "c": c, "doc": docs[s + owner], "row": rows[s + owner], "start": start + base - offsets[owner], "n": n, "a": anchor - start, "after": after, "before": before})
                     size += len(h)
                 if size >= 1 << 18:
                     turn = int(rows[s]) & 0xFFFF
@@ -195,28 +214,36 @@ def _groups(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's stretches: repeats of equal stretches, and the first of each kind where a minimizer has several."""
-    blobs: list[bytes] = []
-    for b in batches:
-        for known, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if known:
-                c = _unpack([blob])
-                yield _found(c, np.ones(len(c["h"]), bool))
-            else:
-                blobs.append(blob)
-    c, first = _keep_first(_unpack(blobs))
-    del blobs
-    if not len(first):
-        return
-    _, key, kinds = np.unique(c["h"], return_inverse=True, return_counts=True)
-    kinds = np.bincount(key, weights=first, minlength=len(kinds))
-    go = ~first | (kinds[key] > 1)
-    for s in range(0, int(go.sum()), 1 << 18):
-        part = np.flatnonzero(go)[s : s + (1 << 18)]
-        yield _found({k: v[part] for k, v in c.items()}, ~first[part])
-    del c, first, key, go
-    trim()
+def _settle(length: int):
+    """One task's stretches: repeats of equal stretches, and the first of each kind where another kind of its minimizer may share a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: list[bytes] = []
+        for b in batches:
+            for known, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if known:
+                    c = _unpack([blob])
+                    yield _found(c, np.ones(len(c["h"]), bool))
+                else:
+                    blobs.append(blob)
+        c, first = _keep_first(_unpack(blobs))
+        del blobs
+        if not len(first):
+            return
+        # A kind can share a window with another one of its minimizer if what both hold on one side agrees.
+        kind, go = np.flatnonzero(first), ~first
+        near, far = c["a"][kind].astype(np.int64) - c["n"][kind] + 1 <= near_of(length), c["a"][kind] > near_of(length)
+        for some, context in ((kind[near], c["after"]), (kind[far], c["before"])):
+            order = some[np.lexsort((context[some], c["h"][some]))]
+            same = (c["h"][order[1:]] == c["h"][order[:-1]]) & (context[order[1:]] == context[order[:-1]])
+            go[order[1:][same]] = go[order[:-1][same]] = True
+        for s in range(0, int(go.sum()), 1 << 18):
+            part = np.flatnonzero(go)[s : s + (1 << 18)]
+            yield _found({k: v[part] for k, v in c.items()}, ~first[part])
+        del c, first, go
+        trim()
+
+    return run
 
 
 def _cut_out(length: int):
@@ -224,74 +251,88 @@ def _cut_out(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0)
+            texts = b.column(2)
             for s, e in slices(texts):
                 data, offsets = raw(texts.slice(s, e - s))
-                part = b.column(1).slice(s, e - s)
+                part = b.column(3).slice(s, e - s)
                 size = np.diff(part.offsets.to_numpy())
-                flat = part.flatten()
+                flat, owner = part.flatten(), pa.array(s + np.repeat(np.arange(e - s), size))
                 start, n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
                 begin = np.repeat(offsets[:-1], size) + start
                 width = n.astype(np.int64) + length - 1
                 ends = np.cumsum(width)
                 take = np.repeat(begin - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)
                 body = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data[take])])
-                yield pa.RecordBatch.from_arrays([*(flat.field(k) for k in ("h", "doc", "row", "start", "n", "a")), body], ["h", "doc", "row", "start", "n", "a", "body"])
+                yield pa.RecordBatch.from_arrays([flat.field("h"), *(b.column(k).take(owner) for k in (0, 1)), *(flat.field(k) for k in ("start", "n", "a")), body], ["h", "doc", "row", "start", "n", "a", "body"])
 
     return run
 
 
-def repeated_windows(h, place, n, a, body, offsets, length: int = LENGTH) -> np.ndarray:
-    """Of stretches aligned at their minimizers: a mask, row by stretch and column by distance from window start to minimizer, of windows that are not the first of their class."""
-    m, reach = len(h), length - SEED + 1
-    # Right of the minimizer: up to ``length`` bytes, in blocks whose ranks are the symbols.
-    right_size = (np.diff(offsets) - a).astype(np.int64)
-    grid = np.arange(length)
-    inside = grid[None, :] < right_size[:, None]
-    right = np.zeros((m, -(-length // BLOCK) * BLOCK), np.uint8)
-    right[:, :length][inside] = body[((offsets[:-1] + a)[:, None] + grid[None, :])[inside]]
-    count = np.minimum(-(-np.minimum(right_size, length) // BLOCK), right.shape[1] // BLOCK)
-    blocks = right.reshape(-1, BLOCK).view(f"V{BLOCK}").ravel()
-    used = (np.arange(right.shape[1] // BLOCK)[None, :] < count[:, None]).ravel()
-    # Bytes compare as big-endian words; equal blocks share a rank.
-    words = blocks[used].view(">u8").reshape(-1, BLOCK // 8)
+def sorted_sides(sides: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each side, rows of bytes and how many of them count: the rows' order, and the bytes that each has in common with the one before. One suffix array sorts all."""
+    m, width = sides[0][0].shape
+    steps = -(-width // BLOCK)
+    words, used, counts = [], [], []
+    for rows, size in sides:
+        padded = np.zeros((m, steps * BLOCK), np.uint8)
+        padded[:, :width] = rows
+        count = -(-size // BLOCK)
+        inside = np.arange(steps)[None, :] < count[:, None]
+        held = np.minimum(BLOCK, size[:, None] - np.arange(steps)[None, :] * BLOCK)
+        # A block: its bytes as big-endian words, then how many of them count; equal blocks share a rank.
+        words.append(np.hstack([padded.reshape(-1, BLOCK)[inside.ravel()].view(">u8").astype(np.uint64), held[inside][:, None].astype(np.uint64)]))
+        counts.append(count)
+    words, count = np.concatenate(words), np.concatenate(counts)
     order = np.lexsort(words.T[::-1])
     new = np.ones(len(order), bool)
     new[1:] = (words[order[1:]] != words[order[:-1]]).any(1)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(new)
-    # Each stretch's symbols, then 0, which sorts first and parts stretches.
-    spans = count + 1
-    at = np.concatenate([[0], np.cumsum(spans)])
-    symbols = np.zeros(at[-1], np.int64)
-    body_at = np.ones(at[-1], bool)
-    body_at[at[1:] - 1] = False
-    symbols[body_at] = rank
+    # Each row's symbols, then 0, which sorts first and parts rows.
+    at = np.concatenate([[0], np.cumsum(count + 1)])
+    symbols, body = np.zeros(at[-1], np.int64), np.ones(at[-1], bool)
+    body[at[1:] - 1] = False
+    symbols[body] = rank
     owner = np.full(at[-1], -1, np.int64)
-    owner[at[:-1]] = np.arange(m)
-    sorted_rows = owner[np.array(suffix_array(symbols), np.int64)]
-    sorted_rows = sorted_rows[sorted_rows >= 0]
-    # Common bytes with the row before, never past the end of either.
-    common = np.zeros(m, np.int64)
-    x, y = sorted_rows[1:], sorted_rows[:-1]
-    same = right[x, :length] == right[y, :length]
-    common[1:] = np.minimum(np.where(same.all(1), length, same.argmin(1)), np.minimum(right_size[x], right_size[y]))
+    owner[at[:-1]] = np.arange(len(count))
+    found = owner[np.array(suffix_array(symbols), np.int64)]
+    out = []
+    for k, (rows, size) in enumerate(sides):
+        order = found[(found >= k * m) & (found < (k + 1) * m)] - k * m
+        common = np.zeros(m, np.int64)
+        x, y = order[1:], order[:-1]
+        same = rows[x] == rows[y]
+        common[1:] = np.minimum(np.where(same.all(1), width, same.argmin(1)), np.minimum(size[x], size[y]))
+        out.append((order, common))
+    return out
+
+
+def repeated_windows(h, place, n, a, body, offsets, length: int = LENGTH) -> np.ndarray:
+    """Of stretches aligned at their minimizers: a mask, row by stretch and column by distance from window start to minimizer, of windows that are not the first of their class."""
+    m, reach = len(h), length - SEED + 1
+    grid = np.arange(length)
+    # Right of the minimizer up to ``length`` bytes, and backwards left of it.
+    right_size, left_size = np.minimum(np.diff(offsets) - a, length).astype(np.int64), a.astype(np.int64)
+    right, left = np.zeros((m, length), np.uint8), np.zeros((m, length), np.uint8)
+    inside = grid[None, :] < right_size[:, None]
+    right[inside] = body[((offsets[:-1] + a)[:, None] + grid[None, :])[inside]]
+    inside = grid[None, :] < left_size[:, None]
+    left[inside] = body[((offsets[:-1] + a - 1)[:, None] - grid[None, :])[inside]]
+    (right_order, right_common), (left_order, left_common) = sorted_sides([(right, right_size), (left, left_size)])
     place_rank = np.empty(m, np.int64)
     place_rank[place] = np.arange(m)
     out = np.zeros((m, reach), bool)
-    left = np.zeros(m, np.uint64)
     low = a - n + 1
+    runs, ends = np.empty(m, np.int64), np.empty(m, np.int64)
     for d in range(reach):
-        if d:
-            has = a >= d
-            left = left * STEP + np.where(has, BYTE[body[np.where(has, offsets[:-1] + a - d, 0)]], np.uint64(0))
-        run = np.empty(m, np.int64)
-        run[sorted_rows] = np.cumsum(common < length - d)
         rows = np.flatnonzero((low <= d) & (d <= a))
         if len(rows) < 2:
             continue
+        # Equal windows: in one run of the right order down to their last byte, and in one of the left order down to their first.
+        runs[right_order] = np.cumsum(right_common < length - d)
+        ends[left_order] = np.cumsum(left_common < d)
         rows = rows[np.argsort(place_rank[rows], kind="stable")]
-        _, first = np.unique(mix(left[rows] + run[rows].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), return_index=True)
+        _, first = np.unique(runs[rows] * (m + 1) + ends[rows], return_index=True)
         again = np.ones(len(rows), bool)
         again[first] = False
         out[rows[again], d] = True
@@ -303,8 +344,8 @@ def _compare(length: int, most: int = 1 << 16):
 
     def solve(lot: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(lot).combine_chunks()
-        place = np.lexsort([t.column(k).to_numpy() for k in ("h", "start", "row")])
-        at = [t.column(k).to_numpy()[place] for k in ("h", "start", "row")]
+        place = np.lexsort([t.column(k).to_numpy() for k in ("h", "start", "row", "doc")])
+        at = [t.column(k).to_numpy()[place] for k in ("h", "start", "row", "doc")]
         twice = np.zeros(len(place), bool)
         twice[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in at])
         if twice.any():  # of a row that is there twice
@@ -319,7 +360,7 @@ def _compare(length: int, most: int = 1 << 16):
         edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         (r, s), (_, e) = np.nonzero(edge == 1), np.nonzero(edge == -1)
         start = col["start"][r] + a[r] - (hit.shape[1] - 1 - s)
-        return pa.RecordBatch.from_arrays([pa.array(col["row"][r]), pa.array(start.astype(np.int32)), pa.array((e - s).astype(np.int32))], ["row", "start", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(col["doc"][r]), pa.array(col["row"][r]), pa.array(start.astype(np.int32)), pa.array((e - s).astype(np.int32))], ["doc", "row", "start", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -349,24 +390,24 @@ def _compare(length: int, most: int = 1 << 16):
     return run
 
 
-def with_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, extra: list[str] | None = None) -> DataFrame:
-    """``key``, ``text`` (null as empty), ``extra`` columns, and ``repeats``: structs of (start, n), runs of n windows that are repeated; null for none."""
+def with_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, extra: list[str] | None = None, out: str = "repeats") -> DataFrame:
+    """``key``, ``text`` (null as empty), ``extra`` columns, and ``out``: structs of (start, n), runs of n windows that are repeated; null for none."""
     parts = partitions(df)
     rows = df.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.col(key).cast("long"), F.col(text)).alias("row"), text_of(text).alias("__text"),
-        *(F.col(c).alias(f"__own_{c}") for c in dict.fromkeys([key, *(extra or [])])),
+        F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.shiftright(F.xxhash64(F.col(key).cast("long"), F.col(text)), 32).cast("int").alias("row"), text_of(text).alias("__text"),
+        *(F.col(f"`{c}`").alias(f"__own_{c}") for c in dict.fromkeys([key, *(extra or [])])),
     )
     level = levels(rows.select("__text").mapInArrow(_count, "part int, counts binary"))
     scanned = rows.select("doc", "row", "__text").mapInArrow(_scan(parts, length, level), "route int, known boolean, blob binary")
-    found = cut(scanned.repartition(parts, "route").mapInArrow(_settle, _FOUND))
+    found = cut(scanned.repartition(parts, "route").mapInArrow(_settle(length), _FOUND))
     # The texts are dealt out once by row; both joins below read that one exchange.
-    texts = rows.repartition(parts, "row")
-    open_ = found.where("not known").groupBy("row").agg(F.collect_list(F.struct("h", "doc", "row", "start", "n", "a")).alias("open"))
-    bodies = texts.join(open_, "row").select("__text", "open").mapInArrow(_cut_out(length), "h long, doc long, row long, start int, n int, a int, body binary")
-    compared = bodies.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_compare(length), "row long, start int, n int")
-    spans = found.where("known").select("row", "start", "n").unionByName(compared)
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("repeats"))
-    return texts.join(spans, "row", "left").select(*(F.col(f"__own_{c}").alias(c) for c in dict.fromkeys([key, *(extra or [])])), F.col("__text").alias(text), "repeats")
+    texts = rows.repartition(parts, "doc", "row")
+    open_ = found.where("h is not null").groupBy("doc", "row").agg(F.collect_list(F.struct("h", "start", "n", "a")).alias("open"))
+    bodies = texts.join(open_, ["doc", "row"]).select("doc", "row", "__text", "open").mapInArrow(_cut_out(length), "h long, doc long, row int, start int, n int, a int, body binary")
+    compared = bodies.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_compare(length), "doc long, row int, start int, n int")
+    spans = found.where("h is null").select("doc", "row", "start", "n").unionByName(compared)
+    spans = spans.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
+    return texts.join(spans, ["doc", "row"], "left").select(*(F.col(f"`__own_{c}`").alias(c) for c in dict.fromkeys([key, *(extra or [])])), F.col("__text").alias(text), F.col("__spans").alias(out))
 
 
 def covered(size: int, spans: list[dict], length: int) -> np.ndarray:
@@ -406,9 +447,9 @@ def trimmed(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-            spans = b.column(b.schema.get_field_index("repeats")).to_pylist()
+            spans = b.column(b.num_columns - 1).to_pylist()
             kept = [np.frombuffer(t, np.uint8)[~covered(len(t), s, length)].tobytes().decode("utf-8", "ignore") if s else t.decode() for t, s in zip(texts, spans)]
             made = {text: pa.array(kept, pa.string())}
             yield pa.RecordBatch.from_arrays([made[c] if c in made else b.column(b.schema.get_field_index(c)) for c in columns], columns)
 
-    return with_repeats(df, key, text, length, other).mapInArrow(run, df.schema)
+    return with_repeats(df, key, text, length, other, "__repeats").mapInArrow(run, df.schema)

@@ -311,6 +311,11 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in langid.identify(nobody).collect()} == {"und"}
     assert langid.identify(df.where("false")).count() == 0
     assert langid.accept(frame(spark, ["12 34", "letters"])).count() == 1
+    clashing = frame(spark, ["12 34", "letters"]).withColumns({c: F.lit(c) for c in ("score", "lang_pred", "evidence")})
+    assert langid.accept(clashing).columns == clashing.columns and langid.accept(clashing).first()["score"] == "score"
+    # A row is learned from under its own language, not under another row's of the same id.
+    twice = spark.createDataFrame([(1, "the cat and the dog", "en"), (1, "unnamed", None), (2, "der Hund und die Katze", "de")], "doc_id long, text string, lang string")
+    assert set(langid.fit(twice, F.lit(True)).languages) == {"de", "en"}
 
 
 def test_languages_not_learned_are_rejected(spark):
@@ -403,17 +408,53 @@ def test_repeats(spark):
 def test_repeats_in_small_pieces_and_lots(spark, monkeypatch):
     texts = patchwork(8)
     monkeypatch.setattr(repeats, "PIECE", 64)
-    assert [tuple(map(len, repeats.stretches(np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 2, np.zeros(frequency.TABLE, np.uint8))))] == [(0,) * 5]
+    assert [tuple(map(len, repeats.stretches(np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 2, np.zeros(frequency.TABLE, np.uint8))))] == [(0,) * 7]
     text, lo, hi = repeats._pieces(np.array([0, 50, 500]), 100)
     assert text.tolist() == [0, 1, 1, 1, 1, 1, 1] and hi[-1] == 500
     assert removed(repeats.digests(frame(spark, texts))) == brute.removal(enumerate(texts))
 
 
+def test_repeats_of_a_hot_minimizer(spark):
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    # One line stands everywhere; what surrounds it is now new, now from a few others.
+    line, around = some(90), [some(60) for _ in range(6)]
+    texts = [rng.choice([*around, some(60)]) + line + rng.choice([*around, some(60)]) for _ in range(300)]
+    assert removed(repeats.digests(frame(spark, texts))) == brute.removal(enumerate(texts))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sides_are_sorted_and_compared(seed):
+    rng = np.random.default_rng(seed)
+    m, sides = 60, []
+    for _ in range(2):
+        rows, size = rng.integers(0, 2, (m, 100)).astype(np.uint8), rng.integers(0, 101, m)
+        rows[m // 2 :] = rows[: m // 2]
+        rows[np.arange(100)[None, :] >= size[:, None]] = 0
+        sides.append((rows, size))
+    for (rows, size), (order, common) in zip(sides, repeats.sorted_sides(sides)):
+        held = [rows[i, : size[i]].tobytes() for i in range(m)]
+        assert sorted(order.tolist()) == list(range(m))
+        for i, (x, y) in enumerate(zip(order[:-1], order[1:]), 1):
+            shared = next((k for k, (a, b) in enumerate(zip(held[x], held[y])) if a != b), min(len(held[x]), len(held[y])))
+            assert common[i] == shared
+        # Rows with a common prefix stand together.
+        for t in (1, 20, 60):
+            runs = np.cumsum(common < t)
+            where = {}
+            for k, i in enumerate(order):
+                if size[i] >= t:
+                    where.setdefault(held[i][:t], set()).add(runs[k])
+            assert all(len(x) == 1 for x in where.values())
+
+
 def test_repeats_empty_and_trimmed(spark):
     assert repeats.digests(frame(spark, ["x"]).where("false")).count() == 0
     shared = "".join(f"é{i}" for i in range(60))
     texts = [shared + "tail one", shared + "tail two", None]
-    got = by_id(repeats.trimmed(frame(spark, texts)))
+    clashing = frame(spark, texts).withColumns({c: F.lit(1) for c in ("repeats", "row", "doc", "h", "start", "route", "open")})
+    got = by_id(repeats.trimmed(clashing))
+    assert got[0]["repeats"] == 1
     assert got[0]["text"] == texts[0] and got[1]["text"] == "two" and got[2]["text"] == ""
     twice = frame(spark, ["z" * 300]).unionByName(frame(spark, ["z" * 300]))
     assert [r["n_removed"] for r in repeats.digests(twice).collect()] == [299, 299]
