@@ -343,7 +343,9 @@ def across(own: DataFrame, sigs: DataFrame, parts: int) -> DataFrame:
     """The pairs of a common column's rows, of different components, that can link: rows outside the column's largest component with all its rows."""
     counts = own.groupBy("x", "least").agg(F.count("*").alias("rows"))
     main = counts.groupBy("x").agg(F.max(F.struct("rows", "least")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1").select("x", F.col("m.least").alias("main"))
-    own = own.join(main, "x").withColumn("outside", F.col("least") != F.col("main")).drop("main", "band", "weight")
+    own = cut(own.join(main, "x").withColumn("outside", F.col("least") != F.col("main")).drop("main", "band", "weight"))
+    if own.isEmpty():
+        return own.sparkSession.createDataFrame([], "a long, b long")
 
     def hopeful(low: Column, high: Column) -> Column:
         # What a pair must share in open columns falls with the distance of sizes: the nearest sizes on the far ends decide.
@@ -439,7 +441,7 @@ def clusters(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     def columns() -> DataFrame:
         return rows.join(found, "node", "left").withColumn("least", F.coalesce("least", "node"))
 
-    for step in (lambda: star(columns()), lambda: pairs, lambda: star(outside(columns())), lambda: across(columns(), sigs, parts)):
+    for step in (lambda: star(columns()).unionByName(pairs).distinct(), lambda: star(outside(columns())), lambda: across(columns(), sigs, parts)):
         new = step()
         for c in "ab":
             new = new.join(found.select(F.col("node").alias(c), F.col("least").alias(f"at_{c}")), c, "left")
