@@ -6,7 +6,8 @@ A passage's distinct words are a query. An item's score is its BM25 sum over the
 as a share of the sum that all its own words reach; all items with a share of at
 least ``least`` are retrieved by block-max WAND. A retrieved pair counts when the
 passage also holds the question and the answer: at least ``overlap`` of the word
-trigrams of each. An item's last line, or else last sentence, is its answer.
+trigrams of each. An item's last line, or else last sentence, is its answer; an item
+of one sentence is taken in halves, so that both must be there.
 
 The index goes to the executors. Benchmarks beyond ``SLICE_BYTES`` of text are cut
 into slices of items, each with an index and a pass of its own; the number of items,
@@ -20,6 +21,7 @@ Items are scored word by word, in lower case; punctuation parts words. Long docu
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -37,6 +39,10 @@ K1, B = 1.2, 0.75
 SLICE_BYTES = 8 << 20
 #: Items to a block, and blocks to a wider one that is tested first.
 BLOCK, WIDE = 2, 8
+#: Sums of the same impacts in another order differ by less.
+SLACK = 1e-9
+#: Sums that are held together, passages times blocks.
+AT_ONCE = 1 << 20
 
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
@@ -46,10 +52,12 @@ def _hashes(texts: list[str]) -> list[np.ndarray]:
 
 
 def parts(text: str) -> tuple[str, str]:
-    """Question and answer of an item; an item of one sentence is both."""
+    """Question and answer of an item; of one sentence the first and the second half of its words, of one word twice that."""
     lines = [x for x in text.split("\n") if x.strip()]
     if len(lines) < 2:
         lines = [x for x in re.split(r"(?<=[.!?])\s+", text) if x.strip()]
+    if len(lines) < 2 and len(words := text.split()) > 1:
+        lines = [" ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])]
     return ("\n".join(lines[:-1]), lines[-1]) if len(lines) > 1 else (text, text)
 
 
@@ -79,8 +87,34 @@ class Statistics:
         return Statistics(self.items + other.items, self.words + other.words, max(self.longest, other.longest), terms, df)
 
 
+class Lists:
+    """For each term an ascending list of places with a number each, one after another in flat arrays."""
+
+    def __init__(self, terms: np.ndarray, places: np.ndarray, values: np.ndarray, size: int):
+        order = np.lexsort((places, terms))
+        terms, places, values = terms[order], places[order], values[order]
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (places[1:] != places[:-1])
+        first = np.flatnonzero(new)
+        self.place = places[first].astype(np.int32)
+        #: The highest value where a place occurs more than once.
+        self.value = np.maximum.reduceat(values, first) if len(first) else values
+        self.at = np.searchsorted(terms[first], np.arange(size + 1))
+
+    def of(self, term: int) -> tuple[list[int], list[float]]:
+        s, e = self.at[term], self.at[term + 1]
+        return self.place[s:e].tolist(), self.value[s:e].tolist()
+
+    def sums(self, terms: np.ndarray, group: np.ndarray, groups: int, places: int) -> np.ndarray:
+        """Groups by places: the sum of the values of each group's terms."""
+        size = self.at[terms + 1] - self.at[terms]
+        ends = np.cumsum(size)
+        take = np.repeat(self.at[terms] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(np.repeat(group, size) * places + self.place[take], weights=self.value[take], minlength=groups * places).reshape(groups, places)
+
+
 class ItemIndex:
-    """Postings by term, with the highest impact of each term and of each block of its postings' items. ``whole``: statistics of the benchmark that ``items`` are a slice of."""
+    """Postings by term, with the highest impact of each term, of each block of its postings' items and of wider blocks; all as lists of what there is, so that the size is that of the postings. ``whole``: statistics of the benchmark that ``items`` are a slice of."""
 
     def __init__(self, items: list[tuple[int, str]], least: float, overlap: float, whole: Statistics | None = None):
         words = _hashes([t for _, t in items])
@@ -95,34 +129,35 @@ class ItemIndex:
         counts = [np.unique(np.searchsorted(self.terms, w), return_counts=True) for w in words]
         df = whole.df[np.searchsorted(whole.terms, self.terms)]
         idf = np.log1p((whole.items - df + 0.5) / (df + 0.5))
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        self.blocks = -(-n // BLOCK) if n else 0
-        self.block_max = np.zeros((len(self.terms), max(1, self.blocks)), np.float32)
-        for i, (at, tf) in enumerate(counts):
-            impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words[i]) / mean))
-            impact /= impact.sum()
-            for t, x in zip(at.tolist(), impact.tolist()):
-                self.postings[t].append((i, x))
-            np.maximum.at(self.block_max, (at, i // BLOCK), impact.astype(np.float32))
-        wide = -(-self.block_max.shape[1] // WIDE)
-        padded = np.pad(self.block_max, ((0, 0), (0, wide * WIDE - self.block_max.shape[1])))
-        self.wide_max = padded.reshape(len(self.terms), wide, WIDE).max(2)
-        self.highest = self.block_max.max(1) if len(self.terms) else np.zeros(0, np.float32)
+        impacts = [idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean)) for (at, tf), w in zip(counts, words)]
+        # All in double precision: a bound is never below a score that it stands for.
+        of = np.concatenate([at for at, _ in counts]) if counts else np.zeros(0, np.int64)
+        item = np.repeat(np.arange(n), [len(x) for x in impacts])
+        impact = np.concatenate([x / x.sum() for x in impacts]) if counts else np.zeros(0)
+        v, self.blocks = len(self.terms), max(1, -(-n // BLOCK))
+        self.wides = -(-self.blocks // WIDE)
+        self.items, self.block_max, self.wide_max = Lists(of, item, impact, v), Lists(of, item // BLOCK, impact, v), Lists(of, item // (BLOCK * WIDE), impact, v)
+        self.highest = np.zeros(v)
+        np.maximum.at(self.highest, of, impact)
+
+    def postings(self, term: int) -> tuple[list[int], list[float]]:
+        """A term's items and impacts."""
+        return self.items.of(term)
 
     def wand(self, terms: list[int]) -> list[tuple[int, float]]:
         """All (item, score) with a score of at least ``least`` for a passage with these distinct terms."""
-        least, found = self.least - 1e-9, []
+        least, found = self.least - SLACK, []
+        lists = {t: self.items.of(t) for t in terms}
+        bounds = {t: dict(zip(*self.block_max.of(t))) for t in terms}
         # A cursor: [item, term, place in postings].
-        cursors = [[self.postings[t][0][0], t, 0] for t in terms]
+        cursors = [[lists[t][0][0], t, 0] for t in terms]
 
         def to(cursor: list[int], item: int) -> bool:
-            postings, at = self.postings[cursor[1]], cursor[2]
-            while at < len(postings) and postings[at][0] < item:
-                at += 1
-            cursor[2] = at
-            if at < len(postings):
-                cursor[0] = postings[at][0]
-            return at < len(postings)
+            items = lists[cursor[1]][0]
+            cursor[2] = bisect_left(items, item, cursor[2])
+            if cursor[2] < len(items):
+                cursor[0] = items[cursor[2]]
+            return cursor[2] < len(items)
 
         while cursors:
             cursors.sort()
@@ -138,7 +173,7 @@ class ItemIndex:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             block = item // BLOCK
-            if sum(float(self.block_max[c[1], block]) for c in cursors[: pivot + 1]) < least:
+            if sum(bounds[c[1]].get(block, 0.0) for c in cursors[: pivot + 1]) < least:
                 # Nothing before the block's end, or before the next cursor, can reach the threshold.
                 target = (block + 1) * BLOCK
                 if pivot + 1 < len(cursors):
@@ -146,7 +181,7 @@ class ItemIndex:
                 target = max(target, item + 1)
             else:
                 if cursors[0][0] == item:
-                    score = sum(self.postings[c[1]][c[2]][1] for c in cursors[: pivot + 1])
+                    score = sum(lists[c[1]][1][c[2]] for c in cursors[: pivot + 1])
                     if score >= least:
                         found.append((item, score))
                     target = item + 1
@@ -184,22 +219,19 @@ class ItemIndex:
         edge = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
         edges = np.append(edge, len(keys))
         # WAND's test on the sum of bounds for all passages at once: of terms, then of wide blocks, then of the blocks in those that pass.
-        hopeful = np.flatnonzero(np.add.reduceat(self.highest[of], edge) >= self.least - 1e-4)
-        if not len(hopeful):
-            return best
-        size = edges[hopeful + 1] - edges[hopeful]
-        ends = np.cumsum(size)
-        rows = of[np.repeat(edges[hopeful] - (ends - size), size) + np.arange(ends[-1])]
-        reach = np.add.reduceat(self.wide_max[rows], ends - size, axis=0) >= self.least - 1e-4
-        good = np.zeros(len(hopeful), bool)
-        for wide in range(reach.shape[1]):
-            some = np.flatnonzero(reach[:, wide] & ~good)
-            if len(some):
-                upto = np.cumsum(size[some])
-                own = rows[np.repeat((ends - size)[some] - (upto - size[some]), size[some]) + np.arange(upto[-1])]
-                sums = np.add.reduceat(self.block_max[own, wide * WIDE : (wide + 1) * WIDE], upto - size[some], axis=0)
-                good[some] = (sums >= self.least - 1e-4).any(1)
-        for k in hopeful[good]:
+        hopeful = np.flatnonzero(np.add.reduceat(self.highest[of], edge) >= self.least - SLACK)
+        for level, places in ((self.wide_max, self.wides), (self.block_max, self.blocks)):
+            good = []
+            step = max(1, AT_ONCE // places)
+            for s in range(0, len(hopeful), step):
+                some = hopeful[s : s + step]
+                size = edges[some + 1] - edges[some]
+                ends = np.cumsum(size)
+                terms = of[np.repeat(edges[some] - (ends - size), size) + np.arange(ends[-1])]
+                sums = level.sums(terms, np.repeat(np.arange(len(some)), size), len(some), places)
+                good.append(some[(sums >= self.least - SLACK).any(1)])
+            hopeful = np.concatenate(good) if good else hopeful
+        for k in hopeful:
             found = self.wand(of[edges[k] : edges[k + 1]].tolist())
             if not found:
                 continue

@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -87,11 +90,41 @@ def test_jaccard_components(spark):
 @pytest.mark.parametrize("full", [2, 200])
 def test_jaccard_however_columns_are_multiplied(spark, monkeypatch, full):
     monkeypatch.setattr(jaccard, "FULL", full)
+    monkeypatch.setattr(jaccard, "TILE", 3)
     texts = near_copies(7)
     got = by_id(jaccard.join(frame(spark, texts)))
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == brute.jaccard(enumerate(texts))
 
 
+def test_signatures_bound_overlaps_from_above():
+    rng = np.random.default_rng(5)
+    values = [np.unique(rng.integers(0, 1 << 62, n)).astype(np.uint64) for n in (3, 100, 130, 300, 5000)]
+    values += [np.unique(np.concatenate([v[: len(v) * 3 // 4], rng.integers(0, 1 << 62, len(v) // 4).astype(np.uint64)])) for v in values]
+    sigs = jaccard.signatures(np.concatenate(values), np.cumsum([0, *map(len, values)]))
+    for v, a in zip(values, sigs):
+        for w, b in zip(values, sigs):
+            size = min(len(a), len(b))
+            x, y = jaccard._folded([a], size)[0], jaccard._folded([b], size)[0]
+            most = min(len(v) - int(np.bitwise_count(x & ~y).sum()), len(w) - int(np.bitwise_count(y & ~x).sum()))
+            assert most >= len(np.intersect1d(v, w))
+    # Sets of one size that share three quarters are told to be below the threshold.
+    for k in (1, 2, 3):
+        x, y = (np.frombuffer(sigs[j], np.uint64) for j in (k, k + 5))
+        assert len(values[k]) - int(np.bitwise_count(x & ~y).sum()) < jaccard.needed(len(values[k]), len(values[k + 5]))
+
+
+def test_jaccard_of_a_large_group(spark):
+    # Copies of one text with more and more changes, and copies of copies: many are below the threshold to the first.
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    changed = lambda w, n: [f"v{rng.randrange(10**6)}" if i in set(rng.sample(range(len(w)), n)) else x for i, x in enumerate(w)]
+    first = [changed(words, rng.randrange(9)) for _ in range(250)]
+    second = [changed(rng.choice(first[:20]), rng.randrange(5)) for _ in range(150)]
+    texts = [" ".join(x) for x in [*first, *second]]
+    got = by_id(jaccard.join(frame(spark, texts)))
+    assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == brute.jaccard(enumerate(texts))
+
+
 def test_jaccard_empty_and_representatives(spark):
     assert jaccard.join(frame(spark, ["x"]).where("false")).count() == 0
     df = frame(spark, ["a b c d e f", "a b c d e f", None, "", "other words"])
@@ -509,6 +542,45 @@ def test_wand_finds_all_above_the_threshold():
         terms = [t for t in np.searchsorted(index.terms, np.unique(held)).tolist() if t < len(index.terms) and index.terms[t] in held]
         scores = np.zeros(len(items))
         for t in terms:
-            for i, x in index.postings[t]:
+            for i, x in zip(*index.postings(t)):
                 scores[i] += x
         assert sorted(i for i, _ in index.wand(terms)) == np.flatnonzero(scores >= 0.5 - 1e-9).tolist()
+
+
+def plain_bm25(items, texts, least):
+    """{(document, item): best score}: every passage against every item, from the formula."""
+    words = {i: re.findall(r"[a-z0-9]+", t.lower()) for i, t in items}
+    mean, longest = sum(map(len, words.values())) / len(words), max(map(len, words.values()))
+    df = Counter(w for ws in words.values() for w in set(ws))
+    best = {}
+    for i, ws in words.items():
+        impact = {w: math.log1p((len(words) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, tf in Counter(ws).items()}
+        for k, t in enumerate(texts):
+            held = re.findall(r"[a-z0-9]+", t.lower())
+            for s in range(0, len(held), longest):
+                score = sum(impact[w] for w in set(held[s : s + 2 * longest]) if w in impact) / sum(impact.values())
+                if score >= least - 1e-9:
+                    best[k, i] = max(best.get((k, i), 0), score)
+    return best
+
+
+@pytest.mark.parametrize("size", [1 << 20, 400])
+def test_hits_are_those_of_exhaustive_scoring(spark, monkeypatch, size):
+    rng = random.Random(size)
+    # Few lengths and frequencies: many scores are exactly the threshold.
+    items = [(i, " ".join(f"q{i % 20}x{(i // 20 * 2 + j) % 8}" for j in range(4))) for i in range(80)]
+    texts = [" ".join([*rng.sample([f"q{i}x{j}" for j in range(8)], rng.randint(1, 4)), *(f"filler{rng.randrange(50)}" for _ in range(rng.randrange(30)))]) for i in range(20) for _ in range(6)]
+    monkeypatch.setattr(decontam, "SLICE_BYTES", size)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    probe = plain_bm25(items, texts, 0.3)
+    least = Counter(round(v, 12) for v in probe.values() if v < 0.95).most_common(1)[0][0]
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.hits(frame(spark, texts), bench, least=least, overlap=0.0).collect()}
+    want = plain_bm25(items, texts, least)
+    assert got.keys() == want.keys() and sum(abs(v - least) < 1e-9 for v in want.values()) > 3
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_items_that_differ_in_one_word_are_told_apart(spark):
+    bench = spark.createDataFrame([(0, "some words of text number 3 here")], "item_id long, text string")
+    texts = [f"some words of text number {i} here" for i in range(20)]
+    assert [r["doc_id"] for r in decontam.hits(frame(spark, texts), bench).collect()] == [3]
