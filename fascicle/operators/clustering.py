@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fascicle.operators.scoring import matrix, nearest
@@ -47,17 +47,24 @@ def with_batches(latents: DataFrame, batch_size: int, source: str = "src", key:
     """``latents`` with ``batch_id``: each batch holds the next rows of every source, in proportion to the sources' counts."""
     counts = sorted((r[0], r[1]) for r in latents.groupBy(source).count().collect())
     quotas = batch_quotas([n for _, n in counts], batch_size)
-    table = latents.sparkSession.createDataFrame([(s, q) for (s, _), q in zip(counts, quotas)], f"`{source}` {latents.schema[source].dataType.simpleString()}, quota long")
-    nth = F.row_number().over(Window.partitionBy(source).orderBy(key))
-    return latents.join(F.broadcast(table), source).withColumn("batch_id", F.floor((nth - 1) / F.col("quota")).cast("int"))
-
-
-def random_batches(latents: DataFrame, batch_size: int, batches: int, seed: int, block: int = 1000, key: str = "sid") -> DataFrame:
-    """Batches of runs of ``block`` rows with starts drawn at random, with replacement."""
-    ranked = with_rank(latents, key)
+    if not counts:
+        return latents.withColumn("quota", F.lit(0).cast("long")).withColumn("batch_id", F.lit(0))
+    # Positions come from parts sorted side by side: a source of all rows is no task's own.
+    ranked = with_rank(latents, source, key, name="__rank")
+    begins = np.concatenate([[0], np.cumsum([n for _, n in counts])]).tolist()
+    table = latents.sparkSession.createDataFrame([(s, q, b) for (s, _), q, b in zip(counts, quotas, begins)], f"`{source}` {latents.schema[source].dataType.simpleString()}, quota long, __begin long")
+    nth = F.col("__rank") - F.col("__begin")
+    return ranked.join(F.broadcast(table), source).withColumn("batch_id", F.floor(nth / F.col("quota")).cast("int")).drop("__rank", "__begin")
+
+
+def random_batches(latents: DataFrame, batch_size: int, batches: int, seed: int, block: int = 1000, key: str = "sid", source: str | None = None) -> DataFrame:
+    """Batches of runs of ``block`` rows, with replacement. A run's start is drawn from the first 60 bits of the digest of its seed, batch and number."""
+    ranked = with_rank(latents, *([source] if source else []), key)
     total = ranked.count()
-    starts = np.random.default_rng(seed).integers(0, max(total, 1), (batches, -(-batch_size // block)))
-    table = latents.sparkSession.createDataFrame([(b, i, int(s)) for b, row in enumerate(starts) for i, s in enumerate(row)], "batch_id int, run int, start long")
+    runs = -(-batch_size // block)
+    table = latents.sparkSession.range(batches * runs).select((F.col("id") / runs).cast("int").alias("batch_id"), (F.col("id") % runs).cast("int").alias("run"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "batch_id", "run").cast("binary")), 1, 15), 16, 10).cast("long")
+    table = table.withColumn("start", drawn % max(total, 1))
     # The rows of each run by position; runs past the end go on at the beginning.
     wanted = table.select("batch_id", "run", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("i"), "start")
     wanted = wanted.select("batch_id", "run", "i", ((F.col("start") + F.col("i")) % max(total, 1)).alias("rank")).where(F.col("run") * block + F.col("i") < batch_size)
@@ -92,18 +99,29 @@ def leaders(fwd: np.ndarray, rev: np.ndarray, limit2: float) -> list[int]:
     return kept
 
 
-def find_centers(latents: DataFrame, max_dist: float, scaler: float = 1.0, batch_size: int = 1_000_000, key: str = "sid", source: str | None = None, max_iteration: int | None = None, shuffle_seed: int | None = None, split=split_size) -> DataFrame:
+def find_centers(latents: DataFrame, max_dist: float, scaler: float = 1.0, batch_size: int = 1_000_000, key: str = "sid", source: str | None = None, max_iteration: int | None = None, shuffle_seed: int | None = None, split=split_size, random_seed: int | None = None, mini_batch: int = 1000) -> DataFrame:
     """(label, z_fwd, z_rev) of the centres, labelled in the order they are found.
 
+    With ``random_seed`` batches are runs of ``mini_batch`` rows from random places, with
+    replacement, as many batches as hold the number of rows; rows that no run meets are
+    not clustered.
+
     ``max_dist`` is in units of the scores. The driver holds the centres, as a scoring
     pass does, and one split's survivors are one executor's work at a time.
     """
     spark = latents.sparkSession
     limit2 = (max_dist / scaler) ** 2
     rows = latents.select(key, *([source] if source else []), F.col("z_fwd").cast("array<double>"), F.col("z_rev").cast("array<double>"))
-    rows = materialise(with_batches(rows if source else rows.withColumn("src", F.lit(0)), batch_size, source or "src", key))
     order = [source or "src", key]
-    batches = (rows.agg(F.max("batch_id")).first()[0] if batch_size else None)
+    if random_seed is None:
+        dealt = with_batches(rows if source else rows.withColumn("src", F.lit(0)), batch_size, order[0], key)
+    else:
+        dealt = random_batches(rows, batch_size, min(-(-rows.count() // batch_size), max_iteration or 1 << 31), random_seed, mini_batch, key, source)
+        order = ["run", "i"]
+    # A folder for each batch, so that each is read alone; its rows are dealt to several files.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialise(dealt.repartition(parts, "batch_id", F.pmod(F.xxhash64(key), F.lit(8))), "batch_id")
+    batches = rows.agg(F.max("batch_id")).first()[0]
     found: list[tuple[list[float], list[float]]] = []
     done = 0 if batches is None else min(batches + 1, max_iteration or batches + 1)
     for b in range(done):

@@ -38,26 +38,38 @@ def nearest(x: np.ndarray, centres: np.ndarray, block: int = 4096) -> tuple[np.n
     return best, which
 
 
-def _pass(latents: DataFrame, labels: np.ndarray, centres: np.ndarray, scaler: float, carried: list[str]) -> DataFrame:
-    kinds = "".join(f"`{c}` {latents.schema[c].dataType.simpleString()}, " for c in carried)
+_BEST = "__fwd double, __fwd_label int, __rev double, __rev_label int"
+
+
+def _pass(latents: DataFrame, labels: np.ndarray, centres: np.ndarray) -> DataFrame:
+    """``latents`` with the nearest of these centres and of those that earlier passes have met, for either direction."""
+    names = [x.split()[0] for x in _BEST.split(", ")]
+    own = [c for c in latents.columns if c not in names]
+    schema = ", ".join([*(f"`{c}` {latents.schema[c].dataType.simpleString()}" for c in own), _BEST])
+    later = names[0] in latents.columns
+    at = [own.index("z_fwd"), own.index("z_rev")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = len(carried)
             if not b.num_rows:
                 continue
-            fwd, at_fwd = nearest(matrix(b.column(k)), centres)
-            rev, at_rev = nearest(matrix(b.column(k + 1)), centres)
-            forward = fwd < rev
-            score = np.sqrt(np.where(forward, fwd, rev)) * scaler
-            label = labels[np.where(forward, at_fwd, at_rev)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(score), pa.array(label.astype(np.int32)), pa.array(forward)], [*carried, "score", "label", "forward"])
+            best = []
+            for side, i in enumerate(at):
+                d2, where = nearest(matrix(b.column(i)), centres)
+                label = labels[where].astype(np.int32)
+                if later:
+                    # Slices ascend by label, so that a tie stays with the earlier one.
+                    old, old_label = (b.column(len(own) + 2 * side + k).to_numpy() for k in (0, 1))
+                    d2, label = np.where(d2 < old, d2, old), np.where(d2 < old, label, old_label)
+                best += [pa.array(d2), pa.array(label)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *best], [*own, *names])
 
-    return latents.select(*carried, "z_fwd", "z_rev").mapInArrow(run, f"{kinds}score double, label int, forward boolean")
+    return latents.select(*own, *(names if later else [])).mapInArrow(run, schema)
 
 
 def score(latents: DataFrame, centres: DataFrame, scaler: float = 1.0, key: str = "sid") -> DataFrame:
-    """(``key``, score, label, forward) of every latent; no shuffle while the centres fit one slice."""
+    """(``src`` if there is one, ``key``, score, label, forward) of every row of ``latents``, without a shuffle. Centres beyond one slice are met slice by slice as the rows stream by."""
+    own = [c for c in ("src", key) if c in latents.columns]
     rows = centres.select("label", "z_fwd").orderBy("label").toLocalIterator()
     slices, held = [], []
     for r in rows:
@@ -67,16 +79,13 @@ def score(latents: DataFrame, centres: DataFrame, scaler: float = 1.0, key: str
         held.append(r)
     slices += [held] if held else []
     if not slices:
-        return latents.select(key, F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("boolean").alias("forward"))
-    passes = [_pass(latents, np.array([r[0] for r in part]), np.array([r[1] for r in part], float), scaler, [key]) for part in slices]
-    if len(passes) == 1:
-        return passes[0]
-    # Among slices: the least score, forward only if strictly nearer, then the lowest label.
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionByName(p)
-    best = F.min(F.struct("score", F.col("forward"), "label"))
-    return out.groupBy(key).agg(best.alias("b")).select(key, "b.score", "b.label", "b.forward")
+        return latents.select(*own, F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("boolean").alias("forward"))
+    out = latents.select(*own, "z_fwd", "z_rev")
+    for part in slices:
+        out = _pass(out, np.array([r[0] for r in part]), np.array([r[1] for r in part], float))
+    forward = F.col("__fwd") < F.col("__rev")
+    nearer = lambda c: F.when(forward, F.col(f"__fwd{c}")).otherwise(F.col(f"__rev{c}"))
+    return out.select(*own, (F.sqrt(nearer("")) * F.lit(float(scaler))).alias("score"), nearer("_label").alias("label"), forward.alias("forward"))
 
 
 def score_declared(latents: DataFrame, centres: DataFrame, scaler: float = 1.0, key: str = "sid") -> DataFrame:

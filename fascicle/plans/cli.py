@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +17,33 @@ from fascicle.schema import ModelSpec
 from fascicle.sources import binary, images, tracts
 
 
+#: Without a model: 256 points, latents of 64 32-bit floats, and its distance scaler.
+DEFAULT = ModelSpec(64, 256, "float", 0.08)
+#: Names of verbosity levels, and the log levels they stand for.
+VERBOSITY = {"quite": "OFF", "fatal": "FATAL", "error": "ERROR", "warn": "WARN", "info": "INFO", "detail": "DEBUG", "debug": "DEBUG"}
+
+
 def codec_of(args) -> Codec:
-    return DctCodec(spec_of(args))
+    """The cosine codec, or what a model of the form ``package.module:factory`` makes of the specification."""
+    spec, given = spec_of(args), model_of(args)
+    module, _, factory = (given[0] if given else "").partition(":")
+    if factory and not os.path.exists(given[0]):
+        return getattr(importlib.import_module(module), factory)(spec)
+    return DctCodec(spec)
+
+
+def model_of(args) -> list[str]:
+    return args.model or getattr(args, "given", [])
 
 
 def spec_of(args) -> ModelSpec:
-    path, inp, lat, dtype, *scaler = [*args.model, "0.08"] if not args.model else args.model
-    return ModelSpec(int(lat), int(inp), dtype, float(scaler[0]) if scaler else 1.0) if args.model else ModelSpec(64, 256, "float", 0.08)
+    given = model_of(args)
+    if not given:
+        return DEFAULT
+    if len(given) not in (4, 5):
+        raise ValueError("a model is given by its path, points, latent size and type, and maybe a distance scaler")
+    _, points, latent, dtype, *scaler = given
+    return ModelSpec(int(latent), int(points), dtype, float(scaler[0]) if scaler else 1.0)
 
 
 def run_encode(spark: SparkSession, args) -> None:
@@ -41,7 +62,12 @@ def run_decode(spark: SparkSession, args) -> None:
 def run_centers(spark: SparkSession, args) -> None:
     spec = spec_of(args)
     latents = binary.read_latents(spark, args.input, spec)
-    out = clustering.find_centers(latents, args.maxDist, spec.scaler, args.batchSize, source="src", max_iteration=args.maxIteration or None, shuffle_seed=args.seed if args.shuffle else None)
+    if args.batchSize < 1 or args.miniBatchSize < 1 or args.randomize and args.miniBatchSize > args.batchSize:
+        raise ValueError("batch sizes are positive, and a mini batch is no larger than a batch")
+    out = clustering.find_centers(
+        latents, args.maxDist, spec.scaler, args.batchSize, source="src", max_iteration=args.maxIteration or None, shuffle_seed=args.seed if args.shuffle else None,
+        random_seed=args.seed if args.randomize else None, mini_batch=args.miniBatchSize,
+    )
     binary.write_centres(out, args.output, args.force)
 
 
@@ -101,19 +127,24 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(a.rstrip("?"), **({"nargs": "?"} if a.endswith("?") else {}))
         p.add_argument("-f", "--force", action="store_true")
         p.add_argument("-n", "--numberOfThreads", type=int, default=0)
+        p.add_argument("-v", "--verbose", default="info", help=", ".join(VERBOSITY))
         if model:
-            p.add_argument("-m", "--model", nargs="+", default=[], help="path, points, latent size, type[, distance scaler]; the path is not read by the cosine codec")
+            p.add_argument("-c", "--useCPU", action="store_true", help="accepted; there is no other device")
+            p.add_argument("-m", "--model", nargs="+", default=[], help="path or package.module:factory, points, latent size, type[, distance scaler]; a path is not read by the cosine codec")
         return p
 
     for name, run in (("encode", run_encode), ("decode", run_decode)):
         p = command(name, run, "input", "output")
         p.add_argument("-s", "--skip", action="store_true")
         p.add_argument("-t", "--tck", action="store_true")
+        p.add_argument("-b", "--batchSize", type=int, default=512, help="rows that are coded at once")
     p = command("findClusterCenters", run_centers, "input", "output")
     p.add_argument("-d", "--maxDist", type=float, required=True)
     p.add_argument("-b", "--batchSize", type=int, default=1_000_000)
     p.add_argument("-i", "--maxIteration", type=int, default=0)
     p.add_argument("-s", "--shuffle", action="store_true")
+    p.add_argument("-r", "--randomize", action="store_true")
+    p.add_argument("--miniBatchSize", type=int, default=1000)
     p.add_argument("--seed", type=int, default=0)
     command("score", run_score, "input", "centers", "output", "labels?")
     p = command("toTrack", run_track, "input", "output", model=False)
@@ -126,7 +157,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--aveFilt", action="store_true")
     p.add_argument("--template")
     p.add_argument("--voxDim", type=float, default=1.0)
-    command("modelTest", run_test, "input")
+    p = command("modelTest", run_test, "input")
+    p.add_argument("given", nargs="*", default=[], help="the model, as for -m")
+    p.add_argument("-b", "--batchSize", type=int, default=512, help="rows that are coded at once")
     return top
 
 
@@ -134,7 +167,20 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     cores = args.numberOfThreads or "*"
     spark = SparkSession.builder.master(f"local[{cores}]").appName("fascicle").getOrCreate() if not SparkSession.getActiveSession() else SparkSession.getActiveSession()
-    args.run(spark, args)
+    if args.verbose not in VERBOSITY:
+        raise ValueError(f"verbose is one of {', '.join(VERBOSITY)}")
+    if hasattr(args, "model"):
+        spec_of(args)  # refuses an incomplete model before anything is read
+    if args.verbose != "info":
+        spark.sparkContext.setLogLevel(VERBOSITY[args.verbose])
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(rows)
+    if args.run in (run_encode, run_decode, run_test):
+        spark.conf.set(rows, max(1, args.batchSize))
+    try:
+        args.run(spark, args)
+    finally:
+        spark.conf.set(rows, usual)
 
 
 if __name__ == "__main__":

@@ -169,6 +169,10 @@ ORACLE_SQL: dict[str, str] = {
         quo as (select src, q + case when nth <= 100 - (select sum(q) from base) then 1 else 0 end as q from base)
         select cast(b as int) as batch_id, src, count(*) as n, min(sid) as first_sid
         from (select l.*, (row_number() over (partition by l.src order by sid) - 1) // q as b from lat l join quo using (src)) group by b, src""",
+    "random_blocks": f"""with {L}, ranked as (select sid, row_number() over (order by sid) - 1 as rank, count(*) over () as total from lat),
+        wanted as (select b, r, i, (cast('0x' || substr(md5('7:' || b || ':' || r), 1, 15) as bigint) % (select max(total) from ranked) + i) % (select max(total) from ranked) as rank
+            from range(3) x(b), range(3) y(r), range(50) z(i) where r * 50 + i < 120)
+        select cast(b as int) as batch_id, cast(r as int) as run, cast(i as int) as i, sid from wanted join ranked using (rank)""",
     "latent_pair_distances": f"with {L}, {LP} select i, j, {r6('one_sided')} as one_sided, {r6('two_sided')} as two_sided from latp",
     "geometric_pair_distances": f"with {GP} select i, j, {r6('hausdorff')} as hausdorff, {r6('mdf')} as mdf from geo",
     "evaluation_report": f"""with {L}, {LP}, {GP}, b as (select * from latp join geo using (i, j))

@@ -118,22 +118,28 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return _load(spark, path, 1, "<i4").select("sid", F.get("values", F.lit(0)).cast("int").alias("label"))
 
 
-def write_fixed(df: DataFrame, path: str, order: str, columns: list[str], dtype: str, force: bool = False) -> None:
-    """Export rows in order as one file, streamed through the driver partition by partition, to a temporary name first. For interchange; large results belong in Parquet."""
+def write_fixed(df: DataFrame, path: str, order: str, columns: list[str], dtype: str, force: bool = False, width: int | None = None) -> None:
+    """Export rows in order (of their source first, if they have one) as one file, streamed through the driver partition by partition, to a temporary name first.
+
+    Rows of another number of values than ``width`` are refused. For interchange; large results belong in Parquet.
+    """
     fs, inner = filesystem(path)
     if fs.get_file_info(inner).type != pafs.FileType.NotFound and not force:
         raise FileExistsError(path)
     kind = np.dtype(dtype)
-    rows = df.select(order, *columns).orderBy(order).select(*columns)
+    keys = ["src", order] if "src" in df.columns else [order]
+    rows = df.select(*keys, *columns).orderBy(*keys).select(*columns)
     with fs.open_output_stream(inner + ".tmp") as f:
         for row in rows.toLocalIterator(prefetchPartitions=True):
             flat = [x for c in row for x in (c if isinstance(c, list) else [c])]
+            if width is not None and len(flat) != width:
+                raise ValueError(f"a row of {len(flat)} numbers, but the model's rows have {width}")
             f.write(np.array(flat).astype(kind).tobytes())
     fs.move(inner + ".tmp", inner)
 
 
 def write_latents(df: DataFrame, path: str, spec: ModelSpec, force: bool = False) -> None:
-    write_fixed(df, path, "sid", ["z_fwd", "z_rev"], spec.numpy_type, force)
+    write_fixed(df, path, "sid", ["z_fwd", "z_rev"], spec.numpy_type, force, 2 * spec.latent_dim)
 
 
 def write_centres(df: DataFrame, path: str, force: bool = False) -> None:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from fascicle.functions.codec import DctCodec, decode
 from fascicle.plans import cli
 from fascicle.schema import LATENT, STREAMLINE, ModelSpec
 from fascicle.sources import binary, images, tracts
@@ -83,6 +84,70 @@ def test_commands(spark, tmp_path):
     cli.main(["encode", p("in.tck"), p("in.bin"), "-s", *model])
 
 
+@pytest.mark.parametrize("model", [[], ["-m", "model.pt", "256", "64", "double"]])
+def test_commands_of_the_default_shape(spark, tmp_path, model):
+    """256 points and 64 numbers, which three axes don't divide, with and without a model."""
+    rng = np.random.default_rng(1)
+    lines = [(i, [tuple(map(float, p)) for p in np.cumsum(rng.normal(size=(30, 3)), 0)]) for i in range(20)]
+    p = lambda name: str(tmp_path / name)
+    tracts.write_vtk(spark.createDataFrame(lines, STREAMLINE), p("in.vtk"))
+    width = 8 if model else 4
+    cli.main(["encode", "-f", p("in.vtk"), p("in.bin"), *model])
+    assert (tmp_path / "in.bin").stat().st_size == 20 * 2 * 64 * width
+    cli.main(["decode", "-f", p("in.bin"), p("dec.vtk"), "-b", "7", *model])
+    cli.main(["findClusterCenters", "-f", p("in.bin"), p("c.clc"), "--maxDist", "20" if model else "1.6", *model])
+    centres = (tmp_path / "c.clc").stat().st_size // (2 * 64 * 4)
+    assert 0 < centres <= 20
+    cli.main(["decode", "-f", p("c.clc"), p("c.vtk"), *(["-m", "-", "256", "64", "float"] if model else [])])
+    cli.main(["score", "-f", p("in.bin"), p("c.clc"), p("s.ano"), p("s.clb"), *model])
+    cli.main(["toTrack", "-f", p("in.vtk"), "-s", p("s.ano"), "-l", p("s.clb"), p("mapped.vtk")])
+    cli.main(["toImg", "-f", p("in.vtk"), p("s.ano"), p("out.nii.gz")])
+    cli.main(["modelTest", p("in.vtk"), *(model[1:] or ["model.pt", "256", "64", "float"])])
+    back = tracts.read_tractograms(spark, p("dec.vtk")).orderBy("sid").collect()
+    assert len(back) == 20 and all(len(r["points"]) == 256 for r in back) and tracts.read_tractograms(spark, p("c.vtk")).count() == centres
+    for r, (_, points) in zip(back, lines):
+        # Ends and course come back: 21 coefficients of an axis say it to a fraction of a step.
+        got, far = np.array([tuple(x) for x in r["points"]]), np.array(points)
+        assert np.abs(got[[0, -1]] - far[[0, -1]]).max() < 2 and np.linalg.norm(got[:, None] - far[None], axis=2).min(0).max() < 2
+    scores = np.fromfile(p("s.ano"), "<f4")
+    assert len(scores) == 20 and np.isfinite(scores).all() and (scores < (20 if model else 1.6)).all()
+
+
+def test_shapes_must_agree(spark, tmp_path):
+    x = spark.createDataFrame([(0, [1.0] * 12, [1.0] * 12)], LATENT)
+    with pytest.raises(ValueError, match="numbers"):
+        binary.write_latents(x, str(tmp_path / "a.bin"), ModelSpec(15, 16))
+    with pytest.raises(Exception, match="numbers to a latent"):
+        decode(x, DctCodec(ModelSpec(15, 16))).collect()
+    with pytest.raises(ValueError, match="no latents"):
+        DctCodec(ModelSpec(64, 16))
+    with pytest.raises(ValueError, match="verbose"):
+        cli.main(["encode", "a", "b", "-v", "loud"])
+    with pytest.raises(ValueError, match="a model is given"):
+        cli.main(["modelTest", "a", "b", "256"])
+    codec = cli.codec_of(cli.parser().parse_args(["encode", "a", "b", "-m", "fascicle.functions.codec:DctCodec", "32", "12", "float"]))
+    assert isinstance(codec, DctCodec) and codec.spec.input_points == 32
+
+
+def test_random_batches_of_a_command(spark, tmp_path):
+    p = lambda name: str(tmp_path / name)
+    rows = [(i, [float(i)] * 3, [float(i)] * 3) for i in range(40)]
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        binary.write_latents(spark.createDataFrame(rows[k * 20 : k * 20 + 20], LATENT), p(f"in/{k}.bin"), ModelSpec(3, 4))
+    run = ["findClusterCenters", p("in"), p("c.clc"), "-d", "0.5", "-m", "-", "4", "3", "float", "-f", "-r", "-b", "10", "--miniBatchSize", "5"]
+    cli.main(run)
+    got = np.fromfile(p("c.clc"), "<f4").reshape(-1, 6)
+    assert 5 <= len(got) <= 40 and len(np.unique(got[:, 0])) == len(got)
+    with pytest.raises(ValueError, match="batch"):
+        cli.main([*run, "--miniBatchSize", "50"])
+    # A folder's scores are written file by file.
+    cli.main(["score", p("in"), p("c.clc"), p("s.ano"), p("s.clb"), "-m", "-", "4", "3", "float"])
+    scores = np.fromfile(p("s.ano"), "<f4")
+    want = np.abs(np.arange(40)[:, None] - got[:, 0][None]).min(1) * np.sqrt(3)
+    assert np.allclose(scores, want)
+
+
 def test_stream(spark, tmp_path):
     x = spark.createDataFrame([(i, [float(i), 0.0], [float(i), 1.0]) for i in range(5)], LATENT)
     x.write.parquet(str(tmp_path / "in"))

@@ -79,6 +79,8 @@ def test_centres_in_slices_score_alike(spark, monkeypatch):
     whole = key(scoring.score(x, centres))
     monkeypatch.setattr(scoring, "SLICE_NUMBERS", 8)
     assert key(scoring.score(x, centres)) == whole
+    # Rows of one id stay rows of their own.
+    assert key(scoring.score(x.unionByName(x), centres)) == sorted(whole * 2)
 
 
 def sequential(fwd, rev, limit2, batch, split):
