@@ -37,9 +37,11 @@ def trim() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a local one only where it is unset."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a local one only where it is unset and one machine does all."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fascicle-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -3,8 +3,10 @@
 A logistic classifier over byte and byte-class shares gives each document's own
 evidence. Hosts and paths gather it: a host's posterior shrinks toward the global
 mean, a path's toward its host's, by prior weights fitted from the spread between
-groups (method of moments). Sparse sites so fall back to the global prior. The
-site's log odds against the global mean are added to the document's.
+groups (method of moments). Sparse sites so fall back to the global prior. The log
+odds of a document's path against the global mean are added to the document's own;
+for them the path and host are taken without the document, so that neither its
+evidence nor its label counts twice.
 
 The classifier is fitted on at most ``per_class`` labelled rows of each class,
 those with the smallest hash of their id. All counts cover every row. Known labels
@@ -52,11 +54,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.sqrt(counts.reshape(n, FEATURES) / np.maximum(size, 1)[:, None]).astype(np.float32)
 
 
-def sampled(df: DataFrame, labels: DataFrame, label: str, key: str, n: int) -> DataFrame:
-    """Labelled rows of ``df``, at most ``n`` ids of each class: those with the smallest hash. They are chosen from the labels alone, so only 2 ``n`` ids travel and no text is shuffled."""
-    known = labels.select(F.col(key), F.col(label).cast("double").alias("__label")).where(f"{key} is not null and __label is not null").groupBy(key).agg(F.avg("__label").alias("__label"))
+def sampled(df: DataFrame, labels: DataFrame, label: str, key: str, n: int, others: tuple[str, ...] = ()) -> DataFrame:
+    """(text, __label, __draw, other labels) of labelled rows of ``df``, at most ``n`` ids of each class: those with the smallest hash, ``__draw``. They are chosen from the labels alone, so only 2 ``n`` ids travel and no text is shuffled."""
+    known = labels.select(F.col(key), F.col(label).cast("double").alias("__label"), *(F.col(c).cast("double").alias(f"__{c}") for c in others)).where(f"{key} is not null and __label is not null")
+    known = known.groupBy(key).agg(F.avg("__label").alias("__label"), *(F.avg(f"__{c}").alias(f"__{c}") for c in others))
     picks = [known.where(c).orderBy(F.xxhash64(key), key).limit(n) for c in ("__label >= 0.5", "__label < 0.5")]
-    return df.select(key, "text").where("text is not null").join(F.broadcast(picks[0].unionByName(picks[1])), key).select("text", "__label")
+    chosen = df.select(key, "text").where("text is not null").join(F.broadcast(picks[0].unionByName(picks[1])), key)
+    return chosen.select("text", "__label", F.xxhash64(key).alias("__draw"), *(f"__{c}" for c in others))
 
 
 def fit(df: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", per_class: int = 3000) -> np.ndarray:
@@ -122,9 +126,11 @@ def score(df: DataFrame, labels: DataFrame, host: Column, path: Column, key: str
     hosts = hosts.withColumn("p_host", (F.col("host_good") + a * mean) / (F.col("host_n") + a))
     sites = paths.join(hosts, "host")
     b = _prior_weight(sites, "n", "good", F.col("p_host"))
-    sites = sites.select("host", "path", "p_host", ((F.col("good") + b * F.col("p_host")) / (F.col("n") + b)).alias("p_path"))
+    sites = sites.withColumn("p_path", (F.col("good") + b * F.col("p_host")) / (F.col("n") + b))
     bound = lambda p: F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
     odds = lambda p: F.log(bound(p) / (1 - bound(p)))
-    logit = F.col("evidence") + site_share * (odds(F.col("p_path")) - F.lit(float(np.log(mean / (1 - mean)))))
+    others_host = (F.col("host_good") - good + a * mean) / (F.col("host_n") - 1 + a)
+    others_path = (F.col("good") - good + b * others_host) / (F.col("n") - 1 + b)
+    logit = F.col("evidence") + site_share * (odds(others_path) - F.lit(float(np.log(mean / (1 - mean)))))
     joined = rows.join(sites, ["host", "path"]).withColumn("p_quality", 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0)))))
     return joined.select(key, "host", "path", "evidence", "p_host", "p_path", "p_quality", (F.col("p_quality") >= least).alias("keep"))

@@ -1,13 +1,15 @@
 """Toxicity by a chain of linear classifiers.
 
-Categories are predicted one after another. Each link is a logistic model over the
-presence of telling words and word stems, and over the probabilities of the links
-before it; while fitting, those come from models that did not see the row (out of
-fold). The telling features are chosen by their lift in the training rows, inside
-each fold anew.
+Categories are columns of labels and are predicted one after another. Each link is a
+logistic model over the presence of telling words and word stems, and over the
+probabilities of the links before it; while fitting, those come from models that did
+not see the row (out of fold; folds go by the hash of the id, so that they do not
+depend on how the input lies). The telling features are chosen by their lift in the
+training rows, inside each fold anew.
 
-Fitting takes at most ``per_class`` labelled rows of each class, those with the
-smallest hash of their id. Scoring covers every row and every word.
+Fitting takes at most ``per_class`` labelled rows of each class of the first category,
+those with the smallest hash of their id; a later link takes those of them that have
+its label. Scoring covers every row and every word.
 
 Null and empty texts have no telling word and score as such. Without labels or
 with one class alone every probability is 0. Repeated rows give repeated results.
@@ -30,7 +32,8 @@ from fascicle.llm.quality import sampled
 
 BITS = 20
 STEMS = (4, 5)
-CATEGORIES = ("toxic", "severe", "repeated")
+#: The chain's categories, each with its label column and the label that stands for it. Labels that there are none of are left out.
+CATEGORIES = {"toxic": ("toxic", 1), "poor": ("quality", 0)}
 
 
 def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +100,11 @@ class Chain:
         return out
 
 
-def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", per_class: int = 2000, folds: int = 5) -> Chain:
-    """Categories: ``toxic`` as labelled; ``severe``, toxic with a share of telling words of the upper half; ``repeated``, toxic with a count of them in the upper half."""
-    rows = sampled(df, labels, label, key, per_class)
+def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", per_class: int = 2000, folds: int = 5, categories: dict[str, tuple[str, int]] = CATEGORIES) -> Chain:
+    """A chain over ``categories``, in their order. A category with one class alone ends it."""
+    names = [c for c, (column, _) in categories.items() if column in labels.columns]
+    columns = [categories[c][0] for c in names]
+    rows = sampled(df, labels, columns[0], key, per_class, tuple(columns[1:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,35 +112,37 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_
             for s, e in slices(texts):
                 owner, bucket = buckets(*raw(pc.utf8_lower(texts.slice(s, e - s))))
                 sets, sizes = [], np.bincount(owner, minlength=e - s)
+                kept = [b.column(i).slice(s, e - s) for i in range(1, b.num_columns)]
                 order = np.argsort(owner, kind="stable")
                 for part in np.split(bucket[order], np.cumsum(sizes)[:-1]):
                     sets.append(np.unique(part).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(s, e - s), pa.array(sets, pa.list_(pa.int32())), pa.array(sizes / (1 + len(STEMS)), pa.float64())], ["y", "at", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32())), *kept], ["at", *b.schema.names[1:]])
 
-    got = rows.mapInArrow(run, "y double, at array<int>, words double").toArrow()
-    toxic = got.column("y").to_numpy() >= 0.5
-    if not 0 < toxic.sum() < len(toxic):
-        return Chain(CATEGORIES, ())
+    got = rows.mapInArrow(run, ", ".join(["at array<int>, __label double, __draw long", *(f"__{c} double" for c in columns[1:])])).toArrow()
+    # The order in which rows arrive is none of the model's business.
+    draw = got.column("__draw").to_numpy()
     sets = [np.asarray(x.values) for x in got.column("at")]
-    y = np.where(toxic, 1.0, -1.0)
-    telling = _telling(sets, y)
-    hits = _present(sets, telling).sum(1)
-    share = hits / np.maximum(got.column("words").to_numpy(), 1)
-    targets = [toxic, toxic & (share >= np.median(share[toxic])), toxic & (hits >= np.median(hits[toxic]))]
-    fold = np.arange(len(y)) % folds
-    earlier, links = np.zeros((len(y), 0), np.float32), []
-    for target in targets:
-        t = np.where(target, 1.0, -1.0)
-        links.append(_link(sets, t, earlier))
-        unseen = np.zeros(len(y), np.float32)
+    order = np.lexsort(([x.tobytes() for x in sets], draw)) if len(sets) else []
+    sets, fold = [sets[i] for i in order], draw[order] % folds
+    earlier, links = np.zeros((len(sets), 0), np.float32), []
+    for name, column in zip(names, ["__label", *(f"__{c}" for c in columns[1:])]):
+        label = got.column(column).to_numpy(zero_copy_only=False).astype(float)[order]
+        here = ~np.isnan(label)
+        t = np.where((label >= 0.5) == (categories[name][1] == 1), 1.0, -1.0)
+        if len(set(t[here])) < 2:
+            break
+        some = lambda rows: [sets[i] for i in rows]
+        known = np.flatnonzero(here)
+        links.append(_link(some(known), t[known], earlier[known]))
+        unseen = np.zeros(len(t), np.float32)
         for f in range(folds):
-            train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            train, test = np.flatnonzero(here & (fold != f)), np.flatnonzero(fold == f)
             if len(set(t[train])) < 2 or not len(test):
                 continue
-            part = _link([sets[i] for i in train], t[train], earlier[train])
-            unseen[test] = linear.sigmoid(part.logits(_present([sets[i] for i in test], part.features), earlier[test]))
+            part = _link(some(train), t[train], earlier[train])
+            unseen[test] = linear.sigmoid(part.logits(_present(some(test), part.features), earlier[test]))
         earlier = np.hstack([earlier, unseen[:, None]])
-    return Chain(CATEGORIES, tuple(links))
+    return Chain(tuple(names), tuple(links))
 
 
 def score(df: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text", least: float = 0.7) -> DataFrame:

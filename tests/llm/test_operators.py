@@ -223,6 +223,47 @@ def test_quality(spark):
     assert quality.score(docs, labels, F.col("source"), F.col("lang")).count() == docs.count()
 
 
+def test_quality_posteriors_from_their_formula(spark):
+    rng = random.Random(5)
+    rows = [(i, "some words here" if rng.random() < 0.6 else "S3ME ;; {} 00", "en" if i % 3 else "de", f"h{rng.choice([0, 0, 0, 1, 1, 2, i])}", 1) for i in range(150)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    marks = {i: int(rng.random() < 0.7) for i in range(60)}
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    got = by_id(quality.score(df, labels, F.col("source"), F.col("lang")))
+    sigma = lambda x: 1 / (1 + math.exp(-max(-30, min(30, x))))
+    odds = lambda p: math.log(p / (1 - p))
+    good = {i: marks.get(i, sigma(r["evidence"])) for i, r in got.items()}
+    host, path = {i: r["host"] for i, r in got.items()}, {i: (r["host"], r["path"]) for i, r in got.items()}
+    of = lambda keys: {k: [i for i in got if keys[i] == k] for k in set(keys.values())}
+    hosts, paths = of(host), of(path)
+    mean = sum(good.values()) / len(good)
+
+    def prior(groups, around):
+        n = {k: len(v) for k, v in groups.items()}
+        total = sum(n.values())
+        spread = sum(n[k] * (sum(good[i] for i in v) / n[k] - around[k]) ** 2 for k, v in groups.items())
+        noise = max(sum(n[k] * around[k] * (1 - around[k]) for k in groups) / total, 1e-6)
+        between = (spread - (len(groups) - 1) * noise) / (total - sum(x * x for x in n.values()) / total)
+        return min(max(noise / max(between, 1e-6) - 1, 1), 1e6)
+
+    a = prior(hosts, {k: mean for k in hosts})
+    p_host = {k: (sum(good[i] for i in v) + a * mean) / (len(v) + a) for k, v in hosts.items()}
+    b = prior(paths, {k: p_host[k[0]] for k in paths})
+    for i, r in got.items():
+        others = [[good[j] for j in group if j != i] for group in (hosts[host[i]], paths[path[i]])]
+        without_host = (sum(others[0]) + a * mean) / (len(others[0]) + a)
+        without = (sum(others[1]) + b * without_host) / (len(others[1]) + b)
+        assert abs(r["p_host"] - p_host[host[i]]) < 1e-9
+        assert abs(r["p_quality"] - sigma(r["evidence"] + 0.5 * (odds(without) - odds(mean)))) < 1e-9
+
+
+def test_quality_held_out(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    got = quality.score(docs, labels.where(~held), F.col("source"), F.col("lang")).join(labels.where(held), "doc_id").collect()
+    assert len(got) > 10 and sum((r["p_quality"] >= 0.5) == (r["quality"] == 1) for r in got) >= 0.8 * len(got)
+
+
 def test_quality_edges(spark):
     df = frame(spark, ODD).withColumn("source", F.lit(None).cast("string")).withColumn("evidence", F.lit(1))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -312,6 +353,26 @@ def test_toxicity(spark):
     assert sum(r["is_toxic"] == (r["toxic"] == 1) for r in got) >= 0.9 * len(got)
 
 
+def test_toxicity_chain_from_its_formula(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["plain", "words", "only", "here"]) for _ in range(20)) + " vile nasty" * (i % 3 == 0) + " shoddy" * (i % 4 == 0) for i in range(80)]
+    df = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), None if i % 7 == 0 else int(i % 4 != 0)) for i in range(70)], "doc_id long, toxic int, quality int")
+    chain = toxicity.fit(df, labels)
+    assert chain.categories == ("toxic", "poor") and len(chain.links) == 2 and len(chain.links[1].weights) == len(chain.links[1].features) + 2
+    # Neither the layout nor the order of the input changes the model.
+    again = toxicity.fit(df.repartition(7, F.rand(3)), labels.orderBy(F.desc("doc_id")))
+    assert all((x.features == y.features).all() and np.allclose(x.weights, y.weights, atol=1e-6) for x, y in zip(chain.links, again.links))
+    got = by_id(toxicity.score(df, chain))
+    for i, t in enumerate(texts):
+        held, earlier = set(toxicity.buckets(*raw(pa.array([t])))[1].tolist()), []
+        for link in chain.links:
+            x = link.weights[-1] + sum(w for f, w in zip(link.features.tolist(), link.weights) if f in held) + sum(w * p for w, p in zip(link.weights[len(link.features) :], earlier))
+            earlier.append(1 / (1 + math.exp(-x)))
+        assert np.allclose([got[i]["p_toxic"], got[i]["p_poor"]], earlier, atol=1e-5)
+        assert (got[i]["p_poor"] >= 0.5) == (i % 4 == 0)
+
+
 def test_toxicity_edges(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["plain", "words", "only", "here"]) for _ in range(20)) + (" vile nasty" if i % 3 == 0 else "") for i in range(60)]
