@@ -96,7 +96,8 @@ def with_next(df: DataFrame, key: str, columns: list[str], prepare: Callable[[Da
     no global sort are enough.
     """
     spark = df.sparkSession
-    n = max(64, 4 * partitions(df))
+    # The bounds are part of the plan, so there are at most 4096.
+    n = min(4096, max(64, 4 * partitions(df)))
     df = df.withColumn("__id", F.coalesce(F.col(key), F.lit(-(1 << 63)))).withColumn("__tie", F.xxhash64("text"))
     ids = df.select("__id")
     bounds = sorted({int(x) for x in ids.select(F.col("__id").cast("double")).approxQuantile("__id", [i / n for i in range(1, n)], 0.2 / n)})

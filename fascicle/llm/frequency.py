@@ -1,7 +1,10 @@
 """How often hashed items occur over a whole corpus, in a table of fixed size.
 
-Counters are shared by the items that fall on them, so a count is an upper bound. The
-tables of all tasks are summed on the executors, part by part.
+Counters are shared by the items that fall on them, so a count is an upper bound. What
+is common is told against the usual counter, so at any size of input it is what makes
+more than some ``2 / TABLE`` (four millionths) of all occurrences: whatever is rarer may
+meet in one task, and that is a share of the input that a task can hold. The tables of
+all tasks are summed on the executors, part by part.
 """
 
 from __future__ import annotations

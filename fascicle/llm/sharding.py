@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import cut, text_of
+from fascicle.llm.common import cut, partitions, text_of
 
 
 def mix(keys: np.ndarray) -> np.ndarray:
@@ -56,12 +56,13 @@ def assign(df: DataFrame, shards: int = 16, key: str = "doc_id") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def slots(df: DataFrame, key: str, order: tuple[str, ...], buckets: int = 64) -> DataFrame:
-    """``df`` with ``slot``, gapless from 0 within each shard. Each shard is ordered in ``buckets`` parts side by side; only their counts meet."""
+def slots(df: DataFrame, key: str, order: tuple[str, ...], shards: int, buckets: int | None = None) -> DataFrame:
+    """``df`` with ``slot``, gapless from 0 within each shard. Each shard is ordered in ``buckets`` parts side by side, more of them for larger inputs; only their counts meet."""
+    buckets = buckets or max(64, -(-4 * partitions(df, 1 << 20) // shards))
     df = df.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     counts = df.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # shards * buckets rows at most: a bound that no input moves.
+    # shards * buckets rows at most: a few for each task.
     base = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     within = Window.partitionBy("shard", "__bucket").orderBy(key, *order)
     out = df.withColumn("__nth", F.row_number().over(within)).join(F.broadcast(base), ["shard", "__bucket"])
@@ -76,7 +77,7 @@ def shard_rows(df: DataFrame, shards: int = 16, key: str = "doc_id", text: str =
         F.crc32(text_of(text).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    return slots(cut(assign(light, shards, key)), key, ("size", "text_crc32")).select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return slots(cut(assign(light, shards, key)), key, ("size", "text_crc32"), shards).select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 16, key: str = "doc_id") -> None:
