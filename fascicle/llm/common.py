@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Spark deletes a query's shuffle files when it ends, not when the driver happens to collect its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Tables that :func:`cut` has written and nothing has deleted yet.
+#: Tables that :func:`cut` has written and nothing has deleted yet. One that a returned DataFrame reads stays until :func:`release`.
 _CUTS: list[str] = []
+_watching = threading.local()
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The tables that this thread cuts meanwhile, in order."""
+    lists = _watching.__dict__.setdefault("lists", [])
+    own: list[str] = []
+    lists.append(own)
+    try:
+        yield own
+    finally:
+        lists.pop()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -67,6 +83,8 @@ def cut(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.unset(_CLEANUP) if usual is None else spark.conf.set(_CLEANUP, usual)
     _CUTS.append(path)
+    for own in getattr(_watching, "lists", ()):
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

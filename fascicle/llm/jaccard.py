@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fascicle.llm.bytescan import Words, mix, shingles
-from fascicle.llm.common import cut, drop, partitions, raw, slices, text_of, trim
+from fascicle.llm.common import collected, cut, drop, partitions, raw, release, slices, text_of, trim
 from fascicle.llm.frequency import PARTS, TABLE, counter, levels, packed
 
 WORDS, PERCENT = 5, 75
@@ -441,16 +441,20 @@ def clusters(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     def columns() -> DataFrame:
         return rows.join(found, "node", "left").withColumn("least", F.coalesce("least", "node"))
 
+    held: list[str] = []
     for step in (lambda: star(columns()).unionByName(pairs).distinct(), lambda: star(outside(columns())), lambda: across(columns(), sigs, parts)):
-        new = step()
-        for c in "ab":
-            new = new.join(found.select(F.col("node").alias(c), F.col("least").alias(f"at_{c}")), c, "left")
-        new = cut(new.where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b"))
-        if new.isEmpty():
-            continue
-        links = cut(_settled(base, names, new))
-        if not links.isEmpty():
-            found = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(links))
+        with collected() as made:
+            new = step()
+            for c in "ab":
+                new = new.join(found.select(F.col("node").alias(c), F.col("least").alias(f"at_{c}")), c, "left")
+            new = cut(new.where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b"))
+            links = None if new.isEmpty() else cut(_settled(base, names, new))
+            if links is not None and not links.isEmpty():
+                found = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(links))
+                # What was cut last holds all components; the step's other tables, and the components before, have served.
+                release(spark, held)
+                held = [made.pop()]
+            release(spark, made)
     named = names.join(found.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("least", "digest").alias("least"), "doc")
     least_doc = named.groupBy("least").agg(F.min("doc").alias("component"))
     named = named.join(least_doc, "least").select("digest", "component")
