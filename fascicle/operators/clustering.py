@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fascicle.operators import scoring
 from fascicle.operators.scoring import matrix, nearest
 from fascicle.plans.durable import materialise, with_rank
 from fascicle.schema import CENTRE, split_size
@@ -72,9 +73,14 @@ def random_batches(latents: DataFrame, batch_size: int, batches: int, seed: int,
 
 
 def uncovered(latents: DataFrame, centres: np.ndarray, limit2: float) -> DataFrame:
-    """Rows that no centre's forward code matches, by rule G."""
-    if not len(centres):
-        return latents
+    """Rows that no centre's forward code matches, by rule G. Rows stream by the centres slice by slice."""
+    step = max(1, scoring.SLICE_NUMBERS // centres.shape[1]) if len(centres) else 1
+    for s in range(0, len(centres), step):
+        latents = _uncovered(latents, centres[s : s + step], limit2)
+    return latents
+
+
+def _uncovered(latents: DataFrame, centres: np.ndarray, limit2: float) -> DataFrame:
     at = [latents.columns.index(c) for c in ("z_fwd", "z_rev")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,37 +67,32 @@ def _pass(latents: DataFrame, labels: np.ndarray, centres: np.ndarray) -> DataFr
     return latents.select(*own, *(names if later else [])).mapInArrow(run, schema)
 
 
-def score(latents: DataFrame, centres: DataFrame, scaler: float = 1.0, key: str = "sid") -> DataFrame:
-    """(``src`` if there is one, ``key``, score, label, forward) of every row of ``latents``, without a shuffle. Centres beyond one slice are met slice by slice as the rows stream by."""
-    own = [c for c in ("src", key) if c in latents.columns]
-    rows = centres.select("label", "z_fwd").orderBy("label").toLocalIterator()
+def sliced(centres: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(labels, codes) of the centres in ascending labels, each slice of at most ``SLICE_NUMBERS`` numbers (one centre at least)."""
     slices, held = [], []
-    for r in rows:
+    for r in centres.select("label", "z_fwd").orderBy("label").toLocalIterator():
         if held and (len(held) + 1) * len(r[1]) > SLICE_NUMBERS:
             slices.append(held)
             held = []
         held.append(r)
     slices += [held] if held else []
+    return [(np.array([r[0] for r in part]), np.array([r[1] for r in part], float)) for part in slices]
+
+
+def score(latents: DataFrame, centres: DataFrame, scaler: float = 1.0, key: str = "sid") -> DataFrame:
+    """(``src`` if there is one, ``key``, score, label, forward) of every row of ``latents``, without a shuffle. Centres beyond one slice are met slice by slice as the rows stream by."""
+    own = [c for c in ("src", key) if c in latents.columns]
+    slices = sliced(centres)
     if not slices:
         return latents.select(*own, F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("boolean").alias("forward"))
     out = latents.select(*own, "z_fwd", "z_rev")
     for part in slices:
-        out = _pass(out, np.array([r[0] for r in part]), np.array([r[1] for r in part], float))
+        out = _pass(out, *part)
     forward = F.col("__fwd") < F.col("__rev")
     nearer = lambda c: F.when(forward, F.col(f"__fwd{c}")).otherwise(F.col(f"__rev{c}"))
     return out.select(*own, (F.sqrt(nearer("")) * F.lit(float(scaler))).alias("score"), nearer("_label").alias("label"), forward.alias("forward"))
 
 
-def score_declared(latents: DataFrame, centres: DataFrame, scaler: float = 1.0, key: str = "sid") -> DataFrame:
-    """The same as a declared join, for centres of a few rows: Catalyst picks a broadcast nested loop."""
-    d2 = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    c = centres.select("label", F.col("z_fwd").alias("c"))
-    pairs = latents.crossJoin(F.broadcast(c)).select(key, "label", d2(F.col("z_fwd"), F.col("c")).alias("f"), d2(F.col("z_rev"), F.col("c")).alias("r"))
-    best = pairs.groupBy(key).agg(F.min(F.struct("f", "label")).alias("f"), F.min(F.struct("r", "label")).alias("r"))
-    forward = F.col("f.f") < F.col("r.r")
-    return best.select(key, (F.sqrt(F.when(forward, F.col("f.f")).otherwise(F.col("r.r"))) * scaler).alias("score"), F.when(forward, F.col("f.label")).otherwise(F.col("r.label")).alias("label"), forward.alias("forward"))
-
-
 def centroids(latents: DataFrame, by: str) -> DataFrame:
     """The mean latent of each group of ``by``, labelled 1, 2, ... in its order; partial per task."""
     dim = len(latents.select("z_fwd").first()[0])

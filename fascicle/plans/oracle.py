@@ -86,9 +86,10 @@ LP = f"""latp as (
            sqrt(least({d2("a.z_fwd", "b.z_fwd")}, {d2("a.z_fwd", "b.z_rev")}, {d2("a.z_rev", "b.z_fwd")}, {d2("a.z_rev", "b.z_rev")})) as two_sided
     from lat a join lat b on a.sid > b.sid
 )"""
-GP = f"""tri as (
+TRI = f"""tri as (
     select vec_id as sid, {threes("cast(embedding as double[])")} as p, list_reverse({threes("cast(embedding as double[])")}) as q from embeddings
-), geo as (
+)"""
+GEO = f"""geo as (
     select a.sid as i, b.sid as j,
            greatest(list_max(list_transform(a.p, lambda u: list_min(list_transform(b.p, lambda v: {p2("u", "v")})))),
                     list_max(list_transform(b.p, lambda u: list_min(list_transform(a.p, lambda v: {p2("u", "v")}))))) as hausdorff,
@@ -96,12 +97,15 @@ GP = f"""tri as (
                  list_avg(list_transform(list_zip(a.p, b.q), lambda w: {p2("w[1]", "w[2]")}))) as mdf
     from tri a join tri b on a.sid > b.sid
 )"""
+GP = f"{TRI}, {GEO}"
+REPORT = f"""{r6('corr(hausdorff, one_sided)')} as r_hausdorff, {r6('corr(mdf, one_sided)')} as r_mdf, {r6('corr(hausdorff, two_sided)')} as r_hausdorff_two, {r6('corr(mdf, two_sided)')} as r_mdf_two,
+               {r6('avg(hausdorff / nullif(one_sided, 0))')} as scale_hausdorff, {r6('avg(mdf / nullif(one_sided, 0))')} as scale_mdf,
+               count(*) filter (one_sided = 0) as skipped, count(*) as pairs"""
 
 
-def leader(quota: str) -> str:
-    """Rows in batch order one by one; a row stays unless an earlier one that stayed matches it, by L within its batch and by G across batches."""
-    m = lambda a, b: d2(a, b) + " < 0.85 * 0.85"
-    return f"""with recursive {L}, cnt as (
+def in_order(quota: str) -> str:
+    """Rows with their batch and their place in the order of all."""
+    return f"""cnt as (
         select src, count(*) as n from lat group by src
     ), base as (
         select src, n, greatest(1, n * {quota} // (select count(*) from lat)) as q, row_number() over (order by src) as nth from cnt
@@ -110,7 +114,39 @@ def leader(quota: str) -> str:
     ), ord as (
         select sid, z_fwd, z_rev, b, row_number() over (order by b, src, sid) as k from (
             select l.*, (row_number() over (partition by l.src order by sid) - 1) // q as b from lat l join quo using (src))
+    )"""
+
+
+def leader_in_splits(quota: int, size: int) -> str:
+    """As ``leader``, but the rows of a batch that centres of earlier batches leave open are cut into splits of ``size``, and L holds within a split only.
+
+    ``s`` is the place at which the split of the row began, ``n`` the open rows of its batch so far.
+    """
+    return f"""with recursive {L}, {in_order(str(quota))}, firsts as (
+        select b, min(k) as first from ord group by b
     ), adj as (
+        select i.k, any_value(f.first) as first, coalesce(list(c.k) filter (list_distance(i.z_fwd, c.z_fwd) < 0.85 or list_distance(i.z_rev, c.z_fwd) < 0.85), []::bigint[]) as g,
+               coalesce(list(c.k) filter (list_distance(i.z_fwd, c.z_fwd) < 0.85 or list_distance(i.z_fwd, c.z_rev) < 0.85), []::bigint[]) as l
+        from ord i join firsts f using (b) left join ord c on c.k < i.k group by i.k
+    ), walk as (
+        select 0::bigint as k, []::bigint[] as kept, 0::bigint as n, 0::bigint as s
+        union all
+        select k, case when covered or len(list_filter(list_intersect(kept, l), lambda x: x >= s2)) > 0 or len(list_filter(list_intersect(kept, g), lambda x: x < s2)) > 0 then kept else list_append(kept, k) end,
+               n0 + case when covered then 0 else 1 end, s2
+        from (select *, case when not covered and n0 % {size} = 0 then k else s end as s2 from (
+            select a.k, a.g, a.l, w.kept, w.s, case when a.k = a.first then 0 else w.n end as n0, len(list_filter(list_intersect(w.kept, a.g), lambda x: x < a.first)) > 0 as covered
+            from walk w join adj a on a.k = w.k + 1))
+    ), last as (
+        select kept from walk order by k desc limit 1
+    )
+    select cast(list_position(kept, o.k) as int) as "label", {r6("list_sum(z_fwd)")} as sum_fwd, {r6("list_sum(z_rev)")} as sum_rev
+    from ord o, last where list_contains(kept, o.k)"""
+
+
+def leader(quota: str) -> str:
+    """Rows in batch order one by one; a row stays unless an earlier one that stayed matches it, by L within its batch and by G across batches."""
+    m = lambda a, b: d2(a, b) + " < 0.85 * 0.85"
+    return f"""with recursive {L}, {in_order(quota)}, adj as (
         select i.k, list(c.k) filter (c.k is not null) as near from ord i left join ord c on c.k < i.k and case when c.b = i.b
             then {m("i.z_fwd", "c.z_fwd")} or {m("i.z_fwd", "c.z_rev")}
             else {m("i.z_fwd", "c.z_fwd")} or {m("i.z_rev", "c.z_fwd")} end
@@ -155,15 +191,42 @@ NEAR = """near as (
     from near group by i, j, k
 )"""
 CHAIN = f"{P}, {RES}, {ENC}"
+#: Distances between what was coded and what came back.
+ERR = f"""a as (select sid, list([x, y, z] order by pos) as p from res group by sid), b as (select sid, list([x, y, z] order by pos) as p from back group by sid),
+        d as (select greatest(list_max(list_transform(a.p, lambda u: list_min(list_transform(b.p, lambda v: {p2("u", "v")})))), list_max(list_transform(b.p, lambda u: list_min(list_transform(a.p, lambda v: {p2("u", "v")}))))) as h,
+            least(list_avg(list_transform(list_zip(a.p, b.p), lambda w: {p2("w[1]", "w[2]")})), list_avg(list_transform(list_zip(a.p, list_reverse(b.p)), lambda w: {p2("w[1]", "w[2]")}))) as m
+            from a join b using (sid))"""
+#: Embeddings in threes as points, coded and compared.
+MODEL = f"""pts as (
+    select vec_id as sid, i as pos, 21 as n, embedding[3 * i + 1]::double as x, embedding[3 * i + 2]::double as y, embedding[3 * i + 3]::double as z from embeddings, range(0, 21) q(i)
+), {RES}, {ENC}, {DEC}, {ERR}, lat as (
+    select sid, list(c order by a, k) as z_fwd, list(c * case when k % 2 = 0 then 1 else -1 end order by a, k) as z_rev from enc group by sid
+), tri as (
+    select sid, p, list_reverse(p) as q from a
+), {LP}, {GEO}"""
+
+
+def found(distance: str, where: str) -> str:
+    """Centres by their distance from each row, nearest first."""
+    return f"""with {L}, {C}, near as (select sid, "label", {distance} as d from lat, cen), nth as (select *, row_number() over (partition by sid order by d, "label") as n from near)
+        select sid, cast(n as int) as nth, "label", {r6('d')} as distance from nth where {where}"""
+
+
+L1 = "list_sum(list_transform(list_zip(z_fwd, c), lambda q: abs(q[1] - q[2])))"
+SO2 = "least(abs(z_fwd[-1] - c[-1]), abs(2 * pi() - abs(z_fwd[-1] - c[-1])))"
 
 ORACLE_SQL: dict[str, str] = {
     "latent_split": f"with {L} select sid, cast(len(z_fwd) as int) as n_fwd, cast(len(z_rev) as int) as n_rev, {r6('list_sum(z_fwd)')} as sum_fwd, {r6('list_sum(z_rev)')} as sum_rev from lat",
     "score_nearest": f'with {L}, {C}, {S} select sid, {r6("score")} as score, "label" from scored',
     "score_two_sided_choice": f"with {L}, {C}, {S} select forward, count(*) as n, {r6('avg(score)')} as mean_score from scored group by forward",
+    "knn_centres": found(d2("z_fwd", "c"), "n <= 3"),
+    "radius_centres": found(L1, "d < 3.3"),
+    "knn_within_radius": found(SO2, "d < 0.05 and n <= 2"),
     "cluster_sizes": f'with {L}, {C}, {S} select "label", count(*) as n from scored group by "label"',
     "assign_global_anti": f"with {L}, {C} select sid from lat where not exists (select 1 from cen where {d2('z_fwd', 'c')} < 0.55 * 0.55 or {d2('z_rev', 'c')} < 0.55 * 0.55)",
-    "cluster_leader": leader("1000000").replace("l.src order by sid", "l.src order by sid").replace("order by b, src, sid", "order by sid"),
+    "cluster_leader": leader("1000000").replace("order by b, src, sid", "order by sid"),
     "cluster_multi_batch": leader("200"),
+    "cluster_splits": leader_in_splits(200, 30),
     "batch_quota": f"""with {L}, cnt as (select src, count(*) as n from lat group by src),
         base as (select src, greatest(1, n * 100 // (select count(*) from lat)) as q, row_number() over (order by src) as nth from cnt),
         quo as (select src, q + case when nth <= 100 - (select sum(q) from base) then 1 else 0 end as q from base)
@@ -176,9 +239,7 @@ ORACLE_SQL: dict[str, str] = {
     "latent_pair_distances": f"with {L}, {LP} select i, j, {r6('one_sided')} as one_sided, {r6('two_sided')} as two_sided from latp",
     "geometric_pair_distances": f"with {GP} select i, j, {r6('hausdorff')} as hausdorff, {r6('mdf')} as mdf from geo",
     "evaluation_report": f"""with {L}, {LP}, {GP}, b as (select * from latp join geo using (i, j))
-        select {r6('corr(hausdorff, one_sided)')} as r_hausdorff, {r6('corr(mdf, one_sided)')} as r_mdf, {r6('corr(hausdorff, two_sided)')} as r_hausdorff_two, {r6('corr(mdf, two_sided)')} as r_mdf_two,
-               {r6('avg(hausdorff / nullif(one_sided, 0))')} as scale_hausdorff, {r6('avg(mdf / nullif(one_sided, 0))')} as scale_mdf,
-               count(*) filter (one_sided = 0) as skipped, count(*) as pairs from b""",
+        select {REPORT} from b""",
     "streamline_length": f"""with {P}, seg as (select sid, coalesce(sqrt(power(lead(x) over w - x, 2) + power(lead(y) over w - y, 2) + power(lead(z) over w - z, 2)), 0) as len, n from pts window w as (partition by sid order by pos))
         select sid, {r6('sum(len)')} as length, cast(max(n) as int) as n from seg group by sid""",
     "bounding_box": f"with {P} select " + ", ".join(f"{f}({c}) as {f}_{c}" for c in "xyz" for f in ("min", "max")) + " from pts",
@@ -187,11 +248,10 @@ ORACLE_SQL: dict[str, str] = {
     "flatten_points": f"with {P} " + " union all ".join(f"select sid, cast({i} * n + pos as int) as pos, {r6(c)} as v from pts" for i, c in enumerate("xyz")),
     "dct_encode": f"with {CHAIN} select sid, cast(a * 5 + k as int) as pos, {r6('c')} as z_fwd, {r6('c * case when k % 2 = 0 then 1 else -1 end')} as z_rev from enc",
     "dct_decode": f"with {CHAIN}, {DEC} select sid, cast(pos as int) as pos, {XYZ} from back",
-    "reconstruction_error": f"""with {CHAIN}, {DEC}, a as (select sid, list([x, y, z] order by pos) as p from res group by sid), b as (select sid, list([x, y, z] order by pos) as p from back group by sid),
-        d as (select greatest(list_max(list_transform(a.p, lambda u: list_min(list_transform(b.p, lambda v: {p2("u", "v")})))), list_max(list_transform(b.p, lambda u: list_min(list_transform(a.p, lambda v: {p2("u", "v")}))))) as h,
-            least(list_avg(list_transform(list_zip(a.p, b.p), lambda w: {p2("w[1]", "w[2]")})), list_avg(list_transform(list_zip(a.p, list_reverse(b.p)), lambda w: {p2("w[1]", "w[2]")}))) as m
-            from a join b using (sid))
+    "reconstruction_error": f"""with {CHAIN}, {DEC}, {ERR}
         select {r6('avg(h)')} as error_hausdorff, {r6('avg(m)')} as error_mdf, count(*) as n from d""",
+    "model_test": f"""with {MODEL}, both_ as (select * from latp join geo using (i, j)), rep as (select {REPORT} from both_), err as (select {r6('avg(h)')} as error_hausdorff, {r6('avg(m)')} as error_mdf from d)
+        select * from rep, err""",
     "annotate_score_label": f'with {L}, {C}, {S} select sid, 21 as n, {r6("score")} as score, "label" from scored',
     "count_guard": """with l as (select distinct l_orderkey as k from lineitem), o as (select o_orderkey as k from orders)
         select (select count(*) from l) as n_left, (select count(*) from o) as n_right, (select count(*) from l where k not in (select k from o)) as only_left, (select count(*) from o where k not in (select k from l)) as only_right""",

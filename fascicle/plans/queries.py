@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fascicle.functions.codec import DctCodec, decode, encode
-from fascicle.operators import clustering, evaluation, geometry, mapping, scoring
+from fascicle.operators import clustering, evaluation, geometry, mapping, scoring, search
 from fascicle.schema import ModelSpec
 
 SCALER = 0.08
@@ -79,7 +79,19 @@ def score_nearest(spark, d):
 
 
 def score_two_sided_choice(spark, d):
-    return scoring.score_declared(latents(spark, d), centres(spark, d), SCALER).groupBy("forward").agg(F.count("*").alias("n"), r6(F.avg("score")).alias("mean_score"))
+    return scoring.score(latents(spark, d), centres(spark, d), SCALER).groupBy("forward").agg(F.count("*").alias("n"), r6(F.avg("score")).alias("mean_score"))
+
+
+def knn_centres(spark, d):
+    return search.neighbours(latents(spark, d), centres(spark, d), 3).select("sid", "nth", "label", r6("distance").alias("distance"))
+
+
+def radius_centres(spark, d):
+    return search.neighbours(latents(spark, d), centres(spark, d), None, 3.3, "l1").select("sid", "nth", "label", r6("distance").alias("distance"))
+
+
+def knn_within_radius(spark, d):
+    return search.neighbours(latents(spark, d), centres(spark, d), 2, 0.05, "so2").select("sid", "nth", "label", r6("distance").alias("distance"))
 
 
 def cluster_sizes(spark, d):
@@ -223,7 +235,7 @@ def voxel_median27(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        latent_split, score_nearest, score_two_sided_choice, cluster_sizes, assign_global_anti, cluster_leader, cluster_multi_batch, cluster_splits, batch_quota, random_blocks,
+        latent_split, score_nearest, score_two_sided_choice, knn_centres, radius_centres, knn_within_radius, cluster_sizes, assign_global_anti, cluster_leader, cluster_multi_batch, cluster_splits, batch_quota, random_blocks,
         latent_pair_distances, geometric_pair_distances, evaluation_report, streamline_length, bounding_box, resample_16, flip_points, flatten_points, dct_encode, dct_decode,
         reconstruction_error, model_test, annotate_score_label, count_guard, threshold_scores, weighted_scores, voxel_lengths, voxel_mean_score, voxel_mean27, voxel_median27,
     )

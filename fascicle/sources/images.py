@@ -12,20 +12,24 @@ from fascicle.sources.binary import filesystem
 from fascicle.sources.tracts import _guard
 
 
-def read_grid(path: str) -> tuple[tuple[int, int, int], float, tuple[float, float, float]]:
-    """(shape, voxel size, origin) from a template's header."""
+def read_grid(path: str) -> tuple[tuple[int, int, int], tuple[float, float, float], tuple[float, float, float]]:
+    """(shape, voxel sizes, origin) from a template's header. A grid whose axes are turned against x, y and z is refused."""
     fs, inner = filesystem(path)
     with fs.open_input_stream(inner, compression="gzip" if path.endswith(".gz") else None) as f:
         head = f.read(348)
     dims = struct.unpack_from("<8h", head, 40)
     size = struct.unpack_from("<8f", head, 76)
     rows = [struct.unpack_from("<4f", head, 280 + 16 * i) for i in range(3)]
-    return tuple(int(d) for d in dims[1:4]), float(size[1]), tuple(r[3] - r[i] / 2 for i, r in enumerate(rows))
+    sizes = tuple(float(s) for s in size[1:4])
+    if any(abs(r[c] - (sizes[i] if c == i else 0)) > 1e-4 * sizes[i] for i, r in enumerate(rows) for c in range(3)):
+        raise ValueError(f"{path}: its axes are turned or flipped; a template must run along x, y and z")
+    return tuple(int(d) for d in dims[1:4]), sizes, tuple(r[3] - r[i] / 2 for i, r in enumerate(rows))
 
 
-def write_nifti(voxels: DataFrame, path: str, shape: tuple[int, int, int], size: float, origin: tuple[float, float, float], force: bool = False) -> None:
+def write_nifti(voxels: DataFrame, path: str, shape: tuple[int, int, int], size: float | tuple[float, float, float], origin: tuple[float, float, float], force: bool = False) -> None:
     """Densify sparse voxels on the driver: one float for each voxel of the grid, whatever the input's size."""
     _guard(path, force)
+    sizes = tuple(float(s) for s in np.broadcast_to(size, 3))
     grid = np.zeros(shape, "<f4", order="F")
     for i, j, k, v in voxels.select("i", "j", "k", "value").toLocalIterator():
         if 0 <= i < shape[0] and 0 <= j < shape[1] and 0 <= k < shape[2]:
@@ -34,12 +38,12 @@ def write_nifti(voxels: DataFrame, path: str, shape: tuple[int, int, int], size:
     struct.pack_into("<i", head, 0, 348)
     struct.pack_into("<8h", head, 40, 3, *shape, 1, 1, 1, 1)
     struct.pack_into("<2h", head, 70, 16, 32)
-    struct.pack_into("<8f", head, 76, 1.0, size, size, size, 1, 1, 1, 1)
+    struct.pack_into("<8f", head, 76, 1.0, *sizes, 1, 1, 1, 1)
     struct.pack_into("<f", head, 108, 352.0)
     struct.pack_into("<2h", head, 252, 0, 1)
     for i in range(3):
         row = [0.0] * 4
-        row[i], row[3] = size, origin[i] + size / 2
+        row[i], row[3] = sizes[i], origin[i] + sizes[i] / 2
         struct.pack_into("<4f", head, 280 + 16 * i, *row)
     head[344:348] = b"n+1\0"
     fs, inner = filesystem(path)

@@ -1,3 +1,5 @@
+import struct
+
 import numpy as np
 import pytest
 
@@ -61,7 +63,15 @@ def test_image_file(spark, tmp_path):
         path = str(tmp_path / name)
         images.write_nifti(v, path, (2, 3, 4), 1.5, (1.0, 2.0, 3.0))
         shape, size, origin = images.read_grid(path)
-        assert (shape, size) == ((2, 3, 4), 1.5) and np.allclose(origin, (1, 2, 3))
+        assert (shape, size) == ((2, 3, 4), (1.5, 1.5, 1.5)) and np.allclose(origin, (1, 2, 3))
+    images.write_nifti(v, path, (2, 3, 4), (1.0, 2.0, 0.5), (1.0, 2.0, 3.0), force=True)
+    shape, size, origin = images.read_grid(path)
+    assert size == (1.0, 2.0, 0.5) and np.allclose(origin, (1, 2, 3))
+    turned = bytearray((tmp_path / "a.nii").read_bytes())
+    struct.pack_into("<f", turned, 280, -1.5)
+    (tmp_path / "turned.nii").write_bytes(bytes(turned))
+    with pytest.raises(ValueError, match="turned"):
+        images.read_grid(str(tmp_path / "turned.nii"))
 
 
 def test_commands(spark, tmp_path):

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fascicle.functions.codec import DctCodec, decode, encode
-from fascicle.operators import clustering, evaluation, geometry, mapping, scoring
+from fascicle.operators import clustering, evaluation, geometry, mapping, scoring, search
 from fascicle.schema import CENTRE, LATENT, STREAMLINE, ModelSpec, split_size
 
 
@@ -63,9 +63,8 @@ def latents(spark, fwd, rev=None):
 def test_scores_ties_and_no_centres(spark):
     x = latents(spark, [[0, 0], [2, 0]], [[5, 5], [0, 0]])
     c = spark.createDataFrame([(2, [0.0, 0.0], [0.0, 0.0]), (1, [4.0, 0.0], [0.0, 0.0])], CENTRE)
-    for f in (scoring.score, scoring.score_declared):
-        got = {r["sid"]: (r["score"], r["label"], r["forward"]) for r in f(x, c, 0.5).collect()}
-        assert got == {0: (0.0, 2, True), 1: (0.0, 2, False)}
+    got = {r["sid"]: (r["score"], r["label"], r["forward"]) for r in scoring.score(x, c, 0.5).collect()}
+    assert got == {0: (0.0, 2, True), 1: (0.0, 2, False)}
     same = spark.createDataFrame([(1, [1.0, 0.0], [0.0, 0.0]), (2, [-1.0, 0.0], [0.0, 0.0])], CENTRE)
     assert {r["label"] for r in scoring.score(latents(spark, [[0, 0]]), same).collect()} == {1}
     assert scoring.score(x, c.where("false")).select("score", "label").distinct().collect() == [(None, None)]
@@ -144,6 +143,49 @@ def test_random_batches(spark):
     assert key(a) == key(clustering.random_batches(x, 25, 2, seed=5, block=10))
 
 
+@pytest.mark.parametrize("metric", ["l1", "l2", "so2"])
+def test_searches_against_all_distances(spark, monkeypatch, metric):
+    rng = np.random.default_rng(4)
+    x, c = rng.integers(-3, 4, size=(20, 3)).astype(float), rng.integers(-3, 4, size=(9, 3)).astype(float)
+    points = spark.createDataFrame([(i + 1, r.tolist(), r.tolist()) for i, r in enumerate(c)], CENTRE)
+    gap = x[:, None] - c[None]
+    angle = np.abs(gap[..., 2])
+    d = {"l1": np.abs(gap).sum(2), "l2": (gap**2).sum(2), "so2": np.minimum(angle, np.abs(2 * np.pi - angle))}[metric]
+    # Slices of two points: ties meet across slices.
+    monkeypatch.setattr(scoring, "SLICE_NUMBERS", 6)
+    for k, radius in ((3, None), (None, 2.0), (2, 2.0)):
+        want = set()
+        for i, row in enumerate(d):
+            near = [j for j in np.argsort(row, kind="stable") if radius is None or row[j] < radius][:k]
+            want |= {(i, n + 1, int(j) + 1, round(float(row[j]), 9)) for n, j in enumerate(near)}
+        got = search.neighbours(latents(spark, x), points, k, radius, metric).collect()
+        assert {(r["sid"], r["nth"], r["label"], round(r["distance"], 9)) for r in got} == want
+
+
+def test_points_come_and_go(spark):
+    points = spark.createDataFrame([(1, [0.0], [0.0]), (2, [5.0], [5.0])], CENTRE)
+    more = search.add(search.remove(points, points.where("label = 1")), spark.createDataFrame([(3, [4.0], [4.0])], CENTRE))
+    assert {r["label"] for r in more.collect()} == {2, 3}
+    with pytest.raises(Exception, match="two points of label 2"):
+        search.add(points, points.where("label = 2")).collect()
+    x = latents(spark, [[1.0]])
+    assert [r["label"] for r in search.neighbours(x, more).collect()] == [3]
+    assert search.neighbours(x, more.where("false")).collect() == []
+    with pytest.raises(ValueError, match="positive"):
+        search.neighbours(x, points, None)
+
+
+def test_voxels_with_a_size_for_each_axis(spark):
+    df = lines(spark, [(0, 0.5, 0.5), (4, 0.5, 0.5)], [(0, 0.5, 2.5), (0, 0.5, 9.5)])
+    got = {(r["i"], r["j"], r["k"]): r["length"] for r in mapping.voxelise(df, (2.0, 1.0, 5.0)).collect()}
+    assert got == {(0, 0, 0): pytest.approx(4.5), (1, 0, 0): pytest.approx(2.0), (0, 0, 1): pytest.approx(4.5)}
+
+
+def test_voxels_far_apart(spark):
+    df = lines(spark, [(0.5, 0.5, 0.5), (1.5, 0.5, 0.5)], [(3e7, 3e7, 3e7), (3e7 + 1, 3e7, 3e7)])
+    assert mapping.voxelise(df.coalesce(1), 1.0).agg(F.sum("length")).first()[0] == pytest.approx(2.0)
+
+
 def test_voxels(spark):
     df = lines(spark, [(0.5, 0.5, 0.5), (1.5, 0.5, 0.5)], [(0.1, 0.2, 0.3), (5.3, 7.1, 2.2), (-3.0, 0.0, 1.0)], [(1, 1, 1)], [])
     got = {(r["i"], r["j"], r["k"]): r["length"] for r in mapping.voxelise(df.where("sid = 0"), 1.0).collect()}
