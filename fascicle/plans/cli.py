@@ -1,6 +1,6 @@
 """The command line: encode, decode, findClusterCenters, score, toTrack, toImg, modelTest.
 
-``python -m fascicle.plans.cli COMMAND ...``. Failures raise, so the exit code tells.
+``python -m fascicle.plans.cli COMMAND ...``. Failures raise, so the exit code tells. Without a command the help is shown.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def _jobs(spark, args, patterns: list[str], ending: str) -> list[tuple[str, str]
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("fascicle", description=__doc__)
-    sub = top.add_subparsers(dest="command", required=True)
+    sub = top.add_subparsers(dest="command")
 
     def command(name, run, *positional, model=True):
         p = sub.add_parser(name)
@@ -165,6 +165,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
+    if not args.command:
+        parser().print_help()
+        return
     cores = args.numberOfThreads or "*"
     spark = SparkSession.builder.master(f"local[{cores}]").appName("fascicle").getOrCreate() if not SparkSession.getActiveSession() else SparkSession.getActiveSession()
     if args.verbose not in VERBOSITY:

@@ -74,6 +74,11 @@ def test_image_file(spark, tmp_path):
         images.read_grid(str(tmp_path / "turned.nii"))
 
 
+def test_without_a_command_help_is_shown(capsys):
+    cli.main([])
+    assert "findClusterCenters" in capsys.readouterr().out
+
+
 def test_commands(spark, tmp_path):
     rng = np.random.default_rng(0)
     lines = [(i, [tuple(map(float, p)) for p in np.cumsum(rng.normal(size=(12, 3)), 0)]) for i in range(12)]
