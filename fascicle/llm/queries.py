@@ -78,6 +78,12 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.hits(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fascicle.llm import exact
+
+    return exact.groups(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_jaccard": op2_jaccard,
@@ -89,6 +95,7 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_repeats": op9_repeats,
     "op10_decontam": op10_decontam,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -129,4 +136,12 @@ ORACLE_SQL: dict[str, str] = {
                false as rewrites_history
         from rows group by conv_id
     """,
+    "op12_exact_dedup": """
+        select doc_id,
+               max(doc_id) over same as keep_id,
+               count(*) over same as group_size,
+               row_number() over (partition by coalesce("text", '') order by doc_id desc nulls last) = 1 as kept,
+               sha256(coalesce("text", '')) as text_sha256
+        from documents window same as (partition by coalesce("text", ''))
+    """,
 }
