@@ -78,6 +78,12 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.hits(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fascicle.llm import divergence
+
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fascicle.llm import exact
 
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_repeats": op9_repeats,
     "op10_decontam": op10_decontam,
+    "op11_divergence": op11_divergence,
     "op12_exact_dedup": op12_exact_dedup,
 }
 
@@ -136,6 +143,47 @@ ORACLE_SQL: dict[str, str] = {
                false as rewrites_history
         from rows group by conv_id
     """,
+    "op11_divergence": r"""
+        with docs as (
+            select row_number() over () as d, coalesce(lang, '') as lang, coalesce("source", '') as source,
+                   regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+            from documents
+        ), grp as (
+            select distinct lang, source from docs
+        ), tok as (
+            select d, lang, source, unnest(w) as term from docs
+        ), cnt as (
+            select lang, source, term, count(*) as n, count(distinct d) as docs from tok group by lang, source, term
+        ), kept as (
+            select lang, term, sum(n) as total from cnt group by lang, term having sum(docs) >= 30
+        ), v as (
+            select lang, count(*) as terms, sum(total) as whole from kept group by lang
+        ), own as (
+            select lang, source, sum(n) as own from cnt join kept using (lang, term) group by lang, source
+        ), p as (
+            select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+                   1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (coalesce(o.own, 0) + 5 * v.terms) as p,
+                   1 + (1000000000::hugeint * (k.total + 5)) // (v.whole + 5 * v.terms) as q
+            from grp g join kept k using (lang) join v using (lang)
+            left join own o on o.lang = g.lang and o.source = g.source
+            left join cnt c on c.lang = g.lang and c.source = g.source and c.term = k.term
+        ), dist as (
+            select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+            from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source
+        ), pairs as (
+            select a.lang, a.source, b.source as item, coalesce(d.value, 0) as value
+            from grp a join grp b on a.lang = b.lang and a.source <> b.source
+            left join dist d on d.lang = a.lang and d.source = a.source and d.item = b.source
+        ), ranked as (
+            select lang, source, 'pair' as part, item, value from pairs
+            union all
+            select lang, source, 'term', term, p - q from p where n > 0 and p > q
+        ), out as (
+            select lang, source, part, item, cast(value as bigint) as value,
+                   cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as int) as rank from ranked
+        )
+        select * from out where part = 'pair' or rank <= 50
+    """,
     "op12_exact_dedup": """
         select doc_id,
                max(doc_id) over same as keep_id,
