@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import cut, partitions, text_of, trim
+from fascicle.llm.common import cut, partitions, slices, text_of, trim
 
 #: Distinct text and rows that a task collapses at a time before they are dealt.
-WINDOW_BYTES, WINDOW_ROWS = 16 << 20, 1 << 17
+WINDOW_BYTES, WINDOW_ROWS = 8 << 20, 1 << 16
 #: Distinct text that a bucket's table holds; what comes after is spilled.
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 64 << 20
 #: Compressed text that is meant for one bucket.
 BUCKET_BYTES = 16 << 20
 
@@ -100,20 +100,21 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             groups[n].append(base + i)
         base += b.num_rows
         if table.bytes >= WINDOW_BYTES or base >= WINDOW_ROWS:
-            yield _records(number, table, groups, tops, rows, kind)
+            yield from _records(number, table, groups, tops, rows, kind)
             number += len(groups)
             table, groups, tops, rows, base = ContentTable(), [], [], [], 0
     if groups:
-        yield _records(number, table, groups, tops, rows, kind)
+        yield from _records(number, table, groups, tops, rows, kind)
     trim()
 
 
-def _records(number: int, table: ContentTable, groups: list[list[int]], tops: list[tuple], rows: list[pa.Array], kind: pa.DataType) -> pa.RecordBatch:
+def _records(number: int, table: ContentTable, groups: list[list[int]], tops: list[tuple], rows: list[pa.Array], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The window's records, in batches of about a megabyte: larger ones would stay in the JVM's buffers."""
     sizes = np.array([len(g) for g in groups])
     order = np.concatenate([np.array(g) for g in groups])
     members = pa.concat_arrays(rows).take(pa.array(order))
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), members)
-    return pa.RecordBatch.from_arrays(
+    whole = pa.RecordBatch.from_arrays(
         [
             pa.array(np.arange(number, number + len(groups))),
             pa.array(table.hashes, pa.int64()),
@@ -126,6 +127,8 @@ def _records(number: int, table: ContentTable, groups: list[list[int]], tops: li
         ],
         ["record", "hash", "text", "rows", "top", "at", "n", "sha"],
     )
+    for start, end in slices(whole.column("text")):
+        yield whole.slice(start, end - start)
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +158,8 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = None
     for s in range(0, len(records), 4096):
         out = [(r, tops[g][0], sizes[g], r == tops[g][1]) for g in range(s, min(s + 4096, len(records))) for r in records[g]]
-        for t in range(0, len(out), 1 << 16):
-            settled = [pa.array(c, k) for c, k in zip(zip(*out[t : t + (1 << 16)]), (pa.int64(), kind, pa.int64(), pa.bool_()))]
+        for t in range(0, len(out), 1 << 14):
+            settled = [pa.array(c, k) for c, k in zip(zip(*out[t : t + (1 << 14)]), (pa.int64(), kind, pa.int64(), pa.bool_()))]
             empty = [pa.nulls(len(settled[0]), k) for k in (pa.int64(), pa.binary(), pa.int64(), kind)]
             yield pa.RecordBatch.from_arrays([*settled, *empty], _SETTLED)
     trim()
