@@ -90,6 +90,12 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(documents(spark, sf_dir))
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fascicle.llm import codebooks
+
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_jaccard": op2_jaccard,
@@ -103,8 +109,23 @@ QUERIES = {
     "op10_decontam": op10_decontam,
     "op11_divergence": op11_divergence,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_codes": op13_codes,
 }
 
+
+def _rounds(n: int) -> str:
+    """Lloyd's rounds over ``parts``, one after another: ``b`` are codebooks, ``a`` nearest entries with their distances."""
+    d2 = "list_sum(list_transform(list_zip(p.x, b.x), lambda q: (q[1] - q[2]) * (q[1] - q[2])))"
+    near = "a{0} as materialized (select rid, j, arg_min(e, (d, e)) as e, min(d) as d from (select rid, p.j, e, {1} as d from parts p join b{0} b on p.j = b.j) group by rid, j)"
+    # The floor of a quotient, also below zero.
+    floor = "(s - ((s % n) + n) % n) // n"
+    moved = (
+        "m{0} as materialized (select j, e, list(cast({2} as bigint) order by i) as x from (select a.j, a.e, i, sum(p.x[i]) as s, count(*) as n from a{1} a join parts p using (rid, j), range(1, 9) t(i) group by a.j, a.e, i) group by j, e), "
+        "b{0} as materialized (select b.j, b.e, coalesce(m.x, b.x) as x from b{1} b left join m{0} m using (j, e))"
+    )
+    return ", ".join([near.format(0, d2), *(", ".join([moved.format(r, r - 1, floor), near.format(r, d2)]) for r in range(1, n + 1))])
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard": r"""
         with recursive toks as (
@@ -192,4 +213,21 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce("text", '')) as text_sha256
         from documents window same as (partition by coalesce("text", ''))
     """,
+    "op13_codes": f"""
+        with kept as (
+            select row_number() over (order by vec_id nulls last, embedding) as rid, vec_id, "label",
+                   list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as v
+            from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), parts as materialized (
+            select rid, j, v[8 * j + 1 : 8 * j + 8] as x from kept, range(0, 8) t(j)
+        ), b0 as materialized (
+            select j, cast(rid - 1 as int) as e, x from parts where rid <= 16
+        ), {_rounds(6)}, rows as (
+            select rid, string_agg(printf('%02x', cast(e as int)), '' order by j) as code, cast(sum(d) as bigint) as error from a6 group by rid
+        ), sha as (
+            select sha256(string_agg(array_to_string(x, ','), ',' order by j, e)) as codebooks_sha256 from b6
+        )
+        select vec_id, code, error, cast(sum(error) over (partition by "label") as bigint) as label_error, codebooks_sha256
+        from kept join rows using (rid), sha
+    """,
 }
