@@ -24,7 +24,7 @@ vector of the smallest key, are dropped. That length must be a multiple of ``PAR
 Null keys come last. Repeated rows count each time. With fewer vectors than entries,
 codebooks have as many entries as vectors. An empty table gives an empty result.
 Components of any finite size are exact (beyond doubles' whole numbers by plain scans
-of Python's integers); an error beyond 64 bits is null. Only the columns named are read.
+of Python's integers); an error or a label's sum beyond 64 bits is null. Only the columns named are read.
 """
 
 from __future__ import annotations
@@ -354,7 +354,7 @@ def compress(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     """(``key``, code, error, label_error, codebooks_sha256) of every kept row; equal labels share their summed error, nulls together."""
     books, coded = train(vectors, key, vector, label)
     # Summed in the task before the shuffle; a label with many rows is one row here.
-    shared = coded.groupBy(F.col("label").alias("same")).agg(F.sum(F.col("error").cast("decimal(38,0)")).cast("long").alias("label_error"))
+    shared = coded.groupBy(F.col("label").alias("same")).agg(F.when(F.count("*") == F.count("error"), F.sum(F.col("error").cast("decimal(38,0)")).try_cast("long")).alias("label_error"))
     out = coded.join(shared, F.col("label").eqNullSafe(F.col("same")))
     return out.select(F.col("key").alias(key), "code", "error", "label_error", F.lit(books.sha256).alias("codebooks_sha256"))
 

@@ -131,44 +131,48 @@ def _records(number: int, table: ContentTable, groups: list[list[int]], tops: li
         yield whole.slice(start, end - start)
 
 
-def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket(most: int):
     """A bucket's records through its table: (record, keep, size, holds) of those that are settled, (record, hash, text, n, top) of those that are spilled."""
-    table, records, tops, sizes, full, kind = ContentTable(), [], [], [], False, None
-    for b in batches:
-        late, kind = [], b.column("top").type
-        for i, (record, h, text, n, top) in enumerate(zip(*(b.column(c).to_pylist() for c in ("record", "hash", "text", "n", "top")))):
-            at = table.find(h, text)
-            if at < 0:
-                if full:  # for good: no copy of a spilled text may enter later
-                    late.append(i)
-                    continue
-                at = table.add(-1 - at, h, text)
-                records.append([])
-                tops.append((None, record))
-                sizes.append(0)
-                full = table.bytes >= TABLE_BYTES
-            records[at].append(record)
-            sizes[at] += n
-            if top is not None and (tops[at][0] is None or top > tops[at][0]):
-                tops[at] = (top, record)
-        if late:
-            spilled = b.take(pa.array(late))
-            empty = [pa.nulls(len(late), t) for t in (kind, pa.int64(), pa.bool_())]
-            yield pa.RecordBatch.from_arrays([spilled.column("record"), *empty, *(spilled.column(c) for c in ("hash", "text", "n", "top"))], _SETTLED)
-    table = None
-    for s in range(0, len(records), 4096):
-        out = [(r, tops[g][0], sizes[g], r == tops[g][1]) for g in range(s, min(s + 4096, len(records))) for r in records[g]]
-        for t in range(0, len(out), 1 << 14):
-            settled = [pa.array(c, k) for c, k in zip(zip(*out[t : t + (1 << 14)]), (pa.int64(), kind, pa.int64(), pa.bool_()))]
-            empty = [pa.nulls(len(settled[0]), k) for k in (pa.int64(), pa.binary(), pa.int64(), kind)]
-            yield pa.RecordBatch.from_arrays([*settled, *empty], _SETTLED)
-    trim()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, records, tops, sizes, full, kind = ContentTable(), [], [], [], False, None
+        for b in batches:
+            late, kind = [], b.column("top").type
+            for i, (record, h, text, n, top) in enumerate(zip(*(b.column(c).to_pylist() for c in ("record", "hash", "text", "n", "top")))):
+                at = table.find(h, text)
+                if at < 0:
+                    if full:  # for good: no copy of a spilled text may enter later
+                        late.append(i)
+                        continue
+                    at = table.add(-1 - at, h, text)
+                    records.append([])
+                    tops.append((None, record))
+                    sizes.append(0)
+                    full = table.bytes >= most
+                records[at].append(record)
+                sizes[at] += n
+                if top is not None and (tops[at][0] is None or top > tops[at][0]):
+                    tops[at] = (top, record)
+            if late:
+                spilled = b.take(pa.array(late))
+                empty = [pa.nulls(len(late), t) for t in (kind, pa.int64(), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([spilled.column("record"), *empty, *(spilled.column(c) for c in ("hash", "text", "n", "top"))], _SETTLED)
+        table = None
+        for s in range(0, len(records), 4096):
+            out = [(r, tops[g][0], sizes[g], r == tops[g][1]) for g in range(s, min(s + 4096, len(records))) for r in records[g]]
+            for t in range(0, len(out), 1 << 14):
+                settled = [pa.array(c, k) for c, k in zip(zip(*out[t : t + (1 << 14)]), (pa.int64(), kind, pa.int64(), pa.bool_()))]
+                empty = [pa.nulls(len(settled[0]), k) for k in (pa.int64(), pa.binary(), pa.int64(), kind)]
+                yield pa.RecordBatch.from_arrays([*settled, *empty], _SETTLED)
+        trim()
+
+    return run
 
 
 _SETTLED = ["record", "keep", "size", "holds", "hash", "text", "n", "top"]
 
 
-def _verdicts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+def _verdicts(docs: DataFrame, key: str, text: str, table_bytes: int) -> tuple[DataFrame, DataFrame]:
     """The records of :func:`_collapse`, written, and for each its (record, keep, size, holds)."""
     kind = docs.schema[key].dataType.simpleString()
     content = text_of(text).cast("binary")
@@ -179,7 +183,7 @@ def _verdicts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     left, settled, level = records.select("record", "hash", "text", "n", "top"), None, 0
     while True:
         dealt = left.repartition(partitions(left, BUCKET_BYTES), F.xxhash64("hash", F.lit(level)))
-        done = cut(dealt.mapInArrow(_bucket, f"record long, keep {kind}, size long, holds boolean, hash long, text binary, n long, top {kind}"))
+        done = cut(dealt.mapInArrow(_bucket(table_bytes), f"record long, keep {kind}, size long, holds boolean, hash long, text binary, n long, top {kind}"))
         own = done.where(F.col("text").isNull()).select("record", "keep", "size", "holds")
         settled = own if settled is None else settled.unionByName(own)
         left, level = done.where(F.col("text").isNotNull()).select("record", "hash", "text", "n", "top"), level + 1
@@ -187,17 +191,17 @@ def _verdicts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
             return records, settled
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """(``key``, keep_id, group_size, kept, text_sha256) of every row, dropped ones too."""
-    records, settled = _verdicts(docs.select(key, text), key, text)
+    records, settled = _verdicts(docs.select(key, text), key, text, table_bytes)
     rows = records.select("record", "rows", "at", "sha").join(settled, "record")
     rows = rows.select(F.posexplode("rows").alias("pos", "row"), "at", "sha", "keep", "size", "holds")
     return rows.select(F.col(f"row.own.`{key}`").alias(key), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), (F.col("holds") & (F.col("pos") == F.col("at"))).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows that stay, with all their columns as they were."""
-    records, settled = _verdicts(docs, key, text)
+    records, settled = _verdicts(docs, key, text, table_bytes)
     stay = records.join(settled.where("holds").select("record"), "record").select("text", F.get("rows", F.col("at")).alias("row"))
     whole = F.when(~F.col("row.none"), F.col("text").cast("string"))
     return stay.select(*(whole.alias(c) if c == text else F.col(f"row.own.`{c}`").alias(c) for c in docs.columns))
