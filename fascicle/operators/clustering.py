@@ -7,24 +7,37 @@ compared with the centre's forward or reversed code. Distances must be strictly
 the limit to match.
 
 Batches are taken from all sources in proportion. In each, one distributed pass drops
-what existing centres cover; the rest goes in splits of bounded size, which run one
-after another because each depends on the last.
+what existing centres cover. What is left is a graph: an edge goes from a row to each
+later row that it matches, by rule L inside a split and by G between splits. The rows
+that one thread would keep are the lexicographically first maximal independent set of
+it, which is found by rounds: a row goes when an earlier match is kept, and stays when
+all its earlier matches have gone. Edges are made in blocks, for a prefix of the rows
+at a time, whose centres then clear the rows after it.
+
+A row whose codes are null or hold null or non-finite numbers is not clustered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fascicle.operators import scoring
-from fascicle.operators.scoring import matrix, nearest
-from fascicle.plans.durable import materialise, with_rank
+from fascicle.operators import metric, scoring
+from fascicle.operators.metric import matrix, nearest
+from fascicle.plans.durable import discard, materialise, ranked, with_rank
 from fascicle.schema import CENTRE, split_size
 
+#: Rows of a first prefix and of any, edges that a prefix is meant to have, edges that are settled in one block by the driver.
+PREFIX, MOST, EDGES, EDGES_HERE = 4096, 1 << 20, 16_000_000, 1_000_000
+#: Prefixes of so many rows are met block by block; larger ones by cells.
+BLOCKS_ONLY = 16_384
+
 
 def batch_quotas(counts: list[int], batch_size: int) -> list[int]:
     """Rows of each source in a batch: in proportion, one at least, then one up or down source by source until the sum is right."""
@@ -46,22 +59,22 @@ def batch_quotas(counts: list[int], batch_size: int) -> list[int]:
 
 def with_batches(latents: DataFrame, batch_size: int, source: str = "src", key: str = "sid") -> DataFrame:
     """``latents`` with ``batch_id``: each batch holds the next rows of every source, in proportion to the sources' counts."""
-    counts = sorted((r[0], r[1]) for r in latents.groupBy(source).count().collect())
+    # Nulls first, as they are ranked.
+    counts = sorted(((r[0], r[1]) for r in latents.groupBy(source).count().collect()), key=lambda r: (r[0] is not None, r[0]))
     quotas = batch_quotas([n for _, n in counts], batch_size)
     if not counts:
         return latents.withColumn("quota", F.lit(0).cast("long")).withColumn("batch_id", F.lit(0))
     # Positions come from parts sorted side by side: a source of all rows is no task's own.
-    ranked = with_rank(latents, source, key, name="__rank")
+    placed = with_rank(latents, source, key, name="__rank")
     begins = np.concatenate([[0], np.cumsum([n for _, n in counts])]).tolist()
-    table = latents.sparkSession.createDataFrame([(s, q, b) for (s, _), q, b in zip(counts, quotas, begins)], f"`{source}` {latents.schema[source].dataType.simpleString()}, quota long, __begin long")
+    table = latents.sparkSession.createDataFrame([(s, q, b) for (s, _), q, b in zip(counts, quotas, begins)], f"__source {latents.schema[source].dataType.simpleString()}, quota long, __begin long")
     nth = F.col("__rank") - F.col("__begin")
-    return ranked.join(F.broadcast(table), source).withColumn("batch_id", F.floor(nth / F.col("quota")).cast("int")).drop("__rank", "__begin")
+    return placed.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("__source"))).drop("__source").withColumn("batch_id", F.floor(nth / F.col("quota")).cast("int")).drop("__rank", "__begin")
 
 
 def random_batches(latents: DataFrame, batch_size: int, batches: int, seed: int, block: int = 1000, key: str = "sid", source: str | None = None) -> DataFrame:
     """Batches of runs of ``block`` rows, with replacement. A run's start is drawn from the first 60 bits of the digest of its seed, batch and number."""
-    ranked = with_rank(latents, *([source] if source else []), key)
-    total = ranked.count()
+    placed, total = ranked(latents, *([source] if source else []), key)
     runs = -(-batch_size // block)
     table = latents.sparkSession.range(batches * runs).select((F.col("id") / runs).cast("int").alias("batch_id"), (F.col("id") % runs).cast("int").alias("run"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "batch_id", "run").cast("binary")), 1, 15), 16, 10).cast("long")
@@ -69,55 +82,182 @@ def random_batches(latents: DataFrame, batch_size: int, batches: int, seed: int,
     # The rows of each run by position; runs past the end go on at the beginning.
     wanted = table.select("batch_id", "run", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("i"), "start")
     wanted = wanted.select("batch_id", "run", "i", ((F.col("start") + F.col("i")) % max(total, 1)).alias("rank")).where(F.col("run") * block + F.col("i") < batch_size)
-    return wanted.join(ranked, "rank").drop("rank")
+    return wanted.join(placed, "rank").drop("rank")
+
+
+@dataclass
+class Known:
+    """Centres that rows are held against: arrays as long as they may travel with a task, tables (rank, split, z_fwd, z_rev) beyond."""
+
+    pieces: list[pa.Table | DataFrame] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.carried = all(isinstance(p, pa.Table) for p in self.pieces)
+        held = [p for p in self.pieces if isinstance(p, pa.Table) and p.num_rows]
+        if self.carried and held:
+            t = pa.concat_tables(held)
+            self.split = t.column("split").to_numpy()
+            self.fwd, self.rev = (matrix(t.column(c).combine_chunks()) for c in ("z_fwd", "z_rev"))
+
+    @property
+    def empty(self) -> bool:
+        return self.carried and not any(p.num_rows for p in self.pieces)
+
+    def room(self, rows: int, width: int) -> bool:
+        """Whether so many more may travel too."""
+        return self.carried and 2 * (0 if self.empty else self.fwd.size) + 2 * rows * width <= scoring.SLICE_NUMBERS
 
+    def with_(self, pieces: list[pa.Table | DataFrame]) -> Known:
+        """And further ones, of other batches than the rows to come."""
+        away = [p.set_column(p.column_names.index("split"), "split", pa.array(np.full(p.num_rows, ELSEWHERE))) if isinstance(p, pa.Table) else p.withColumn("split", F.lit(ELSEWHERE).cast("long")) for p in pieces]
+        return Known(self.pieces + away)
 
-def uncovered(latents: DataFrame, centres: np.ndarray, limit2: float) -> DataFrame:
-    """Rows that no centre's forward code matches, by rule G. Rows stream by the centres slice by slice."""
-    step = max(1, scoring.SLICE_NUMBERS // centres.shape[1]) if len(centres) else 1
-    for s in range(0, len(centres), step):
-        latents = _uncovered(latents, centres[s : s + step], limit2)
-    return latents
+    def table(self, spark: SparkSession) -> DataFrame:
+        own = [spark.createDataFrame(p.select(_NAMES), _ROW) if isinstance(p, pa.Table) else p.select(_NAMES) for p in self.pieces]
+        return functools.reduce(DataFrame.unionByName, own)
 
 
-def _uncovered(latents: DataFrame, centres: np.ndarray, limit2: float) -> DataFrame:
-    at = [latents.columns.index(c) for c in ("z_fwd", "z_rev")]
+#: No split's number: centres that every row meets by rule G.
+ELSEWHERE = -1
+_ROW = "rank long, split long, z_fwd array<double>, z_rev array<double>"
+_NAMES = [c.split()[0] for c in _ROW.split(", ")]
+
+
+def _rule(own: np.ndarray, tag: np.ndarray, other: np.ndarray, other_tag: np.ndarray) -> np.ndarray:
+    """Tags are twice the split, and one more for a reversed code. Forward codes meet by both rules, the row's reversed code by G, the centre's by L."""
+    rev, other_rev, same = tag & 1 == 1, other_tag & 1 == 1, tag >> 1 == other_tag >> 1
+    return ~rev & ~other_rev | rev & ~other_rev & ~same | ~rev & other_rev & same
+
+
+def _codes(rows: DataFrame) -> DataFrame:
+    """Two points a row, (id, tag, z)."""
+    side = lambda k, c: F.struct((F.col("split") * 2 + k).alias("tag"), F.col(c).alias("z"))
+    return rows.select(F.col("rank").alias("id"), F.explode(F.array(side(0, "z_fwd"), side(1, "z_rev"))).alias("c")).select("id", "c.tag", "c.z")
+
+
+def _open(rows: DataFrame, known: Known, limit: float) -> DataFrame:
+    """The rows (rank, split, z_fwd, z_rev, ranks unique) that no known centre matches."""
+    if known.empty:
+        return rows
+    if not known.carried:
+        cells, placed = metric.build(_codes(known.table(rows.sparkSession)))
+        hit = metric.pairs(_codes(rows), cells, placed, limit, _rule)
+        return rows.join(hit.select(F.col("id").alias("rank")).distinct(), "rank", "left_anti")
+    split, fwd, rev, limit2 = known.split, known.fwd, known.rev, limit * limit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                far = np.logical_and(*(nearest(matrix(b.column(i)), centres)[0] >= limit2 for i in at))
-                yield b.filter(pa.array(far))
+            if not b.num_rows:
+                continue
+            x, y, own = matrix(b.column("z_fwd"), fwd.shape[1]), matrix(b.column("z_rev"), fwd.shape[1]), b.column("split").to_numpy()
+            far = nearest(x, fwd)[0] >= limit2
+            for s in np.unique(own[far]):
+                mine, here = np.flatnonzero(far & (own == s)), split == s
+                far[mine] &= (nearest(y[mine], fwd[~here])[0] >= limit2) & (nearest(x[mine], rev[here])[0] >= limit2)
+            yield b.filter(pa.array(far))
+
+    return rows.mapInArrow(run, rows.schema)
+
 
-    return latents.mapInArrow(run, latents.schema)
+def uncovered(latents: DataFrame, centres: DataFrame, limit2: float) -> DataFrame:
+    """Rows that no centre's forward code matches, by rule G."""
+    kept = centres.select(F.lit(0).cast("long").alias("rank"), F.lit(ELSEWHERE).cast("long").alias("split"), *(F.col(c).cast("array<double>").alias(c) for c in ("z_fwd", "z_rev")))
+    n, width = kept.agg(F.count("*"), F.max(F.size("z_fwd"))).first()
+    known = Known([kept.toArrow() if Known().room(n, width or 0) else kept])
+    rows = latents.withColumn("split", F.lit(0).cast("long"))
+    return _open(_numbered(rows, known), known, limit2**0.5).select(latents.columns)
 
 
-def leaders(fwd: np.ndarray, rev: np.ndarray, limit2: float) -> list[int]:
-    """Positions that stay centres within a split, by rule L."""
-    kept: list[int] = []
-    held_fwd, held_rev = np.empty_like(fwd), np.empty_like(rev)
-    for i in range(len(fwd)):
-        n = len(kept)
-        if n and (((held_fwd[:n] - fwd[i]) ** 2).sum(1).min() < limit2 or ((held_rev[:n] - fwd[i]) ** 2).sum(1).min() < limit2):
-            continue
-        held_fwd[n], held_rev[n] = fwd[i], rev[i]
-        kept.append(i)
-    return kept
+def _numbered(rows: DataFrame, known: Known) -> DataFrame:
+    """Rows with a number each in ``rank``; written if they are to be found again by it."""
+    out = rows.withColumn("rank", F.monotonically_increasing_id())
+    return out if known.carried else materialise(out)
 
 
-def find_centers(latents: DataFrame, max_dist: float, scaler: float = 1.0, batch_size: int = 1_000_000, key: str = "sid", source: str | None = None, max_iteration: int | None = None, shuffle_seed: int | None = None, split=split_size, random_seed: int | None = None, mini_batch: int = 1000) -> DataFrame:
+def settle(later: np.ndarray, earlier: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One block of edges: (rows, kept or not) of all that can be told. ``state`` of the earlier row: 1 kept, 0 dropped, -1 open.
+
+    A row is dropped once an earlier one that matches it is kept, and kept once all of
+    them are dropped. Rows are taken in order, so that a chain inside a block is told in
+    one go.
+    """
+    order = np.lexsort((earlier, later))
+    told: dict[int, bool] = {}
+    i = 0
+    later, earlier, state = later[order].tolist(), earlier[order].tolist(), state[order].tolist()
+    while i < len(later):
+        row, kept, sure = later[i], True, True
+        while i < len(later) and later[i] == row:
+            of = state[i] if state[i] >= 0 else told.get(earlier[i], -1)
+            kept &= of != 1
+            sure &= of != -1
+            i += 1
+        if sure or not kept:
+            told[row] = kept
+    return np.array(list(told), np.int64), np.array(list(told.values()), bool)
+
+
+def dropped(edges: DataFrame, block: int, here: int, most: int) -> tuple[DataFrame, int, int]:
+    """The rows that lose, of all that have an edge (id, other) to an earlier match, the count of edges, ``most`` at most, and the rounds it took.
+
+    Rounds go over blocks of consecutive rows side by side; in each, a block tells what
+    follows from what is told so far. A round tells the first open row and whatever
+    hangs on it in its block, so there are at most as many rounds as blocks. Up to
+    ``here`` edges are one block, which the driver settles.
+    """
+    spark = edges.sparkSession
+    n = most
+    if most > here:
+        edges = materialise(edges)
+        n = edges.count()
+    if n <= here:
+        t = edges.toArrow()
+        i, c = (t.column(k).to_numpy() for k in ("id", "other"))
+        state = np.where(np.isin(c, i), -1, 1)
+        rows, kept = settle(i, c, state)
+        discard(edges)
+        return spark.createDataFrame(pa.table({"rank": rows[~kept]}), "rank long"), len(i), 1
+    free = edges.select(F.col("id").alias("other"), F.lit(-1).alias("state")).distinct()
+    # An earlier row without an edge of its own stays.
+    open_ = materialise(edges.distinct().join(free, "other", "left").select("id", "other", F.coalesce("state", F.lit(1)).alias("state"), F.floor(F.col("id") / block).alias("block")))
+    lost, rounds = None, 0
+
+    def run(t: pa.Table) -> pa.Table:
+        rows, kept = settle(*(t.column(c).to_numpy() for c in ("id", "other", "state")))
+        return pa.table({"id": rows, "kept": kept})
+
+    while True:
+        told = materialise(open_.groupBy("block").applyInArrow(run, "id long, kept boolean"))
+        rounds += 1
+        mine = told.where(~F.col("kept")).select(F.col("id").alias("rank"))
+        lost = mine if lost is None else lost.unionByName(mine)
+        left = open_.join(told.select("id"), "id", "left_anti").join(told.select(F.col("id").alias("other"), "kept"), "other", "left")
+        left = materialise(left.select("id", "other", F.coalesce(F.col("kept").cast("int"), "state").alias("state"), "block"))
+        discard(open_)
+        open_ = left
+        if open_.isEmpty():
+            discard(edges)
+            return lost, n, rounds
+
+
+def find_centers(
+    latents: DataFrame, max_dist: float, scaler: float = 1.0, batch_size: int = 1_000_000, key: str = "sid", source: str | None = None, max_iteration: int | None = None, shuffle_seed: int | None = None,
+    split=split_size, random_seed: int | None = None, mini_batch: int = 1000, report: list | None = None, prefix: int | None = None, here: int | None = None,
+) -> DataFrame:
     """(label, z_fwd, z_rev) of the centres, labelled in the order they are found.
 
     With ``random_seed`` batches are runs of ``mini_batch`` rows from random places, with
     replacement, as many batches as hold the number of rows; rows that no run meets are
     not clustered.
 
-    ``max_dist`` is in units of the scores. The driver holds the centres, as a scoring
-    pass does, and one split's survivors are one executor's work at a time.
+    ``max_dist`` is in units of the scores. ``report`` gets a line for each prefix: its
+    batch, rows, edges and rounds. ``prefix`` rows are settled at first, and up to
+    ``here`` edges in one block.
     """
     spark = latents.sparkSession
-    limit2 = (max_dist / scaler) ** 2
-    rows = latents.select(key, *([source] if source else []), F.col("z_fwd").cast("array<double>"), F.col("z_rev").cast("array<double>"))
+    limit = max_dist / scaler
+    fine = lambda c: F.col(c).isNotNull() & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    rows = latents.select(key, *([source] if source else []), F.col("z_fwd").cast("array<double>"), F.col("z_rev").cast("array<double>")).where(fine("z_fwd") & fine("z_rev"))
     order = [source or "src", key]
     if random_seed is None:
         dealt = with_batches(rows if source else rows.withColumn("src", F.lit(0)), batch_size, order[0], key)
@@ -127,31 +267,54 @@ def find_centers(latents: DataFrame, max_dist: float, scaler: float = 1.0, batch
     # A folder for each batch, so that each is read alone; its rows are dealt to several files.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = materialise(dealt.repartition(parts, "batch_id", F.pmod(F.xxhash64(key), F.lit(8))), "batch_id")
-    batches = rows.agg(F.max("batch_id")).first()[0]
-    found: list[tuple[list[float], list[float]]] = []
+    batches, width = rows.agg(F.max("batch_id"), F.max(F.size("z_fwd"))).first()
     done = 0 if batches is None else min(batches + 1, max_iteration or batches + 1)
+    known, found = Known(), []
     for b in range(done):
         own = rows.where(F.col("batch_id") == b)
+        by = order
         if shuffle_seed is not None:
-            own = own.withColumn("__random", F.xxhash64(F.lit(shuffle_seed), F.lit(b), key))
-        known = np.array([f for f, _ in found])
-        open_ = with_rank(uncovered(own, known, limit2), *(["__random"] if shuffle_seed is not None else []), *order)
-        n = open_.count()
-        size, first = split(n), len(found)
-        for s in range(0, n, size):
-            part = open_.where((F.col("rank") >= s) & (F.col("rank") < s + size))
-            local = np.array([f for f, _ in found[first:]])
-            part = uncovered(part, local, limit2).select("rank", "z_fwd", "z_rev").repartition(1).sortWithinPartitions("rank")
-            found += [(r[0], r[1]) for r in part.mapInArrow(_split(limit2), "z_fwd array<double>, z_rev array<double>").toLocalIterator()]
-    return spark.createDataFrame([(i + 1, f, r) for i, (f, r) in enumerate(found)], CENTRE)
-
-
-def _split(limit2: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            t = pa.Table.from_batches(held).combine_chunks()
-            keep = leaders(matrix(t.column("z_fwd").chunk(0)), matrix(t.column("z_rev").chunk(0)), limit2)
-            yield from t.select(["z_fwd", "z_rev"]).take(keep).to_batches()
+            own, by = own.withColumn("__random", F.xxhash64(F.lit(shuffle_seed), F.lit(b), key)), ["__random", *order]
+        if not known.empty:
+            own = _open(_numbered(own.withColumn("split", F.lit(0).cast("long")), known), known, limit).drop("rank", "split")
+        left, n = ranked(own, *by)
+        left = left.select("rank", F.floor(F.col("rank") / max(split(n), 1)).alias("split"), "z_fwd", "z_rev")
+        fresh = _leaders(left, n, limit, known, width, prefix or PREFIX, here or EDGES_HERE, lambda line: report.append({"batch": b, **line}) if report is not None else None)
+        found += [(b, piece) for piece in fresh]
+        known = known.with_(fresh)
+    discard(rows)
+    if known.carried:
+        labels = np.arange(1, sum(p.num_rows for _, p in found) + 1, dtype=np.int32)
+        every = pa.concat_tables([p.select(["z_fwd", "z_rev"]) for _, p in found]) if len(labels) else None
+        return spark.createDataFrame([] if every is None else every.add_column(0, "label", pa.array(labels)), CENTRE)
+    pieces = [(spark.createDataFrame(p.select(_NAMES), _ROW) if isinstance(p, pa.Table) else p).withColumn("batch", F.lit(b)) for b, p in found]
+    out, _ = ranked(functools.reduce(DataFrame.unionByName, pieces), "batch", "rank", name="nth")
+    return out.select((F.col("nth") + 1).cast("int").alias("label"), "z_fwd", "z_rev")
+
 
-    return run
+def _leaders(left: DataFrame, n: int, limit: float, known: Known, width: int, prefix: int, here: int, report: Callable[[dict], None]) -> list[pa.Table | DataFrame]:
+    """The rows of a batch (rank, split, z_fwd, z_rev) that stay centres, piece by piece.
+
+    A prefix of the ranks is settled by its edges, then its centres clear the rows after
+    it. Prefixes grow as long as their edges stay few.
+    """
+    pieces, begin, rest, rows = [], 0, n, 0
+    while rest:
+        end = min(n, begin + -(-prefix * (n - begin) // rest))
+        part = left.where((F.col("rank") >= begin) & (F.col("rank") < end)) if end - begin < n else left
+        codes = _codes(part)
+        cells, placed = metric.blocks(codes, begin, end) if end - begin <= BLOCKS_ONLY else metric.build(codes)
+        # A pair may meet twice, by either code.
+        lost, count, rounds = dropped(metric.pairs(codes, cells, placed, limit, _rule, earlier=True), max(1, (end - begin) // 64), here, (end - begin) ** 2)
+        kept = part.join(lost, "rank", "left_anti").select(_NAMES)
+        rows += end - begin
+        pieces.append(kept.toArrow().sort_by("rank") if known.room(rows, width) else materialise(kept))
+        report({"rows": min(prefix, rest), "edges": count, "rounds": rounds})
+        prefix = int(min(4 * prefix, max(prefix // 2, PREFIX, prefix * (EDGES / max(count, 1)) ** 0.5), MOST))
+        if end >= n:
+            break
+        # Centres of this prefix clear what comes later: by rule L in their own split.
+        after = materialise(_open(left.where(F.col("rank") >= end), Known(pieces[-1:]), limit))
+        discard(left)
+        left, begin, rest = after, end, after.count()
+    return pieces

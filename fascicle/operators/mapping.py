@@ -107,31 +107,63 @@ def image(voxels: DataFrame) -> DataFrame:
     return voxels.select("i", "j", "k", F.when(F.col("length") != 0, F.col("score_length") / F.col("length")).otherwise(F.col("score_length")).alias("value"))
 
 
-def _neighbours(voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """Each voxel's value at every place of the grid whose 27-neighbourhood holds it, with the count of places there."""
-    step = F.array(*[F.lit(x) for x in (-1, 0, 1)])
-    out = voxels
-    for c in "ijk":
-        out = out.withColumn(f"d{c}", F.explode(step))
+#: Voxels of a block along each axis.
+SIDE = 32
+
+
+def _stencil(voxels: DataFrame, shape: tuple[int, int, int], work) -> DataFrame:
+    """``work`` on dense blocks with a rim of one voxel: a voxel goes to its block, and to those that it borders on. Voxels outside the grid are left out."""
+    inside = voxels.select("i", "j", "k", "value")
     for c, n in zip("ijk", shape):
-        out = out.withColumn(c, F.col(c) + F.col(f"d{c}")).where((F.col(c) >= 0) & (F.col(c) < n))
-    places = lambda c, n: F.least(F.col(c) + 1, F.lit(n - 1)) - F.greatest(F.col(c) - 1, F.lit(0)) + 1
-    inside = places("i", shape[0]) * places("j", shape[1]) * places("k", shape[2])
-    return out.select("i", "j", "k", "value", inside.alias("inside"))
+        inside = inside.where((F.col(c) >= 0) & (F.col(c) < n))
+        near = F.array_distinct(F.array(*[F.floor((F.col(c) + d) / SIDE).cast("int") for d in (-1, 0, 1)]))
+        inside = inside.withColumn(f"b{c}", F.explode(near))
+
+    def run(t: pa.Table) -> pa.Table:
+        at = np.stack([t.column(c).to_numpy() for c in "ijk"], 1).astype(np.int64)
+        low = np.array([t.column(f"b{c}")[0].as_py() for c in "ijk"]) * SIDE - 1
+        dense, there = np.zeros((SIDE + 2,) * 3), np.zeros((SIDE + 2,) * 3, bool)
+        spot = tuple((at - low).T)
+        dense[spot], there[spot] = t.column("value").to_numpy(zero_copy_only=False), True
+        grid = [(low[c] + np.arange(SIDE + 2) >= 0) & (low[c] + np.arange(SIDE + 2) < shape[c]) for c in range(3)]
+        grid = grid[0][:, None, None] & grid[1][None, :, None] & grid[2][None, None, :]
+        # Places of the grid with a voxel within reach.
+        near = (_boxed(there.astype(np.int32)) > 0) & grid[1:-1, 1:-1, 1:-1]
+        value = work(dense, grid, near)
+        out = np.argwhere(near) + low + 1
+        return pa.table({**{c: pa.array(out[:, n].astype(np.int32)) for n, c in enumerate("ijk")}, "value": value})
+
+    # A group is a block with its rim, whatever the input.
+    return inside.groupBy("bi", "bj", "bk").applyInArrow(run, "i int, j int, k int, value double")
+
+
+def _boxed(x: np.ndarray) -> np.ndarray:
+    """Sums over the 27 places around each inner place, axis by axis."""
+    for axis in range(3):
+        x = np.moveaxis(x, axis, 0)
+        x = np.moveaxis(x[:-2] + x[1:-1] + x[2:], 0, axis)
+    return x
+
+
+def _mean(dense: np.ndarray, grid: np.ndarray, near: np.ndarray) -> np.ndarray:
+    return _boxed(dense)[near] / _boxed(grid.astype(np.int32))[near]
+
+
+def _median(dense: np.ndarray, grid: np.ndarray, near: np.ndarray) -> np.ndarray:
+    around = np.lib.stride_tricks.sliding_window_view(np.where(grid, dense, np.inf), (3, 3, 3))[near].reshape(-1, 27)
+    around = np.sort(around, 1)  # places outside the grid come last
+    n, rows = _boxed(grid.astype(np.int32))[near], np.arange(len(around))
+    return (around[rows, (n - 1) // 2] + around[rows, n // 2]) / 2
 
 
 def mean_filter(voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """27-neighbourhood mean; absent voxels of the grid count as 0."""
-    return _neighbours(voxels, shape).groupBy("i", "j", "k").agg((F.sum("value") / F.first("inside")).alias("value"))
+    return _stencil(voxels, shape, _mean)
 
 
 def median_filter(voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """27-neighbourhood median, the middle two averaged; absent voxels of the grid count as 0."""
-    got = _neighbours(voxels, shape).groupBy("i", "j", "k").agg(F.collect_list("value").alias("v"), F.first("inside").alias("inside"))
-    whole = F.sort_array(F.concat("v", F.array_repeat(F.lit(0.0), F.col("inside") - F.size("v"))))
-    got = got.select("i", "j", "k", "inside", whole.alias("v"))
-    middle = (F.get("v", F.floor((F.col("inside") - 1) / 2).cast("int")) + F.get("v", F.floor(F.col("inside") / 2).cast("int"))) / 2
-    return got.select("i", "j", "k", middle.alias("value"))
+    return _stencil(voxels, shape, _median)
 
 
 def to_image(streamlines: DataFrame, scores: DataFrame, voxel_size: float | tuple[float, float, float] = 1.0, least: float = 0.0, weights: DataFrame | None = None, median: bool = False, mean: bool = False, origin=None, shape=None, key: str = "sid") -> DataFrame:

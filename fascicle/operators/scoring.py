@@ -2,7 +2,11 @@
 
 The forward and the reversed code are each compared with the centres' forward codes;
 the forward match is taken when it is strictly nearer. Equal distances give the
-lowest label. Without centres score and label are null.
+lowest label. Without centres, and for a latent that is null or holds null or
+non-finite numbers, score and label are null.
+
+Centres of up to ``SLICE_NUMBERS`` numbers travel with one pass over the latents; more
+are met by cells (:mod:`fascicle.operators.metric`), so that nobody holds them all.
 """
 
 from __future__ import annotations
@@ -14,81 +18,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Centres that travel with one pass, in numbers; more are compared slice by slice.
-SLICE_NUMBERS = 8_000_000
-
+from fascicle.operators import metric
+from fascicle.operators.metric import matrix, nearest
+from fascicle.plans.durable import materialise
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """An array of equal-length lists as rows."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+#: Numbers of centres that travel with a pass.
+SLICE_NUMBERS = 8_000_000
 
 
-def nearest(x: np.ndarray, centres: np.ndarray, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """(squared distance, index) of each row's nearest centre; blocks bound the distance table."""
-    best, which = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
-    x2 = (x * x).sum(1)
-    for s in range(0, len(centres), block):
-        c = centres[s : s + block]
-        d = x2[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]
-        k = d.argmin(1)
-        exact = ((x - c[k]) ** 2).sum(1)
-        better = exact < best
-        best[better], which[better] = exact[better], k[better] + s
-    return best, which
+def carried(centres: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(labels, codes) in ascending labels, or None if they are more than ``most`` numbers, too many to travel with a task."""
+    n, width = centres.agg(F.count("*"), F.max(F.size("z_fwd"))).first()
+    if n * max(width or 0, 1) > (SLICE_NUMBERS if most is None else most):
+        return None
+    rows = centres.select("label", F.col("z_fwd").cast("array<double>").alias("z")).orderBy("label").toArrow()
+    return rows.column("label").to_numpy().astype(np.int64), matrix(rows.column("z").combine_chunks()) if n else np.zeros((0, 0))
 
 
 _BEST = "__fwd double, __fwd_label int, __rev double, __rev_label int"
 
 
-def _pass(latents: DataFrame, labels: np.ndarray, centres: np.ndarray) -> DataFrame:
-    """``latents`` with the nearest of these centres and of those that earlier passes have met, for either direction."""
-    names = [x.split()[0] for x in _BEST.split(", ")]
-    own = [c for c in latents.columns if c not in names]
-    schema = ", ".join([*(f"`{c}` {latents.schema[c].dataType.simpleString()}" for c in own), _BEST])
-    later = names[0] in latents.columns
-    at = [own.index("z_fwd"), own.index("z_rev")]
+def _carry(latents: DataFrame, labels: np.ndarray, centres: np.ndarray) -> DataFrame:
+    """``latents`` with the nearest centre of either direction; rows stay where they are."""
+    schema = ", ".join([*(f"`{c}` {latents.schema[c].dataType.simpleString()}" for c in latents.columns), _BEST])
+    at = [latents.columns.index(c) for c in ("z_fwd", "z_rev")]
+    names = [*latents.columns, *(c.split()[0] for c in _BEST.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             best = []
-            for side, i in enumerate(at):
-                d2, where = nearest(matrix(b.column(i)), centres)
-                label = labels[where].astype(np.int32)
-                if later:
-                    # Slices ascend by label, so that a tie stays with the earlier one.
-                    old, old_label = (b.column(len(own) + 2 * side + k).to_numpy() for k in (0, 1))
-                    d2, label = np.where(d2 < old, d2, old), np.where(d2 < old, label, old_label)
-                best += [pa.array(d2), pa.array(label)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *best], [*own, *names])
-
-    return latents.select(*own, *(names if later else [])).mapInArrow(run, schema)
-
-
-def sliced(centres: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(labels, codes) of the centres in ascending labels, each slice of at most ``SLICE_NUMBERS`` numbers (one centre at least)."""
-    slices, held = [], []
-    for r in centres.select("label", "z_fwd").orderBy("label").toLocalIterator():
-        if held and (len(held) + 1) * len(r[1]) > SLICE_NUMBERS:
-            slices.append(held)
-            held = []
-        held.append(r)
-    slices += [held] if held else []
-    return [(np.array([r[0] for r in part]), np.array([r[1] for r in part], float)) for part in slices]
-
-
-def score(latents: DataFrame, centres: DataFrame, scaler: float = 1.0, key: str = "sid") -> DataFrame:
-    """(``src`` if there is one, ``key``, score, label, forward) of every row of ``latents``, without a shuffle. Centres beyond one slice are met slice by slice as the rows stream by."""
+            for i in at:
+                d2, where = nearest(matrix(b.column(i), centres.shape[1]), centres)
+                none = where < 0
+                best += [pa.array(d2, mask=none), pa.array(labels[where].astype(np.int32), mask=none)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *best], names)
+
+    return latents.mapInArrow(run, schema)
+
+
+def _by_cells(latents: DataFrame, centres: DataFrame, report: dict | None) -> DataFrame:
+    """The same by cells of the centres. Rows get numbers of their own, so that rows of one id stay apart."""
+    rows = materialise(latents.withColumn("__row", F.monotonically_increasing_id()))
+    code = lambda c: F.col(c).cast("array<double>").alias("z")
+    cells, placed = metric.build(centres.select(F.col("label").cast("long").alias("id"), F.lit(0).cast("long").alias("tag"), code("z_fwd")))
+    # Two queries a row: even numbers forward, odd ones reversed.
+    asked = [rows.select((2 * F.col("__row") + side).alias("id"), F.lit(0).cast("long").alias("tag"), code(c)) for side, c in enumerate(("z_fwd", "z_rev"))]
+    found = metric.search(asked[0].unionByName(asked[1]), cells, placed, report=report)
+    side = lambda c, odd: F.max(F.when(F.col("id") % 2 == odd, F.col(c)))
+    best = found.groupBy(F.shiftright("id", 1).alias("__row")).agg(side("d", 0).alias("__fwd"), side("label", 0).alias("__fwd_label"), side("d", 1).alias("__rev"), side("label", 1).alias("__rev_label"))
+    return rows.join(best, "__row", "left").drop("__row")
+
+
+def score(latents: DataFrame, centres: DataFrame, scaler: float = 1.0, key: str = "sid", report: dict | None = None, most: int | None = None) -> DataFrame:
+    """(``src`` if there is one, ``key``, score, label, forward) of every row of ``latents``. Without a shuffle where the centres travel with the pass, as they must on a stream.
+
+    Centres of more than ``most`` numbers (``SLICE_NUMBERS`` if not given) are met by
+    cells, and ``report`` gets the share of distances that these spared.
+    """
     own = [c for c in ("src", key) if c in latents.columns]
-    slices = sliced(centres)
-    if not slices:
+    held = carried(centres, most)
+    if held is not None and not len(held[0]):
         return latents.select(*own, F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("boolean").alias("forward"))
-    out = latents.select(*own, "z_fwd", "z_rev")
-    for part in slices:
-        out = _pass(out, *part)
-    forward = F.col("__fwd") < F.col("__rev")
+    if held is None and latents.isStreaming:
+        raise ValueError(f"a stream meets at most {SLICE_NUMBERS} numbers of centres; score its batches with foreachBatch")
+    rows = latents.select(*own, "z_fwd", "z_rev")
+    out = _by_cells(rows, centres, report) if held is None else _carry(rows, *held)
+    # A code without a match leaves the other one.
+    forward = F.coalesce(F.col("__fwd") < F.col("__rev"), F.when(F.col("__fwd").isNotNull(), True).when(F.col("__rev").isNotNull(), False))
     nearer = lambda c: F.when(forward, F.col(f"__fwd{c}")).otherwise(F.col(f"__rev{c}"))
     return out.select(*own, (F.sqrt(nearer("")) * F.lit(float(scaler))).alias("score"), nearer("_label").alias("label"), forward.alias("forward"))
 

@@ -3,8 +3,10 @@
 Distances are squared for ``l2``, sums of absolute differences for ``l1``; ``so2``
 takes the last number alone, as an angle, and its absolute difference the shorter way
 round. A point matches a radius if it is strictly nearer. Ties go to the lower label.
-The points travel with the task in slices of bounded size; rows stream by all slices
-without a shuffle and carry what they have found.
+A row or point that is null or holds null or non-finite numbers matches nothing.
+
+Few points travel with one pass over the rows; more are met by cells
+(:mod:`fascicle.operators.metric`).
 """
 
 from __future__ import annotations
@@ -16,74 +18,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fascicle.operators.scoring import matrix, sliced
+from fascicle.operators import metric as cells_of
+from fascicle.operators import scoring
+from fascicle.operators.metric import find, matrix
+from fascicle.plans.durable import materialise
 
-#: Distances that are held at a time.
-TABLE = 2_000_000
-_FOUND = ("__d", "__label")
 
+def _checked(k: int | None, radius: float | None, metric: str) -> None:
+    if metric not in ("l1", "l2", "so2"):
+        raise ValueError(f"no metric {metric}")
+    if k is None and radius is None or k is not None and k < 1:
+        raise ValueError("a search needs a positive k, a radius or both")
 
-def distances(x: np.ndarray, points: np.ndarray, metric: str) -> np.ndarray:
-    """(rows, points), summed number by number so that only one such table is held."""
-    if metric == "so2":
-        turn = np.abs(x[:, -1:] - points[None, :, -1])
-        return np.where(turn > np.pi, np.abs(turn - 2 * np.pi), turn)
-    out = np.zeros((len(x), len(points)))
-    for t in range(points.shape[1]):
-        gap = x[:, t : t + 1] - points[None, :, t]
-        out += gap * gap if metric == "l2" else np.abs(gap)
-    return out
 
+def neighbours(latents: DataFrame, points: DataFrame, k: int | None = 1, radius: float | None = None, metric: str = "l2", key: str = "sid", report: dict | None = None, most: int | None = None) -> DataFrame:
+    """(``key``, nth, label, distance): for every row its ``k`` nearest points, ``nth`` from 1, or with no ``k`` all within ``radius``; with both, at most ``k`` within it.
 
-def _pass(rows: DataFrame, labels: np.ndarray, points: np.ndarray, k: int | None, radius: float | None, metric: str) -> DataFrame:
-    own = [c for c in rows.columns if c not in _FOUND]
-    later = _FOUND[0] in rows.columns
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in own), "__d array<double>, __label array<int>"])
-    z = own.index("z_fwd")
+    A row without any match, or any row where there are no points, has no rows. Points of
+    more than ``most`` numbers are met by cells, as in :func:`fascicle.operators.scoring.score`.
+    """
+    _checked(k, radius, metric)
+    rows = latents.select(F.col(key).alias("key"), F.col("z_fwd").cast("array<double>").alias("z"))
+    held = scoring.carried(points, most)
+    if held is None:
+        cells, placed = cells_of.build(points.select(F.col("label").cast("long").alias("id"), F.lit(0).cast("long").alias("tag"), F.col("z_fwd").cast("array<double>").alias("z")), metric)
+        return by_cells(rows, cells, placed, k, radius, key, report)
+    kind = latents.schema[key].dataType.simpleString()
+    labels, centres = held
+    if not len(labels):
+        return latents.sparkSession.createDataFrame([], f"`{key}` {kind}, nth int, label int, distance double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, found = matrix(b.column(z)), ([], [])
-            step = max(1, TABLE // len(points))
-            for s in range(0, len(x), step):
-                d = distances(x[s : s + step], points, metric)
-                near = d.argsort(1, kind="stable")[:, : k or len(points)]
-                for i, row in enumerate(near):
-                    got, names = d[i, row], labels[row]
-                    if radius is not None:
-                        got, names = got[got < radius], names[got < radius]
-                    if later:
-                        # Slices ascend by label, so that in a stable sort a tie stays with the earlier one.
-                        got, names = (np.concatenate([b.column(len(own) + c)[s + i].values.to_numpy(zero_copy_only=False), v]) for c, v in enumerate((got, names)))
-                        best = got.argsort(kind="stable")[: k or len(got)]
-                        got, names = got[best], names[best]
-                    found[0].append(got)
-                    found[1].append(names)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], pa.array(found[0], pa.list_(pa.float64())), pa.array(found[1], pa.list_(pa.int32()))], [*own, *_FOUND])
-
-    return rows.mapInArrow(run, schema)
-
-
-def neighbours(latents: DataFrame, points: DataFrame, k: int | None = 1, radius: float | None = None, metric: str = "l2", key: str = "sid") -> DataFrame:
-    """(``key``, nth, label, distance): for every row its ``k`` nearest points, ``nth`` from 1, or with no ``k`` all within ``radius``; with both, at most ``k`` within it.
+            if b.num_rows:
+                offsets, names, far = find(matrix(b.column("z"), centres.shape[1]), labels, centres, k, radius, metric)
+                lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(v)) for v in (names.astype(np.int32), far)]
+                yield pa.RecordBatch.from_arrays([b.column("key"), *lists], ["key", "label", "d"])
 
-    A row without any match, or any row where there are no points, has no rows.
-    """
-    if metric not in ("l1", "l2", "so2"):
-        raise ValueError(f"no metric {metric}")
-    if k is None and radius is None or k is not None and k < 1:
-        raise ValueError("a search needs a positive k, a radius or both")
-    rows = latents.select(key, F.col("z_fwd").cast("array<double>").alias("z_fwd"))
-    slices = sliced(points)
-    if not slices:
-        kind = latents.schema[key].dataType.simpleString()
-        return latents.sparkSession.createDataFrame([], f"`{key}` {kind}, nth int, label int, distance double")
-    for labels, centres in slices:
-        rows = _pass(rows, labels.astype(np.int32), centres, k, radius, metric)
-    found = rows.select(key, F.posexplode(F.arrays_zip(*_FOUND)).alias("nth", "p"))
-    return found.select(key, (F.col("nth") + 1).alias("nth"), F.col("p.__label").alias("label"), F.col("p.__d").alias("distance"))
+    found = rows.mapInArrow(run, f"`key` {kind}, label array<int>, d array<double>")
+    found = found.select("key", F.posexplode(F.arrays_zip("label", "d")).alias("nth", "p"))
+    return found.select(F.col("key").alias(key), (F.col("nth") + 1).alias("nth"), F.col("p.label").alias("label"), F.col("p.d").alias("distance"))
+
+
+def by_cells(rows: DataFrame, cells: cells_of.Cells, placed: DataFrame, k: int | None, radius: float | None, key: str, report: dict | None = None) -> DataFrame:
+    """The same for ``rows`` (key, z) and points that are in cells already."""
+    numbered = materialise(rows.withColumn("id", F.monotonically_increasing_id()))
+    found = cells_of.search(numbered.select("id", F.lit(0).cast("long").alias("tag"), "z"), cells, placed, k, radius, report)
+    return numbered.select("id", "key").join(found, "id").select(F.col("key").alias(key), "nth", "label", F.col("d").alias("distance"))
 
 
 def add(points: DataFrame, more: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Shuffle files go when a table is written, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where it is unset, a local one if driver and executors are one machine; otherwise there is none that all see."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,15 +25,37 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder, in a folder for each value of ``by`` if given, and read it back."""
+    """Write ``df`` to the shared folder, in a folder for each value of ``by`` if given, and read it back. :func:`discard` deletes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    usual = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if usual is None else spark.conf.set(_CLEANUP, usual)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete tables of :func:`materialise` once what came from them is written."""
+    for df in frames:
+        path = getattr(df, "table_path", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def with_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
-    """``df`` with its 0-based position by ``order``. Parts are sorted side by side; the driver sees one count for each part."""
+    """``df`` with its 0-based position by ``order``."""
+    return ranked(df, *order, name=name)[0]
+
+
+def ranked(df: DataFrame, *order: str, name: str = "rank") -> tuple[DataFrame, int]:
+    """``df`` with its 0-based position by ``order``, and how many rows it has. Parts are sorted side by side; the driver sees one count for each part."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -40,4 +66,6 @@ def with_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
         rows.append((part, before))
         before += n
     base = spark.createDataFrame(rows, "__part int, __base long")
-    return placed.join(F.broadcast(base), "__part").withColumn(name, F.col("__base") + F.col("__at")).drop("__part", "__at", "__base")
+    out = placed.join(F.broadcast(base), "__part").withColumn(name, F.col("__base") + F.col("__at")).drop("__part", "__at", "__base")
+    out.table_path = placed.table_path
+    return out, before

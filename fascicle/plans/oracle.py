@@ -212,6 +212,24 @@ def found(distance: str, where: str) -> str:
         select sid, cast(n as int) as nth, "label", {r6('d')} as distance from nth where {where}"""
 
 
+#: Rounds: of the open rows those without an open earlier match stay, and what they match goes.
+ORDERS = f"""with recursive nodes as (
+    select o_orderkey as id, o_totalprice / 1000 as x, date_diff('day', date '1992-01-01', cast(o_orderdate as date)) / 10.0 as y from orders
+), edges as materialized (
+    select a.id as c, b.id as i from nodes a join nodes b on a.id < b.id
+    where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 9 or (b.x - a.y) * (b.x - a.y) + (b.y - a.x) * (b.y - a.x) < 9
+), state as (
+    select id, 0 as s from nodes
+    union all (
+        with open_ as (select id from state where s = 0),
+        blocked as (select distinct e.i as id from edges e join open_ o on o.id = e.c),
+        stay as (select id from open_ where id not in (select id from blocked)),
+        gone as (select distinct e.i as id from edges e join stay k on k.id = e.c)
+        select id, case when s <> 0 then s when id in (select id from stay) then 1 when id in (select id from gone) then 2 else 0 end from state where exists (select 1 from open_))
+)
+select cast(row_number() over (order by id) as int) as "label", {r6("x + y")} as sum_fwd, {r6("y + x")} as sum_rev
+from nodes where id in (select id from state where s = 1)"""
+
 L1 = "list_sum(list_transform(list_zip(z_fwd, c), lambda q: abs(q[1] - q[2])))"
 SO2 = "least(abs(z_fwd[-1] - c[-1]), abs(2 * pi() - abs(z_fwd[-1] - c[-1])))"
 
@@ -219,6 +237,8 @@ ORACLE_SQL: dict[str, str] = {
     "latent_split": f"with {L} select sid, cast(len(z_fwd) as int) as n_fwd, cast(len(z_rev) as int) as n_rev, {r6('list_sum(z_fwd)')} as sum_fwd, {r6('list_sum(z_rev)')} as sum_rev from lat",
     "score_nearest": f'with {L}, {C}, {S} select sid, {r6("score")} as score, "label" from scored',
     "score_two_sided_choice": f"with {L}, {C}, {S} select forward, count(*) as n, {r6('avg(score)')} as mean_score from scored group by forward",
+    "score_many_centres": f"""with {L}, cen as (select cast(vec_id + 1 as int) as "label", cast(embedding[17:48] as double[]) as c from embeddings), {S}
+        select sid, {r6("score")} as score, "label" from scored""",
     "knn_centres": found(d2("z_fwd", "c"), "n <= 3"),
     "radius_centres": found(L1, "d < 3.3"),
     "knn_within_radius": found(SO2, "d < 0.05 and n <= 2"),
@@ -227,6 +247,7 @@ ORACLE_SQL: dict[str, str] = {
     "cluster_leader": leader("1000000").replace("order by b, src, sid", "order by sid"),
     "cluster_multi_batch": leader("200"),
     "cluster_splits": leader_in_splits(200, 30),
+    "cluster_orders": ORDERS,
     "batch_quota": f"""with {L}, cnt as (select src, count(*) as n from lat group by src),
         base as (select src, greatest(1, n * 100 // (select count(*) from lat)) as q, row_number() over (order by src) as nth from cnt),
         quo as (select src, q + case when nth <= 100 - (select sum(q) from base) then 1 else 0 end as q from base)

@@ -82,6 +82,16 @@ def score_two_sided_choice(spark, d):
     return scoring.score(latents(spark, d), centres(spark, d), SCALER).groupBy("forward").agg(F.count("*").alias("n"), r6(F.avg("score")).alias("mean_score"))
 
 
+def middles(spark, d):
+    """A centre from the middle 32 numbers of each embedding."""
+    middle = F.slice(F.col("embedding").cast("array<double>"), 17, 32)
+    return embeddings(spark, d).select((F.col("vec_id") + 1).cast("int").alias("label"), middle.alias("z_fwd"), middle.alias("z_rev"))
+
+
+def score_many_centres(spark, d):
+    return scoring.score(latents(spark, d), middles(spark, d), SCALER, most=0).select("sid", r6("score").alias("score"), "label")
+
+
 def knn_centres(spark, d):
     return search.neighbours(latents(spark, d), centres(spark, d), 3).select("sid", "nth", "label", r6("distance").alias("distance"))
 
@@ -99,10 +109,7 @@ def cluster_sizes(spark, d):
 
 
 def assign_global_anti(spark, d):
-    import numpy as np
-
-    c = np.array([r[0] for r in centres(spark, d).orderBy("label").select("z_fwd").toLocalIterator()])
-    return clustering.uncovered(latents(spark, d), c, 0.55**2).select("sid")
+    return clustering.uncovered(latents(spark, d), centres(spark, d), 0.55**2).select("sid")
 
 
 def _found(df):
@@ -122,6 +129,16 @@ def cluster_splits(spark, d):
     return _found(clustering.find_centers(latents(spark, d), LIMIT, batch_size=200, source="src", split=lambda n: 30))
 
 
+def order_codes(spark, d):
+    """A point for each order, of its price and its day, and its two numbers in reverse."""
+    x, y = F.col("o_totalprice") / 1000, F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01")) / F.lit(10.0)
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("sid"), F.array(x, y).alias("z_fwd"), F.array(y, x).alias("z_rev"))
+
+
+def cluster_orders(spark, d):
+    return _found(clustering.find_centers(order_codes(spark, d), 3.0, split=lambda n: n))
+
+
 def batch_quota(spark, d):
     return clustering.with_batches(latents(spark, d), 100, "src").groupBy("batch_id", "src").agg(F.count("*").alias("n"), F.min("sid").alias("first_sid"))
 
@@ -140,7 +157,7 @@ def geometric_pair_distances(spark, d):
 
 
 def evaluation_report(spark, d):
-    pairs = evaluation.report(evaluation.pair_distances(threes(spark, d), latents(spark, d)))
+    pairs = evaluation.pair_report(threes(spark, d), latents(spark, d))
     return pairs.select(*(r6(c).alias(c) if t == "double" else F.col(c) for c, t in pairs.dtypes))
 
 
@@ -235,7 +252,7 @@ def voxel_median27(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        latent_split, score_nearest, score_two_sided_choice, knn_centres, radius_centres, knn_within_radius, cluster_sizes, assign_global_anti, cluster_leader, cluster_multi_batch, cluster_splits, batch_quota, random_blocks,
+        latent_split, score_nearest, score_two_sided_choice, score_many_centres, knn_centres, radius_centres, knn_within_radius, cluster_sizes, assign_global_anti, cluster_leader, cluster_multi_batch, cluster_splits, cluster_orders, batch_quota, random_blocks,
         latent_pair_distances, geometric_pair_distances, evaluation_report, streamline_length, bounding_box, resample_16, flip_points, flatten_points, dct_encode, dct_decode,
         reconstruction_error, model_test, annotate_score_label, count_guard, threshold_scores, weighted_scores, voxel_lengths, voxel_mean_score, voxel_mean27, voxel_median27,
     )

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fascicle.functions.codec import DctCodec, decode, encode
-from fascicle.operators import clustering, evaluation, geometry, mapping, scoring, search
+from fascicle.operators import clustering, evaluation, geometry, mapping, metric, scoring, search
 from fascicle.schema import CENTRE, LATENT, STREAMLINE, ModelSpec, split_size
 
 
@@ -113,6 +113,82 @@ def test_clustering_equals_the_sequential_rule(spark, batch, split):
     assert np.allclose([r["z_fwd"] for r in got], fwd[want])
 
 
+@pytest.mark.parametrize("shape", ["chain", "grid", "one", "random"])
+@pytest.mark.parametrize("way", ["rounds", "cells", "prefixes"])
+def test_greedy_rounds_on_any_shape(spark, monkeypatch, shape, way):
+    rng = np.random.default_rng(5)
+    n = 90
+    fwd = {"chain": np.arange(n)[:, None] * [0.6, 0.0], "grid": rng.integers(0, 5, (n, 2)) / 1.0, "one": np.zeros((n, 2)), "random": rng.normal(size=(n, 2))}[shape]
+    rev = fwd if shape == "one" else fwd[:, ::-1] + 0.1 * rng.integers(-1, 2, (n, 2))
+    if shape == "random":
+        fwd[7], rev[9] = np.nan, np.inf
+    want = sequential(*([np.delete(z, [7, 9], 0) for z in (fwd, rev)] if shape == "random" else (fwd, rev)), 1.0, 60, lambda m: 25)
+    if way == "cells":
+        # No centre travels with a task, and no prefix is met block by block.
+        monkeypatch.setattr(scoring, "SLICE_NUMBERS", 0)
+        monkeypatch.setattr(clustering, "BLOCKS_ONLY", 0)
+        monkeypatch.setattr(metric, "UNIT", 16)
+    lines_ = []
+    small = {"rounds": {"here": 0}, "cells": {"here": 0, "prefix": 30}, "prefixes": {"prefix": 7}}[way]
+    got = clustering.find_centers(latents(spark, fwd, rev), 1.0, batch_size=60, split=lambda m: 25, report=lines_, **small).orderBy("label").collect()
+    kept = np.delete(fwd, [7, 9], 0) if shape == "random" else fwd
+    assert np.array_equal([r["z_fwd"] for r in got], kept[want])
+    assert [r["label"] for r in got] == list(range(1, len(want) + 1))
+    assert {line["batch"] for line in lines_} <= {0, 1} and all(line["rounds"] >= 1 for line in lines_)
+    if way == "rounds":
+        # A chain is told block by block, not row by row.
+        assert max(line["rounds"] for line in lines_) <= 64
+
+
+def test_nearest_to_the_last_bit():
+    grid = np.array([[i, j] for i in range(50) for j in range(40)], float)
+    centres = np.random.default_rng(6).permutation(np.array([[2 * i + 1, 2 * j + 1] for i in range(25) for j in range(20)], float))
+    d = ((grid[:, None] - centres) ** 2).sum(2)
+    for c in (centres, np.concatenate([centres, centres])):
+        far, which = metric.nearest(grid, c)
+        assert np.array_equal(which, d.argmin(1)) and np.array_equal(far, d.min(1))
+    far_out = np.random.default_rng(7).normal(size=(500, 8)) + 1e7
+    assert np.array_equal(metric.nearest(far_out, far_out)[1], np.arange(500))
+    x = np.random.default_rng(8).integers(-4, 5, (300, 3)).astype(float)
+    rows, columns = metric.within(x, x, 2.0)
+    assert set(zip(rows, columns)) == set(zip(*np.nonzero(((x[:, None] - x) ** 2).sum(2) < 2.0)))
+
+
+def test_scores_without_codes(spark):
+    c = spark.createDataFrame([(1, [0.0, 0.0], [0.0, 0.0]), (2, [float("nan"), 0.0], [0.0, 0.0])], CENTRE)
+    x = spark.createDataFrame([(1, None, None), (2, [float("nan"), 0.0], [float("inf"), 0.0]), (3, None, [3.0, 4.0]), (4, [3.0, 4.0], None), (5, [None, 1.0], [0.0, 1.0])], LATENT)
+    for most in (None, 0):
+        got = {r["sid"]: (r["score"], r["label"], r["forward"]) for r in scoring.score(x, c, most=most).collect()}
+        assert got == {1: (None, None, None), 2: (None, None, None), 3: (5.0, 1, False), 4: (5.0, 1, True), 5: (1.0, 1, False)}
+    assert {r["sid"] for r in search.neighbours(x, c).collect()} == {4}
+
+
+def test_cells_spare_distances_and_share_hot_units(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    spots = rng.normal(size=(20, 4)) * 50
+    points, rows = spots[rng.integers(0, 20, 600)] + rng.normal(size=(600, 4)), spots[rng.integers(0, 20, 400)]
+    rows[:200] = rows[0]  # a hot query, and a hot point
+    points[:150] = points[0]
+    centres = spark.createDataFrame([(i + 1, c.tolist(), c.tolist()) for i, c in enumerate(points)], CENTRE)
+    monkeypatch.setattr(metric, "UNIT", 32)
+    monkeypatch.setattr(metric, "QUERIES", 50)
+    report = {}
+    got = {r["sid"]: (r["score"], r["label"]) for r in scoring.score(latents(spark, rows), centres, report=report, most=0).collect()}
+    d = ((rows[:, None] - points) ** 2).sum(2)
+    assert got == {i: (float(np.sqrt(d[i].min())), int(d[i].argmin()) + 1) for i in range(400)}
+    assert report["spared"] > 0.5
+    for k, radius, kind in ((3, None, "l2"), (None, 30.0, "l1"), (4, 0.02, "so2"), (2, 100.0, "l2")):
+        found = lambda most: sorted(map(tuple, search.neighbours(latents(spark, rows), centres, k, radius, kind, most=most).collect()))  # noqa: E731, B023
+        assert found(0) == found(None)
+
+
+def test_batches_of_rows_without_a_source(spark):
+    x = latents(spark, [[i, 0] for i in range(9)]).withColumn("src", F.when(F.col("sid") > 5, F.lit("a")))
+    got = clustering.with_batches(x, 3, "src").groupBy("batch_id", "src").count().collect()
+    assert sorted((r["batch_id"], r["src"] or "", r["count"]) for r in got) == [(0, "", 2), (0, "a", 1), (1, "", 2), (1, "a", 1), (2, "", 2), (2, "a", 1)]
+    assert clustering.find_centers(x, 0.5, batch_size=3, source="src").count() == 9
+
+
 def test_clustering_edges(spark):
     assert clustering.find_centers(latents(spark, np.zeros((0, 2))), 1.0).count() == 0
     assert clustering.find_centers(latents(spark, [[0, 0]] * 5), 1.0).count() == 1
@@ -143,14 +219,14 @@ def test_random_batches(spark):
     assert key(a) == key(clustering.random_batches(x, 25, 2, seed=5, block=10))
 
 
-@pytest.mark.parametrize("metric", ["l1", "l2", "so2"])
-def test_searches_against_all_distances(spark, monkeypatch, metric):
+@pytest.mark.parametrize("kind", ["l1", "l2", "so2"])
+def test_searches_against_all_distances(spark, monkeypatch, kind):
     rng = np.random.default_rng(4)
     x, c = rng.integers(-3, 4, size=(20, 3)).astype(float), rng.integers(-3, 4, size=(9, 3)).astype(float)
     points = spark.createDataFrame([(i + 1, r.tolist(), r.tolist()) for i, r in enumerate(c)], CENTRE)
     gap = x[:, None] - c[None]
     angle = np.abs(gap[..., 2])
-    d = {"l1": np.abs(gap).sum(2), "l2": (gap**2).sum(2), "so2": np.minimum(angle, np.abs(2 * np.pi - angle))}[metric]
+    d = {"l1": np.abs(gap).sum(2), "l2": (gap**2).sum(2), "so2": np.minimum(angle, np.abs(2 * np.pi - angle))}[kind]
     # Slices of two points: ties meet across slices.
     monkeypatch.setattr(scoring, "SLICE_NUMBERS", 6)
     for k, radius in ((3, None), (None, 2.0), (2, 2.0)):
@@ -158,7 +234,7 @@ def test_searches_against_all_distances(spark, monkeypatch, metric):
         for i, row in enumerate(d):
             near = [j for j in np.argsort(row, kind="stable") if radius is None or row[j] < radius][:k]
             want |= {(i, n + 1, int(j) + 1, round(float(row[j]), 9)) for n, j in enumerate(near)}
-        got = search.neighbours(latents(spark, x), points, k, radius, metric).collect()
+        got = search.neighbours(latents(spark, x), points, k, radius, kind).collect()
         assert {(r["sid"], r["nth"], r["label"], round(r["distance"], 9)) for r in got} == want
 
 
@@ -204,6 +280,48 @@ def test_filters(spark):
     assert median[(0, 0, 0)] == pytest.approx(4.0)
 
 
+def plain_filter(v, shape, work):
+    out = {}
+    for place in np.ndindex(*shape):
+        around = [tuple(np.add(place, d)) for d in np.ndindex(3, 3, 3)]
+        around = [tuple(np.subtract(p, 1)) for p in around]
+        inside = [p for p in around if all(0 <= a < n for a, n in zip(p, shape))]
+        if any(p in v for p in inside):
+            out[place] = work([v.get(p, 0.0) for p in inside])
+    return out
+
+
+@pytest.mark.parametrize("name", ["mean", "median"])
+def test_filters_across_blocks(spark, monkeypatch, name):
+    rng = np.random.default_rng(10)
+    shape = (9, 7, 5)
+    v = {tuple(map(int, p)): float(rng.normal()) for p in rng.integers(0, shape, (150, 3))}
+    outside = [(-1, 0, 0, 5.0), (9, 6, 4, 5.0)]
+    df = spark.createDataFrame([(*p, x) for p, x in v.items()] + outside, "i int, j int, k int, value double")
+    monkeypatch.setattr(mapping, "SIDE", 3)
+    got = {(r["i"], r["j"], r["k"]): r["value"] for r in getattr(mapping, f"{name}_filter")(df, shape).collect()}
+    want = plain_filter(v, shape, getattr(np, name))
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_report_by_tiles(spark):
+    rng = np.random.default_rng(11)
+    n = 40
+    fwd, rev, pts = rng.normal(size=(n, 3)), rng.normal(size=(n, 3)), rng.normal(size=(n, 5, 3))
+    fwd[5] = fwd[3]
+    x = latents(spark, fwd, rev)
+    p = lines(spark, *pts)
+    pairs = evaluation.pair_distances(p, x, block=7).cache()
+    assert pairs.count() == n * (n - 1) // 2 and pairs.where("i > j").count() == pairs.select("i", "j").distinct().count() == pairs.count()
+    for r in pairs.collect():
+        i, j = r["i"], r["j"]
+        assert r["one_sided"] == pytest.approx(min(np.linalg.norm(fwd[i] - fwd[j]), np.linalg.norm(fwd[i] - rev[j])))
+    want, got = evaluation.report(pairs).first(), evaluation.pair_report(p, x, block=7).first()
+    assert got.asDict() == {k: pytest.approx(v) for k, v in want.asDict().items()} and got["skipped"] == 1
+    none = evaluation.pair_report(p.where("sid = 0"), x).first()
+    assert (none["pairs"], none["r_mdf"], none["scale_mdf"]) == (0, 0.0, None)
+
+
 def test_guards(spark):
     df = lines(spark, STRAIGHT, STRAIGHT)
     scores = spark.createDataFrame([(0, 1.0)], "sid long, score double")
