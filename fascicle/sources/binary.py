@@ -9,6 +9,7 @@ files are opened through Arrow's file systems.
 from __future__ import annotations
 
 import fnmatch
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,16 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from fascicle.plans.durable import discard, ranked
 from fascicle.schema import ModelSpec
+from fascicle.sources.sink import filesystem, ranges, refuse, write
 
 #: Rows of one read.
 CHUNK = 1 << 16
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 def listed(path: str, patterns: list[str]) -> list[tuple[str, int]]:
     """(path, size) of a file, or of a folder's files by pattern: all of the first pattern in name order, then of the next."""
     fs, inner = filesystem(path)
@@ -119,23 +118,31 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_fixed(df: DataFrame, path: str, order: str, columns: list[str], dtype: str, force: bool = False, width: int | None = None) -> None:
-    """Export rows in order (of their source first, if they have one) as one file, streamed through the driver partition by partition, to a temporary name first.
+    """Rows in order (of their source first, if they have one) as one file. Each task writes its rows where their rank says.
 
-    Rows of another number of values than ``width`` are refused. For interchange; large results belong in Parquet.
+    Rows of another number of values than ``width``, or than the others, are refused: the file does not come about.
     """
-    fs, inner = filesystem(path)
-    if fs.get_file_info(inner).type != pafs.FileType.NotFound and not force:
-        raise FileExistsError(path)
+    refuse(path, force)
     kind = np.dtype(dtype)
     keys = ["src", order] if "src" in df.columns else [order]
-    rows = df.select(*keys, *columns).orderBy(*keys).select(*columns)
-    with fs.open_output_stream(inner + ".tmp") as f:
-        for row in rows.toLocalIterator(prefetchPartitions=True):
-            flat = [x for c in row for x in (c if isinstance(c, list) else [c])]
-            if width is not None and len(flat) != width:
-                raise ValueError(f"a row of {len(flat)} numbers, but the model's rows have {width}")
-            f.write(np.array(flat).astype(kind).tobytes())
-    fs.move(inner + ".tmp", inner)
+    values = F.concat(*[F.col(c) if df.schema[c].dataType.simpleString().startswith("array") else F.array(F.col(c)) for c in columns])
+    rows, n = ranked(df.select(*keys, values.alias("values")), *keys)
+    least, most = rows.agg(F.min(F.size("values")), F.max(F.size("values"))).first()
+    width = (most or 0) if width is None else width
+    for found in (least, most):
+        if found not in (None, width):
+            discard(rows)
+            raise ValueError(f"a row of {found} numbers, but the model's rows have {width}")
+    stride = width * kind.itemsize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                data = b.column("values").flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()
+                yield ranges(b.column("rank").to_numpy() * stride, np.full(b.num_rows, stride), data)
+
+    write(rows.select("rank", "values").mapInArrow(run, "at long, data binary"), path, n * stride, [])
+    discard(rows)
 
 
 def write_latents(df: DataFrame, path: str, spec: ModelSpec, force: bool = False) -> None:

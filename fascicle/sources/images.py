@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import gzip
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from fascicle.sources.binary import filesystem
-from fascicle.sources.tracts import _guard
+from fascicle.plans.durable import discard
+
+from fascicle.sources.sink import filesystem, positions, ranges, refuse, write
 
 
 def read_grid(path: str) -> tuple[tuple[int, int, int], tuple[float, float, float], tuple[float, float, float]]:
@@ -26,14 +30,11 @@ def read_grid(path: str) -> tuple[tuple[int, int, int], tuple[float, float, floa
     return tuple(int(d) for d in dims[1:4]), sizes, tuple(r[3] - r[i] / 2 for i, r in enumerate(rows))
 
 
-def write_nifti(voxels: DataFrame, path: str, shape: tuple[int, int, int], size: float | tuple[float, float, float], origin: tuple[float, float, float], force: bool = False) -> None:
-    """Densify sparse voxels on the driver: one float for each voxel of the grid, whatever the input's size."""
-    _guard(path, force)
-    sizes = tuple(float(s) for s in np.broadcast_to(size, 3))
-    grid = np.zeros(shape, "<f4", order="F")
-    for i, j, k, v in voxels.select("i", "j", "k", "value").toLocalIterator():
-        if 0 <= i < shape[0] and 0 <= j < shape[1] and 0 <= k < shape[2]:
-            grid[i, j, k] = v
+#: Voxels of a slab, which is compressed by itself.
+SLAB = 1 << 20
+
+
+def _head(shape: tuple[int, int, int], rows: np.ndarray, sizes: tuple[float, float, float]) -> bytes:
     head = bytearray(352)
     struct.pack_into("<i", head, 0, 348)
     struct.pack_into("<8h", head, 40, 3, *shape, 1, 1, 1, 1)
@@ -42,11 +43,50 @@ def write_nifti(voxels: DataFrame, path: str, shape: tuple[int, int, int], size:
     struct.pack_into("<f", head, 108, 352.0)
     struct.pack_into("<2h", head, 252, 0, 1)
     for i in range(3):
-        row = [0.0] * 4
-        row[i], row[3] = sizes[i], origin[i] + sizes[i] / 2
-        struct.pack_into("<4f", head, 280 + 16 * i, *row)
+        struct.pack_into("<4f", head, 280 + 16 * i, *rows[i])
     head[344:348] = b"n+1\0"
-    fs, inner = filesystem(path)
-    data = bytes(head) + grid.tobytes(order="F")
-    with fs.open_output_stream(inner, compression=None) as f:
-        f.write(gzip.compress(data) if path.endswith(".gz") else data)
+    return bytes(head)
+
+
+def write_nifti(voxels: DataFrame, path: str, shape: tuple[int, int, int], size: float | tuple[float, float, float], origin: tuple[float, float, float], force: bool = False, affine: np.ndarray | None = None) -> None:
+    """Sparse voxels as a dense image. Each task writes its voxels where they belong; for ``.nii.gz`` it compresses slabs, which follow each other in the file.
+
+    ``affine`` (3 x 4, from voxel indices to the world) stands for ``size`` and ``origin`` where axes are turned.
+    """
+    refuse(path, force)
+    if affine is None:
+        sizes = tuple(float(s) for s in np.broadcast_to(size, 3))
+        affine = np.concatenate([np.diag(sizes), (np.array(origin) + np.array(sizes) / 2)[:, None]], 1)
+    head = _head(shape, affine, tuple(np.sqrt((affine[:, :3] ** 2).sum(0)).tolist()))
+    inside = voxels.select("i", "j", "k", F.col("value").cast("float").alias("value"))
+    for c, n in zip("ijk", shape):
+        inside = inside.where((F.col(c) >= 0) & (F.col(c) < n))
+    at = F.col("i") + F.lit(shape[0]).cast("long") * (F.col("j") + F.lit(shape[1]).cast("long") * F.col("k"))
+    flat = inside.select(at.alias("at"), "value")
+    total = int(np.prod(shape, dtype=np.int64))
+    if not path.endswith(".gz"):
+        parts = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                place = b.column("at").to_numpy()
+                yield ranges(352 + 4 * place, np.full(len(place), 4), b.column("value").to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+
+        write(flat.repartitionByRange(parts, "at").sortWithinPartitions("at").mapInArrow(run, "at long, data binary"), path, 352 + 4 * total, [(0, head)])
+        return
+    # As many slabs as the grid has, empty ones too; a slab's voxels are one task's.
+    slabs = voxels.sparkSession.range(-(-total // SLAB)).select(F.col("id").alias("slab"))
+    held = flat.groupBy(F.floor(F.col("at") / SLAB).alias("slab")).agg(F.collect_list("at").alias("at"), F.collect_list("value").alias("value"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for slab, place, value in zip(b.column("slab").to_pylist(), b.column("at"), b.column("value")):
+                dense = np.zeros(min(SLAB, total - slab * SLAB), "<f4")
+                if place.is_valid:
+                    dense[place.values.to_numpy() - slab * SLAB] = value.values.to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([slab]), pa.array([gzip.compress(dense.tobytes(), mtime=0)], pa.binary())], ["slab", "data"])
+
+    packed, _, size_ = positions(slabs.join(held, "slab", "left").mapInArrow(pack, "slab long, data binary"), F.length("data"), "slab")
+    first = gzip.compress(head, mtime=0)
+    write(packed.select((F.col("before") + len(first)).alias("at"), "data"), path, len(first) + size_, [(0, first)])
+    discard(packed)

@@ -1,12 +1,14 @@
+import gzip
 import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fascicle.functions.codec import DctCodec, decode
 from fascicle.plans import cli
 from fascicle.schema import LATENT, STREAMLINE, ModelSpec
-from fascicle.sources import binary, images, tracts
+from fascicle.sources import binary, images, sink, tracts
 from fascicle.streaming import scores as stream
 
 
@@ -170,3 +172,84 @@ def test_stream(spark, tmp_path):
     q = stream.start(stream.score_stream(stream.latent_stream(spark, str(tmp_path / "in")), centres), str(tmp_path / "out"), str(tmp_path / "state"), once=True)
     assert q.awaitTermination(120)
     assert sorted(r["score"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+def awkward_lines(n=60):
+    rng = np.random.default_rng(3)
+    return [(i, [tuple(map(float, p)) for p in rng.normal(size=(int(rng.integers(1, 9)), 3)).astype("f4")]) for i in range(n)]
+
+
+@pytest.mark.parametrize("ending", ["tck", "vtk"])
+@pytest.mark.parametrize("size", [24, 60, 100, 333, 1000, 1 << 20])
+def test_a_tractogram_in_many_ranges(spark, tmp_path, ending, size):
+    rows = awkward_lines()
+    path = str(tmp_path / f"x.{ending}")
+    (tracts.write_tck if ending == "tck" else tracts.write_vtk)(spark.createDataFrame(rows, STREAMLINE).repartition(5), path)
+    whole = (tracts.parse_tck if ending == "tck" else tracts.parse_vtk)((tmp_path / f"x.{ending}").read_bytes())
+    assert np.array_equal(np.diff(whole[1]), [len(p) for _, p in rows])
+    df = tracts.read_tractograms(spark, path, range_bytes=size)
+    assert df.rdd.getNumPartitions() > 1 or size > 1000
+    got = {r["sid"]: [tuple(p) for p in r["points"]] for r in df.collect()}
+    assert got == dict(rows)
+
+
+def test_ends_and_gaps_of_tck(spark, tmp_path):
+    nan, inf = [np.nan] * 3, [np.inf] * 3
+    head = "mrtrix tracks\ndatatype: Float32LE\nfile: . 60\nEND\n".ljust(60).encode()
+    body = [[1, 1, 1], nan, nan, [2, 2, 2], [3, 3, 3], nan, [4, 4, 4], [np.nan, 1, 1], nan, [5, 5, 5]]
+    for tail, name in (([inf, [6, 6, 6], nan], "stopped"), ([], "cut")):
+        path = tmp_path / f"{name}.tck"
+        path.write_bytes(head + np.array(body + tail, "<f4").tobytes())
+        want = np.diff(tracts.parse_tck(path.read_bytes())[1]).tolist()
+        for size in (24, 36, 48, 1000):
+            got = {r["sid"]: len(r["points"]) for r in tracts.read_tractograms(spark, str(path), range_bytes=size).collect()}
+            assert got == dict(enumerate(want)) and want == [1, 0, 2, 2]
+
+
+def test_vtk_with_points_in_another_order(spark, tmp_path):
+    xyz = np.arange(15, dtype=">f4").reshape(5, 3)
+    cells = np.array([2, 4, 0, 3, 1, 2, 3], ">i4")
+    path = tmp_path / "o.vtk"
+    path.write_bytes(b"# vtk DataFile Version 3.0\nx\nBINARY\nDATASET POLYDATA\nPOINTS 5 float\n" + xyz.tobytes() + b"\nLINES 2 7\n" + cells.tobytes() + b"\n")
+    got = {r["sid"]: [p[0] for p in r["points"]] for r in tracts.read_tractograms(spark, str(path), range_bytes=8).collect()}
+    assert got == {0: [12.0, 0.0], 1: [3.0, 6.0, 9.0]}
+
+
+def test_a_sink_without_positions(spark, tmp_path, monkeypatch):
+    rows = awkward_lines()
+    df = spark.createDataFrame(rows, STREAMLINE).repartition(4)
+    tracts.write_vtk(df, str(tmp_path / "a.vtk"))
+    monkeypatch.setattr(tracts, "write", lambda *a: sink.write(*a, positions=False))
+    tracts.write_vtk(df, str(tmp_path / "b.vtk"))
+    assert (tmp_path / "a.vtk").read_bytes() == (tmp_path / "b.vtk").read_bytes()
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["a.vtk", "b.vtk"]
+
+
+@pytest.mark.parametrize("positions", [True, False])
+def test_a_failed_task_leaves_no_file(spark, tmp_path, positions):
+    rows = spark.range(30).repartition(3)
+    good = rows.select((4 * F.col("id")).alias("at"), F.encode(F.format_string("%04d", "id"), "US-ASCII").alias("data"))
+    bad = good.withColumn("data", F.when(F.col("at") == 40, F.raise_error("lost").cast("binary")).otherwise(F.col("data")))
+    with pytest.raises(Exception, match="lost"):
+        sink.write(bad, str(tmp_path / "a"), 120, [], positions)
+    assert list(tmp_path.iterdir()) == []
+    sink.write(good, str(tmp_path / "a"), 124, [(120, b"end.")], positions)
+    assert (tmp_path / "a").read_bytes() == b"".join(b"%04d" % i for i in range(30)) + b"end."
+    with pytest.raises(ValueError, match="3 numbers"):
+        binary.write_latents(spark.createDataFrame([(0, [1.0, 2.0], [3.0])], LATENT), str(tmp_path / "b"), ModelSpec(latent_dim=2))
+
+
+def test_images_by_slabs(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    shape = (7, 6, 5)
+    v = {tuple(map(int, p)): float(np.float32(rng.normal())) for p in rng.integers(0, shape, (60, 3))}
+    df = spark.createDataFrame([(*p, x) for p, x in v.items()] + [(7, 0, 0, 1.0), (-1, 0, 0, 1.0)], "i int, j int, k int, value double")
+    monkeypatch.setattr(images, "SLAB", 37)
+    want = np.zeros(shape, "<f4")
+    for p, x in v.items():
+        want[p] = x
+    for name in ("a.nii", "a.nii.gz"):
+        images.write_nifti(df, str(tmp_path / name), shape, 1.0, (0.0, 0.0, 0.0))
+        data = (tmp_path / name).read_bytes()
+        data = gzip.decompress(data) if name.endswith("gz") else data
+        assert data[352:] == want.tobytes(order="F") and len(data) == 352 + 4 * 210
