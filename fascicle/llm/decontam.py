@@ -1,12 +1,15 @@
 """Benchmark decontamination: a BM25 inverted index of test items, queried with every training passage.
 
-Documents are cut into overlapping passages of twice the longest item's words, half
-a passage apart, so that each run of an item's length lies whole in one of them.
-A passage's distinct words are a query. An item's score is its BM25 sum over them,
-as a share of the sum that all its own words reach; all items with a share of at
-least ``least`` are retrieved by block-max WAND. A retrieved pair counts when the
-passage also holds the question and the answer: at least ``overlap`` of the word
-trigrams of each. An item's last line, or else last sentence, is its answer; an item
+An item's passages of a document are twice the item's words long and one item's words
+apart, so that each run of its length lies whole in one of them. Its score in a passage
+is the BM25 sum over the passage's distinct words, as a share of the sum that all its
+own words reach; it counts where the share is at least ``least`` and the passage also
+holds the question and the answer: at least ``overlap`` of the word trigrams of each.
+To find these passages, a document is cut into wide ones, in which every item's
+passages lie whole whatever its length; a wide passage's distinct words are a query,
+and block-max WAND retrieves all items whose share there reaches ``least``. A share
+never falls when a passage grows, so no item's own passage is missed, and no item's
+result depends on the other items' lengths. An item's last line, or else last sentence, is its answer; an item
 of one sentence is taken in halves, so that both must be there.
 
 The index goes to the executors. Benchmarks beyond ``SLICE_BYTES`` of text are cut
@@ -121,7 +124,9 @@ class ItemIndex:
         whole = whole or Statistics.of(words)
         items, words = zip(*[(i, w) for i, w in zip(items, words) if len(w)]) if any(map(len, words)) else ((), ())
         self.ids, self.least, self.overlap = [i for i, _ in items], least, overlap
-        self.stride = max(whole.longest, 1)
+        #: Wide passages are twice this long and this far apart: any run of twice the longest item lies whole in one.
+        self.stride = 2 * max(whole.longest, 1)
+        self.lengths = [len(w) for w in words]
         self.questions = [trigrams(h) for h in _hashes([parts(t)[0] for _, t in items])] if items else []
         self.answers = [trigrams(h) for h in _hashes([parts(t)[1] for _, t in items])] if items else []
         self.terms = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
@@ -134,6 +139,8 @@ class ItemIndex:
         of = np.concatenate([at for at, _ in counts]) if counts else np.zeros(0, np.int64)
         item = np.repeat(np.arange(n), [len(x) for x in impacts])
         impact = np.concatenate([x / x.sum() for x in impacts]) if counts else np.zeros(0)
+        #: For each item its distinct words, ascending, with their impacts.
+        self.own = [(self.terms[at], x / x.sum()) for (at, _), x in zip(counts, impacts)]
         v, self.blocks = len(self.terms), max(1, -(-n // BLOCK))
         self.wides = -(-self.blocks // WIDE)
         self.items, self.block_max, self.wide_max = Lists(of, item, impact, v), Lists(of, item // BLOCK, impact, v), Lists(of, item // (BLOCK * WIDE), impact, v)
@@ -239,15 +246,38 @@ class ItemIndex:
             row = int(passage_row[p])
             start = int(words.first[row]) + (p - int(first_stride[row])) * self.stride
             held = hashes[start : min(start + 2 * self.stride, int(words.first[row + 1]))]
-            grams = {n: np.unique(shingles(held, n)) for n in (1, 2, 3)}
-            for item, score in found:
-                shares = []
-                for sought, text in ((self.questions[item], 0), (self.answers[item], 1)):
-                    shares.append(max(np.isin(sought, grams[n]).mean() for n in (1, 2, 3)) if len(sought) else 1.0)
-                if min(shares) >= self.overlap:
-                    best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0)), (score, *map(float, shares)))
+            place = start - int(words.first[row])
+            last = start + len(held) == int(words.first[row + 1])
+            for item, _ in found:
+                for result in self._passages(item, held, place, last):
+                    best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0)), result)
         return best
 
+    def _passages(self, item: int, held: np.ndarray, place: int, last: bool) -> Iterator[tuple[float, float, float]]:
+        """(score, question overlap, answer overlap) of the item's own passages in a stretch of words that begins at ``place`` in its document, ``last`` if it ends there."""
+        terms, impacts = self.own[item]
+        length = self.lengths[item]
+        term = np.minimum(np.searchsorted(terms, held), len(terms) - 1)
+        at = np.flatnonzero(terms[term] == held)
+        # A word at w stands in the passages that begin at the multiple of the length below it, and at the one before.
+        k = (place + at) // length
+        pairs = np.unique(np.concatenate([k * len(terms) + term[at], (k - 1) * len(terms) + term[at]]))
+        k, of = pairs // len(terms), pairs % len(terms)
+        begin = k * length - place
+        whole = (k >= 0) & (begin >= 0) & ((begin + 2 * length <= len(held)) | last)
+        k, of = k[whole], of[whole]
+        if not len(k):
+            return
+        low = int(k.min())
+        shares = np.bincount(k - low, weights=impacts[of])
+        for n in np.flatnonzero(shares >= self.least - SLACK):
+            begin = int(n + low) * length - place
+            own = held[begin : begin + 2 * length]
+            grams = {g: np.unique(shingles(own, g)) for g in (1, 2, 3)}
+            found = [max(float(np.isin(sought[item], grams[g]).mean()) for g in (1, 2, 3)) if len(sought[item]) else 1.0 for sought in (self.questions, self.answers)]
+            if min(found) >= self.overlap:
+                yield float(shares[n]), found[0], found[1]
+
 
 def _slices(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
     """The items in order of their ids, at most ``SLICE_BYTES`` of text at a time."""
