@@ -6,11 +6,11 @@ it, so that no unit depends on where in a run it stands.
 A k-mer of ``K`` units is an anchor when the least of its inner s-mers (``S`` units,
 by hash) is its first or its last. Whether a k-mer is an anchor depends on nothing
 outside it, so equal passages give equal anchors wherever they stand. All anchors are
-kept, each with its place. The likeness of two texts is the Jaccard similarity of their
-whole anchor sets, however long they are. Where they match is told by places: each
-shared hash, at its first place in either text, votes for the shift between the two,
-and the shift with most votes is that of the aligned passage. The printed fingerprint
-is a digest of the ``SIZE`` least distinct anchor hashes; nothing is computed from it.
+kept, each with its place. A fingerprint is the set of a text's anchor hashes, 32 bits
+each, however long the text is: printed, they stand in order, eight hex digits each.
+The likeness of two fingerprints is the Jaccard similarity of these sets. Where texts
+match is told by places: each shared hash, at its first place in either text, votes for
+the shift between the two, and the shift with most votes is that of the aligned passage.
 
 Null texts count as empty. In a text without any anchor, such as one of fewer than
 ``K`` units, each unit is one; a blank text has a fixed one. Equal texts have equal fingerprints.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fascicle.llm.common import partitions, text_of
 
-K, S, SIZE = 5, 2, 128
+K, S = 5, 2
 LONGEST = 24
 _UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
 _WORD = rf"[^\s{_UNSPACED}]"
@@ -59,16 +59,20 @@ def with_anchors(df: DataFrame, text: Column, out: str = "anchors") -> DataFrame
     return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).when(F.size(units) > 0, each).otherwise(blank)).drop("__units", "__inner")
 
 
-def printed(anchors: Column) -> Column:
-    """The least anchor hashes, sorted, 32 bits each."""
-    hashes = F.slice(F.sort_array(F.array_distinct(F.transform(anchors, lambda a: F.shiftright(a["hash"], 32).cast("int")))), 1, SIZE)
-    return F.concat_ws("", F.transform(hashes, lambda x: F.substring(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(1 << 32)), 2, 8)))
+def fingerprint(anchors: Column) -> Column:
+    """The distinct anchor hashes, 32 bits each, in order."""
+    return F.array_sort(F.array_distinct(F.transform(anchors, lambda a: F.shiftright(a["hash"], 32).cast("int"))))
+
+
+def printed(fingerprint: Column) -> Column:
+    """Eight hex digits for each of its hashes."""
+    return F.concat_ws("", F.transform(fingerprint, lambda x: F.substring(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(1 << 32)), 2, 8)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of the anchor hashes of either that are in both."""
-    a, b = (F.transform(x, lambda y: y["hash"]) for x in (a, b))
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    """The share of the hashes of either fingerprint that are in both."""
+    shared = F.size(F.array_intersect(a, b))
+    return shared / (F.size(a) + F.size(b) - shared)
 
 
 def with_aligned(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
@@ -130,7 +134,9 @@ def compare_edited(df: DataFrame, key: str = "doc_id") -> DataFrame:
     pairs = pairs.select(key, "n_chars", "own", "next_own", edited.alias("edited"))
     pairs = with_anchors(pairs, F.col("edited"), "edited_own")
     pairs = with_aligned(with_aligned(pairs, "own", "edited_own", "aligned_edited"), "own", "next_own", "aligned_next")
+    for side in ("own", "edited_own", "next_own"):
+        pairs = pairs.withColumn(f"f_{side}", fingerprint(F.col(side)))
     return pairs.select(
-        key, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), printed(F.col("own")).alias("fingerprint"), printed(F.col("edited_own")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited_own")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"), F.col("own").alias("anchors"), "aligned_edited", "aligned_next",
+        key, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), printed(F.col("f_own")).alias("fingerprint"), printed(F.col("f_edited_own")).alias("edited_fingerprint"),
+        likeness(F.col("f_own"), F.col("f_edited_own")).alias("near_edited"), likeness(F.col("f_own"), F.col("f_next_own")).alias("near_next"), F.col("own").alias("anchors"), "aligned_edited", "aligned_next",
     )
