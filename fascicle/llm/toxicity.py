@@ -11,6 +11,7 @@ Fitting takes at most ``per_class`` labelled rows of each class of the first cat
 those with the smallest hash of their id; a later link takes those of them that have
 its label. Scoring covers every row and every word.
 
+Where labels have no column of a category the chain is without it.
 Null and empty texts have no telling word and score as such. Without labels or
 with one class alone every probability is 0. Repeated rows give repeated results.
 """
@@ -104,6 +105,8 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", per_class: int =
     """A chain over ``categories``, in their order. A category with one class alone ends it."""
     names = [c for c, (column, _) in categories.items() if column in labels.columns]
     columns = [categories[c][0] for c in names]
+    if not columns:
+        return Chain((), ())
     rows = sampled(df, labels, columns[0], key, per_class, tuple(columns[1:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,14 +148,15 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", per_class: int =
     return Chain(tuple(names), tuple(links))
 
 
-def score(df: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text", least: float = 0.7) -> DataFrame:
-    """``key``, a probability for each category, and ``is_toxic`` where the first reaches ``least``."""
+def score(df: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text", least: float = 0.6) -> DataFrame:
+    """``key``, a probability for each category, and ``is_toxic`` where that of ``toxic`` reaches ``least``; null if the chain has no such category."""
+    toxic = chain.categories.index("toxic") if "toxic" in chain.categories else None
     names = [f"p_{c}" for c in chain.categories]
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = chain.slots()
-        width = int(slot.max()) + 1
+        width = int(slot.max(initial=-1)) + 1
         for b in batches:
             texts = b.column(1)
             for s, e in slices(texts, 1 << 19):
@@ -161,6 +165,6 @@ def score(df: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text",
                 at = slot[bucket]
                 x[owner[at >= 0], at[at >= 0]] = 1
                 p = chain.score(x, slot)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, 0] >= least)], [key, *names, "is_toxic"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), *(pa.array(p[:, k]) for k in range(len(names))), pa.nulls(e - s, pa.bool_()) if toxic is None else pa.array(p[:, toxic] >= least)], [key, *names, "is_toxic"])
 
-    return df.select(key, text_of(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{n} double' for n in names)}, is_toxic boolean")
+    return df.select(key, text_of(text).alias("__text")).mapInArrow(run, ", ".join([f"`{key}` {kind}", *(f"{n} double" for n in names), "is_toxic boolean"]))
