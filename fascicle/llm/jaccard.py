@@ -461,8 +461,8 @@ def clusters(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return docs.join(named, "digest", "left").select("doc", "digest", "n", F.coalesce("component", "doc").alias("component"))
 
 
-def _with_digest(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``__digest``: the hash of the set of each row's ``text``."""
+def _with_digest(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the hash of the set of each row's ``text``."""
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,10 +470,10 @@ def _with_digest(df: DataFrame, text: str) -> DataFrame:
             texts = b.column(at).fill_null("")
             for s, e in slices(texts):
                 digest = set_digests(*sets(texts.slice(s, e - s)))
-                yield pa.RecordBatch.from_arrays([*b.slice(s, e - s).columns, pa.array(digest.view(np.int64))], [*b.schema.names, "__digest"])
+                yield pa.RecordBatch.from_arrays([*b.slice(s, e - s).columns, pa.array(digest.view(np.int64))], [*b.schema.names, name])
         trim()
 
-    return df.mapInArrow(run, df.withColumn("__digest", F.lit(0).cast("long")).schema)
+    return df.mapInArrow(run, df.withColumn(name, F.lit(0).cast("long")).schema)
 
 
 def _settled(base: DataFrame, names: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -482,7 +482,7 @@ def _settled(base: DataFrame, names: DataFrame, pairs: DataFrame) -> DataFrame:
     chosen = names.join(nodes, "digest").where("doc is not null").select("doc").distinct()
     # An id may have rows of other sets too, and a set may have no id at all: texts go by their own sets' digests.
     rows = base.join(chosen, "doc", "left_semi").unionByName(base.where("doc is null"))
-    found = _with_digest(rows, "text").withColumnRenamed("__digest", "digest")
+    found = _with_digest(rows, "text", "digest")
     texts = cut(found.join(nodes, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", "text"))
     with_b = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
@@ -503,5 +503,8 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         out = df.join(kept, own, "left_semi")
     else:
         # Rows of one id may have different sets, each with a component of its own.
-        out = _with_digest(df, text).join(kept, own & (F.col("__digest") == F.col("__set")), "left_semi").dropDuplicates([key, "__digest"]).drop("__digest")
+        digest = "__digest"
+        while digest in df.columns:  # a name that the input has not
+            digest += "_"
+        out = _with_digest(df, text, digest).join(kept, own & (F.col(digest) == F.col("__set")), "left_semi").dropDuplicates([key, digest]).drop(digest)
     return out if found.where("doc is null").isEmpty() else out.unionByName(df.where(F.col(key).isNull()))

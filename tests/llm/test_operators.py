@@ -201,6 +201,24 @@ def read_any(part):
     return "assistant", part
 
 
+def test_chat_holds_an_additive_template_to_its_word(spark):
+    def folding(turns):
+        return "".join(f"[{r}]{'...' if i == 0 and len(turns) > 12 else t}\n" for i, (r, t) in enumerate(turns))
+
+    folding.additive = True
+
+    def reader(segment):
+        role, _, text = segment[1:-1].partition("]")
+        return role, text
+
+    rows = [(k, i, "assistant", f"C:\\\\x and \\### y {i}") for k, n in ((1, 20), (2, 13), (3, 12)) for i in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.digests(df, folding, reader).collect()}
+    assert {k: r["rewrites_history"] for k, r in got.items()} == {1: True, 2: True, 3: False}
+    # The mask holds the text as this reader has it, not as another template would escape it.
+    assert got[3]["loss_sha256"] == hashlib.sha256("".join(t for k, _, _, t in rows if k == 3).encode()).hexdigest()
+
+
 def test_chat_renders_true_prefixes_beyond_the_window(spark):
     turns = [("system" if i == 0 else "user", f"text {i}") for i in range(15)]
     df = spark.createDataFrame([(n, i, r, t) for n in (10, 15) for i, (r, t) in enumerate(turns[:n])], "conv_id long, turn long, role string, text string")
@@ -301,6 +319,31 @@ def test_fingerprints(spark):
     assert np.mean([got[k]["near_next"] for k in long]) < 0.1
 
 
+def plain_anchors(units, k=5, s=2):
+    """Places at which a k-mer's least s-mer stands first or last, from the hashes of the units' s-mers."""
+    return [i for i in range(len(units) - k + 1) if min(units[i : i + k - s + 1]) in (units[i], units[i + k - s])]
+
+
+def test_fingerprints_and_likeness_from_scratch(spark):
+    rng = random.Random(13)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta"], k=n)) for n in (0, 1, 4, 5, 6, 30, 300, 3000)] + ["x" * 60, "中文字符没有空格" * 5, None]
+    got = by_id(fingerprint.compare_edited(frame(spark, texts)))
+    hashes = lambda f: {f[i : i + 8] for i in range(0, len(f), 8)}
+    order = sorted(got, reverse=True)
+    for k, r in got.items():
+        following = got[order[(order.index(k) + 1) % len(order)]]
+        for name, other in (("near_edited", r["edited_fingerprint"]), ("near_next", following["fingerprint"])):
+            a, b = hashes(r["fingerprint"]), hashes(other)
+            assert r[name] == pytest.approx(len(a & b) / len(a | b))
+        assert r["fingerprint"] == "".join(sorted(hashes(r["fingerprint"]), key=lambda h: (int(h, 16) + (1 << 31)) % (1 << 32)))
+        # The places from the s-mers' hashes, which Spark gives, by a plain reading of the rule.
+        words = (texts[k] or "").split() if k < 8 else []
+        if len(words) >= 5:
+            pairs = spark.createDataFrame([(i, *p) for i, p in enumerate(zip(words, words[1:]))], "i int, a string, b string")
+            inner = [x[1] for x in sorted(pairs.select("i", F.xxhash64(F.xxhash64("a"), F.xxhash64("b"))).collect())]
+            assert [x["at"] for x in r["anchors"]] == plain_anchors(inner + [0], 5, 2)[: len(r["anchors"])] or not plain_anchors(inner, 5, 2)
+
+
 def test_fingerprint_edges(spark):
     assert fingerprint.compare_edited(frame(spark, ["x"]).where("false")).count() == 0
     one = fingerprint.compare_edited(frame(spark, ["alone in the table of documents"])).first()
@@ -373,6 +416,25 @@ def test_toxicity_chain_from_its_formula(spark):
         assert (got[i]["p_poor"] >= 0.5) == (i % 4 == 0)
 
 
+def test_toxicity_without_its_label(spark):
+    rows = [(i, f"word{i % 3} text", i % 2, i % 2) for i in range(40)]
+    docs = frame(spark, [t for _, t, _, _ in rows])
+    labels = spark.createDataFrame([(i, a, b) for i, _, a, b in rows], "doc_id long, quality int, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels.drop("toxic"))).collect()
+    assert "p_poor" in got[0].asDict() and {r["is_toxic"] for r in got} == {None}
+    bare = toxicity.score(docs, toxicity.fit(docs, labels.select("doc_id")))
+    assert bare.columns == ["doc_id", "is_toxic"] and {r["is_toxic"] for r in bare.collect()} == {None}
+
+
+def test_toxicity_finds_nine_of_ten_held_out(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    chain = toxicity.fit(docs, labels.where("doc_id % 2 = 0"))
+    got = toxicity.score(docs, chain).join(labels.where("doc_id % 2 = 1"), "doc_id").groupBy("toxic").agg(F.avg(F.col("is_toxic").cast("int"))).collect()
+    found = {r[0]: r[1] for r in got}
+    assert found[1] >= 0.9 and found[0] <= 0.01
+
+
 def test_toxicity_edges(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["plain", "words", "only", "here"]) for _ in range(20)) + (" vile nasty" if i % 3 == 0 else "") for i in range(60)]
@@ -571,6 +633,60 @@ def test_decontamination(spark):
     assert decontam.hits(df.where("false"), bench).count() == 0
 
 
+def plain_hits(docs, items, least, overlap):
+    """Every item against each of its own passages of every text, by BM25 over dictionaries."""
+    split = lambda t: [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower()) if w]
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    words = {k: split(t) for k, t in items}
+    words = {k: w for k, w in words.items() if w}
+    df = Counter(t for w in words.values() for t in set(w))
+    mean = sum(map(len, words.values())) / max(1, len(words))
+    impact = {}
+    for k, w in words.items():
+        own = {t: math.log1p((len(words) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, n in Counter(w).items()}
+        impact[k] = {t: v / sum(own.values()) for t, v in own.items()}
+    out = {}
+    for d, text in docs:
+        held = split(text)
+        for k, t in items:
+            if k not in words:
+                continue
+            n = len(words[k])
+            sought = [split(p) for p in decontam.parts(t)]
+            for at in range(0, len(held), n):
+                own = held[at : at + 2 * n]
+                share = sum(v for w, v in impact[k].items() if w in own)
+                parts = [max(len(g & grams(own, s)) / max(1, len(g)) for s in (1, 2, 3)) if (g := grams(p, min(3, max(1, len(p))))) else 1.0 for p in sought]
+                if share >= least - 1e-9 and min(parts) >= overlap:
+                    out[d, k] = max(out.get((d, k), (0.0, 0.0, 0.0)), (share, *parts))
+    return out
+
+
+@pytest.mark.parametrize(("least", "overlap"), [(0.5, 0.6), (0.3, 0.3), (0.5, 0.0)])
+def test_decontamination_like_every_passage(spark, least, overlap):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(60)]
+    some = lambda n: " ".join(rng.choices(vocabulary, range(60, 0, -1), k=n))
+    items = [(i, f"{some(rng.randint(1, 12))}\n{some(rng.randint(1, 6))}") for i in range(30)] + [(90, some(80)), (91, "w1"), (92, None), (93, "")]
+    docs = [(i, some(rng.randint(0, 60))) for i in range(60)]
+    docs += [(100 + i, f"{some(rng.randint(0, 150))} {t} {some(rng.randint(0, 40))}") for i, (_, t) in enumerate(items[:31])] + [(200, None)]
+    got = decontam.hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), least=least, overlap=overlap).collect()
+    want = plain_hits(docs, items, least, overlap)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == set(want)
+    for r in got:
+        assert (r["score"], r["question_overlap"], r["answer_overlap"]) == pytest.approx(want[r["doc_id"], r["item_id"]])
+
+
+def test_decontamination_is_no_matter_of_other_items(spark):
+    question, answer = " ".join(f"q{i}" for i in range(30)), " ".join(f"a{i}" for i in range(10))
+    filler = " ".join(f"f{i}" for i in range(400))
+    docs = frame(spark, [f"{question} {filler} {answer}", f"{filler} {question} {answer}"])
+    one = [(1, f"{question}\n{answer}")]
+    for items in (one, one + [(2, " ".join(f"z{i}" for i in range(600)))]):
+        got = decontam.hits(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1)}
+
+
 def test_decontamination_in_slices(spark, monkeypatch):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     monkeypatch.setattr(decontam, "SLICE_BYTES", 10)
