@@ -240,6 +240,10 @@ def dropped(edges: DataFrame, block: int, here: int, most: int) -> tuple[DataFra
             return lost, n, rounds
 
 
+def _fine(code: str) -> F.Column:
+    return F.col(code).isNotNull() & F.forall(code, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+
+
 def find_centers(
     latents: DataFrame, max_dist: float, scaler: float = 1.0, batch_size: int = 1_000_000, key: str = "sid", source: str | None = None, max_iteration: int | None = None, shuffle_seed: int | None = None,
     split=split_size, random_seed: int | None = None, mini_batch: int = 1000, report: list | None = None, prefix: int | None = None, here: int | None = None,
@@ -256,8 +260,7 @@ def find_centers(
     """
     spark = latents.sparkSession
     limit = max_dist / scaler
-    fine = lambda c: F.col(c).isNotNull() & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    rows = latents.select(key, *([source] if source else []), F.col("z_fwd").cast("array<double>"), F.col("z_rev").cast("array<double>")).where(fine("z_fwd") & fine("z_rev"))
+    rows = latents.select(key, *([source] if source else []), F.col("z_fwd").cast("array<double>"), F.col("z_rev").cast("array<double>")).where(_fine("z_fwd") & _fine("z_rev"))
     order = [source or "src", key]
     if random_seed is None:
         dealt = with_batches(rows if source else rows.withColumn("src", F.lit(0)), batch_size, order[0], key)
@@ -292,6 +295,25 @@ def find_centers(
     return out.select((F.col("nth") + 1).cast("int").alias("label"), "z_fwd", "z_rev")
 
 
+def extend(rows: DataFrame, centres: DataFrame, max_dist: float, scaler: float = 1.0, order: list[str] | None = None, split=split_size, report: list | None = None) -> DataFrame:
+    """(rank, z_fwd, z_rev) of the centres that one more batch adds to ``centres`` (z_fwd, z_rev), in its order."""
+    limit, spark = max_dist / scaler, rows.sparkSession
+    code = lambda c: F.col(c).cast("array<double>").alias(c)
+    held = centres.select(F.lit(0).cast("long").alias("rank"), F.lit(ELSEWHERE).cast("long").alias("split"), code("z_fwd"), code("z_rev"))
+    n, width = held.agg(F.count("*"), F.max(F.size("z_fwd"))).first()
+    known = Known([held.toArrow() if Known().room(n, width or 0) else held]) if n else Known()
+    order = order or ["sid"]
+    own = rows.select(*order, code("z_fwd"), code("z_rev")).where(_fine("z_fwd") & _fine("z_rev"))
+    if n:
+        own = _open(_numbered(own.withColumn("split", F.lit(0).cast("long")), known), known, limit).drop("rank", "split")
+    left, m = ranked(own, *order)
+    left = left.select("rank", F.floor(F.col("rank") / max(split(m), 1)).alias("split"), "z_fwd", "z_rev")
+    width = width or (left.select(F.max(F.size("z_fwd"))).first()[0] if m else 0) or 0
+    fresh = _leaders(left, m, limit, known, width, PREFIX, EDGES_HERE, report.append if report is not None else lambda line: None)
+    pieces = [spark.createDataFrame(p.select(_NAMES), _ROW) if isinstance(p, pa.Table) else p for p in fresh]
+    return (functools.reduce(DataFrame.unionByName, pieces) if pieces else spark.createDataFrame([], _ROW)).select("rank", "z_fwd", "z_rev")
+
+
 def _leaders(left: DataFrame, n: int, limit: float, known: Known, width: int, prefix: int, here: int, report: Callable[[dict], None]) -> list[pa.Table | DataFrame]:
     """The rows of a batch (rank, split, z_fwd, z_rev) that stay centres, piece by piece.
 

@@ -31,26 +31,53 @@ def point_lists(xyz: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def resample_points(xyz: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All streamlines at once: each target arc length is looked up in one running sum over the batch."""
+    """All streamlines at once: each target arc length is looked up among all points, which are sorted by streamline and arc length."""
     size = np.diff(offsets)
-    step = np.zeros(len(xyz))
-    if len(xyz):
-        step[1:] = np.sqrt(((xyz[1:] - xyz[:-1]) ** 2).sum(1))
-        step[offsets[:-1][size > 0]] = 0
     full = np.flatnonzero(size > 0)
-    out = np.zeros((len(full), n, 3))
-    for row, k in enumerate(full):
-        own = slice(offsets[k], offsets[k + 1])
-        run = np.cumsum(step[own])
-        at = np.linspace(0, run[-1], n)
-        if run[-1] > 0:
-            grows = np.concatenate([[True], np.diff(run) > 0])
-            for c in range(3):
-                out[row, :, c] = np.interp(at, run[grows], xyz[own, c][grows])
-            out[row, -1] = xyz[own][-1]
-        else:
-            out[row] = xyz[own][0]
-    return out.reshape(-1, 3), np.concatenate([[0], np.cumsum(np.where(size > 0, n, 0))])
+    out_offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, n, 0))])
+    if not len(full):
+        return np.zeros((0, 3)), out_offsets
+    first, last = offsets[:-1][full], offsets[1:][full] - 1
+    step = np.zeros(len(xyz))
+    step[1:] = np.sqrt(((xyz[1:] - xyz[:-1]) ** 2).sum(1))
+    step[first] = 0
+    run = _runs(step, size[full])
+    total = run[last]
+    at = np.linspace(0, 1, n) * total[:, None]
+    # Points that go on; of those at one arc length the first.
+    grows = step > 0
+    grows[first] = True
+    kept = np.flatnonzero(grows)
+    owner = np.repeat(np.arange(len(full)), size[full])
+    # How many kept points of the same streamline lie at or before each target.
+    keys = np.concatenate([owner[kept], np.repeat(np.arange(len(full)), n)])
+    arc = np.concatenate([run[kept], at.ravel()])
+    target = np.concatenate([np.zeros(len(kept), bool), np.ones(at.size, bool)])
+    order = np.lexsort((target, arc, keys))
+    before = np.cumsum(~target[order])
+    left = np.empty(len(order), np.int64)
+    left[order] = before - 1
+    left = left[len(kept) :]
+    end = np.searchsorted(owner[kept], np.arange(len(full)), "right") - 1
+    left = np.minimum(left, np.repeat(np.maximum(end - 1, np.searchsorted(owner[kept], np.arange(len(full)))), n))
+    right = np.minimum(left + 1, np.repeat(end, n))
+    a, b = kept[left], kept[right]
+    gap = run[b] - run[a]
+    share = np.where(gap > 0, (at.ravel() - run[a]) / np.where(gap > 0, gap, 1), 0)
+    out = xyz[a] + (xyz[b] - xyz[a]) * share[:, None]
+    ends = np.arange(1, len(full) + 1) * n - 1
+    out[ends] = np.where((total > 0)[:, None], xyz[last], xyz[first])
+    return out, out_offsets
+
+
+def _runs(step: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running sums that begin anew with each streamline, exactly as if each were summed alone: those of equal size go side by side."""
+    out = np.empty(len(step))
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    for n in np.unique(sizes):
+        rows = begin[sizes == n][:, None] + np.arange(n)
+        out[rows] = np.cumsum(step[rows], 1)
+    return out
 
 
 def resample(df: DataFrame, n: int, points: str = "points") -> DataFrame:

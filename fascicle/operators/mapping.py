@@ -1,8 +1,9 @@
 """Scores back onto streamlines and into voxels.
 
-Voxels are half-open boxes from an origin, cubes unless each axis has its own size. A streamline's segments are cut
-at the planes between voxels; each piece counts with its length in the voxel of its
-middle. The image is the sum of score times length over the sum of length. Cut
+Voxels are half-open boxes from an origin, cubes unless each axis has its own size; or
+they lie as an affine map says, turned or sheared as it may be. A streamline's segments
+are cut in the space of voxel indices, at the planes between voxels; each piece counts
+in the voxel of its middle, with its length in the world. The image is the sum of score times length over the sum of length. Cut
 pieces are summed within a task before anything is shuffled.
 """
 
@@ -55,9 +56,16 @@ def weighted(scores: DataFrame, weights: DataFrame, key: str = "sid") -> DataFra
     return scores.join(weights, key).withColumn("score", F.col("score") * F.col("weight")).drop("weight")
 
 
-def cut_segments(a: np.ndarray, b: np.ndarray, size: float | np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def to_indices(xyz: np.ndarray, size: float | np.ndarray, origin: np.ndarray, affine: np.ndarray | None) -> np.ndarray:
+    """Places in units of voxels: voxel i reaches from i to i + 1. An affine map (3 x 4) gives the middle of a voxel."""
+    if affine is None:
+        return (xyz - origin) / size
+    return (xyz - affine[:, 3]) @ np.linalg.inv(affine[:, :3]).T + 0.5
+
+
+def cut_segments(a: np.ndarray, b: np.ndarray, size: float | np.ndarray, origin: np.ndarray, affine: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, voxel, length) of each piece of the segments from ``a`` to ``b``."""
-    p, q = (a - origin) / size, (b - origin) / size
+    p, q = (to_indices(x, size, origin, affine) for x in (a, b))
     owner, at = [np.arange(len(a)), np.arange(len(a))], [np.zeros(len(a)), np.ones(len(a))]
     for c in range(3):
         low, high = np.floor(np.minimum(p[:, c], q[:, c])) + 1, np.ceil(np.maximum(p[:, c], q[:, c])) - 1
@@ -75,7 +83,7 @@ def cut_segments(a: np.ndarray, b: np.ndarray, size: float | np.ndarray, origin:
     return k, voxel, (e - s) * np.sqrt(((b - a) ** 2).sum(1))[k]
 
 
-def voxelise(streamlines: DataFrame, size: float | tuple[float, float, float] = 1.0, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+def voxelise(streamlines: DataFrame, size: float | tuple[float, float, float] = 1.0, origin: tuple[float, float, float] = (0.0, 0.0, 0.0), affine: np.ndarray | None = None) -> DataFrame:
     """(i, j, k, length, score_length) over all streamlines, ``score_length`` being the sum of score times length."""
     scored = streamlines.select("points", (F.col("score") if "score" in streamlines.columns else F.lit(1.0)).cast("double").alias("score"))
 
@@ -84,7 +92,7 @@ def voxelise(streamlines: DataFrame, size: float | tuple[float, float, float] =
             xyz, offsets = flat_points(b.column(0))
             owner = np.repeat(np.arange(b.num_rows), np.diff(offsets))
             inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else np.zeros(0, np.int64)
-            seg, voxel, length = cut_segments(xyz[inner], xyz[inner + 1], np.array(size, float), np.array(origin))
+            seg, voxel, length = cut_segments(xyz[inner], xyz[inner + 1], np.array(size, float), np.array(origin), affine)
             score = b.column(1).to_numpy(zero_copy_only=False)[owner[inner][seg]]
             # One integer for each voxel of the box that this batch reaches, when it fits: records sort far more slowly.
             low = voxel.min(0) if len(voxel) else np.zeros(3, np.int64)
@@ -166,8 +174,8 @@ def median_filter(voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return _stencil(voxels, shape, _median)
 
 
-def to_image(streamlines: DataFrame, scores: DataFrame, voxel_size: float | tuple[float, float, float] = 1.0, least: float = 0.0, weights: DataFrame | None = None, median: bool = False, mean: bool = False, origin=None, shape=None, key: str = "sid") -> DataFrame:
-    """Scores to an image: threshold, weights, voxels, then the median and the mean filter."""
+def to_image(streamlines: DataFrame, scores: DataFrame, voxel_size: float | tuple[float, float, float] = 1.0, least: float = 0.0, weights: DataFrame | None = None, median: bool = False, mean: bool = False, origin=None, shape=None, key: str = "sid", affine: np.ndarray | None = None) -> DataFrame:
+    """Scores to an image: threshold, weights, voxels, then the median and the mean filter. ``affine`` stands for size and origin, and needs the shape."""
     from fascicle.operators.geometry import bounding_box
 
     require_match(streamlines, scores, "scores", key)
@@ -175,10 +183,10 @@ def to_image(streamlines: DataFrame, scores: DataFrame, voxel_size: float | tupl
     if weights is not None:
         require_match(streamlines, weights, "weights", key)
         scores = weighted(scores, weights, key)
-    if origin is None:
+    if origin is None and affine is None:
         box = bounding_box(streamlines).first()
         origin = tuple(float(box[f"min_{c}"]) for c in "xyz")
         shape = tuple(int((box[f"max_{c}"] - box[f"min_{c}"]) // s) + 1 for c, s in zip("xyz", np.broadcast_to(voxel_size, 3)))
-    out = image(voxelise(streamlines.join(scores, key), voxel_size, origin))
+    out = image(voxelise(streamlines.join(scores, key), voxel_size, origin or (0.0, 0.0, 0.0), affine))
     out = median_filter(out, shape) if median else out
     return mean_filter(out, shape) if mean else out

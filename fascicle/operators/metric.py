@@ -245,8 +245,12 @@ def _route(queries: DataFrame, cells: Cells, bound: float | None, home: bool, ea
     return queries.mapInArrow(run, f"{POINT}, unit int")
 
 
-def _meet(routed: DataFrame, points: DataFrame, work: Callable, schema: str, queries: int | None = None) -> DataFrame:
+def _meet(routed: DataFrame, points: DataFrame, work: Callable, schema: str, queries: int | None = None, folder: int | None = None) -> DataFrame:
     """``work`` on each batch of queries and the points of its unit. The queries of a unit are dealt to as many tasks as they are many, each with the unit's points."""
+    if folder:
+        # Stored points lie in folders of so many units: a line for each that is met, and no other is read.
+        met = [r[0] for r in routed.select(F.floor(F.col("unit") / folder).cast("int")).distinct().collect()]
+        points = points.where(F.col("part").isin(met))
     # The counts are looked up, one for each unit; rows of a hot unit are not shuffled for it.
     counts = routed.groupBy("unit").agg(F.ceil(F.count("*") / (queries or QUERIES)).cast("int").alias("salts"))
     met = points.join(counts, "unit").select("unit", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), "id", "tag", "z")
@@ -331,7 +335,7 @@ def find(x: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int | None, radi
     return np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(names), np.concatenate(far)
 
 
-def search(queries: DataFrame, cells: Cells, points: DataFrame, k: int | None = 1, radius: float | None = None, report: dict | None = None) -> DataFrame:
+def search(queries: DataFrame, cells: Cells, points: DataFrame, k: int | None = 1, radius: float | None = None, report: dict | None = None, folder: int | None = None) -> DataFrame:
     """(id, nth, label, d) of each query's ``k`` nearest points, or of all within a radius, or both; ``queries`` have ids that are unique.
 
     Meeting the most promising unit bounds the rest; ``report`` gets the share of
@@ -354,9 +358,9 @@ def search(queries: DataFrame, cells: Cells, points: DataFrame, k: int | None =
         yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), part.column("z"), unit, pa.array(last), *lists], ["id", "tag", "z", "unit", "d", "names", "far"])
 
     schema = f"{POINT}, unit int, d double, names array<long>, far array<double>"
-    first = materialise(_meet(materialise(_route(queries, cells, None, True)), points, work, schema))
+    first = materialise(_meet(materialise(_route(queries, cells, None, True)), points, work, schema, None, folder))
     further = materialise(_route(first.select("id", "tag", "z", "unit", "d"), cells, None, False))
-    second = _meet(further, points, work, schema)
+    second = _meet(further, points, work, schema, None, folder)
     if report is not None:
         sizes = queries.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(cells.size)], "unit int, size long")
         met = first.select("unit").unionByName(further.select("unit")).groupBy("unit").count().join(F.broadcast(sizes), "unit")

@@ -24,7 +24,7 @@ from fascicle.operators.metric import find, matrix
 from fascicle.plans.durable import materialise
 
 
-def _checked(k: int | None, radius: float | None, metric: str) -> None:
+def checked(k: int | None, radius: float | None, metric: str = "l2") -> None:
     if metric not in ("l1", "l2", "so2"):
         raise ValueError(f"no metric {metric}")
     if k is None and radius is None or k is not None and k < 1:
@@ -37,7 +37,7 @@ def neighbours(latents: DataFrame, points: DataFrame, k: int | None = 1, radius:
     A row without any match, or any row where there are no points, has no rows. Points of
     more than ``most`` numbers are met by cells, as in :func:`fascicle.operators.scoring.score`.
     """
-    _checked(k, radius, metric)
+    checked(k, radius, metric)
     rows = latents.select(F.col(key).alias("key"), F.col("z_fwd").cast("array<double>").alias("z"))
     held = scoring.carried(points, most)
     if held is None:

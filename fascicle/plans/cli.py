@@ -1,4 +1,4 @@
-"""The command line: encode, decode, findClusterCenters, score, toTrack, toImg, modelTest.
+"""The command line: fit, encode, decode, findClusterCenters, score, toTrack, toImg, modelTest.
 
 ``python -m fascicle.plans.cli COMMAND ...``. Failures raise, so the exit code tells. Without a command the help is shown.
 """
@@ -11,10 +11,11 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fascicle.functions.codec import Codec, DctCodec, decode, encode
+from fascicle.functions.codec import Codec, DctCodec, decode, encode, fit, load
 from fascicle.operators import clustering, evaluation, geometry, mapping, scoring
 from fascicle.schema import ModelSpec
 from fascicle.sources import binary, images, tracts
+from fascicle.sources.sink import refuse
 
 
 #: Without a model: 256 points, latents of 64 32-bit floats, and its distance scaler.
@@ -24,12 +25,12 @@ VERBOSITY = {"quite": "OFF", "fatal": "FATAL", "error": "ERROR", "warn": "WARN",
 
 
 def codec_of(args) -> Codec:
-    """The cosine codec, or what a model of the form ``package.module:factory`` makes of the specification."""
+    """The cosine codec without a model or for ``-``; what a model of the form ``package.module:factory`` makes of the specification; or the fitted codec that a file holds. A path that is no such file is refused."""
     spec, given = spec_of(args), model_of(args)
     module, _, factory = (given[0] if given else "").partition(":")
     if factory and not os.path.exists(given[0]):
         return getattr(importlib.import_module(module), factory)(spec)
-    return DctCodec(spec)
+    return load(given[0], spec) if given and given[0] != "-" else DctCodec(spec)
 
 
 def model_of(args) -> list[str]:
@@ -90,14 +91,21 @@ def run_track(spark: SparkSession, args) -> None:
 def run_image(spark: SparkSession, args) -> None:
     lines = tracts.read_tractograms(spark, args.input)
     weights = binary.read_scores(spark, args.weight, "weight") if args.weight else None
+    affine = None
     if args.template:
-        shape, size, origin = images.read_grid(args.template)
+        shape, affine = images.read_affine(args.template)
+        size, origin = 1.0, (0.0, 0.0, 0.0)
     else:
         box, size = geometry.bounding_box(lines).first(), args.voxDim
         origin = tuple(float(box[f"min_{c}"]) for c in "xyz")
         shape = tuple(int((box[f"max_{c}"] - box[f"min_{c}"]) // size) + 1 for c in "xyz")
-    out = mapping.to_image(lines, binary.read_scores(spark, args.score), size, args.thresh, weights, args.medFilt, args.aveFilt, origin, shape)
-    images.write_nifti(out, args.output, shape, size, origin, args.force)
+    out = mapping.to_image(lines, binary.read_scores(spark, args.score), size, args.thresh, weights, args.medFilt, args.aveFilt, origin, shape, affine=affine)
+    images.write_nifti(out, args.output, shape, size, origin, args.force, affine)
+
+
+def run_fit(spark: SparkSession, args) -> None:
+    refuse(args.output, args.force)
+    fit(tracts.read_tractograms(spark, args.input), ModelSpec(args.latent, args.points)).save(args.output)
 
 
 def run_test(spark: SparkSession, args) -> DataFrame:
@@ -130,7 +138,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-v", "--verbose", default="info", help=", ".join(VERBOSITY))
         if model:
             p.add_argument("-c", "--useCPU", action="store_true", help="accepted; there is no other device")
-            p.add_argument("-m", "--model", nargs="+", default=[], help="path or package.module:factory, points, latent size, type[, distance scaler]; a path is not read by the cosine codec")
+            p.add_argument("-m", "--model", nargs="+", default=[], help="path or package.module:factory, points, latent size, type[, distance scaler]; - is the cosine codec")
         return p
 
     for name, run in (("encode", run_encode), ("decode", run_decode)):
@@ -138,6 +146,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-s", "--skip", action="store_true")
         p.add_argument("-t", "--tck", action="store_true")
         p.add_argument("-b", "--batchSize", type=int, default=512, help="rows that are coded at once")
+    p = command("fit", run_fit, "input", "output", model=False)
+    p.add_argument("--points", type=int, default=DEFAULT.input_points)
+    p.add_argument("--latent", type=int, default=DEFAULT.latent_dim)
     p = command("findClusterCenters", run_centers, "input", "output")
     p.add_argument("-d", "--maxDist", type=float, required=True)
     p.add_argument("-b", "--batchSize", type=int, default=1_000_000)

@@ -16,18 +16,37 @@ from fascicle.plans.durable import discard
 from fascicle.sources.sink import filesystem, positions, ranges, refuse, write
 
 
-def read_grid(path: str) -> tuple[tuple[int, int, int], tuple[float, float, float], tuple[float, float, float]]:
-    """(shape, voxel sizes, origin) from a template's header. A grid whose axes are turned against x, y and z is refused."""
+def read_affine(path: str) -> tuple[tuple[int, int, int], np.ndarray]:
+    """(shape, affine) from a template's header: 3 x 4, from voxel indices to the world, of whatever orientation. A singular one is refused."""
     fs, inner = filesystem(path)
     with fs.open_input_stream(inner, compression="gzip" if path.endswith(".gz") else None) as f:
         head = f.read(348)
-    dims = struct.unpack_from("<8h", head, 40)
-    size = struct.unpack_from("<8f", head, 76)
-    rows = [struct.unpack_from("<4f", head, 280 + 16 * i) for i in range(3)]
-    sizes = tuple(float(s) for s in size[1:4])
-    if any(abs(r[c] - (sizes[i] if c == i else 0)) > 1e-4 * sizes[i] for i, r in enumerate(rows) for c in range(3)):
-        raise ValueError(f"{path}: its axes are turned or flipped; a template must run along x, y and z")
-    return tuple(int(d) for d in dims[1:4]), sizes, tuple(r[3] - r[i] / 2 for i, r in enumerate(rows))
+    order = "<" if struct.unpack_from("<i", head, 0)[0] == 348 else ">"
+    dims = struct.unpack_from(f"{order}8h", head, 40)
+    pixel = np.array(struct.unpack_from(f"{order}8f", head, 76), float)
+    quatern, straight = struct.unpack_from(f"{order}2h", head, 252)
+    if straight > 0:
+        affine = np.array([struct.unpack_from(f"{order}4f", head, 280 + 16 * i) for i in range(3)], float)
+    elif quatern > 0:
+        # The format's quaternion: its real part follows from the other three.
+        b, c, d, *shift = struct.unpack_from(f"{order}6f", head, 256)
+        a = max(0.0, 1.0 - b * b - c * c - d * d) ** 0.5
+        turn = np.array([[a * a + b * b - c * c - d * d, 2 * (b * c - a * d), 2 * (b * d + a * c)], [2 * (b * c + a * d), a * a + c * c - b * b - d * d, 2 * (c * d - a * b)], [2 * (b * d - a * c), 2 * (c * d + a * b), a * a + d * d - b * b - c * c]])
+        affine = np.concatenate([turn * pixel[1:4] * [1, 1, -1.0 if pixel[0] < 0 else 1.0], np.array(shift, float)[:, None]], 1)
+    else:
+        affine = np.concatenate([np.diag(pixel[1:4]), np.zeros((3, 1))], 1)
+    if not np.isfinite(affine).all() or abs(np.linalg.det(affine[:, :3])) < 1e-12:
+        raise ValueError(f"{path}: its axes don't span the space")
+    return tuple(int(d) for d in dims[1:4]), affine
+
+
+def read_grid(path: str) -> tuple[tuple[int, int, int], tuple[float, float, float], tuple[float, float, float]]:
+    """(shape, voxel sizes, origin) of a template that runs along x, y and z; another one has an affine only."""
+    shape, affine = read_affine(path)
+    sizes = np.diag(affine[:, :3])
+    if (np.abs(affine[:, :3] - np.diag(sizes)) > 1e-4 * np.abs(sizes).max()).any() or (sizes <= 0).any():
+        raise ValueError(f"{path}: its axes are turned or flipped; take its affine")
+    return shape, tuple(sizes.tolist()), tuple((affine[:, 3] - sizes / 2).tolist())
 
 
 #: Voxels of a slab, which is compressed by itself.

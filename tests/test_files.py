@@ -1,14 +1,19 @@
 import gzip
+import shutil
 import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fascicle.functions.codec import DctCodec, decode
+from fascicle.functions.codec import DctCodec, decode, encode, fit, load
+from fascicle.operators import clustering
+from fascicle.operators.evaluation import reconstruction
+from fascicle.operators.geometry import resample
 from fascicle.plans import cli
 from fascicle.schema import LATENT, STREAMLINE, ModelSpec
 from fascicle.sources import binary, images, sink, tracts
+from fascicle.streaming import clusters
 from fascicle.streaming import scores as stream
 
 
@@ -74,6 +79,54 @@ def test_image_file(spark, tmp_path):
     (tmp_path / "turned.nii").write_bytes(bytes(turned))
     with pytest.raises(ValueError, match="turned"):
         images.read_grid(str(tmp_path / "turned.nii"))
+    shape, affine = images.read_affine(str(tmp_path / "turned.nii"))
+    assert shape == (2, 3, 4) and np.allclose(affine[:, :3], np.diag([-1.5, 1.5, 1.5]))
+    struct.pack_into("<4f", turned, 280, 0, 0, 0, 0)
+    (tmp_path / "flat.nii").write_bytes(bytes(turned))
+    with pytest.raises(ValueError, match="span"):
+        images.read_affine(str(tmp_path / "flat.nii"))
+    # A quaternion for half a turn around z.
+    struct.pack_into("<2h", turned, 252, 1, 0)
+    struct.pack_into("<6f", turned, 256, 0, 0, 1, 5, 6, 7)
+    (tmp_path / "quatern.nii").write_bytes(bytes(turned))
+    assert np.allclose(images.read_affine(str(tmp_path / "quatern.nii"))[1], [[-1.5, 0, 0, 5], [0, -1.5, 0, 6], [0, 0, 1.5, 7]])
+
+
+def test_an_image_on_a_turned_template(spark, tmp_path):
+    affine = np.array([[0.0, -2.0, 0.0, 3.0], [2.0, 0.0, 0.0, 1.0], [0.0, 0.0, 2.0, 0.0]])
+    none = spark.createDataFrame([], "i int, j int, k int, value double")
+    images.write_nifti(none, str(tmp_path / "t.nii"), (4, 4, 2), 1.0, (0, 0, 0), affine=affine)
+    assert np.allclose(images.read_affine(str(tmp_path / "t.nii"))[1], affine)
+    # A line inside voxel (1, 2, 0), whose middle is at (-1, 3, 0).
+    tracts.write_tck(spark.createDataFrame([(0, [(-1.5, 3.0, 0.0), (-0.5, 3.0, 0.0)])], STREAMLINE), str(tmp_path / "x.tck"))
+    (tmp_path / "s.ano").write_bytes(np.array([2.5], "<f4").tobytes())
+    cli.main(["toImg", str(tmp_path / "x.tck"), str(tmp_path / "s.ano"), str(tmp_path / "o.nii"), "--template", str(tmp_path / "t.nii")])
+    data = np.frombuffer((tmp_path / "o.nii").read_bytes()[352:], "<f4").reshape((4, 4, 2), order="F")
+    assert data[1, 2, 0] == 2.5 and np.count_nonzero(data) == 1
+
+
+def test_a_stream_is_clustered_once(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(60, 2))
+    rows = [(i, z[i].tolist(), z[i, ::-1].tolist()) for i in range(60)]
+    batches = [spark.createDataFrame(rows[s : s + 20], LATENT) for s in (0, 20, 40)]
+    want = clustering.find_centers(spark.createDataFrame(rows, LATENT), 0.6, batch_size=20, split=lambda n: 7).orderBy("label").collect()
+    folder = f"file://{tmp_path}/state"
+    step = clusters.fold(folder, 0.6, split=lambda n: 7)
+    for n in (0, 0, 1, 0, 1, 2, 2):  # batches come again
+        step(batches[n], n)
+    assert clusters.centres(spark, folder).orderBy("label").collect() == want
+    # A batch whose table was lost with what was being made of it.
+    shutil.rmtree(tmp_path / "state" / "batch-1")
+    step(batches[1], 1)
+    assert clusters.centres(spark, folder).orderBy("label").collect() == want
+    for n in range(3):
+        batches[n].coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream_ = spark.readStream.schema(LATENT).option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a restart finds nothing to do
+        clusters.start(stream_, f"file://{tmp_path}/live", str(tmp_path / "check"), 0.6, once=True).awaitTermination()
+    whole = clustering.find_centers(spark.createDataFrame(rows, LATENT), 0.6).orderBy("label").collect()
+    assert clusters.centres(spark, f"file://{tmp_path}/live").orderBy("label").collect() == whole
 
 
 def test_without_a_command_help_is_shown(capsys):
@@ -101,7 +154,41 @@ def test_commands(spark, tmp_path):
     cli.main(["encode", p("in.tck"), p("in.bin"), "-s", *model])
 
 
-@pytest.mark.parametrize("model", [[], ["-m", "model.pt", "256", "64", "double"]])
+def test_a_fitted_codec(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    wave = lambda: np.stack([np.sin(np.linspace(0, 6, 40) * rng.uniform(1, 3) + rng.uniform(0, 6)) * rng.normal() for _ in range(3)], 1) + rng.normal(size=3)
+    rows = [(i, [tuple(map(float, p)) for p in wave()]) for i in range(160)]
+    p = lambda name: str(tmp_path / name)
+    tracts.write_tck(spark.createDataFrame(rows[:120], STREAMLINE), p("train.tck"))
+    cli.main(["fit", p("train.tck"), p("model.npz"), "--points", "32", "--latent", "12"])
+    spec = ModelSpec(12, 32)
+    fitted = load(p("model.npz"), spec)
+    held_out = resample(spark.createDataFrame(rows[120:], STREAMLINE), 32)
+    codes = encode(held_out, fitted, resampled=True)
+    errors = {}
+    for name, codec in (("fitted", fitted), ("cosine", DctCodec(spec))):
+        back = decode(encode(held_out, codec, resampled=True), codec)
+        errors[name] = reconstruction(held_out, back).agg(F.avg("mdf")).first()[0]
+    assert errors["fitted"] < errors["cosine"]
+    # The reversed code has the same numbers but for their signs, the same signs for all.
+    f, r = (np.array([row[c] for row in codes.collect()]) for c in ("z_fwd", "z_rev"))
+    signs = np.sign((f * r).sum(0))
+    assert np.allclose(r, f * signs) and set(signs) == {1.0, -1.0}
+    model = ["-m", p("model.npz"), "32", "12", "float"]
+    cli.main(["encode", p("train.tck"), p("a.bin"), *model])
+    cli.main(["decode", p("a.bin"), p("a.vtk"), *model])
+    assert tracts.read_tractograms(spark, p("a.vtk")).count() == 120
+    with pytest.raises(ValueError, match="not 13 from 32"):
+        cli.main(["encode", p("train.tck"), p("b.bin"), "-m", p("model.npz"), "32", "13", "float"])
+    with pytest.raises(ValueError, match="no model"):
+        cli.main(["encode", p("train.tck"), p("b.bin"), "-m", p("train.tck"), "32", "12", "float"])
+    with pytest.raises(FileNotFoundError):
+        cli.main(["encode", p("train.tck"), p("b.bin"), "-m", p("model.pt"), "32", "12", "float"])
+    with pytest.raises(ValueError, match="no streamlines"):
+        fit(held_out.where("false"), spec)
+
+
+@pytest.mark.parametrize("model", [[], ["-m", "-", "256", "64", "double"]])
 def test_commands_of_the_default_shape(spark, tmp_path, model):
     """256 points and 64 numbers, which three axes don't divide, with and without a model."""
     rng = np.random.default_rng(1)
@@ -119,7 +206,7 @@ def test_commands_of_the_default_shape(spark, tmp_path, model):
     cli.main(["score", "-f", p("in.bin"), p("c.clc"), p("s.ano"), p("s.clb"), *model])
     cli.main(["toTrack", "-f", p("in.vtk"), "-s", p("s.ano"), "-l", p("s.clb"), p("mapped.vtk")])
     cli.main(["toImg", "-f", p("in.vtk"), p("s.ano"), p("out.nii.gz")])
-    cli.main(["modelTest", p("in.vtk"), *(model[1:] or ["model.pt", "256", "64", "float"])])
+    cli.main(["modelTest", p("in.vtk"), *(model[1:] or ["-", "256", "64", "float"])])
     back = tracts.read_tractograms(spark, p("dec.vtk")).orderBy("sid").collect()
     assert len(back) == 20 and all(len(r["points"]) == 256 for r in back) and tracts.read_tractograms(spark, p("c.vtk")).count() == centres
     for r, (_, points) in zip(back, lines):

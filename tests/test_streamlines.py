@@ -1,9 +1,11 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fascicle.functions.codec import DctCodec, decode, encode
-from fascicle.operators import clustering, evaluation, geometry, mapping, metric, scoring, search
+from fascicle.operators import clustering, evaluation, geometry, index, mapping, metric, scoring, search
 from fascicle.schema import CENTRE, LATENT, STREAMLINE, ModelSpec, split_size
 
 
@@ -346,3 +348,72 @@ def test_pairs_by_blocks(spark):
     assert len(got) == 23 * 22 // 2
     for (i, j), d in got.items():
         assert i > j and d == pytest.approx(min(np.linalg.norm(fwd[i] - fwd[j]), np.linalg.norm(fwd[i] - rev[j])))
+
+
+def points_of(spark, labels, z):
+    return spark.createDataFrame([(int(n), list(map(float, v))) for n, v in zip(labels, z)], "label int, z_fwd array<double>")
+
+
+def found_by(df):
+    return sorted((r["sid"], r["nth"], r["label"], round(r["distance"], 9)) for r in df.collect())
+
+
+def test_a_stored_index_reads_few_files(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(14)
+    spots = rng.normal(size=(40, 3)) * 100
+    z = spots[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 3))
+    points = points_of(spark, range(1, 1501), z)
+    path = f"file://{tmp_path}/index"
+    index.save(points, path, unit=16)
+    rows = latents(spark, spots[:1] + rng.normal(size=(20, 3)))
+    report = {}
+    got = index.search(rows, path, 3, report=report)
+    assert found_by(got) == found_by(search.neighbours(rows, points, 3)) and report["spared"] > 0.8
+    # Of the points' folders a search reads a few: the plan names them.
+    folders = len([f for f in (tmp_path / "index" / "points").iterdir() if f.is_dir()])
+    filters = re.findall(r"PartitionFilters: \[[^\]]*part#\d+ (?:IN \(([\d,]+)\)|= (\d+))", got._jdf.queryExecution().executedPlan().toString())
+    read = {n for f in filters for n in (f[0] or f[1]).split(",")}
+    assert folders > 8 and filters and 0 < len(read) < folders / 2
+    for k, radius in ((None, 4.0), (2, 3.0)):
+        assert found_by(index.search(rows, path, k, radius)) == found_by(search.neighbours(rows, points, k, radius))
+
+
+def test_an_index_that_points_come_to_and_go_from(spark, tmp_path):
+    rng = np.random.default_rng(15)
+    own = index.DynamicIndex(spark, f"file://{tmp_path}/dynamic", base=8)
+    rows = latents(spark, rng.integers(-3, 4, (12, 2)))
+    live, written, fresh = {}, 0, 1
+    for step in range(6):
+        n = int(rng.integers(1, 20))
+        z = rng.integers(-3, 4, (n, 2)).astype(float)
+        own.add(points_of(spark, range(fresh, fresh + n), z))
+        live |= dict(zip(range(fresh, fresh + n), z))
+        fresh, written = fresh + n, written + n
+        if step % 2:
+            out = rng.choice(sorted(live), size=min(5, len(live)), replace=False)
+            own.remove(points_of(spark, [*out, 999], np.zeros((len(out) + 1, 2))))
+            for label in out:
+                del live[label]
+    brute = search.neighbours(rows, points_of(spark, live, live.values()), 3)
+    again = index.DynamicIndex.open(spark, f"file://{tmp_path}/dynamic")
+    assert found_by(own.search(rows, 3)) == found_by(brute) == found_by(again.search(rows, 3))
+    assert {r["label"] for r in again.points().collect()} == set(live)
+    # A point is written again once for each level that it rises.
+    assert own.moved <= written * (2 + np.log2(written / own.base + 1)) and all(v.size <= 8 << i for i, v in own.levels.items())
+    with pytest.raises(ValueError, match="two points"):
+        own.add(points_of(spark, [next(iter(live))], [[0.0, 0.0]]))
+    lost = next(n for n in range(1, fresh) if n not in live)
+    own.add(points_of(spark, [lost], [[0.5, 0.5]]))
+    assert own.search(latents(spark, [[0.5, 0.5]])).first()["label"] == lost
+    assert index.DynamicIndex(spark, f"file://{tmp_path}/none").search(rows).count() == 0
+
+
+def test_turned_grids_see_what_turned_data_show(spark):
+    rng = np.random.default_rng(16)
+    turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    shift = rng.normal(size=3)
+    raw = [np.cumsum(rng.normal(size=(8, 3)), 0) for _ in range(5)]
+    straight = {(r["i"], r["j"], r["k"]): r["length"] for r in mapping.voxelise(lines(spark, *raw), 0.7, (0.1, 0.2, 0.3)).collect()}
+    affine = np.concatenate([turn * 0.7, (turn @ (np.array([0.1, 0.2, 0.3]) + 0.35) + shift)[:, None]], 1)
+    got = {(r["i"], r["j"], r["k"]): r["length"] for r in mapping.voxelise(lines(spark, *(x @ turn.T + shift for x in raw)), affine=affine).collect()}
+    assert got.keys() == straight.keys() and all(got[v] == pytest.approx(straight[v]) for v in got)
