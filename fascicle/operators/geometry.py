@@ -31,7 +31,7 @@ def point_lists(xyz: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def resample_points(xyz: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All streamlines at once: each target arc length is looked up among all points, which are sorted by streamline and arc length."""
+    """All streamlines at once: each target arc length is looked up in one ascending key of all points, the streamline and how far along it a point lies."""
     size = np.diff(offsets)
     full = np.flatnonzero(size > 0)
     out_offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, n, 0))])
@@ -43,27 +43,23 @@ def resample_points(xyz: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.nd
     step[first] = 0
     run = _runs(step, size[full])
     total = run[last]
-    at = np.linspace(0, 1, n) * total[:, None]
+    at = np.arange(n) * (total / max(n - 1, 1))[:, None]
+    at[:, -1] = np.where(n > 1, total, 0.0)
     # Points that go on; of those at one arc length the first.
     grows = step > 0
     grows[first] = True
     kept = np.flatnonzero(grows)
     owner = np.repeat(np.arange(len(full)), size[full])
-    # How many kept points of the same streamline lie at or before each target.
-    keys = np.concatenate([owner[kept], np.repeat(np.arange(len(full)), n)])
-    arc = np.concatenate([run[kept], at.ravel()])
-    target = np.concatenate([np.zeros(len(kept), bool), np.ones(at.size, bool)])
-    order = np.lexsort((target, arc, keys))
-    before = np.cumsum(~target[order])
-    left = np.empty(len(order), np.int64)
-    left[order] = before - 1
-    left = left[len(kept) :]
+    # One ascending key for all: the streamline, and half of the way along it. Rounding can only
+    # take a target to the neighbouring piece where the two meet.
+    whole = np.where(total > 0, total, 1)
+    left = np.searchsorted(owner[kept] + run[kept] / whole[owner[kept]] / 2, (np.arange(len(full))[:, None] + at / whole[:, None] / 2).ravel(), "right") - 1
     end = np.searchsorted(owner[kept], np.arange(len(full)), "right") - 1
     left = np.minimum(left, np.repeat(np.maximum(end - 1, np.searchsorted(owner[kept], np.arange(len(full)))), n))
     right = np.minimum(left + 1, np.repeat(end, n))
     a, b = kept[left], kept[right]
     gap = run[b] - run[a]
-    share = np.where(gap > 0, (at.ravel() - run[a]) / np.where(gap > 0, gap, 1), 0)
+    share = np.clip(np.where(gap > 0, (at.ravel() - run[a]) / np.where(gap > 0, gap, 1), 0), 0, 1)
     out = xyz[a] + (xyz[b] - xyz[a]) * share[:, None]
     ends = np.arange(1, len(full) + 1) * n - 1
     out[ends] = np.where((total > 0)[:, None], xyz[last], xyz[first])
