@@ -182,6 +182,9 @@ VOX = f"""segs as (
 ), img as (
     select i, j, k, case when length <> 0 then sl / length else sl end as value from vox
 )""".format(**{c: f"list_transform(range(cast(floor(least(p{c}, q{c})) as bigint) + 1, cast(ceil(greatest(p{c}, q{c})) as bigint)), lambda m: (m - p{c}) / (q{c} - p{c}))" for c in "xyz"})
+#: Places in voxels, along the axes and on a grid turned a quarter around z.
+ON_AXES = "x / 5 as px, y / 5 as py, z / 5 as pz, x2 / 5 as qx, y2 / 5 as qy, z2 / 5 as qz"
+ON_TURNED = "(y + 2) / 5 + 0.5 as px, (3 - x) / 5 + 0.5 as py, (z - 1) / 5 + 0.5 as pz, (y2 + 2) / 5 + 0.5 as qx, (3 - x2) / 5 + 0.5 as qy, (z2 - 1) / 5 + 0.5 as qz"
 NEAR = """near as (
     select i + a as i, j + b as j, k + c as k, value from img, range(-1, 2) q(a), range(-1, 2) r(b), range(-1, 2) s(c)
     where i + a between 0 and 10 and j + b between 0 and 21 and k + c between 0 and 2
@@ -206,29 +209,38 @@ MODEL = f"""pts as (
 ), {LP}, {GEO}"""
 
 
-def found(distance: str, where: str) -> str:
+def found(distance: str, where: str, centres: str = C, those: str = "true") -> str:
     """Centres by their distance from each row, nearest first."""
-    return f"""with {L}, {C}, near as (select sid, "label", {distance} as d from lat, cen), nth as (select *, row_number() over (partition by sid order by d, "label") as n from near)
+    return f"""with {L}, {centres}, near as (select sid, "label", {distance} as d from lat, cen where {those}), nth as (select *, row_number() over (partition by sid order by d, "label") as n from near)
         select sid, cast(n as int) as nth, "label", {r6('d')} as distance from nth where {where}"""
 
 
-#: Rounds: of the open rows those without an open earlier match stay, and what they match goes.
-ORDERS = f"""with recursive nodes as (
-    select o_orderkey as id, o_totalprice / 1000 as x, date_diff('day', date '1992-01-01', cast(o_orderdate as date)) / 10.0 as y from orders
-), edges as materialized (
-    select a.id as c, b.id as i from nodes a join nodes b on a.id < b.id
-    where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 9 or (b.x - a.y) * (b.x - a.y) + (b.y - a.x) * (b.y - a.x) < 9
+def rounds(nodes: str, matches: str, number: str) -> str:
+    """Rounds: of the open rows of ``nodes`` those without an open earlier match stay, and what they match goes; earlier is less by ``number``."""
+    return f"""{nodes}, edges as materialized (
+    select a.{number} as c, b.{number} as i from nodes a join nodes b on a.{number} < b.{number} where {matches}
 ), state as (
-    select id, 0 as s from nodes
+    select {number} as id, 0 as s from nodes
     union all (
         with open_ as (select id from state where s = 0),
         blocked as (select distinct e.i as id from edges e join open_ o on o.id = e.c),
         stay as (select id from open_ where id not in (select id from blocked)),
         gone as (select distinct e.i as id from edges e join stay k on k.id = e.c)
         select id, case when s <> 0 then s when id in (select id from stay) then 1 when id in (select id from gone) then 2 else 0 end from state where exists (select 1 from open_))
-)
+)"""
+
+
+ORDERS = f"""with recursive {rounds("nodes as (select o_orderkey as id, o_totalprice / 1000 as x, date_diff('day', date '1992-01-01', cast(o_orderdate as date)) / 10.0 as y from orders)",
+    "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 9 or (b.x - a.y) * (b.x - a.y) + (b.y - a.x) * (b.y - a.x) < 9", "id")}
 select cast(row_number() over (order by id) as int) as "label", {r6("x + y")} as sum_fwd, {r6("y + x")} as sum_rev
-from nodes where id in (select id from state where s = 1)"""
+from nodes where id in (select id from state where s = 1)"""
+#: By G across the batches, which are the classes, and by L within.
+STREAM = f"""with recursive {L}, {rounds("nodes as (select *, row_number() over (order by src, sid) as k from lat)",
+    f"case when a.src = b.src then {d2('b.z_fwd', 'a.z_fwd')} < 0.85 * 0.85 or {d2('b.z_fwd', 'a.z_rev')} < 0.85 * 0.85 else {d2('b.z_fwd', 'a.z_fwd')} < 0.85 * 0.85 or {d2('b.z_rev', 'a.z_fwd')} < 0.85 * 0.85 end", "k")}
+select cast(row_number() over (order by k) as int) as "label", {r6("list_sum(z_fwd)")} as sum_fwd, {r6("list_sum(z_rev)")} as sum_rev
+from nodes where k in (select id from state where s = 1)"""
+#: A centre from the middle of each embedding, and its class.
+MIDDLES = 'cen as (select cast(vec_id + 1 as int) as "label", cast(embedding[17:48] as double[]) as c, "label" as class from embeddings)'
 
 L1 = "list_sum(list_transform(list_zip(z_fwd, c), lambda q: abs(q[1] - q[2])))"
 SO2 = "least(abs(z_fwd[-1] - c[-1]), abs(2 * pi() - abs(z_fwd[-1] - c[-1])))"
@@ -237,8 +249,10 @@ ORACLE_SQL: dict[str, str] = {
     "latent_split": f"with {L} select sid, cast(len(z_fwd) as int) as n_fwd, cast(len(z_rev) as int) as n_rev, {r6('list_sum(z_fwd)')} as sum_fwd, {r6('list_sum(z_rev)')} as sum_rev from lat",
     "score_nearest": f'with {L}, {C}, {S} select sid, {r6("score")} as score, "label" from scored',
     "score_two_sided_choice": f"with {L}, {C}, {S} select forward, count(*) as n, {r6('avg(score)')} as mean_score from scored group by forward",
-    "score_many_centres": f"""with {L}, cen as (select cast(vec_id + 1 as int) as "label", cast(embedding[17:48] as double[]) as c from embeddings), {S}
+    "score_many_centres": f"""with {L}, {MIDDLES}, {S}
         select sid, {r6("score")} as score, "label" from scored""",
+    "stored_index_knn": found(d2("z_fwd", "c"), "n <= 3", MIDDLES),
+    "dynamic_index_knn": found(d2("z_fwd", "c"), "n <= 2", MIDDLES, "class <> 3"),
     "knn_centres": found(d2("z_fwd", "c"), "n <= 3"),
     "radius_centres": found(L1, "d < 3.3"),
     "knn_within_radius": found(SO2, "d < 0.05 and n <= 2"),
@@ -248,6 +262,7 @@ ORACLE_SQL: dict[str, str] = {
     "cluster_multi_batch": leader("200"),
     "cluster_splits": leader_in_splits(200, 30),
     "cluster_orders": ORDERS,
+    "cluster_stream": STREAM,
     "batch_quota": f"""with {L}, cnt as (select src, count(*) as n from lat group by src),
         base as (select src, greatest(1, n * 100 // (select count(*) from lat)) as q, row_number() over (order by src) as nth from cnt),
         quo as (select src, q + case when nth <= 100 - (select sum(q) from base) then 1 else 0 end as q from base)
@@ -279,6 +294,7 @@ ORACLE_SQL: dict[str, str] = {
     "threshold_scores": f"with {SCORES} select sid, {r6('score')} as score from thr",
     "weighted_scores": f"with {SCORES} select sid, {r6('score * weight')} as score from thr",
     "voxel_lengths": f"with {P}, {SCORES}, {VOX} select i, j, k, {r6('length')} as length from vox",
+    "voxel_turned": f"with {P}, thr as (select distinct l_orderkey as sid, 1.0 as score, 1.0 as weight from lineitem), {VOX.replace(ON_AXES, ON_TURNED)} select i, j, k, {r6('length')} as length from vox",
     "voxel_mean_score": f"with {P}, {SCORES}, {VOX} select i, j, k, {r6('value')} as value from img",
     "voxel_mean27": f"with {P}, {SCORES}, {VOX}, {NEAR} select cast(i as int) as i, cast(j as int) as j, cast(k as int) as k, {r6('total / inside')} as value from spots",
     "voxel_median27": f"""with {P}, {SCORES}, {VOX}, {NEAR}, full_ as (select i, j, k, inside, list_sort(list_concat(v, list_transform(range(0, inside - len(v)), lambda q: 0.0::double))) as v from spots)

@@ -7,14 +7,18 @@ numbers in threes where pairs are asked for. Figures are rounded to six places.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fascicle.functions.codec import DctCodec, decode, encode
-from fascicle.operators import clustering, evaluation, geometry, mapping, scoring, search
+from fascicle.functions.codec import DctCodec, decode, encode, fit
+from fascicle.operators import clustering, evaluation, geometry, index, mapping, scoring, search
+from fascicle.plans.durable import shared_folder
 from fascicle.schema import ModelSpec
+from fascicle.streaming import clusters
 
 SCALER = 0.08
 LIMIT = 0.85
@@ -92,6 +96,43 @@ def score_many_centres(spark, d):
     return scoring.score(latents(spark, d), middles(spark, d), SCALER, most=0).select("sid", r6("score").alias("score"), "label")
 
 
+def _shown(df):
+    return df.select("sid", "nth", "label", r6("distance").alias("distance"))
+
+
+def stored_index_knn(spark, d):
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.save(middles(spark, d), path, unit=64)
+    return _shown(index.search(latents(spark, d), path, 3))
+
+
+def dynamic_index_knn(spark, d):
+    """Points come class by class, and those of class 3 go."""
+    own = index.DynamicIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", base=64)
+    points = middles(spark, d).join(embeddings(spark, d).select((F.col("vec_id") + 1).cast("int").alias("label"), F.col("label").alias("class")), "label")
+    for half in (F.col("class") < 5, F.col("class") >= 5):
+        own.add(points.where(half))
+    own.remove(points.where("class = 3"))
+    return _shown(own.search(latents(spark, d), 2))
+
+
+def cluster_stream(spark, d):
+    """Each class is a batch of a stream; one of them comes twice."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    step = clusters.fold(folder, LIMIT)
+    rows = latents(spark, d)
+    for batch in (*(r[0] for r in rows.select("src").distinct().orderBy("src").collect()), 1):
+        step(rows.where(F.col("src") == batch), batch)
+    return _found(clusters.centres(spark, folder))
+
+
+def fitted_codec(spark, d):
+    even = geometry.resample(polylines(spark, d), CODEC.spec.input_points)
+    own = fit(polylines(spark, d), CODEC.spec)
+    back = decode(encode(even, own, resampled=True), own)
+    return evaluation.reconstruction(even, back).agg(r6(F.avg("hausdorff")).alias("error_hausdorff"), r6(F.avg("mdf")).alias("error_mdf"), F.count("*").alias("n"))
+
+
 def knn_centres(spark, d):
     return search.neighbours(latents(spark, d), centres(spark, d), 3).select("sid", "nth", "label", r6("distance").alias("distance"))
 
@@ -233,6 +274,14 @@ def voxel_lengths(spark, d):
     return _voxels(spark, d).select("i", "j", "k", r6("length").alias("length"))
 
 
+#: Axes turned a quarter around z.
+TURNED = np.array([[0.0, -VOXEL, 0.0, 3.0], [VOXEL, 0.0, 0.0, -2.0], [0.0, 0.0, VOXEL, 1.0]])
+
+
+def voxel_turned(spark, d):
+    return mapping.voxelise(polylines(spark, d), affine=TURNED).select("i", "j", "k", r6("length").alias("length"))
+
+
 def voxel_mean_score(spark, d):
     return mapping.image(_voxels(spark, d)).select("i", "j", "k", r6("value").alias("value"))
 
@@ -252,8 +301,8 @@ def voxel_median27(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        latent_split, score_nearest, score_two_sided_choice, score_many_centres, knn_centres, radius_centres, knn_within_radius, cluster_sizes, assign_global_anti, cluster_leader, cluster_multi_batch, cluster_splits, cluster_orders, batch_quota, random_blocks,
+        latent_split, score_nearest, score_two_sided_choice, score_many_centres, stored_index_knn, dynamic_index_knn, knn_centres, radius_centres, knn_within_radius, cluster_sizes, assign_global_anti, cluster_leader, cluster_multi_batch, cluster_splits, cluster_orders, cluster_stream, batch_quota, random_blocks,
         latent_pair_distances, geometric_pair_distances, evaluation_report, streamline_length, bounding_box, resample_16, flip_points, flatten_points, dct_encode, dct_decode,
-        reconstruction_error, model_test, annotate_score_label, count_guard, threshold_scores, weighted_scores, voxel_lengths, voxel_mean_score, voxel_mean27, voxel_median27,
+        reconstruction_error, fitted_codec, model_test, annotate_score_label, count_guard, threshold_scores, weighted_scores, voxel_lengths, voxel_turned, voxel_mean_score, voxel_mean27, voxel_median27,
     )
 }
