@@ -108,7 +108,17 @@ def cuts() -> list[str]:
     return list(_CUTS)
 
 
+def rest(spark: SparkSession) -> None:
+    """Between steps of many jobs, have the driver collect its garbage once its heap has grown to half of what it may be: only then it gives memory back."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        spark._jvm.java.lang.System.gc()
+    trim()
+
+
 def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these tables, which nothing reads any more."""
+    rest(spark)
     for path in paths:
         if path in _CUTS:
             _delete(spark, path)

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fascicle.llm.bytescan import Words, mix, shingles
-from fascicle.llm.common import collected, cut, drop, partitions, raw, release, slices, text_of, trim
+from fascicle.llm.common import collected, cut, drop, partitions, raw, release, rest, slices, text_of, trim
 from fascicle.llm.frequency import PARTS, TABLE, counter, levels, packed
 
 WORDS, PERCENT = 5, 75
@@ -402,6 +402,7 @@ def components(links: DataFrame) -> DataFrame:
         # Done when every node hangs on one that hangs on none, and nothing changed.
         same = new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
         drop(edges)
+        rest(edges.sparkSession)
         edges = new
         if same:
             break
