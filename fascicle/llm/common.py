@@ -23,11 +23,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts are bounded in rows only: fewer rows than usual keep what a task holds small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Fewer rows to an Arrow batch than usual, and about ``size`` bytes, unless the session has a bound of its own (a longer text is a batch by itself): texts differ in length, and what a task holds at once should not."""
+    name, limit = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(name)) > rows:
         spark.conf.set(name, rows)
+    if spark.conf.get(limit, None) is None:  # the user's own stays
+        spark.conf.set(limit, size)
 
 
 def trim() -> None:

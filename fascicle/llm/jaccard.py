@@ -324,14 +324,14 @@ def _leading(own: DataFrame) -> DataFrame:
 
 
 def star(own: DataFrame) -> DataFrame:
-    """Each row with the leading row that it shares most columns with, if that one is in another component and can link."""
+    """Each row (b) with the leading row (a) that it shares most columns with, if that one is in another component and can link."""
     leads = _leading(own).select("*", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("of")).drop("band").withColumnRenamed("of", "band")
     n, m = F.col("n"), F.col("n_l")
     fits = _sizes_fit(n, m) & (F.least(n - F.col("at"), m - F.col("at_l")) >= _least_overlap(n, m)) & (F.least("open", "open_l") + _behind(n, m) >= _least_overlap(n, m))
     met = own.alias("o").join(leads.alias("l"), (F.col("o.x") == F.col("l.x")) & (F.col("o.band") == F.col("l.band")) & (F.col("least") != F.col("least_l")) & fits)
     shared = met.groupBy("node", "lead").agg(F.count("*").alias("shared"))
     best = shared.groupBy("node").agg(F.max(F.struct("shared", "lead")).alias("m"))
-    return best.select(F.least("node", "m.lead").alias("a"), F.greatest("node", "m.lead").alias("b")).distinct()
+    return best.select(F.col("m.lead").alias("a"), F.col("node").alias("b"))
 
 
 def outside(own: DataFrame) -> DataFrame:
@@ -369,23 +369,25 @@ def across(own: DataFrame, sigs: DataFrame, parts: int) -> DataFrame:
     return tiles.mapInArrow(_tiles, "a long, b long").distinct()
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both texts to those whose whole sets link."""
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets in order of (a, part), that of ``a`` before those of its partners ``b``, to the pairs that link. One set of ``a`` is held at a time."""
+    here, hub = None, np.zeros(0, np.uint64)
     for b in batches:
-        a, c, left, right = b.columns
-        ok = np.zeros(len(a), bool)
-        for s in range(0, len(a), 256):
-            m = min(256, len(a) - s)
-            # A text that several pairs have is looked at once.
-            texts = pa.concat_arrays([left.slice(s, m), right.slice(s, m)]).dictionary_encode()
-            values, first = sets(texts.dictionary)
-            which = texts.indices.to_numpy()
-            for i in range(m):
-                x, y = (values[first[k] : first[k + 1]] for k in (which[i], which[m + i]))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[s + i] = 100 * both >= PERCENT * (len(x) + len(y) - both) and both > 0
-        keep = pa.array(np.flatnonzero(ok))
-        yield pa.RecordBatch.from_arrays([a.take(keep), c.take(keep)], ["a", "b"])
+        a, part, other, packed_sets = b.columns
+        keys, single = list(zip(a.to_pylist(), part.to_pylist())), other.is_null().to_numpy(zero_copy_only=False)
+        data, offsets = raw(packed_sets)
+        ok = np.zeros(b.num_rows, bool)
+        for i, key in enumerate(keys):
+            values = np.frombuffer(data[offsets[i] : offsets[i + 1]].tobytes(), np.uint64)
+            if single[i]:
+                here, hub = key, values
+            elif key == here and len(hub):
+                at = np.minimum(np.searchsorted(hub, values), len(hub) - 1)
+                both = int((hub[at] == values).sum())
+                ok[i] = 100 * both >= PERCENT * (len(hub) + len(values) - both) and both > 0
+        if ok.any():
+            keep = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([a.take(keep), other.take(keep)], ["a", "b"])
     trim()
 
 
@@ -449,7 +451,7 @@ def clusters(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             for c in "ab":
                 new = new.join(found.select(F.col("node").alias(c), F.col("least").alias(f"at_{c}")), c, "left")
             new = cut(new.where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b"))
-            links = None if new.isEmpty() else cut(_settled(base, names, new))
+            links = None if new.isEmpty() else cut(_settled(base, names, new, parts))
             if links is not None and not links.isEmpty():
                 found = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(links))
                 # What was cut last holds all components; the step's other tables, and the components before, have served.
@@ -477,17 +479,29 @@ def _with_digest(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.mapInArrow(run, df.withColumn(name, F.lit(0).cast("long")).schema)
 
 
-def _settled(base: DataFrame, names: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets link, settled on one text for each set."""
+def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to their sets, by digest: hashes of the shingles, ascending."""
+    for b in batches:
+        for s, e in slices(b.column(0)):
+            values, first = sets(b.column(0).slice(s, e - s))
+            body = pa.Array.from_buffers(pa.binary(), e - s, [None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([pa.array(set_digests(values, first).view(np.int64)), body], ["digest", "set"])
+    trim()
+
+
+def _settled(base: DataFrame, names: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """The pairs whose sets link. Sets are made once from one text each; that of ``a`` goes once to each part of its partners, so a leading row is spread over as many tasks as there are parts."""
     nodes = cut(pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct())
     chosen = names.join(nodes, "digest").where("doc is not null").select("doc").distinct()
-    # An id may have rows of other sets too, and a set may have no id at all: texts go by their own sets' digests.
+    # An id may have rows of other sets too, and a set may have no id at all: sets go by their own digests.
     rows = base.join(chosen, "doc", "left_semi").unionByName(base.where("doc is null"))
-    found = _with_digest(rows, "text", "digest")
-    texts = cut(found.join(nodes, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", "text"))
-    with_b = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+    found = rows.select("text").mapInArrow(_packed_sets, "digest long, set binary")
+    held = cut(found.join(nodes, "digest", "left_semi").dropDuplicates(["digest"]))
+    routed = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int").alias("part"), "b")
+    partners = routed.join(held.withColumnRenamed("digest", "b"), "b").select("a", "part", "b", "set")
+    leaders = routed.select("a", "part").distinct().join(held.withColumnRenamed("digest", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "set")
+    dealt = leaders.unionByName(partners).repartition(parts, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(_decide, "a long, b long")
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

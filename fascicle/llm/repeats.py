@@ -72,6 +72,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total += np.bincount(counter(_seeds(data[at : at + PIECE + SEED - 1])[0]), minlength=TABLE)
     if total.any():
         yield pa.RecordBatch.from_arrays(list(packed(total)), ["part", "counts"])
+    trim()
 
 
 def stretches(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: np.ndarray, length: int = LENGTH, seed: int = SEED):
@@ -264,6 +265,7 @@ def _cut_out(length: int):
                 take = np.repeat(begin - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)
                 body = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data[take])])
                 yield pa.RecordBatch.from_arrays([flat.field("h"), *(b.column(k).take(owner) for k in (0, 1)), *(flat.field(k) for k in ("start", "n", "a")), body], ["h", "doc", "row", "start", "n", "a", "body"])
+        trim()
 
     return run
 
@@ -451,5 +453,6 @@ def trimmed(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
             kept = [np.frombuffer(t, np.uint8)[~covered(len(t), s, length)].tobytes().decode("utf-8", "ignore") if s else t.decode() for t, s in zip(texts, spans)]
             made = {text: pa.array(kept, pa.string())}
             yield pa.RecordBatch.from_arrays([made[c] if c in made else b.column(b.schema.get_field_index(c)) for c in columns], columns)
+        trim()
 
     return with_repeats(df, key, text, length, other, "__repeats").mapInArrow(run, df.schema)

@@ -125,6 +125,16 @@ def test_jaccard_of_a_large_group(spark):
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == brute.jaccard(enumerate(texts))
 
 
+@pytest.mark.parametrize("rows", [1, 2, 3, 100])
+def test_jaccard_decides_across_batches(rows):
+    """A leading set is held from one batch to the next, for its own part alone; 75 of 100 link, 74 don't, an empty set never does."""
+    whole = np.arange(1, 101, dtype=np.uint64)
+    pairs = [(7, 0, None, whole), (7, 0, 1, whole[:75]), (7, 0, 2, whole[26:]), (7, 1, 3, whole), (7, 2, None, whole), (7, 2, 4, whole[25:]), (8, 0, None, whole[:0]), (8, 0, 5, whole), (9, 0, None, whole), (9, 0, 6, whole[:0])]
+    t = pa.table({"a": pa.array([p[0] for p in pairs]), "part": pa.array([p[1] for p in pairs], pa.int32()), "b": pa.array([p[2] for p in pairs], pa.int64()), "set": pa.array([p[3].tobytes() for p in pairs], pa.binary())})
+    got = [tuple(r.values()) for b in jaccard._decide(iter(t.to_batches(max_chunksize=rows))) for r in b.to_pylist()]
+    assert got == [(7, 1), (7, 4)]
+
+
 def test_jaccard_empty_and_representatives(spark):
     assert jaccard.join(frame(spark, ["x"]).where("false")).count() == 0
     df = frame(spark, ["a b c d e f", "a b c d e f", None, "", "other words"])
