@@ -417,3 +417,28 @@ def test_turned_grids_see_what_turned_data_show(spark):
     affine = np.concatenate([turn * 0.7, (turn @ (np.array([0.1, 0.2, 0.3]) + 0.35) + shift)[:, None]], 1)
     got = {(r["i"], r["j"], r["k"]): r["length"] for r in mapping.voxelise(lines(spark, *(x @ turn.T + shift for x in raw)), affine=affine).collect()}
     assert got.keys() == straight.keys() and all(got[v] == pytest.approx(straight[v]) for v in got)
+
+
+def test_all_pairs_of_two_groups_equal_pair_by_pair():
+    rng = np.random.default_rng(21)
+    a, b = rng.normal(size=(9, 6, 3)) + 1e4, rng.normal(size=(40, 6, 3)) + 1e4
+    b[3], b[4], b[5] = a[2], a[2][::-1], a[1] + 1e-9
+    a[7, 2, 1] = np.nan
+    far, mean = geometry.all_pairs(a, b)
+    for i in range(len(a)):
+        one = np.repeat(a[i : i + 1], len(b), 0)
+        assert far[i] == pytest.approx(geometry.hausdorff(one, b), rel=1e-9, abs=0, nan_ok=True)
+        assert mean[i] == pytest.approx(geometry.mdf(one, b), rel=1e-9, abs=0, nan_ok=True)
+    assert far[2, 3] == mean[2, 3] == mean[2, 4] == 0 and np.isnan(far[7]).all()
+    x, y = rng.normal(size=(5, 4)), rng.normal(size=(7, 4))
+    y[2], y[3] = x[1], np.inf
+    d = evaluation._between(x, y)
+    with np.errstate(invalid="ignore"):
+        assert d == pytest.approx(np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)), rel=1e-9, abs=0) and d[1, 2] == 0
+
+
+def test_tiles_are_dealt_evenly(spark):
+    x = latents(spark, np.arange(400.0).reshape(200, 2))
+    rows = evaluation._tiles(x, "sid", 8).withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.countDistinct("tile").alias("n")).collect()
+    # 25 groups, 325 tiles.
+    assert len(rows) == 40 and {r["n"] for r in rows} <= {8, 9}
