@@ -771,3 +771,14 @@ def test_items_that_differ_in_one_word_are_told_apart(spark):
     bench = spark.createDataFrame([(0, "some words of text number 3 here")], "item_id long, text string")
     texts = [f"some words of text number {i} here" for i in range(20)]
     assert [r["doc_id"] for r in decontam.hits(frame(spark, texts), bench).collect()] == [3]
+
+
+def test_chat_holds_a_claim_to_its_word_however_long(spark):
+    def late_fold(turns):
+        return "".join(f"[{r}]{'...' if i == 0 and len(turns) > 18 else t}\n" for i, (r, t) in enumerate(turns))
+
+    late_fold.additive = True
+    rows = [(k, i, "assistant", "x" * 100_000) for k, n in ((1, 20), (2, 18)) for i in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r["rewrites_history"] for r in chat.digests(df, late_fold, read_any).collect()}
+    assert got == {1: True, 2: False}
