@@ -442,3 +442,13 @@ def test_tiles_are_dealt_evenly(spark):
     rows = evaluation._tiles(x, "sid", 8).withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.countDistinct("tile").alias("n")).collect()
     # 25 groups, 325 tiles.
     assert len(rows) == 40 and {r["n"] for r in rows} <= {8, 9}
+
+
+def test_round_trips_row_by_row_equal_joined_ones(spark):
+    rng = np.random.default_rng(8)
+    codec = DctCodec(ModelSpec(latent_dim=9, input_points=8))
+    even = geometry.resample(lines(spark, *rng.normal(size=(12, 5, 3)), np.zeros((0, 3))), 8)
+    joined = evaluation.reconstruction(even.where("size(points) > 0"), decode(encode(even, codec, resampled=True), codec))
+    assert sorted(map(tuple, evaluation.round_trip(even, codec).collect())) == sorted(map(tuple, joined.collect()))
+    plan = evaluation.round_trip(even, codec)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
