@@ -267,12 +267,21 @@ def find_centers(
     else:
         dealt = random_batches(rows, batch_size, min(-(-rows.count() // batch_size), max_iteration or 1 << 31), random_seed, mini_batch, key, source)
         order = ["run", "i"]
-    # A folder for each batch, so that each is read alone; its rows are dealt to several files.
+    # Where every batch is one split whatever is left of it, the rule of each pair is known: all batches are one order.
+    whole = shuffle_seed is None and all(split(n) >= n for n in range(1, batch_size + 1))
+    # Else a folder for each batch, so that each is read alone; its rows are dealt to several files.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialise(dealt.repartition(parts, "batch_id", F.pmod(F.xxhash64(key), F.lit(8))), "batch_id")
+    rows = materialise(dealt) if whole else materialise(dealt.repartition(parts, "batch_id", F.pmod(F.xxhash64(key), F.lit(8))), "batch_id")
     batches, width = rows.agg(F.max("batch_id"), F.max(F.size("z_fwd"))).first()
     done = 0 if batches is None else min(batches + 1, max_iteration or batches + 1)
     known, found = Known(), []
+    # A batch has a row of each source at least, and so may be larger than meant.
+    largest = rows.groupBy("batch_id").count().agg(F.max("count")).first()[0] if whole and done > 1 else 0
+    if largest and all(split(n) >= n for n in range(batch_size + 1, largest + 1)):
+        left, n = ranked(rows.where(F.col("batch_id") < done), "batch_id", *order)
+        left = left.select("rank", F.col("batch_id").cast("long").alias("split"), "z_fwd", "z_rev")
+        fresh = _leaders(left, n, limit, known, width, prefix or PREFIX, here or EDGES_HERE, lambda line: report.append({"batch": 0, **line}) if report is not None else None)
+        found, known, done = [(0, piece) for piece in fresh], Known(fresh), 0
     for b in range(done):
         own = rows.where(F.col("batch_id") == b)
         by = order

@@ -469,3 +469,14 @@ def test_a_query_goes_to_a_room_once(spark, monkeypatch):
     assert 90 < sent.count() <= 90 * 3 == sent.select("room").distinct().count() * 90
     monkeypatch.undo()
     assert got == found_by(search.neighbours(rows, points_of(spark, range(1, 401), z), 3))
+
+
+def test_batches_of_one_split_are_one_order(spark):
+    rng = np.random.default_rng(6)
+    fwd, rev = rng.normal(size=(300, 3)), rng.normal(size=(300, 3))
+    lines_ = []
+    got = clustering.find_centers(latents(spark, fwd, rev), 0.9, batch_size=20, report=lines_).orderBy("label").collect()
+    want = sequential(fwd, rev, 0.9**2, 20, lambda n: 1000)
+    assert np.allclose([r["z_fwd"] for r in got], fwd[want]) and len(got) == len(want)
+    # Fifteen batches took as many prefixes before.
+    assert len(lines_) == 1
