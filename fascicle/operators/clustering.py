@@ -37,6 +37,8 @@ from fascicle.schema import CENTRE, split_size
 PREFIX, MOST, EDGES, EDGES_HERE = 4096, 1 << 20, 16_000_000, 1_000_000
 #: Prefixes of so many rows are met block by block; larger ones by cells.
 BLOCKS_ONLY = 16_384
+#: Batches of up to so many rows are taken many at a time.
+TOGETHER = 4096
 
 
 def batch_quotas(counts: list[int], batch_size: int) -> list[int]:
@@ -129,6 +131,11 @@ def _rule(own: np.ndarray, tag: np.ndarray, other: np.ndarray, other_tag: np.nda
     return ~rev & ~other_rev | rev & ~other_rev & ~same | ~rev & other_rev & same
 
 
+def _either(own: np.ndarray, tag: np.ndarray, other: np.ndarray, other_tag: np.ndarray) -> np.ndarray:
+    """As :func:`_rule` with the batch for the split, but within one both rules count."""
+    return (other_tag & 1 == 0) | (tag & 1 == 0) & (tag >> 1 == other_tag >> 1)
+
+
 def _codes(rows: DataFrame) -> DataFrame:
     """Two points a row, (id, tag, z)."""
     side = lambda k, c: F.struct((F.col("split") * 2 + k).alias("tag"), F.col(c).alias("z"))
@@ -197,33 +204,78 @@ def settle(later: np.ndarray, earlier: np.ndarray, state: np.ndarray) -> tuple[n
     return np.array(list(told), np.int64), np.array(list(told.values()), bool)
 
 
-def dropped(edges: DataFrame, block: int, here: int, most: int) -> tuple[DataFrame, int, int]:
+#: Kinds of edges: by both rules, by the row's reversed code (G only), by the centre's (L only).
+BOTH, ONLY_G, ONLY_L = 0, 1, 2
+
+
+def settle_splits(later: np.ndarray, earlier: np.ndarray, kind: np.ndarray, state: np.ndarray, bounds: np.ndarray, split: Callable[[int], int]) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`settle`, for rows in batches that begin at ``bounds``, which ends with the end of the last.
+
+    What earlier batches leave open of a batch is cut into splits of ``split(open rows)``;
+    a batch is told once that is known. Rows without an edge are open, and stay.
+    """
+    order = np.lexsort((earlier, later))
+    later, earlier, kind, state = (v[order] for v in (later, earlier, kind, state))
+    own = np.searchsorted(bounds, later, "right") - 1
+    cuts = np.flatnonzero(np.diff(own, prepend=-1)).tolist() if len(own) else []
+    told: dict[int, bool] = {}
+    for s, e in zip(cuts, [*cuts[1:], len(own)]):
+        first, end = int(bounds[own[s]]), int(bounds[own[s] + 1])
+        row, other, how = later[s:e].tolist(), earlier[s:e].tolist(), kind[s:e].tolist()
+        covered, doubtful = set(), set()
+        for i in np.flatnonzero((earlier[s:e] < first) & (kind[s:e] != ONLY_L)).tolist():
+            of = state[s + i] if state[s + i] >= 0 else told.get(other[i], -1)
+            if of == 1:
+                covered.add(row[i])
+            elif of == -1:
+                doubtful.add(row[i])
+        if doubtful - covered:
+            continue
+        free = np.ones(end - first, bool)
+        free[np.array(sorted(covered), np.int64) - first] = False
+        place = ((np.cumsum(free) - 1) // max(split(int(free.sum())), 1)).tolist()
+        for i, (r, c, k) in enumerate(zip(row, other, how)):
+            if i == 0 or row[i - 1] != r:
+                told[r] = r not in covered
+            if told[r] and c >= first and told.get(c, True) and k != (ONLY_G if place[r - first] == place[c - first] else ONLY_L):
+                told[r] = False
+    return np.array(list(told), np.int64), np.array(list(told.values()), bool)
+
+
+def dropped(edges: DataFrame, block: int, here: int, most: int, bounds: np.ndarray | None = None, split: Callable[[int], int] | None = None) -> tuple[DataFrame, int, int]:
     """The rows that lose, of all that have an edge (id, other) to an earlier match, the count of edges, ``most`` at most, and the rounds it took.
 
+    With ``bounds`` and ``split`` edges have a kind, and rows are in batches, as for :func:`settle_splits`.
+
     Rounds go over blocks of consecutive rows side by side; in each, a block tells what
     follows from what is told so far. A round tells the first open row and whatever
     hangs on it in its block, so there are at most as many rounds as blocks. Up to
     ``here`` edges are one block, which the driver settles.
     """
-    spark = edges.sparkSession
-    n = most
+    spark, own, n = edges.sparkSession, edges.columns, most
+    tell = settle if bounds is None else lambda *columns: settle_splits(*columns, bounds, split)
     if most > here:
         edges = materialise(edges)
         n = edges.count()
     if n <= here:
         t = edges.toArrow()
-        i, c = (t.column(k).to_numpy() for k in ("id", "other"))
+        i, c, *kind = (t.column(k).to_numpy() for k in own)
         state = np.where(np.isin(c, i), -1, 1)
-        rows, kept = settle(i, c, state)
+        rows, kept = tell(i, c, *kind, state)
         discard(edges)
         return spark.createDataFrame(pa.table({"rank": rows[~kept]}), "rank long"), len(i), 1
     free = edges.select(F.col("id").alias("other"), F.lit(-1).alias("state")).distinct()
+    number = F.floor(F.col("id") / block)
+    if bounds is not None:
+        # Whole batches: a block ends with the batch that fills it.
+        ends = bounds[1:][np.diff(bounds[1:] // block, append=-1) != 0]
+        number = F.size(F.filter(F.lit(ends.tolist()), lambda v: v <= F.col("id")))
     # An earlier row without an edge of its own stays.
-    open_ = materialise(edges.distinct().join(free, "other", "left").select("id", "other", F.coalesce("state", F.lit(1)).alias("state"), F.floor(F.col("id") / block).alias("block")))
+    open_ = materialise(edges.distinct().join(free, "other", "left").select(*own, F.coalesce("state", F.lit(1)).alias("state"), number.alias("block")))
     lost, rounds = None, 0
 
     def run(t: pa.Table) -> pa.Table:
-        rows, kept = settle(*(t.column(c).to_numpy() for c in ("id", "other", "state")))
+        rows, kept = tell(*(t.column(c).to_numpy() for c in [*own, "state"]))
         return pa.table({"id": rows, "kept": kept})
 
     while True:
@@ -232,7 +284,7 @@ def dropped(edges: DataFrame, block: int, here: int, most: int) -> tuple[DataFra
         mine = told.where(~F.col("kept")).select(F.col("id").alias("rank"))
         lost = mine if lost is None else lost.unionByName(mine)
         left = open_.join(told.select("id"), "id", "left_anti").join(told.select(F.col("id").alias("other"), "kept"), "other", "left")
-        left = materialise(left.select("id", "other", F.coalesce(F.col("kept").cast("int"), "state").alias("state"), "block"))
+        left = materialise(left.select(*own, F.coalesce(F.col("kept").cast("int"), "state").alias("state"), "block"))
         discard(open_)
         open_ = left
         if open_.isEmpty():
@@ -271,17 +323,25 @@ def find_centers(
     whole = shuffle_seed is None and all(split(n) >= n for n in range(1, batch_size + 1))
     # Else a folder for each batch, so that each is read alone; its rows are dealt to several files.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialise(dealt) if whole else materialise(dealt.repartition(parts, "batch_id", F.pmod(F.xxhash64(key), F.lit(8))), "batch_id")
+    rows = materialise(dealt) if whole or batch_size <= TOGETHER else materialise(dealt.repartition(parts, "batch_id", F.pmod(F.xxhash64(key), F.lit(8))), "batch_id")
     batches, width = rows.agg(F.max("batch_id"), F.max(F.size("z_fwd"))).first()
     done = 0 if batches is None else min(batches + 1, max_iteration or batches + 1)
     known, found = Known(), []
     # A batch has a row of each source at least, and so may be larger than meant.
-    largest = rows.groupBy("batch_id").count().agg(F.max("count")).first()[0] if whole and done > 1 else 0
-    if largest and all(split(n) >= n for n in range(batch_size + 1, largest + 1)):
+    largest = rows.groupBy("batch_id").count().agg(F.max("count")).first()[0] if done > 1 and (whole or batch_size <= TOGETHER) else 0
+    if largest and whole and all(split(n) >= n for n in range(batch_size + 1, largest + 1)):
         left, n = ranked(rows.where(F.col("batch_id") < done), "batch_id", *order)
         left = left.select("rank", F.col("batch_id").cast("long").alias("split"), "z_fwd", "z_rev")
-        fresh = _leaders(left, n, limit, known, width, prefix or PREFIX, here or EDGES_HERE, lambda line: report.append({"batch": 0, **line}) if report is not None else None)
+        fresh = _leaders(left, n, limit, known, width, prefix or PREFIX, EDGES_HERE if here is None else here, lambda line: report.append({"batch": 0, **line}) if report is not None else None)
         found, known, done = [(0, piece) for piece in fresh], Known(fresh), 0
+    elif 0 < largest <= TOGETHER:
+        own, by = rows.where(F.col("batch_id") < done), ["batch_id", *order]
+        if shuffle_seed is not None:
+            own, by = own.withColumn("__random", F.xxhash64(F.lit(shuffle_seed), "batch_id", key)), ["batch_id", "__random", *order]
+        left, n = ranked(own, *by)
+        left = left.select("rank", F.col("batch_id").cast("long").alias("split"), "z_fwd", "z_rev")
+        fresh = _in_splits(left, n, limit, known, width, prefix or PREFIX, EDGES_HERE if here is None else here, split, report.append if report is not None else lambda line: None)
+        found, known, done = list(enumerate(fresh)), Known(fresh), 0
     for b in range(done):
         own = rows.where(F.col("batch_id") == b)
         by = order
@@ -291,7 +351,7 @@ def find_centers(
             own = _open(_numbered(own.withColumn("split", F.lit(0).cast("long")), known), known, limit).drop("rank", "split")
         left, n = ranked(own, *by)
         left = left.select("rank", F.floor(F.col("rank") / max(split(n), 1)).alias("split"), "z_fwd", "z_rev")
-        fresh = _leaders(left, n, limit, known, width, prefix or PREFIX, here or EDGES_HERE, lambda line: report.append({"batch": b, **line}) if report is not None else None)
+        fresh = _leaders(left, n, limit, known, width, prefix or PREFIX, EDGES_HERE if here is None else here, lambda line: report.append({"batch": b, **line}) if report is not None else None)
         found += [(b, piece) for piece in fresh]
         known = known.with_(fresh)
     discard(rows)
@@ -349,3 +409,37 @@ def _leaders(left: DataFrame, n: int, limit: float, known: Known, width: int, pr
         discard(left)
         left, begin, rest = after, end, after.count()
     return pieces
+
+
+def _in_splits(left: DataFrame, n: int, limit: float, known: Known, width: int, prefix: int, here: int, split: Callable[[int], int], report: Callable[[dict], None]) -> list[pa.Table | DataFrame]:
+    """As :func:`_leaders`, of many batches (rank, split, z_fwd, z_rev; ``split`` is the batch, ranks have no gaps), each cut into splits as it comes.
+
+    A prefix is whole batches, so that its centres meet the rows after it by rule G. What
+    they leave open is ranked anew: covered rows are in no split.
+    """
+    pieces, rows = [], 0
+    while n:
+        # A line for each batch.
+        counts = sorted((r[0], r[1]) for r in left.groupBy("split").count().collect())
+        bounds = np.concatenate([[0], np.cumsum([c for _, c in counts])])
+        batches = max(1, int(np.searchsorted(bounds, prefix, "right")) - 1)
+        bounds = bounds[: batches + 1]
+        end = int(bounds[-1])
+        part = left.where(F.col("rank") < end) if end < n else left
+        codes = _codes(part)
+        cells, placed = metric.blocks(codes, 0, end) if end <= BLOCKS_ONLY else metric.build(codes)
+        edges = metric.pairs(codes, cells, placed, limit, _either, earlier=True, kinds=True)
+        # A pair may meet three times, by any of its codes.
+        lost, count, rounds = dropped(edges, max(1, end // 64), here, 3 * end**2 // 2, bounds, split)
+        kept = part.join(lost, "rank", "left_anti").select(_NAMES)
+        rows += end
+        pieces.append(kept.toArrow().sort_by("rank") if known.room(rows, width) else materialise(kept))
+        report({"batch": counts[0][0], "batches": batches, "rows": end, "edges": count, "rounds": rounds})
+        prefix = int(min(4 * prefix, max(prefix // 2, PREFIX, prefix * (EDGES / max(count, 1)) ** 0.5), MOST))
+        if end >= n:
+            break
+        after, n = ranked(_open(left.where(F.col("rank") >= end), Known(pieces[-1:]), limit).withColumnRenamed("rank", "__before"), "__before")
+        discard(left)
+        left = after.select(_NAMES)
+        left.table_path = after.table_path
+    return pieces

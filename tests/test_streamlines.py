@@ -480,3 +480,26 @@ def test_batches_of_one_split_are_one_order(spark):
     assert np.allclose([r["z_fwd"] for r in got], fwd[want]) and len(got) == len(want)
     # Fifteen batches took as many prefixes before.
     assert len(lines_) == 1
+
+
+@pytest.mark.parametrize("way", ["here", "rounds", "prefixes", "cells", "one by one"])
+@pytest.mark.parametrize("limit", [0.5, 0.9])
+def test_small_batches_with_splits_are_taken_together(spark, monkeypatch, way, limit):
+    rng = np.random.default_rng(8)
+    fwd, rev = rng.normal(size=(300, 3)), rng.normal(size=(300, 3))
+    fwd[40:60], rev[70] = fwd[20:40], fwd[3]
+    # The size of a split depends on what is open.
+    split = lambda n: 5 if n > 12 else 3
+    lines_, small = [], {"rounds": {"here": 0}, "prefixes": {"prefix": 50}, "cells": {"prefix": 90}}.get(way, {})
+    if way == "cells":
+        monkeypatch.setattr(scoring, "SLICE_NUMBERS", 0)
+        monkeypatch.setattr(clustering, "BLOCKS_ONLY", 0)
+        monkeypatch.setattr(metric, "UNIT", 16)
+    if way == "one by one":
+        monkeypatch.setattr(clustering, "TOGETHER", 0)
+    got = clustering.find_centers(latents(spark, fwd, rev), limit, batch_size=20, split=split, report=lines_, **small).orderBy("label").collect()
+    want = sequential(fwd, rev, limit**2, 20, split)
+    assert len(got) == len(want) and [r["label"] for r in got] == list(range(1, len(want) + 1))
+    assert np.array_equal([r["z_fwd"] for r in got], fwd[want])
+    # Fifteen batches took as many prefixes before.
+    assert len(lines_) <= {"prefixes": 4, "cells": 3, "one by one": 15}.get(way, 1)
