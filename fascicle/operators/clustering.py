@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fascicle.operators import metric, scoring
-from fascicle.operators.metric import matrix, nearest
+from fascicle.operators.metric import matrix, touched
 from fascicle.plans.durable import discard, materialise, ranked, with_rank
 from fascicle.schema import CENTRE, split_size
 
@@ -157,10 +157,10 @@ def _open(rows: DataFrame, known: Known, limit: float) -> DataFrame:
             if not b.num_rows:
                 continue
             x, y, own = matrix(b.column("z_fwd"), fwd.shape[1]), matrix(b.column("z_rev"), fwd.shape[1]), b.column("split").to_numpy()
-            far = nearest(x, fwd)[0] >= limit2
+            far = ~touched(x, fwd, limit2)
             for s in np.unique(own[far]):
                 mine, here = np.flatnonzero(far & (own == s)), split == s
-                far[mine] &= (nearest(y[mine], fwd[~here])[0] >= limit2) & (nearest(x[mine], rev[here])[0] >= limit2)
+                far[mine] &= ~touched(y[mine], fwd[~here], limit2) & ~touched(x[mine], rev[here], limit2)
             yield b.filter(pa.array(far))
 
     return rows.mapInArrow(run, rows.schema)
@@ -314,25 +314,36 @@ def find_centers(
     limit = max_dist / scaler
     rows = latents.select(key, *([source] if source else []), F.col("z_fwd").cast("array<double>"), F.col("z_rev").cast("array<double>")).where(_fine("z_fwd") & _fine("z_rev"))
     order = [source or "src", key]
-    if random_seed is None:
-        dealt = with_batches(rows if source else rows.withColumn("src", F.lit(0)), batch_size, order[0], key)
-    else:
-        dealt = random_batches(rows, batch_size, min(-(-rows.count() // batch_size), max_iteration or 1 << 31), random_seed, mini_batch, key, source)
-        order = ["run", "i"]
     # Where every batch is one split whatever is left of it, the rule of each pair is known: all batches are one order.
     whole = shuffle_seed is None and all(split(n) >= n for n in range(1, batch_size + 1))
-    # Else a folder for each batch, so that each is read alone; its rows are dealt to several files.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialise(dealt) if whole or batch_size <= TOGETHER else materialise(dealt.repartition(parts, "batch_id", F.pmod(F.xxhash64(key), F.lit(8))), "batch_id")
-    batches, width = rows.agg(F.max("batch_id"), F.max(F.size("z_fwd"))).first()
-    done = 0 if batches is None else min(batches + 1, max_iteration or batches + 1)
-    known, found = Known(), []
-    # A batch has a row of each source at least, and so may be larger than meant.
-    largest = rows.groupBy("batch_id").count().agg(F.max("count")).first()[0] if done > 1 and (whole or batch_size <= TOGETHER) else 0
+    known, found, done, largest, width = Known(), [], 0, 0, 0
+    line = lambda b: lambda told: report.append({"batch": b, **told}) if report is not None else None
+    if whole and source is None and random_seed is None:
+        # One ranking says both the batch and the place in it.
+        rows, n = ranked(rows, key)
+        size = max(min(batch_size, n), 1)
+        n = min(n, size * (max_iteration or n))
+        left = rows.where(F.col("rank") < n).select("rank", F.floor(F.col("rank") / size).alias("split"), "z_fwd", "z_rev")
+        width = rows.agg(F.max(F.size("z_fwd"))).first()[0] if n else 0
+        fresh = _leaders(left, n, limit, known, width, prefix or PREFIX, EDGES_HERE if here is None else here, line(0))
+        found, known = [(0, piece) for piece in fresh], Known(fresh)
+    else:
+        if random_seed is None:
+            dealt = with_batches(rows if source else rows.withColumn("src", F.lit(0)), batch_size, order[0], key)
+        else:
+            dealt = random_batches(rows, batch_size, min(-(-rows.count() // batch_size), max_iteration or 1 << 31), random_seed, mini_batch, key, source)
+            order = ["run", "i"]
+        # Unless batches are taken together, a folder for each, so that each is read alone; its rows are dealt to several files.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = materialise(dealt) if whole or batch_size <= TOGETHER else materialise(dealt.repartition(parts, "batch_id", F.pmod(F.xxhash64(key), F.lit(8))), "batch_id")
+        batches, width = rows.agg(F.max("batch_id"), F.max(F.size("z_fwd"))).first()
+        done = 0 if batches is None else min(batches + 1, max_iteration or batches + 1)
+        # A batch has a row of each source at least, and so may be larger than meant.
+        largest = rows.groupBy("batch_id").count().agg(F.max("count")).first()[0] if done > 1 and (whole or batch_size <= TOGETHER) else 0
     if largest and whole and all(split(n) >= n for n in range(batch_size + 1, largest + 1)):
         left, n = ranked(rows.where(F.col("batch_id") < done), "batch_id", *order)
         left = left.select("rank", F.col("batch_id").cast("long").alias("split"), "z_fwd", "z_rev")
-        fresh = _leaders(left, n, limit, known, width, prefix or PREFIX, EDGES_HERE if here is None else here, lambda line: report.append({"batch": 0, **line}) if report is not None else None)
+        fresh = _leaders(left, n, limit, known, width, prefix or PREFIX, EDGES_HERE if here is None else here, line(0))
         found, known, done = [(0, piece) for piece in fresh], Known(fresh), 0
     elif 0 < largest <= TOGETHER:
         own, by = rows.where(F.col("batch_id") < done), ["batch_id", *order]
@@ -351,7 +362,7 @@ def find_centers(
             own = _open(_numbered(own.withColumn("split", F.lit(0).cast("long")), known), known, limit).drop("rank", "split")
         left, n = ranked(own, *by)
         left = left.select("rank", F.floor(F.col("rank") / max(split(n), 1)).alias("split"), "z_fwd", "z_rev")
-        fresh = _leaders(left, n, limit, known, width, prefix or PREFIX, EDGES_HERE if here is None else here, lambda line: report.append({"batch": b, **line}) if report is not None else None)
+        fresh = _leaders(left, n, limit, known, width, prefix or PREFIX, EDGES_HERE if here is None else here, line(b))
         found += [(b, piece) for piece in fresh]
         known = known.with_(fresh)
     discard(rows)
@@ -378,7 +389,7 @@ def extend(rows: DataFrame, centres: DataFrame, max_dist: float, scaler: float =
     left, m = ranked(own, *order)
     left = left.select("rank", F.floor(F.col("rank") / max(split(m), 1)).alias("split"), "z_fwd", "z_rev")
     width = width or (left.select(F.max(F.size("z_fwd"))).first()[0] if m else 0) or 0
-    fresh = _leaders(left, m, limit, known, width, PREFIX, EDGES_HERE, report.append if report is not None else lambda line: None)
+    fresh = _leaders(left, m, limit, known, width, PREFIX, EDGES_HERE, report.append if report is not None else lambda told: None)
     pieces = [spark.createDataFrame(p.select(_NAMES), _ROW) if isinstance(p, pa.Table) else p for p in fresh]
     return (functools.reduce(DataFrame.unionByName, pieces) if pieces else spark.createDataFrame([], _ROW)).select("rank", "z_fwd", "z_rev")
 

@@ -503,3 +503,33 @@ def test_small_batches_with_splits_are_taken_together(spark, monkeypatch, way, l
     assert np.array_equal([r["z_fwd"] for r in got], fwd[want])
     # Fifteen batches took as many prefixes before.
     assert len(lines_) <= {"prefixes": 4, "cells": 3, "one by one": 15}.get(way, 1)
+
+
+@pytest.mark.parametrize(("width", "limit", "share"), [(2, 0.02, 0.2), (40, 0.5, 2.0)])
+def test_centres_that_touch_rows_are_met_by_boxes(monkeypatch, width, limit, share):
+    rng = np.random.default_rng(11)
+    x, points = rng.random((6000, width)), rng.random((900, width))
+    x[:300] = points[:300] + 0.9 * limit / width**0.5
+    x[300] = points[7]
+    x[300, 0] += limit  # as far as the limit, but for rounding
+    x[301], points[5] = np.nan, np.inf
+    met, rough = [], metric._rough
+    monkeypatch.setattr(metric, "_rough", lambda a, b: met.append(len(a) * len(b)) or rough(a, b))
+    got = metric.touched(x, points, limit * limit)
+    fine = np.delete(points, 5, 0)
+    want = np.array([(((row - fine) ** 2).sum(1) < limit * limit).any() for row in x])
+    assert (got == want).all() and want.any() and not want.all()
+    assert sum(met) <= share * len(x) * len(points)
+    assert not metric.touched(x, points[:0], 1.0).any()
+
+
+def test_one_source_is_ranked_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    fwd, rev = rng.normal(size=(200, 2)), rng.normal(size=(200, 2))
+    calls, ranked = [], clustering.ranked
+    monkeypatch.setattr(clustering, "ranked", lambda *a, **k: calls.append(a[1:]) or ranked(*a, **k))
+    for most, rows in ((None, 200), (2, 120)):
+        got = clustering.find_centers(latents(spark, fwd, rev), 0.4, batch_size=60, split=lambda n: max(n, 1), max_iteration=most).orderBy("label").collect()
+        assert np.array_equal([r["z_fwd"] for r in got], fwd[sequential(fwd[:rows], rev[:rows], 0.16, 60, lambda n: max(n, 1))])
+    # Batches and places in them were ranked apart before.
+    assert calls == [("sid",), ("sid",)]
