@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -533,3 +534,27 @@ def test_one_source_is_ranked_once(spark, monkeypatch):
         assert np.array_equal([r["z_fwd"] for r in got], fwd[sequential(fwd[:rows], rev[:rows], 0.16, 60, lambda n: max(n, 1))])
     # Batches and places in them were ranked apart before.
     assert calls == [("sid",), ("sid",)]
+
+
+def python_steps(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+
+def test_streamlines_are_resampled_where_they_are_coded(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    each = [rng.normal(size=(k, 3)) for k in (3, 40, 1, 7, 90, 2, 5)]
+    rows, codec = lines(spark, *each, np.zeros((0, 3))).coalesce(1), DctCodec(ModelSpec(latent_dim=6, input_points=8))
+    want = {r["sid"]: (r["z_fwd"], r["z_rev"]) for r in encode(geometry.resample(rows, 8), codec, resampled=True).collect()}
+    # A worker for each task, where two stood before.
+    assert len(want) == 7 and python_steps(encode(rows, codec)) == 1
+    piece = geometry.PIECE
+    for most in (piece, 20, 1):
+        monkeypatch.setattr(geometry, "PIECE", most)
+        for carry in (False, True):
+            got = encode(rows, codec, carry=carry).collect()
+            assert {r["sid"]: (r["z_fwd"], r["z_rev"]) for r in got} == want
+            assert not carry or all(len(r["points"]) == 8 for r in got)
+    sizes = pa.array([[0.0] * k for k in (3, 40, 1, 7, 90, 2, 5)])
+    monkeypatch.setattr(geometry, "PIECE", 50)
+    runs = [(s.start, s.stop) for s in geometry.pieces(sizes, 8)]
+    assert runs == [(0, 2), (2, 4), (4, 5), (5, 7)] and list(geometry.pieces(sizes[:0], 8)) == []
