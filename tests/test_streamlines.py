@@ -558,3 +558,31 @@ def test_streamlines_are_resampled_where_they_are_coded(spark, monkeypatch):
     monkeypatch.setattr(geometry, "PIECE", 50)
     runs = [(s.start, s.stop) for s in geometry.pieces(sizes, 8)]
     assert runs == [(0, 2), (2, 4), (4, 5), (5, 7)] and list(geometry.pieces(sizes[:0], 8)) == []
+
+
+def test_round_trips_resample_in_the_task(spark, monkeypatch, tmp_path):
+    from fascicle.plans import queries
+
+    rng = np.random.default_rng(14)
+    rows, codec = lines(spark, *(rng.normal(size=(k, 3)) for k in (3, 9, 1, 8, 30)), np.zeros((0, 3))), DctCodec(ModelSpec(latent_dim=6, input_points=8))
+    key = lambda df: sorted((r["sid"], r["hausdorff"], r["mdf"]) for r in df.collect())
+    once = evaluation.round_trip(rows, codec, resampled=False)
+    assert python_steps(once) == 1
+    assert key(once) == key(evaluation.round_trip(geometry.resample(rows, 8), codec)) and once.count() == 5
+    # What the query writes are an order's own points, no longer sixteen for each.
+    written, materialise = [], queries.materialise
+    monkeypatch.setattr(queries, "materialise", lambda df: written.append(materialise(df)) or written[-1])
+    queries.fitted_codec(spark, "/root/testdata/sf0.001").collect()
+    assert written[0].selectExpr("min(size(points))").first()[0] < 16
+
+
+def test_hausdorff_in_strips(monkeypatch):
+    rng = np.random.default_rng(15)
+    a, b = rng.normal(size=(50, 7, 3)), rng.normal(size=(50, 5, 3))
+    a[3, 2, 1] = np.nan
+    d = np.sqrt(((a[:, :, None] - b[:, None]) ** 2).sum(3))
+    want = np.maximum(d.min(2).max(1), d.min(1).max(1))
+    for most in (1, 100, 1 << 18):
+        monkeypatch.setattr(geometry, "CACHED", most)
+        assert np.array_equal(geometry.hausdorff(a, b), want, equal_nan=True)
+    assert len(geometry.hausdorff(a[:0], b[:0])) == 0
