@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fascicle.functions.codec import DctCodec, decode, encode
 from fascicle.operators import clustering, evaluation, geometry, index, mapping, metric, scoring, search
+from fascicle.plans import queries
 from fascicle.schema import CENTRE, LATENT, STREAMLINE, ModelSpec, split_size
 
 
@@ -351,6 +352,41 @@ def test_pairs_by_blocks(spark):
         assert i > j and d == pytest.approx(min(np.linalg.norm(fwd[i] - fwd[j]), np.linalg.norm(fwd[i] - rev[j])))
 
 
+def test_rounded_as_spark_rounds(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.random(2000) * 3, (rng.integers(0, 1 << 22, 2000) * 10 + 5) / 1e7, rng.random(500) * 1e10, 2.0 ** np.arange(-60, 300, 5.0), [0.0, -0.0, 2.5e-7, 5e-7, 1.0000005, 8589934592.1234565, 1e300, np.inf]])
+    rows = spark.createDataFrame([(n, float(v)) for n, v in enumerate(x)], "n int, v double")
+    want = np.array([r[0] for r in rows.orderBy("n").select(F.round("v", 6) + F.lit(0.0)).collect()])
+    got = evaluation._rounded(x, 6)
+    assert (got == want).all() and not np.signbit(got).any() and np.isnan(evaluation._rounded(np.array([np.nan]), 6)).all()
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e14])
+def test_pairs_by_value(monkeypatch, scale):
+    rng = np.random.default_rng(6)
+    one, two = rng.integers(0, 9, (2, 100)) / 1e6 * scale
+    parts = [pa.RecordBatch.from_arrays([pa.array([str(n) for n in range(s, s + 10)]), pa.array(range(s, s + 10)), pa.array(one[s : s + 10]), pa.array(two[s : s + 10])], list("ijab")) for s in range(0, 100, 10)]
+    monkeypatch.setattr(evaluation, "PAIRS", 40)
+    monkeypatch.setattr(evaluation, "SENT", 15)
+    out = list(evaluation._ordered(iter(parts), 6))
+    assert [b.num_rows for b in out] == [15, 15, 10, 15, 15, 10, 15, 5]
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert sorted(rows) == sorted((str(n), n, one[n], two[n]) for n in range(100))
+    for s in (0, 40, 80):
+        keys = [(a != b, b) for _, _, a, b in rows[s : s + 40]]
+        assert keys == sorted(keys)
+
+
+@pytest.mark.parametrize("name", ["latent_pair_distances"])
+def test_pairs_are_given_out_by_value(spark, name):
+    """A task's pairs come in two ascending runs, so that equal distances are neighbours in a file."""
+    rows = queries.QUERIES[name](spark, "/root/testdata/sf0.001").withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 500 * 499 // 2 == len({r[:2] for r in rows})
+    for task in {r["task"] for r in rows}:
+        keys = [(r[2] != r[3], r[3]) for r in rows if r["task"] == task]
+        assert keys == sorted(keys)
+
+
 def points_of(spark, labels, z):
     return spark.createDataFrame([(int(n), list(map(float, v))) for n, v in zip(labels, z)], "label int, z_fwd array<double>")
 
