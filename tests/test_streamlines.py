@@ -377,7 +377,7 @@ def test_pairs_by_value(monkeypatch, scale):
         assert keys == sorted(keys)
 
 
-@pytest.mark.parametrize("name", ["latent_pair_distances"])
+@pytest.mark.parametrize("name", ["latent_pair_distances", "geometric_pair_distances"])
 def test_pairs_are_given_out_by_value(spark, name):
     """A task's pairs come in two ascending runs, so that equal distances are neighbours in a file."""
     rows = queries.QUERIES[name](spark, "/root/testdata/sf0.001").withColumn("task", F.spark_partition_id()).collect()
@@ -387,6 +387,17 @@ def test_pairs_are_given_out_by_value(spark, name):
         assert keys == sorted(keys)
 
 
+def test_pairs_of_streamlines_alone(spark):
+    rng = np.random.default_rng(8)
+    pts = rng.normal(size=(25, 5, 3))
+    p, x = lines(spark, *pts), latents(spark, rng.normal(size=(25, 3)), rng.normal(size=(25, 3)))
+    both = {(r["i"], r["j"]): (r["hausdorff"], r["mdf"]) for r in evaluation.pair_distances(p, x, block=7).collect()}
+    alone = evaluation.pair_distances(p, None, block=7, places=3)
+    assert alone.columns == ["i", "j", "hausdorff", "mdf"]
+    got = {(r["i"], r["j"]): (r["hausdorff"], r["mdf"]) for r in alone.collect()}
+    assert got == {k: (round(h, 3), round(m, 3)) for k, (h, m) in both.items()}
+
+
 def points_of(spark, labels, z):
     return spark.createDataFrame([(int(n), list(map(float, v))) for n, v in zip(labels, z)], "label int, z_fwd array<double>")
 
