@@ -387,6 +387,35 @@ def test_pairs_are_given_out_by_value(spark, name):
         assert keys == sorted(keys)
 
 
+@pytest.mark.parametrize("agree", [False, True])
+def test_pairs_that_dictionaries_hold_come_first(monkeypatch, agree):
+    """As whole numbers in windows of so many different ones; then those with one number outside, by that number."""
+    rng = np.random.default_rng(9)
+    last = np.rint(rng.normal(3000, 40, 20000)).astype(np.int32)
+    first = last + (rng.random(20000) < 0.5 if agree else 1) * np.rint(rng.gamma(2, 60, 20000) + 1).astype(np.int32)
+    monkeypatch.setattr(evaluation, "KEPT", 150)
+    monkeypatch.setattr(evaluation, "FEW", 20)
+    monkeypatch.setattr(evaluation, "SENT", 999)
+    ids = pa.array(np.arange(20000))
+    batch = pa.RecordBatch.from_arrays([ids, pa.DictionaryArray.from_arrays(pa.array(np.zeros(20000, np.int32)), pa.array(["x"])), pa.array(first / 1e6), pa.array(last / 1e6)], list("ijab"))
+    out = pa.Table.from_batches(evaluation._ordered(iter([batch]), 6)).to_pydict()
+    place = np.array(out["i"])
+    assert sorted(place) == list(range(20000)) and set(out["j"]) == {"x"}
+    assert out["a"] == (first[place] / 1e6).tolist() and out["b"] == (last[place] / 1e6).tolist()
+    a, b = first[place], last[place]
+    dense = next(n for n in range(len(a), 0, -1) if len(set(a[:n])) <= 150 and len(set(b[:n])) <= 150)
+    assert dense > (0.25 if agree else 0.4) * len(a)
+    # A file's first page decides whether there is a dictionary.
+    assert len(set(a[:100])) <= 21 and len(set(b[:100])) <= 21
+    assert ((np.diff(a[dense:]) == 0) | (np.diff(b[dense:]) == 0)).mean() > 0.6
+
+
+def test_each_tile_of_pairs_has_a_task(spark):
+    x = latents(spark, np.arange(400.0).reshape(200, 2))
+    rows = evaluation.pair_distances(None, x, block=50, places=6).groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) == 10 and sum(r[1] for r in rows) == 200 * 199 // 2
+
+
 def test_pairs_of_streamlines_alone(spark):
     rng = np.random.default_rng(8)
     pts = rng.normal(size=(25, 5, 3))
