@@ -410,6 +410,15 @@ def test_pairs_that_dictionaries_hold_come_first(monkeypatch, agree):
     assert ((np.diff(a[dense:]) == 0) | (np.diff(b[dense:]) == 0)).mean() > 0.6
 
 
+def test_numbers_that_agree_fill_the_second_dictionary_first(monkeypatch):
+    monkeypatch.setattr(evaluation, "KEPT", 2)
+    monkeypatch.setattr(evaluation, "FEW", 1)
+    pairs = [(8, 2), (9, 2), (8, 1), (9, 1), (8, 2), (5, 5), (2, 2), (1, 1), (2, 2), (4, 1), (3, 2), (9, 6)]
+    first, last = (np.array(x, np.int32) for x in zip(*pairs))
+    got = [pairs[k] for k in evaluation._by_value(first, last)]
+    assert got == [(8, 2), (8, 2), (8, 1), (9, 1), (9, 2), (3, 2), (4, 1), (1, 1), (2, 2), (2, 2), (5, 5), (9, 6)]
+
+
 def test_each_tile_of_pairs_has_a_task(spark):
     x = latents(spark, np.arange(400.0).reshape(200, 2))
     rows = evaluation.pair_distances(None, x, block=50, places=6).groupBy(F.spark_partition_id()).count().collect()
