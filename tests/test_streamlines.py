@@ -523,6 +523,28 @@ def test_all_pairs_of_two_groups_equal_pair_by_pair():
         assert d == pytest.approx(np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)), rel=1e-9, abs=0) and d[1, 2] == 0
 
 
+def test_a_block_of_two_groups_is_not_copied():
+    def group(ids, fwd, rev):
+        lists = [pa.array([list(map(float, r)) for r in z], pa.list_(pa.float64())) for z in (fwd, rev)]
+        return evaluation._Group([pa.RecordBatch.from_arrays([pa.array(ids), *lists], ["sid", "z_fwd", "z_rev"])], "sid")
+
+    rng = np.random.default_rng(4)
+    a, b = ([[7, 1, 4], *rng.integers(0, 3, (2, 3, 2))], [[3, 9], *rng.integers(0, 3, (2, 2, 2))])
+    (_, _, i, j, turned, d), = evaluation._measured(group(*a), group(*b), False)
+    assert i.tolist() == [0, 0, 1, 1, 2, 2] and j.tolist() == [0, 1] * 3 and turned.tolist() == [False, True, True, True, False, True]
+    near = lambda u, v: np.linalg.norm(u[:, None] - v[None], axis=2).ravel()
+    ways = near(a[1], b[1]), near(a[1], b[2]), near(a[2], b[1]), near(a[2], b[2])
+    assert d[1] == pytest.approx(np.min(ways, 0)) and d[0] == pytest.approx(np.minimum(ways[0], np.where(turned, ways[2], ways[1])))
+    assert all(x.base is not None for x in d)
+
+
+def test_moments_where_codes_are_equal():
+    x = np.array([[0.0, 2, 4], [0, 1, 2], [3, 4, 2], [1, 6, 8]])
+    some, none = evaluation.Moments.of(list(x)), evaluation.Moments.of(list(x[:, 1:]))
+    assert (some.n, some.skipped, none.n, none.skipped) == (3, 1, 2, 0)
+    assert some.ratio.tolist() == none.ratio.tolist() == [2.5, 5.0]
+
+
 def test_tiles_are_dealt_evenly(spark):
     x = latents(spark, np.arange(400.0).reshape(200, 2))
     rows = evaluation._tiles(x, "sid", 8).withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.countDistinct("tile").alias("n")).collect()
